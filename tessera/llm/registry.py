@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from tessera.llm.decontamination import ORACLE_OP10, op10_decontamination
 from tessera.llm.packing import op3_packing
 from tessera.llm.token_files import op6_token_files
 
-QUERIES = {"op3_packing": op3_packing, "op6_token_files": op6_token_files}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op3_packing": op3_packing, "op6_token_files": op6_token_files, "op10_decontamination": op10_decontamination}
+ORACLES: dict[str, str] = {"op10_decontamination": ORACLE_OP10}
