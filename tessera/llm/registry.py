@@ -5,7 +5,8 @@ from __future__ import annotations
 from tessera.llm.decontamination import ORACLE_OP10, op10_decontamination
 from tessera.llm.packing import op3_packing
 from tessera.llm.secrets import op1_secret_scan
+from tessera.llm.simhash import op2_simhash
 from tessera.llm.token_files import op6_token_files
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op3_packing": op3_packing, "op6_token_files": op6_token_files, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_simhash": op2_simhash, "op3_packing": op3_packing, "op6_token_files": op6_token_files, "op10_decontamination": op10_decontamination}
 ORACLES: dict[str, str] = {"op10_decontamination": ORACLE_OP10}
