@@ -14,11 +14,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text as UTF-8 bytes): other columns are pruned here, so none can clash; null text is empty."""
+def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: str = "binary") -> DataFrame:
+    """(doc_id, text as UTF-8 bytes, or as `kind`): other columns are pruned here, so none can clash; null text is empty."""
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"),
+        F.coalesce(F.col(text_col), F.lit("")).cast(kind).alias("text"),
     )
 
 

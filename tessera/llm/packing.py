@@ -8,17 +8,18 @@ One narrow pass: no shuffle, no state beyond one Arrow batch.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import common
-from tessera.llm.tokens import default_vocabulary, word_ids
+from tessera.llm.tokens import binary_column, default_vocabulary, encoder
 
 SCHEMA = "doc_id long, start long, length long, bucket int, sequence_id long, offset long, doc_tokens long, ids binary"
 ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("bucket", pa.int32()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
-BATCH_BYTES = 32 << 20
+BATCH_ROWS = 8192
 
 
 def cut_points(length: int, max_len: int) -> list[int]:
@@ -38,29 +39,29 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, end_id: int =
     if max_len & (max_len - 1) or max_len < 1:
         raise ValueError("max_len must be a power of two")
     path = vocabulary or default_vocabulary()
-    end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
-        words, task = word_ids(path), TaskContext.get().partitionId()
+        task = TaskContext.get().partitionId()
         made = [0] * max_len.bit_length()
         for batch in batches:
-            rows, held = [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids, at = words.text(text) + end, 0
-                total = len(ids) // 4
+            flat, sizes = encoder(path).encode(batch.column(1), end_id)
+            rows, lengths = [], []
+            for doc, total in zip(batch.column(0).to_pylist(), sizes.tolist(), strict=True):
+                at = 0
                 for n in cut_points(total, max_len):
                     k = n.bit_length() - 1
-                    rows.append((doc, at, n, k, k << 59 | task << 35 | made[k], 0, total, ids[4 * at : 4 * (at + n)]))
+                    rows.append((doc, at, n, k, k << 59 | task << 35 | made[k], 0, total))
+                    lengths.append(n)
                     made[k] += 1
                     at += n
-                held += len(ids)
-                if held > BATCH_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), ARROW.types)], schema=ARROW)
-                    rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), ARROW.types)], schema=ARROW)
+            ids, done = np.cumsum(lengths), 0
+            for at in range(0, len(rows), BATCH_ROWS):
+                part = rows[at : at + BATCH_ROWS]
+                to = int(ids[at + len(part) - 1])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*part), ARROW.types)), binary_column(flat[done:to], np.array(lengths[at : at + len(part)]))], schema=ARROW)
+                done = to
 
-    return common.text_rows(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    return common.text_rows(docs, id_col, text_col, "string").mapInArrow(run, SCHEMA)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,7 @@
 """Token-id files: canonical length-limited Huffman codes in independent blocks.
 
-Pass 1 turns texts into ids and stages them; pass 2 counts ids over the whole corpus; pass 3 codes
-each document's ids and range-partitions the coded bytes by document id, so only compressed data is
-shuffled; each partition becomes one file.  Reading is table driven: blocks of a fixed number of
+Pass 1 turns texts into ids and stages them as 16-bit integers; pass 2 counts ids over the whole
+corpus; pass 3 range-partitions the staged ids by document id, and each partition becomes one file.  Reading is table driven: blocks of a fixed number of
 ids start at recorded bit offsets, so all blocks of a segment are decoded side by side.
 
 File: segments, each followed by one newline.  Segment (little-endian):
@@ -23,13 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import common
-from tessera.llm.tokens import default_vocabulary, word_ids
+from tessera.llm.tokens import binary_column, default_vocabulary, encoder
 
 MAGIC = b"TSHUF01\n"
 HEADER = struct.Struct("<8Q")
 LIMIT = 18
 BLOCK = 128
-SEGMENT_IDS = 2_000_000
+SEGMENT_IDS = 500_000
 
 
 # -- codes ---------------------------------------------------------------------------------------
@@ -172,25 +171,28 @@ def read_segments(content: bytes, decode: bool = True):
 
 def tokenize(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """(doc_id, ids as little-endian u16) of (doc_id, text)."""
-    end = int(end_id).to_bytes(2, "little")
 
     def run(batches):
-        words = word_ids(vocabulary, "<u2")
         for batch in batches:
-            ids = [words.text(t) + end for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), binary_column(*encoder(vocabulary, "<u2").encode(batch.column(1), end_id))], names=["doc_id", "ids"])
 
     return docs.mapInArrow(run, "doc_id long, ids binary")
 
 
+def flat_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all ids, number of each row) of a binary column, without a copy of each row."""
+    offsets = np.frombuffer(column.buffers()[1], "<i4")[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(column) else np.zeros(0, np.uint8)
+    return raw.view("<u2"), np.diff(offsets).astype(np.int64) // 2
+
+
 def count_ids(ids: DataFrame) -> np.ndarray:
     """Global counts of ids; one row per id and task is shuffled, one per id of the vocabulary comes back."""
 
     def run(batches):
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(x, "<u2"), minlength=1 << 16)
+            total += np.bincount(flat_ids(batch.column(0))[0], minlength=1 << 16)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
@@ -200,24 +202,11 @@ def count_ids(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def encode_documents(ids: DataFrame, lengths: np.ndarray, block: int, limit: int) -> DataFrame:
-    """(doc_id, n_ids, firsts, bits): every document starts a new block, at bit 0 of its own bytes."""
-    lengths_cast = ids.sparkSession.sparkContext.broadcast(lengths)  # bounded by the vocabulary
-
-    def run(batches):
-        lengths = lengths_cast.value
-        codes, _ = canonical(lengths, limit)
-        for batch in batches:
-            n, firsts, bits = [], [], []
-            for x in batch.column(1).to_pylist():
-                a = np.frombuffer(x, "<u2")
-                payload, _, at = encode_bits(a, lengths, codes)
-                n.append(len(a))
-                firsts.append(at[::block].astype("<u8").tobytes())
-                bits.append(payload.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(firsts, pa.binary()), pa.array(bits, pa.binary())], names=["doc_id", "n", "firsts", "bits"])
-
-    return ids.mapInArrow(run, "doc_id long, n long, firsts binary, bits binary")
+def encode_segment(doc_ids: list, ids: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, codes: np.ndarray, block: int, limit: int) -> bytes:
+    """A segment of whole documents: one run of bits, in which every document starts a new block."""
+    payload, _, at = encode_bits(ids, lengths, codes)
+    counts = block_counts(sizes, block)
+    return write_segment(doc_ids, sizes.tolist(), at[np.cumsum(counts) - counts], payload, lengths, block, limit)
 
 
 def write_token_files(docs: DataFrame, out_dir: str, vocabulary: str | None = None, end_id: int = 1, block: int = BLOCK, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -227,35 +216,31 @@ def write_token_files(docs: DataFrame, out_dir: str, vocabulary: str | None = No
     Other columns are ignored.  The vocabulary must have fewer than 65,536 ids.
     """
     spark, path = docs.sparkSession, vocabulary or default_vocabulary()
-    ids, staged = common.stage(tokenize(common.text_rows(docs, id_col, text_col), path, end_id), "token-ids")
+    ids, staged = common.stage(tokenize(common.text_rows(docs, id_col, text_col, "string"), path, end_id), "token-ids")
     try:
-        lengths = code_lengths(count_ids(ids), limit)
-        lengths_cast = spark.sparkContext.broadcast(lengths)
+        lengths_cast = spark.sparkContext.broadcast(code_lengths(count_ids(ids), limit))  # bounded by the vocabulary
 
         def run(batches):
             lengths = lengths_cast.value
-            held = ([], [], [], [], 0, 0)
+            codes, _ = canonical(lengths, limit)
+            docs, parts, sizes, total = [], [], [], 0
 
             def segment():
-                docs, sizes, firsts, parts, _, _ = held
-                return pa.RecordBatch.from_arrays([pa.array([write_segment(docs, sizes, np.concatenate(firsts), np.frombuffer(b"".join(parts), np.uint8), lengths, block, limit)], pa.binary())], names=["segment"])
+                return pa.RecordBatch.from_arrays([pa.array([encode_segment(docs, np.concatenate(parts), np.concatenate(sizes), lengths, codes, block, limit)], pa.binary())], names=["segment"])
 
             for batch in batches:
-                for doc, n, first, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    docs, sizes, firsts, parts, total, at = held
-                    docs.append(doc)
-                    sizes.append(n)
-                    firsts.append(np.frombuffer(first, "<u8") + np.uint64(8 * at))
-                    parts.append(bits)
-                    held = (docs, sizes, firsts, parts, total + n, at + len(bits))
-                    if held[4] >= SEGMENT_IDS:
-                        yield segment()
-                        held = ([], [], [], [], 0, 0)
-            if held[0]:
+                flat, n = flat_ids(batch.column(1))
+                docs += batch.column(0).to_pylist()
+                parts.append(flat.copy())
+                sizes.append(n)
+                total += len(flat)
+                if total >= SEGMENT_IDS:
+                    yield segment()
+                    docs, parts, sizes, total = [], [], [], 0
+            if docs:
                 yield segment()
 
-        coded = encode_documents(ids, lengths, block, limit)
-        (coded.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "bits")
+        (ids.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
          .mapInArrow(run, "segment binary").select(F.col("segment").cast("string").alias("value")).write.text(out_dir))
     finally:
         common.drop(spark, staged)
@@ -286,8 +271,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 at = base.get(name, 0)
                 for docs, sizes, ids in read_segments(content):
                     ends = np.cumsum(sizes)
-                    raw = ids.astype("<u4").tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(at + ends - sizes), pa.array(sizes), pa.array([raw[4 * (e - s) : 4 * e] for s, e in zip(sizes.tolist(), ends.tolist())], pa.binary())], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(at + ends - sizes), pa.array(sizes), binary_column(ids.astype("<u4"), sizes)], schema=schema)
                     at += int(ends[-1])
 
     return files.select("path", "content").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,7 +11,7 @@ from tokenizers import Tokenizer
 
 from tessera.llm import token_files as tf
 from tessera.llm.packing import cut_points, pack_documents
-from tessera.llm.tokens import WordIds, default_vocabulary
+from tessera.llm.tokens import Encoder, default_vocabulary
 
 LIB = Tokenizer.from_file(default_vocabulary())
 TEXTS = ["Hello, it's 2024!\n\nÉté à la plage...", "", None, "a <|endoftext|> b<|endoftext|>c <|STARTOFTEXT|>", "x" * 5000, "of%%% the&&& thion,### été ́x", "don't we'll THEY'VE '", "日本語 テスト　全角  nb sp", "word " * 9000]
@@ -26,16 +27,14 @@ def frame(spark):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.one_of(st.characters(), st.sampled_from("ab C'.,|<>́é\n\x1c\x85 9st")), max_size=60))
-def test_words_equal_whole_text(text):
-    try:
-        raw = text.encode()
-    except UnicodeEncodeError:
-        return
-    assert np.frombuffer(WORDS.text(raw), "<u4").tolist() == ids(text)
+@given(st.lists(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("ab C'.,|<>\u0301éÉİſ\n\x1c\x85\xa0 9st")), max_size=60), max_size=5))
+def test_words_equal_whole_text(texts):
+    flat, sizes = SMALL.encode(pa.array([*texts, None, "<|endoftext|>A a.a"], pa.string()), 7)
+    want = [ids(t) + [7] for t in [*texts, "", "<|endoftext|>A a.a"]]
+    assert flat.tolist() == [x for w in want for x in w] and sizes.tolist() == [len(w) for w in want]
 
 
-WORDS = WordIds(default_vocabulary(), cap=50, parts=40)
+SMALL = Encoder(default_vocabulary(), parts=40, slice_bytes=100)
 
 
 def test_pack(spark):
@@ -68,13 +67,7 @@ def test_segment_round_trip(docs, limit):
     used = lengths[lengths > 0].astype(float)
     assert not len(used) or (used.max() <= limit and (2**-used).sum() <= 1)
     codes, _ = tf.canonical(lengths, limit)
-    firsts, parts, at = [], [], 0
-    for d in docs:
-        b, _, f = tf.encode_bits(np.array(d, np.int64), lengths, codes)
-        firsts.append(f[::4].astype(np.uint64) + 8 * at)
-        parts.append(b.tobytes())
-        at += len(parts[-1])
-    s = tf.write_segment(list(range(len(docs))), [len(d) for d in docs], np.concatenate(firsts), np.frombuffer(b"".join(parts), np.uint8), lengths, 4, limit) + b"\n"
+    s = tf.encode_segment(list(range(len(docs))), flat, np.array([len(d) for d in docs]), lengths, codes, 4, limit) + b"\n"
     [(names, sizes, out), (_, _, again)] = tf.read_segments(s + s)
     assert names == list(range(len(docs))) and sizes.tolist() == [len(d) for d in docs] and out.tolist() == flat.tolist() == again.tolist()
     with pytest.raises(ValueError):
