@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tessera.plans import relational
+from tessera.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "relational"]
