@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import relational
+from tessera.plans import aggregation, history, platform, relational, search, texts
 from tessera.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "relational"]
+__all__ = ["ORACLES", "QUERIES", "aggregation", "history", "platform", "relational", "search", "texts"]

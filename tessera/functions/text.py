@@ -58,7 +58,7 @@ def snippet(c: Column, n: int = 280) -> Column:
 
 def html_to_text(c: Column) -> Column:
     """Text of HTML: scripts and styles go, breaks and paragraph ends are new lines, the common entities are resolved, blank lines drop."""
-    t = F.regexp_replace(c, r"(?is)<(script|style)\b.*?</\1>", "")
+    t = F.regexp_replace(F.regexp_replace(c, r"(?is)<script\b.*?</script>", ""), r"(?is)<style\b.*?</style>", "")
     t = F.regexp_replace(t, r"(?i)<br\s*/?>|</p>|</h[1-6]>|</li>|</div>", "\n")
     t = F.regexp_replace(t, r"(?s)<[^>]*>", "")
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
@@ -129,7 +129,8 @@ def truecase(c: Column) -> Column:
 
 def language_by_markers(c: Column, markers: dict[str, tuple[str, ...]], default: str) -> Column:
     """The language with most marker words, the first listed on a tie, the default if none occurs."""
-    counts = {k: F.regexp_count(F.lower(c), F.lit(r"\b(" + "|".join(v) + r")\b")) for k, v in markers.items()}
+    words = F.split(F.lower(c), r"[^\p{L}]+")
+    counts = {k: F.size(F.filter(words, (lambda v: lambda w: w.isin(*v))(v))) for k, v in markers.items()}
     best = F.greatest(*counts.values())
     out = F.when(best == 0, default)
     for k, n in counts.items():
