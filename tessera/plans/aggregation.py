@@ -55,12 +55,12 @@ def _bucket(name, sql, column):
     return run
 
 
-_bucket("mean_value", "round(avg(value), 3)", lambda: F.round(F.avg("value"), 3))
+_bucket("mean_value", "round(avg(value), 8)", lambda: F.round(F.avg("value"), 8))
 _bucket("p95_value", "round(quantile_cont(value, 0.95), 6)", lambda: F.round(F.percentile("value", 0.95), 6))
 _bucket("events", "count(*)", lambda: F.count(F.lit(1)))
 _bucket("error_share", "round(coalesce(count(*) FILTER (event_type = 'error') * 1.0 / nullif(count(*), 0), 0), 6)", lambda: F.round(F.count_if(F.col("event_type") == "error") / F.count(F.lit(1)), 6))
 _bucket("users", "count(DISTINCT user_id)", lambda: F.count_distinct("user_id"))
-_bucket("ratio", "round(avg(value) / nullif(avg(user_id), 0), 6)", lambda: F.round(F.try_divide(F.avg("value"), F.avg("user_id")), 6))
+_bucket("ratio", "round(avg(value) / nullif(avg(user_id), 0), 10)", lambda: F.round(F.try_divide(F.avg("value"), F.avg("user_id")), 10))
 _bucket("peak", "max(value)", lambda: F.max("value"))
 
 
