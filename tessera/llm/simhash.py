@@ -127,7 +127,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = 3, seed:
     linked = labelled.select("fp", "root").join(named, "root").select("fp", "component_id")
     lookup = distinct.join(linked.withColumn("is_linked", F.lit(True)), "fp", "left")
     lookup = lookup.select("fp", F.when(F.col("is_linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
-    return fps.join(lookup, "fp").select("doc_id", "fp", "component_id")
+    # Cut, so that both sides of this join come straight from a shuffle: then Spark may split a fingerprint that many copies share.
+    return fps.join(common.cut(lookup), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
