@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -145,3 +146,48 @@ def speaker_label(c: Column) -> Column:
     pattern = r"^(?:(Hon|Mr|Mrs|Ms|Miss|Dr|M|Mme)\.?\s+)?(?:(\p{Lu}[\p{L}'.-]*)\s+)?(\p{Lu}[\p{L}' -]+)$"
     part = lambda i: F.nullif(F.regexp_extract(tidy, pattern, i), F.lit(""))
     return F.when(~office & (F.regexp_extract(tidy, pattern, 3) != ""), F.struct(part(1).alias("honorific"), part(2).alias("first"), part(3).alias("last")))
+
+
+def sequence_ratio(a: Column, b: Column) -> Column:
+    """Similarity of two strings in 0..1 by matching blocks, Arrow batches of difflib."""
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+
+        return pd.Series([None if p is None or q is None else SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)], dtype="float64")
+
+    return ratio(a, b)
+
+
+def nfkc(c: Column) -> Column:
+    """Compatibility normal form, in Arrow batches."""
+    @F.pandas_udf("string")
+    def normal(x: pd.Series) -> pd.Series:
+        import unicodedata
+
+        return x.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    return normal(c)
+
+
+def votes_in(text: Column) -> Column:
+    """struct<outcome, ayes, nays, bill> of a passage: the last stated outcome wins, tallies and bill as found."""
+    outcomes = F.regexp_extract_all(F.lower(text), F.lit(r"\b(?:motion|amendment|bill)[^.\[\]]{0,60}?\b(carried|agreed to|defeated|negatived|lost|withdrawn)\b"), F.lit(1))
+    last = F.try_element_at(outcomes, F.lit(-1))
+    outcome = F.when(last.isin("carried", "agreed to"), "passed").when(last.isin("defeated", "negatived", "lost"), "failed").otherwise(last)
+    tally = lambda p: F.nullif(F.regexp_extract(F.lower(text), p, 1), F.lit("")).cast("int")
+    return F.struct(outcome.alias("outcome"), tally(r"\b(?:yeas?|ayes?|for the motion)[ :—-]+(\d{1,3})\b").alias("ayes"), tally(r"\b(?:nays?|noes|against the motion)[ :—-]+(\d{1,3})\b").alias("nays"), F.nullif(F.regexp_extract(text, r"\bBill (?:No\. )?([A-Z]?-?\d{1,4})\b", 1), F.lit("")).alias("bill"))
+
+
+def speech_type(section: Column, kinds: dict[str, str], default: str = "debate") -> Column:
+    """Kind of a section heading: that of the first listed phrase it contains."""
+    return F.coalesce(*(F.when(F.contains(F.lower(section), F.lit(k)), v) for k, v in kinds.items()), F.lit(default))
+
+
+def first_name_relation(a: Column, b: Column, nicknames: dict[str, str]) -> Column:
+    """high for equal names or nicknames of one name, medium for an initial or a prefix, else low."""
+    table = F.create_map(*(F.lit(x) for pair in nicknames.items() for x in pair)) if nicknames else None
+    full = lambda c: F.coalesce(F.try_element_at(table, fold(c)), fold(c)) if nicknames else fold(c)
+    x, y = full(a), full(b)
+    short = (F.length(x) > 0) & (F.length(y) > 0) & (F.startswith(x, y) | F.startswith(y, x))
+    return F.when(x == y, "high").when(short, "medium").otherwise("low")

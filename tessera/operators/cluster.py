@@ -63,11 +63,11 @@ def cluster_levels(df: DataFrame, id_col: str, sizes: Mapping[str, int], sample:
 def tfidf_terms(tokens: DataFrame, group: str, doc: str, term: str, top: int = 20, min_df: int = 2, max_df: float = 0.6) -> DataFrame:
     """(group, term, weight, place): mean of each document's unit-length tf x smooth idf, best terms of each group.
 
-    tokens: one row for each occurrence.
+    tokens: one row for each occurrence; a document belongs to one group.
     """
     tf = tokens.groupBy(group, doc, term).agg(F.count(F.lit(1)).alias("tf"))
     n = tokens.agg(F.count_distinct(doc).alias("n"))
-    df = tf.groupBy(term).agg(F.count_distinct(doc).alias("df"))
+    df = tf.groupBy(term).agg(F.count(F.lit(1)).alias("df"))
     idf = df.crossJoin(F.broadcast(n)).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n"))).select(term, (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     w = tf.join(idf, term).withColumn("w", F.col("tf") * F.col("idf"))
     length = w.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))

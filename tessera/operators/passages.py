@@ -66,8 +66,11 @@ def passages(text: str, target: int = TARGET, overlap: int = OVERLAP, least: int
     return out
 
 
-def chunk_documents(df: DataFrame, id_col: str, text_col: str, target: int = TARGET, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
-    """(id, chunk_index, text, token_count, char_start, char_end); documents too short for a passage give none."""
+def chunk_documents(df: DataFrame, id_col: str, text_col: str, target: int = TARGET, overlap: int = OVERLAP, least: int = LEAST, keep: DataFrame | None = None) -> DataFrame:
+    """(id, chunk_index, text, token_count, char_start, char_end); documents too short for a passage give none.
+
+    `keep`, a table with the id, adds its columns to each passage: a parent's denormalised copy.
+    """
     kind = df.schema[id_col].dataType.simpleString()
     item = pa.list_(pa.struct([("chunk_index", pa.int32()), ("text", pa.string()), ("token_count", pa.int32()), ("char_start", pa.int32()), ("char_end", pa.int32())]))
 
@@ -77,7 +80,8 @@ def chunk_documents(df: DataFrame, id_col: str, text_col: str, target: int = TAR
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, item)], names=[id_col, "chunks"])
 
     out = df.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, chunks array<struct<chunk_index:int,text:string,token_count:int,char_start:int,char_end:int>>")
-    return out.select(id_col, F.explode("chunks").alias("c")).select(id_col, "c.*")
+    rows = out.select(id_col, F.explode("chunks").alias("c")).select(id_col, "c.*")
+    return rows if keep is None else rows.join(keep, id_col, "left")
 
 
 # -- search text ---------------------------------------------------------------------------------
@@ -88,20 +92,21 @@ STOPS = {
     "french": "au aux avec ce dans de des du elle en et il la le les mais ou par pas pour que qui sur un une".split(),
     "simple": [],
 }
-SUFFIXES = {"english": r"(?:ations?|ings?|edly|ed|es|ly|s)$", "french": r"(?:ations?|ements?|ees?|es|s|e)$", "simple": None}
+SUFFIXES = {"english": "ations?|ings?|edly|ed|es|ly|s", "french": "ations?|ements?|ees?|es|s|e", "simple": None}
 CONFIG = {"en": "english", "fr": "french"}
 
 
 def analyze(text: Column, config: str) -> Column:
-    """Tokens of a text: folded words without stop words, common endings cut from words of five letters or more."""
-    words = F.regexp_extract_all(fold(text), F.lit(r"[a-z0-9]+"), F.lit(0))
-    stops = STOPS[config]
-    kept = F.filter(words, lambda w: ~w.isin(*stops)) if stops else words
-    return F.transform(kept, lambda w: stem(w, config))
+    """Tokens of a text: folded words without stop words, common endings cut from words of five letters or more.
 
-
-def stem(word: Column, config: str) -> Column:
-    return F.when(F.length(word) >= 5, F.regexp_replace(word, SUFFIXES[config], "")).otherwise(word) if SUFFIXES[config] else word
+    Stop words and endings go by expressions over the whole text, which compile; nothing runs word by word.
+    """
+    folded = fold(text)
+    if STOPS[config]:
+        folded = F.regexp_replace(folded, rf"(?<![a-z0-9])(?:{'|'.join(STOPS[config])})(?![a-z0-9])", " ")
+    if SUFFIXES[config]:
+        folded = F.regexp_replace(folded, rf"(?<![a-z0-9])(?=[a-z0-9]{{5}})([a-z0-9]*?)(?:{SUFFIXES[config]})(?![a-z0-9])", "$1")
+    return F.regexp_extract_all(folded, F.lit(r"[a-z0-9]+"), F.lit(0))
 
 
 def analyze_by_language(text: Column, language: Column) -> Column:

@@ -70,9 +70,40 @@ def name_keys(name: Column) -> Column:
     return F.array_distinct(F.array(*(F.array_join(F.slice(words, F.greatest(F.size(words) - n + 1, F.lit(1)), n), " ") for n in (1, 2, 3))))
 
 
-def first_name_relation(a: Column, b: Column, nicknames: DataFrame | None = None) -> Column:
-    """high for equal names, medium for an initial or prefix, low otherwise."""
-    return F.when(a == b, "high").when(F.startswith(a, b) | F.startswith(b, a), "medium").otherwise("low")
+def resolve_named(facts: DataFrame, people: DataFrame, terms: DataFrame, row_id: str, first: str, last: str, at: str, person: str = "person") -> DataFrame:
+    """(row_id, person, confidence) of speaker labels.
+
+    In order: first and last name, initial and last name, last name alone, last name among those in
+    office that day.  Each counts only if it names one person.  people: person, first, last; terms:
+    person, start, end (half-open, null end open).
+    """
+    f = facts.select(row_id, F.lower(F.col(first)).alias("_f"), F.lower(F.col(last)).alias("_l"), at)
+    p = people.select(person, F.lower(first).alias("_f"), F.lower(last).alias("_l"))
+    initial = lambda df: df.withColumn("_i", F.left("_f", F.lit(1)))
+    given = initial(f)
+    found = staged(given, [(p, ["_f", "_l"], LADDER["full"]), (initial(p), ["_i", "_l"], LADDER["surname"])], person)
+    alone = unique_candidate(p, ["_l"], person).withColumnRenamed(person, "_alone")
+    held = terms.join(p, person).select("_l", F.col(person), "start", "end")
+    by_day = dated(f, held, ["_l"], at, "start", "end", person, row_id, LADDER["dated"]).select(row_id, F.col(person).alias("_dated"))
+    out = found.join(alone, "_l", "left").join(by_day, row_id, "left")
+    bare = F.col("_f").isNull()
+    pick = F.coalesce(F.col(person), F.when(bare, F.col("_alone")), F.when(bare, F.col("_dated")))
+    score = F.coalesce("confidence", F.when(bare & F.col("_alone").isNotNull(), LADDER["surname"]), F.when(bare & F.col("_dated").isNotNull(), LADDER["dated"]))
+    return out.select(row_id, pick.alias(person), F.when(pick.isNotNull(), score).alias("confidence"))
+
+
+def merge_stubs(stubs: DataFrame, statements: DataFrame, members: DataFrame, stub: str, key: str, at: str, start: str, end: str, member: str) -> DataFrame:
+    """(stub, member): the one member of the stub's key whose term covers all the stub's statements."""
+    span = statements.groupBy(stub).agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
+    joined = stubs.select(stub, key).join(span, stub).join(members.select(key, member, start, end), key)
+    cover = joined.where((F.col(start) <= F.col("_first")) & (F.col(end).isNull() | (F.col("_last") < F.col(end))))
+    return unique_candidate(cover, [stub], member)
+
+
+def roster_by_keys(names: DataFrame, roster: DataFrame, row_id: str, key: str, at: str, name: str, start: str, end: str, member: str) -> DataFrame:
+    """(row_id, member): a division list's name against the last one, two or three words of those in office, both ends closed."""
+    keyed = roster.select(member, start, end, F.explode(name_keys(F.col(name))).alias(key))
+    return unique_candidate(interval_join(names.select(row_id, key, at), keyed, [key], at, start, end, "both", "inner"), [row_id], member)
 
 
 def pair_filter(pairs: DataFrame, a: str, b: str, allowed: DataFrame, id_col: str) -> DataFrame:

@@ -134,3 +134,66 @@ def approximate_knn(index: DataFrame, vectors: DataFrame, queries: DataFrame, id
 def search_measures() -> Mapping[str, Column]:
     """Common result columns."""
     return {"similarity": F.round("similarity", 6)}
+
+
+def embed_pending(df: DataFrame, id_col: str, text_col: str, encoder, batch: int = 64, dims: int | None = None, vector: str = "embedding") -> DataFrame:
+    """(id, embedding) from a pluggable encoder: a picklable callable of a list of texts, called in batches inside the tasks.
+
+    A failing batch is tried again three times, then its error ends the task, which Spark retries.
+    """
+    import pyarrow as pa
+
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            texts, out = b.column(1).to_pylist(), []
+            for at in range(0, len(texts), batch):
+                for attempt in range(4):
+                    try:
+                        out += [list(map(float, v)) for v in encoder(texts[at : at + batch])]
+                        break
+                    except OSError:
+                        if attempt == 3:
+                            raise
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float32()))], names=[id_col, vector])
+
+    return df.select(id_col, F.coalesce(text_col, F.lit("")).alias(text_col)).mapInArrow(run, f"{id_col} {kind}, {vector} array<float>")
+
+
+def rerank(df: DataFrame, query: str, id_col: str, text_col: str, scorer, k: int) -> DataFrame:
+    """The k best of a candidate list by a pluggable scorer of (query, list of texts); ties by id."""
+    import pyarrow as pa
+
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([float(x) for x in scorer(query, b.column(1).to_pylist())], pa.float64())], names=[id_col, "score"])
+
+    return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, score double").orderBy(F.desc("score"), id_col).limit(k)
+
+
+def encode_query(encoder, text: str, instruction: str = "", cache: dict | None = None, most: int = 500) -> list[float]:
+    """The vector of a query: queries carry the instruction, documents do not; a small cache drops its oldest entry."""
+    key = (instruction, text)
+    if cache is not None and key in cache:
+        return cache[key]
+    out = [float(x) for x in encoder([f"{instruction}{text}"])[0]]
+    if cache is not None:
+        if len(cache) >= most:
+            cache.pop(next(iter(cache)))
+        cache[key] = out
+    return out
+
+
+def best_offset(a, b, rate: float = 1.0) -> tuple[float, float]:
+    """(offset in seconds of b against a, peak over median) of two activity series, by FFT cross-correlation."""
+    import numpy as np
+
+    a, b = np.asarray(a, float) - np.mean(a), np.asarray(b, float) - np.mean(b)
+    n = 1 << (len(a) + len(b) - 1).bit_length()
+    c = np.fft.irfft(np.fft.rfft(a, n) * np.conj(np.fft.rfft(b, n)), n)
+    at = int(np.argmax(c))
+    score = float(c[at] / max(np.median(np.abs(c)), 1e-12))
+    return (at if at <= n // 2 else at - n) / rate, score
