@@ -65,7 +65,7 @@ def html_to_text(c: Column) -> Column:
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         t = F.replace(t, F.lit(name), F.lit(char))
     t = F.regexp_replace(t, r"[ \t\r\f]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r" ?\n ?", "\n"), r"\n+", "\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r" ?\n ?", "\n"), r"\n+", "\n"), r"^\s+|\s+$", "")
 
 
 def ordinal(n: Column) -> Column:

@@ -56,7 +56,7 @@ for _p, _r in (("(?is)<script\\b.*?</script>", ""), ("(?is)<style\\b.*?</style>"
     _HTML = f"regexp_replace({_HTML}, '{_p}', '{_r}', 'g')"
 for _p, _r in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
     _HTML = f"replace({_HTML}, '{_p}', '{_r}')"
-_HTML = f"trim(regexp_replace(regexp_replace(regexp_replace({_HTML}, '[ \\t\\r\\f]+', ' ', 'g'), ' ?\n ?', '\n', 'g'), '\n+', '\n', 'g'))"
+_HTML = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({_HTML}, '[ \\t\\r\\f]+', ' ', 'g'), ' ?\n ?', '\n', 'g'), '\n+', '\n', 'g'), '^\\s+|\\s+$', '', 'g')"
 
 
 @query("html_text", f"SELECT page_id, length(x)::INTEGER AS n, md5(x) AS digest FROM (SELECT page_id, {_HTML} AS x FROM pages)")
