@@ -143,11 +143,14 @@ def _emit_edges(width: int):
                 seen.add(tid)
                 words = text.split()
                 for r in rows:
+                    found: dict[bytes, list[int]] = {}
                     for s in range(r["lo"], r["lo"] + r["n"]):
-                        digests.append(xxh3_128_digest(b" ".join(words[s : s + width])))
-                        lows.append(s)
-                    tids += [tid] * r["n"]
-                    weights += [r["w"]] * r["n"]
+                        found.setdefault(xxh3_128_digest(b" ".join(words[s : s + width])), []).append(s)
+                    for digest, at in found.items():  # repeats inside the text are known: one row says so, however many there are
+                        digests.append(digest)
+                        lows.append(at[0])
+                        tids.append(tid)
+                        weights.append(min(2, r["w"] + len(at) - 1))
                 if len(lows) > 1 << 17:
                     yield finish(tids, lows, weights, digests)
                     tids, lows, weights, digests = [], [], [], []
