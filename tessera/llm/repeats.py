@@ -190,7 +190,8 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, text
     alike, branching = met.where("alike"), met.where("NOT alike")
     distinct = common.cut(branching.groupBy("anchor", "digest").agg(F.sum("m").alias("met"), F.min(F.struct("tid", "lo", "n")).alias("at")))
     again = branching.join(distinct.where("met > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi")
-    expand = distinct.groupBy("at.tid").agg(F.collect_list(F.struct("at.lo", "at.n", F.least("met", F.lit(2)).cast("int").alias("w"))).alias("rows"))
+    # Cut, so that both sides of the next join come straight from a shuffle: then Spark may split a text of many copies.
+    expand = common.cut(distinct.groupBy("at.tid").agg(F.collect_list(F.struct("at.lo", "at.n", F.least("met", F.lit(2)).cast("int").alias("w"))).alias("rows")))
     edges, staged = common.stage(texts.join(expand, "tid").select("tid", "text", "rows").mapInArrow(_emit_edges(width), "a long, b long, tid binary, lo int, w int"), "edges")
     twice = edges.groupBy("a", "b").agg(F.sum("w").alias("met")).where("met > 1").select("a", "b")
     single = common.cut(edges.where("w = 1").join(twice, ["a", "b"], "left_semi").select("tid", "lo", F.lit(1).alias("n")))
