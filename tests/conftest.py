@@ -16,6 +16,7 @@ def spark(tmp_path_factory):
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
+        .config("spark.sql.maxMetadataStringLength", "2000")
         .config("spark.checkpoint.dir", f"file://{base}/shared")
         .config("spark.sql.warehouse.dir", f"{base}/warehouse")
         .getOrCreate()
