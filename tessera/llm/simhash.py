@@ -134,10 +134,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = 3, seed:
 def keep_one(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component, the one of smallest id; all columns stay.
 
-    Rows without an id cannot be told apart by one and all stay; of rows that repeat an id one stays.
+    Rows without an id cannot be told apart by one and all stay; of rows that repeat an id the least in
+    order of its other columns stays.
     """
     kept = near_duplicates(docs, radius, id_col=id_col, text_col=text_col).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    others = [c for c in docs.columns if c != id_col]
+    one = docs.join(kept, id_col, "left_semi").groupBy(id_col).agg(F.min(F.struct(*others)).alias("_tz_row"))  # partitioned and sorted by the join
+    return one.select(*(F.col(id_col) if c == id_col else F.col(f"_tz_row.{c}") for c in docs.columns)).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

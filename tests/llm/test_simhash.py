@@ -94,4 +94,6 @@ def test_documents(spark):
     kept = sh.keep_one(df)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(want.values()))
+    again = sh.keep_one(spark.createDataFrame([(1, "b"), (1, "a"), (1, "b")], "doc_id long, text string")).collect()
+    assert [tuple(r) for r in again] == [(1, "a")]
     assert sh.near_duplicates(df.limit(0)).count() == 0
