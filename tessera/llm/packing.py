@@ -44,22 +44,22 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, end_id: int =
         task = TaskContext.get().partitionId()
         made = [0] * max_len.bit_length()
         for batch in batches:
-            flat, sizes = encoder(path).encode(batch.column(1), end_id)
-            rows, lengths = [], []
-            for doc, total in zip(batch.column(0).to_pylist(), sizes.tolist(), strict=True):
-                at = 0
-                for n in cut_points(total, max_len):
-                    k = n.bit_length() - 1
-                    rows.append((doc, at, n, k, k << 59 | task << 35 | made[k], 0, total))
-                    lengths.append(n)
-                    made[k] += 1
-                    at += n
-            ids, done = np.cumsum(lengths), 0
-            for at in range(0, len(rows), BATCH_ROWS):
-                part = rows[at : at + BATCH_ROWS]
-                to = int(ids[at + len(part) - 1])
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*part), ARROW.types)), binary_column(flat[done:to], np.array(lengths[at : at + len(part)]))], schema=ARROW)
-                done = to
+            for first, last, flat, sizes in encoder(path).slices(batch.column(1), end_id):
+                rows, lengths = [], []
+                for doc, total in zip(batch.column(0).slice(first, last - first).to_pylist(), sizes.tolist(), strict=True):
+                    at = 0
+                    for n in cut_points(total, max_len):
+                        k = n.bit_length() - 1
+                        rows.append((doc, at, n, k, k << 59 | task << 35 | made[k], 0, total))
+                        lengths.append(n)
+                        made[k] += 1
+                        at += n
+                ids, done = np.cumsum(lengths), 0
+                for at in range(0, len(rows), BATCH_ROWS):
+                    part = rows[at : at + BATCH_ROWS]
+                    to = int(ids[at + len(part) - 1])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*part), ARROW.types)), binary_column(flat[done:to], np.array(lengths[at : at + len(part)]))], schema=ARROW)
+                    done = to
 
     return common.text_rows(docs, id_col, text_col, "string").mapInArrow(run, SCHEMA)
 

@@ -174,7 +174,8 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), binary_column(*encoder(vocabulary, "<u2").encode(batch.column(1), end_id))], names=["doc_id", "ids"])
+            for at, to, ids, n in encoder(vocabulary, "<u2").slices(batch.column(1), end_id):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), binary_column(ids, n)], names=["doc_id", "ids"])
 
     return docs.mapInArrow(run, "doc_id long, ids binary")
 

@@ -9,6 +9,8 @@ gathered back in text order.  Tests compare with whole-text encoding.
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import os
 import struct
 
@@ -16,8 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_PARTS = 600_000  # per Python worker; about 90 MB
-SLICE_BYTES = 12 << 20
+CACHE_PARTS = 400_000  # per Python worker; about 60 MB
+SLICE_BYTES = 10 << 20
 TRAILING = ".,;:!?|#$%&*()[]{}\"/\\+-=_~^@`>"
 #: Latin letters whose lower case is one letter and which normalisation leaves alone.
 PLAIN = "^[A-Za-zÀ-ÖØ-öø-įı-ɏ]+$"
@@ -30,7 +32,7 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """texts -> (all ids, number of ids of each text); ids are little-endian integers of `dtype`."""
+    """texts -> ids as little-endian integers of `dtype`."""
 
     def __init__(self, path: str, dtype: str = "<u4", parts: int = CACHE_PARTS, slice_bytes: int = SLICE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -94,24 +96,38 @@ class Encoder:
         lists = pc.ascii_split_whitespace(low)
         offsets = lists.offsets.to_numpy()
         coded = lists.flatten().dictionary_encode()
-        flat, n = self.gather(*self.distinct(coded.dictionary), coded.indices.to_numpy())
+        del low, lists
+        words, index = coded.dictionary, coded.indices.to_numpy()
+        del coded
+        flat, n = self.gather(*self.distinct(words), index)
         ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
         return flat, np.diff(ends[offsets - offsets[0]])
 
-    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of a column of strings, in slices of bounded size, each text's followed by end_id if given."""
+    def slices(self, texts: pa.Array, end_id: int | None = None):
+        """Yield (from, to, ids of texts[from:to] in a row, number of ids of each), in slices of bounded size; end_id follows each text if given."""
         texts = pc.fill_null(texts, "")
         ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
-        flat, sizes, at = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)], 0
+        at = 0
         while at < len(texts):
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + self.slice_bytes, "right")))
-            ids, n = self.some(texts.slice(at, to - at))
+            with paused_gc():
+                ids, n = self.some(texts.slice(at, to - at))
             if end_id is not None:
                 ids, n = np.insert(ids, np.cumsum(n), self.dtype.type(end_id)), n + 1
-            flat.append(ids)
-            sizes.append(n)
+            yield at, to, ids, n
             at = to
-        return np.concatenate(flat), np.concatenate(sizes)
+
+
+@contextlib.contextmanager
+def paused_gc():
+    """No cyclic collection meanwhile: the library's many short-lived results hold no cycles."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
 
 
 def binary_column(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:

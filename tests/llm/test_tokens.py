@@ -29,7 +29,9 @@ def frame(spark):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("ab C'.,|<>\u0301éÉİſ\n\x1c\x85\xa0 9st")), max_size=60), max_size=5))
 def test_words_equal_whole_text(texts):
-    flat, sizes = SMALL.encode(pa.array([*texts, None, "<|endoftext|>A a.a"], pa.string()), 7)
+    parts = list(SMALL.slices(pa.array([*texts, None, "<|endoftext|>A a.a"], pa.string()), 7))
+    assert [a for a, *_ in parts[1:]] == [b for _, b, *_ in parts[:-1]]
+    flat, sizes = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
     want = [ids(t) + [7] for t in [*texts, "", "<|endoftext|>A a.a"]]
     assert flat.tolist() == [x for w in want for x in w] and sizes.tolist() == [len(w) for w in want]
 
