@@ -5,10 +5,11 @@ non-zero vectors v a table keys fingerprints by the positions whose vector has a
 At most r differing positions give r equations in r + 1 unknowns, so some v ignores all of them:
 every pair within the radius meets in some table, none is missed.
 
-Work is on distinct fingerprints.  Buckets of up to `bucket_limit` are compared in place and give a
-spanning star of each local component, never all pairs.  Fingerprints of larger buckets go another,
-equally exact way, linear in their number: two lie within 2 bits if and only if their balls of radius
-1 meet, so each is linked to the smallest fingerprint around every point of its ball.
+Work is on distinct fingerprints.  A fingerprint that shares a bucket may be near another one of it only
+in bits that bucket's mask ignores.  Flipping each of these once gives at most 65 points a fingerprint;
+two fingerprints lie within 2 bits if and only if they share a point, and each is linked to the
+smallest one at its point.  That is linear in the fingerprints whatever a bucket's size, no pairs are
+made, and no point is shared by more than 65 fingerprints.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from tessera.llm.graph import components
 
 SEED = 42
 RADIUS = 2
-BUCKET_LIMIT = 512
 BLOCK = 1 << 16  # shingles hashed at a time
 
 
@@ -67,52 +67,61 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def bucket_stars(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges (fingerprint, root) that span each component of a bucket; root is its smallest member."""
-    n = len(fps)
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
-    root = np.arange(n)
-    while True:  # smallest index among neighbours, until nothing changes
-        new = np.where(near, root[None, :], n).min(1)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    signed = fps.view(np.int64)
-    return [(int(signed[i]), int(signed[root[i]])) for i in range(n) if root[i] != i]
-
-
-def near_edges(distinct: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """(a, b): edges with the same components as all pairs of `fp` within the radius (2 or less)."""
-    if radius > 2:
-        raise ValueError("the way for large buckets covers radius 2 or less")
+def table_keys(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(t, key, fp): every fingerprint once in every table."""
     masks = [_signed(m) for m in covering_masks(radius)]
     tables = F.explode(F.array(*(F.struct(F.lit(t).cast("byte").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks))))
-    rows = distinct.select("fp", tables.alias("x")).select("x.t", "x.key", "fp")
-    counts = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = common.cut(rows.join(counts, ["t", "key"]))
+    return distinct.select("fp", tables.alias("x")).select("x.t", "x.key", "fp")
 
-    def compare(batches):
-        for batch in batches:
-            edges = [e for x in batch.column(0).to_pylist() for e in bucket_stars(np.sort(np.array(x, np.int64)).view(np.uint64), radius)]
-            a, b = zip(*edges) if edges else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    small = met.where(F.col("n") <= bucket_limit).groupBy("t", "key").agg(F.collect_list("fp").alias("fps"))
-    large = met.where(F.col("n") > bucket_limit).select("fp").distinct()
-    ball = F.explode(F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64))))
-    if radius == 2:
-        points = large.select("fp", ball.alias("point"))
-        heads = points.groupBy("point").agg(F.min("fp").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        linked = points.join(heads, "point").where("fp <> head").select(F.col("fp").alias("a"), F.col("head").alias("b"))
-    elif radius == 1:  # a neighbour is itself a point of the ball
-        linked = large.select("fp", ball.alias("b")).where("fp > b").join(large.select(F.col("fp").alias("b")), "b").select(F.col("fp").alias("a"), "b")
-    else:
-        linked = large.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    return small.select("fps").mapInArrow(compare, "a long, b long").unionByName(linked.distinct())
-
-
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = 3, seed: int = SEED, bucket_limit: int = BUCKET_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def loose_bits(keys: DataFrame, shared: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, loose): bits that some shared bucket of a fingerprint ignores.
+
+    `shared` (t, key) comes from storage, so that Spark may split a bucket that many fingerprints share.
+    """
+    ignored = F.element_at(F.lit([_signed(m ^ (1 << 64) - 1) for m in covering_masks(radius)]), F.col("t").cast("int") + 1)
+    return keys.join(shared, ["t", "key"]).groupBy("fp").agg(F.bit_or(ignored).alias("loose"))
+
+
+def near_edges(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): edges with the same components as all pairs of `fp` within the radius (1 or 2)."""
+    if radius not in (1, 2):
+        raise ValueError("the radius must be 1 or 2")
+    keys = table_keys(distinct, radius)
+    shared = common.cut(keys.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t", "key"))
+    met = common.cut(loose_bits(keys, shared, radius))
+    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("loose").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
+    flips = F.transform(bits, lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
+    points = met.select("fp", F.explode(F.concat(F.array("fp"), flips)).alias("point"))
+    if radius == 1:  # a neighbour is itself a point
+        return points.where("fp > point").join(met.select(F.col("fp").alias("point")), "point").select(F.col("fp").alias("a"), F.col("point").alias("b"))
+    heads = points.groupBy("point").agg(F.min("fp").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return points.join(heads, "point").where("fp <> head").select(F.col("fp").alias("a"), F.col("head").alias("b")).distinct()
+
+
+def to_group(labelled: DataFrame, named: DataFrame) -> DataFrame:
+    """Rows of a root with its name; `named` comes from storage, so that Spark may split a large component."""
+    return labelled.join(named, "root")
+
+
+def groups(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, root, component_id) of every distinct fingerprint of (doc_id, fp).
+
+    root is the smallest fingerprint (as a signed number) of the component, component_id its smallest doc_id.
+    """
+    distinct = common.cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    parts = common.cut(components(near_edges(distinct, radius)).withColumnRenamed("node", "fp"))
+    labelled = common.cut(distinct.join(parts, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
+    named = common.cut(labelled.groupBy("root").agg(F.min("least").alias("component_id")))
+    return common.cut(to_group(labelled, named).select("fp", "root", "component_id"))
+
+
+def to_documents(fps: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of (.., fp) with root and component_id; both sides are stored, so Spark may split a fingerprint of many copies."""
+    return fps.join(found, "fp")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = 3, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links of `radius` bits or fewer.
 
     Texts without words (null, empty, blank) share fingerprint 0.  Exact copies share a fingerprint and
@@ -120,27 +129,37 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = 3, seed:
     Repeated rows come back each; an empty table gives no rows; other columns are ignored.
     """
     fps = common.cut(fingerprints(docs, width, seed, id_col, text_col))
-    distinct = common.cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    parts = common.cut(components(near_edges(distinct, radius, bucket_limit)))
-    labelled = distinct.join(parts.withColumnRenamed("node", "fp"), "fp")
-    named = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = labelled.select("fp", "root").join(named, "root").select("fp", "component_id")
-    lookup = distinct.join(linked.withColumn("is_linked", F.lit(True)), "fp", "left")
-    lookup = lookup.select("fp", F.when(F.col("is_linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
-    # Cut, so that both sides of this join come straight from a shuffle: then Spark may split a fingerprint that many copies share.
-    return fps.join(common.cut(lookup), "fp").select("doc_id", "fp", "component_id")
+    return to_documents(fps, groups(fps, radius)).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, the one of smallest id; all columns stay.
+    """docs with one row of each component: that of the smallest id, then of the smallest SHA-256 of its text.
 
-    Rows without an id cannot be told apart by one and all stay; of rows that repeat an id the least in
-    order of its other columns stays.
+    Columns of any type and name stay as they are.  Unlike texts under one id are documents of their own.
+    Of rows that repeat both id and text any one stays.  Rows without an id cannot be told apart by
+    one and all stay.  An empty table gives no rows.  Whole texts are shuffled once at most.
     """
-    kept = near_duplicates(docs, radius, id_col=id_col, text_col=text_col).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    others = [c for c in docs.columns if c != id_col]
-    one = docs.join(kept, id_col, "left_semi").groupBy(id_col).agg(F.min(F.struct(*others)).alias("_tz_row"))  # partitioned and sorted by the join
-    return one.select(*(F.col(id_col) if c == id_col else F.col(f"_tz_row.{c}") for c in docs.columns)).unionByName(docs.where(F.col(id_col).isNull()))
+    key, text = common.quoted(id_col), common.quoted(text_col)
+    digest = F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+    wide = docs.withColumns({"_tz_id": key.cast("long"), "_tz_digest": digest})
+
+    def run(batches):
+        for batch in batches:
+            fp = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "digest"])
+
+    rows = wide.select("_tz_id", F.coalesce(text, F.lit("")).cast("binary"), "_tz_digest").where("_tz_id IS NOT NULL")
+    rows = common.cut(rows.mapInArrow(run, "doc_id long, fp long, digest string"))
+    each = to_documents(rows, groups(rows, radius)).groupBy("root", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    first = each.groupBy("root").agg(F.min(F.struct("doc_id", "digest", "n")).alias("f"))
+    first, _ = common.stage(first.select(F.col("f.doc_id").alias("_tz_id"), F.col("f.digest").alias("_tz_digest"), "f.n"), "first-of-group")
+    own = common.own_columns(docs)
+    only = lambda rule: wide.join(first.where(rule).select("_tz_id", "_tz_digest"), ["_tz_id", "_tz_digest"], "left_semi")
+    out = only("n = 1").select(*own).unionByName(docs.where(key.isNull()))
+    if first.where("n > 1").isEmpty():
+        return out
+    again, _ = common.stage(only("n > 1"), "repeated-rows")  # stored, so that copies are dropped before the shuffle
+    return out.unionByName(again.dropDuplicates(["_tz_id", "_tz_digest"]).select(*own))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,10 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from tessera.llm import common, graph
 from tessera.llm import simhash as sh
 from tessera.llm.graph import components
 
@@ -50,8 +52,8 @@ def test_masks_cover():
             assert any(not any(m >> b & 1 for b in bits) for m in masks)
 
 
-@pytest.mark.parametrize("limit", [512, 2])
-def test_links(spark, limit):
+@pytest.mark.parametrize("radius", [1, 2])
+def test_links(spark, radius):
     rng = random.Random(3)
     fps = {0}
     for _ in range(12):
@@ -64,8 +66,8 @@ def test_links(spark, limit):
             fps.add(x)
     fps = sorted(np.array(sorted(fps), np.uint64).view(np.int64).tolist())
     u = lambda x: x & (1 << 64) - 1
-    want = slow_components(fps, lambda a, b: (u(a) ^ u(b)).bit_count() <= 2)
-    got = {r.node: r.root for r in components(sh.near_edges(spark.createDataFrame([(x,) for x in fps], "fp long"), 2, limit)).collect()}
+    want = slow_components(fps, lambda a, b: (u(a) ^ u(b)).bit_count() <= radius)
+    got = {r.node: r.root for r in components(sh.near_edges(spark.createDataFrame([(x,) for x in fps], "fp long"), radius)).collect()}
     assert {n: got.get(n, n) for n in fps} == want
     assert len(set(want.values())) < len(fps)
 
@@ -94,6 +96,48 @@ def test_documents(spark):
     kept = sh.keep_one(df)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(want.values()))
-    again = sh.keep_one(spark.createDataFrame([(1, "b"), (1, "a"), (1, "b")], "doc_id long, text string")).collect()
-    assert [tuple(r) for r in again] == [(1, "a")]
+    assert kept.count() == len(set(want.values())) + 2  # rows without an id stay
     assert sh.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_keep_one_columns_and_repeated_ids(spark):
+    rows = [(1, "b", {"k": 1}, "p"), (1, "a", {"k": 2}, "q"), (1, "b", {"k": 1}, "p"), (2, "a", {}, "r"), (3, None, None, None), (4, " ", None, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tags map<string,int>, `a.b` string")
+    got = sh.keep_one(df)
+    assert got.schema == df.schema
+    assert sorted((r.doc_id, r.text or "", r["a.b"]) for r in got.collect()) == [(1, "a", "q"), (1, "b", "p"), (3, "", None)]
+
+
+@pytest.fixture
+def skewed(spark):
+    """Thresholds at which a small hub counts as skewed, and no broadcasts."""
+    new = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    }
+    old = {k: spark.conf.get(k, None) for k in new}
+    for k, v in new.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def is_split(df):
+    df.write.format("noop").mode("overwrite").save()  # its own plan is another object
+    rows = df.collect()
+    return rows and "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_keys_are_split(spark, skewed):
+    hub = spark.range(200000, numPartitions=8).select((F.col("id") + 1).alias("v"), F.when(F.col("id") % 50 == 0, F.col("id")).otherwise(0).alias("u")).where("v > u")
+    least = common.stage(graph.neighbour_minimum(hub), "least")[0]
+    assert is_split(graph.to_minimum(hub, least))
+    keys = spark.range(200000, numPartitions=8).select(F.lit(0).cast("byte").alias("t"), F.when(F.col("id") % 50 == 0, F.col("id")).otherwise(0).alias("key"), F.col("id").alias("fp"))
+    shared = common.cut(keys.groupBy("t", "key").count().where("count > 1").select("t", "key"))
+    assert is_split(keys.join(shared, ["t", "key"])) and "SortMergeJoin" in sh.loose_bits(keys, shared)._jdf.queryExecution().toString()
+    assert is_split(sh.loose_bits(keys, shared))
+    labelled = keys.select("fp", F.col("key").alias("root"))
+    assert is_split(sh.to_group(labelled, common.cut(labelled.groupBy("root").agg(F.min("fp").alias("component_id")))))
+    fps = keys.select(F.col("fp").alias("doc_id"), F.col("key").alias("fp"))
+    assert is_split(sh.to_documents(fps, common.cut(fps.select("fp", F.col("fp").alias("root")).distinct())))
