@@ -13,10 +13,12 @@ import binascii
 import json
 import re
 import zlib
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import common
 
@@ -28,7 +30,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 CHECKED = re.compile(r"(?:gh[pousr]|npm)_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
+JWT_RUN = re.compile(r"[A-Za-z0-9_-]*")
 PRIVATE = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
+PRIVATE_END = re.compile(r"-----END ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
 SERVICE = re.compile(r"(?:sk_live_[0-9A-Za-z]{16,}|rk_live_[0-9A-Za-z]{16,}|xox[abprs]-[0-9A-Za-z-]{10,}|glpat-[0-9A-Za-z_-]{20,}|AIza[0-9A-Za-z_-]{35})(?![0-9A-Za-z])")
 URL_PASSWORD = re.compile(r"://([^\s:/@?#]{1,64}):([^\s:/@?#]{3,128})@")
 
@@ -38,6 +42,7 @@ KEYWORDS = {
     **dict.fromkeys(("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_"), "checked_token"),
     "eyj": "jwt",
     "-----begin ": "private_key",
+    "-----end ": "private_end",
     **dict.fromkeys(("sk_live_", "rk_live_", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-", "glpat-", "aiza"), "service_key"),
     "://": "url_password",
 }
@@ -75,11 +80,6 @@ def _json_part(part: str) -> bool:
         return False
 
 
-def _private_end(text: str, m: re.Match) -> int:
-    end = text.find(f"-----END {m[1]}-----", m.end())
-    return end + len(m[1]) + 14 if end >= 0 else -1
-
-
 def lower_ascii(text: str) -> str:
     """A-Z lower-cased, nothing else, so positions stay."""
     return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
@@ -102,17 +102,36 @@ def find_secrets(text: str) -> list[tuple[int, int, str]]:
     hits: dict[str, list[int]] = {}
     for end, (n, kind) in automaton().iter(lower_ascii(text)):
         hits.setdefault(kind, []).append(end - n + 1)
+    for starts in hits.values():
+        starts.sort()
     spans = []
-
-    def walk(kind: str, pattern: re.Pattern, good) -> None:
-        """Leftmost non-overlapping matches of the kind; those that fail `good` are dropped but do take their place."""
+    ends: dict[str, list[int]] = {}  # label -> ends of its closing markers, ascending
+    for at in hits.get("private_end", ()):
+        if m := PRIVATE_END.match(text, at):
+            ends.setdefault(m[1], []).append(m.end())
+
+    def private_end(m: re.Match) -> int:
+        """The end of the first closing marker that begins behind the opening one."""
+        there = ends.get(m[1], ())
+        i = bisect_left(there, m.end() + len(m[1]) + 14)
+        return there[i] if i < len(there) else 0
+
+    def walk(kind: str, pattern: re.Pattern, good, run: re.Pattern | None = None) -> None:
+        """Leftmost non-overlapping matches of the kind; those that fail `good` are dropped but do take their place.
+
+        run: what a match begins with; where one hit in such a run fails, all later ones in it do.
+        """
         free = 0
-        for at in sorted(hits.get(kind, ())):
-            if at >= free and (m := pattern.match(text, at)):
+        for at in hits.get(kind, ()):
+            if at < free:
+                continue
+            if m := pattern.match(text, at):
                 free = m.end()
                 if end := good(m):
                     spans.append((at, end, kind))
                     free = max(free, end)
+            elif run:
+                free = run.match(text, at).end()
 
     walk("assign", ASSIGN, lambda m: len(m[2]) >= 8 and m.end())
     walk("access", ACCESS, lambda m: len(m[0]) >= 16 and m.end())
@@ -120,8 +139,8 @@ def find_secrets(text: str) -> list[tuple[int, int, str]]:
         if (end := HEX.match(text, at).end()) - at >= HEX_RUN:
             spans.append((at, end, "hex"))
     walk("checked_token", CHECKED, lambda m: base62_crc(m[1]) == m[2] and m.end())
-    walk("jwt", JWT, lambda m: _json_part(m[1]) and _json_part(m[2]) and m.end())
-    walk("private_key", PRIVATE, lambda m: max(0, _private_end(text, m)))
+    walk("jwt", JWT, lambda m: _json_part(m[1]) and _json_part(m[2]) and m.end(), JWT_RUN)
+    walk("private_key", PRIVATE, private_end)
     walk("service_key", SERVICE, lambda m: m.end())
     walk("url_password", URL_PASSWORD, lambda m: m.end() - 1)
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
@@ -145,7 +164,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return common.text_rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:int,end:int>>")
 
 
-def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
+def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
     """The text with each group of overlapping spans replaced by its first kind in brackets."""
     out, at = [], 0
     for start, end, kind in spans:
@@ -155,6 +174,22 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
+def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with every secret of a text replaced by its kind in brackets; one narrow pass, other columns stay.
+
+    Null texts stay null; repeated rows are treated alike; an empty table gives no rows.
+    """
+    place = docs.columns.index(text_col)
+    schema = T.StructType([T.StructField(f.name, T.StringType() if i == place else f.dataType, True) for i, f in enumerate(docs.schema)])
+
+    def run(batches):
+        for batch in batches:
+            texts = [None if t is None else redacted(t, find_secrets(t)) for t in batch.column(place).to_pylist()]
+            yield batch.set_column(place, batch.schema.field(place).with_type(pa.string()), pa.array(texts, pa.string()))
+
+    return docs.withColumn(text_col, common.quoted(text_col).cast("string")).mapInArrow(run, schema)
+
+
 def spans_text(spans: F.Column | str) -> F.Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 

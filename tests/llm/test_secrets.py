@@ -4,6 +4,7 @@ import base64
 import hashlib
 import json
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -51,7 +52,35 @@ def test_validated_kinds():
     text = f"{good} {bad} {jwt()} eyJhbGci.eyJub3Q.x {key} -----BEGIN PRIVATE KEY----- postgres://bob:hunter22@db/x"
     kinds = [(k, text[s:e]) for s, e, k in sc.find_secrets(text)]
     assert kinds == [("checked_token", good), ("jwt", jwt()), ("private_key", key), ("url_password", "://bob:hunter22")]
-    assert sc.redact("a token = abcdefgh1 b", sc.find_secrets("a token = abcdefgh1 b")) == "a [ASSIGN] b"
+    assert sc.redacted("a token = abcdefgh1 b", sc.find_secrets("a token = abcdefgh1 b")) == "a [ASSIGN] b"
+
+
+def test_linear_time():
+    units = ["eyJ", "-----BEGIN PRIVATE KEY-----", "-----BEGIN A1 PRIVATE KEY-----x", "token = ", "AKIA", "password", "ab12" * 7 + "g", "xoxb-", "://a:", "-----END PRIVATE KEY-----"]
+    units += ["".join(f"-----BEGIN K{i} PRIVATE KEY-----" for i in range(500))]
+    for unit in units:
+        took = []
+        for n in (200_000, 800_000):
+            text = unit * (n // len(unit))
+            began = time.perf_counter()
+            sc.find_secrets(text)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 9 * took[0] + 0.3, (unit[:40], took)  # four times the text
+
+
+def test_nested_keys():
+    key = "-----BEGIN PRIVATE KEY-----"
+    end = "-----END PRIVATE KEY-----"
+    text = f"{end} {key} a {key} b {end} {key} c"
+    at = text.index(key)
+    assert sc.find_secrets(text) == [(at, text.index(end, at) + len(end), "private_key")]
+
+
+def test_redact(spark):
+    rows = [(1, "a token = abcdefgh1 b", {"k": 1}), (2, None, None), (3, "", {})]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tags map<string,int>")
+    out = sc.redact(df)
+    assert out.columns == df.columns and [r.text for r in out.orderBy("doc_id").collect()] == ["a [ASSIGN] b", None, ""]
 
 
 def test_operator(spark):
