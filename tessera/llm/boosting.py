@@ -54,28 +54,33 @@ class Boosted:
         return 1 / (1 + np.exp(-(self.slope * self.margin(x) + self.shift)))
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        """Trees from two thirds of the rows, calibration from the others."""
-        own = np.arange(len(x)) % 3 != 2
-        a, b = x[own], y[own]
-        rate = min(max(b.mean(), 0.01), 0.99)
+        """Trees from all rows; probabilities are uncalibrated until calibrate()."""
+        rate = min(max(y.mean(), 0.01), 0.99)
         self.bias, self.trees = float(np.log(rate / (1 - rate))), []
         for _ in range(self.rounds):
-            p = 1 / (1 + np.exp(-self.margin(a)))
-            self.trees.append(self._grow(a, p - b, p * (1 - p), self.depth))
-        m, t = self.margin(x[~own]), y[~own]
-        w = np.array([1.0, 0.0])
-        for _ in range(25):  # Newton steps of the two Platt parameters, slightly damped
-            p = 1 / (1 + np.exp(-(w[0] * m + w[1])))
-            d = np.stack([m, np.ones_like(m)])
-            w -= np.linalg.solve((d * (p * (1 - p))) @ d.T + 1e-2 * np.eye(2), d @ (p - t) + 1e-2 * (w - [1, 0]))
-        self.slope, self.shift = map(float, w)
+            p = 1 / (1 + np.exp(-self.margin(x)))
+            self.trees.append(self._grow(x, p - y, p * (1 - p), self.depth))
         return self
 
+    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Platt's slope and shift from rows the trees were not fitted on."""
+        m, w = self.margin(x), np.array([1.0, 0.0])
+        for _ in range(60):  # Newton steps of bounded length, held near (1, 0) by a weak prior
+            p = 1 / (1 + np.exp(-np.clip(w[0] * m + w[1], -30, 30)))
+            d = np.stack([m, np.ones_like(m)])
+            step = np.linalg.solve((d * (p * (1 - p))) @ d.T + np.eye(2), d @ (p - y) + (w - [1, 0]))
+            w = w - step / max(1.0, 4 * float(np.abs(step).max()))
+        self.slope, self.shift = max(float(w[0]), 0.05), float(w[1])
+
     def threshold(self, x: np.ndarray, y: np.ndarray, precision: float) -> float:
-        """The lowest probability from which on the held-back rows reach the precision; above 1 if none does."""
-        p, t = self.predict(x)[2::3], y[2::3]
-        good = [c for c in np.unique(p) if t[p >= c].mean() >= precision]
-        return float(min(good) - 1e-9) if good else 1.1
+        """The probability from which on these rows reach the precision; above 1 if none does.
+
+        It lies half way between the lowest such probability that occurs and the next lower one.
+        """
+        p = self.predict(x)
+        seen = np.unique(p)
+        good = [i for i, c in enumerate(seen) if y[p >= c].mean() >= precision]
+        return float((seen[good[0]] + (seen[good[0] - 1] if good[0] else 0.0)) / 2) if good else 1.1
 
     def expression(self, row: Column) -> Column:
         """The calibrated probability as a Spark expression over a struct with the features."""
