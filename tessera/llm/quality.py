@@ -3,13 +3,16 @@
 Each line is labelled good or bad from its own features and its neighbours'; forward-backward gives
 each line's marginal probability of good, and their length-weighted mean, calibrated, is the document's
 score.  The field is fitted on the driver from line features of a bounded sample of labelled
-documents, each line bearing its document's label; scoring is one narrow pass over all texts.
+documents, each line bearing its document's label, and of joins of a good and a bad one, in which the
+label changes between two lines; scoring is one narrow pass over all texts.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +24,8 @@ from pyspark.sql import types as T
 from tessera.llm import common
 
 TRAIN_DOCS = 4000  # labelled documents the field is fitted on, picked by hash of their id
+TRAIN_LINES = 200  # lines of one of them: a longer one gives this many in a row, from a place picked by its hash
+GROUP_LINES = 50_000  # lines, padding included, of a group fitted at once
 FOLDS = 5
 THRESHOLD = 0.3
 
@@ -52,7 +57,7 @@ def line_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
         rows.append((
             1.0, math.log1p(len(line)) / 6, (upper + lower) / n, digits / n, symbols / n, upper / ((upper + lower) or 1), line.count(b"|") / k,
             1 - len(set(words)) / k if words else 0.0, echoes / k, min(n / k, 30) / 10, len(_SHORT.findall(line)) / k, len(_SYMBOL_END.findall(line)) / k,
-            float(seen[line] > 1 and len(words) > 2), float(line[-1:] in b".!?"), math.log1p(len(words)) / 5,
+            float(seen[line] > 1 and len(words) > 2), float(line.endswith((b".", b"!", b"?"))), math.log1p(len(words)) / 5,
         ))
     return np.array(rows, np.float64), np.array([len(line) + 1 for line in lines], np.float64)
 
@@ -99,32 +104,51 @@ class Field:
         return 1 / (1 + math.exp(-(self.slope * math.log(q / (1 - q)) + self.shift)))
 
 
+def joined(documents: list) -> list:
+    """(features, labels of lines) of each document, and of halves of neighbours with unlike labels put together."""
+    out = [(x, np.full(len(x), y)) for x, _, y in documents]
+    for (x, _, y), (z, _, v) in itertools.pairwise(documents):
+        if y != v:
+            a, b = x[: -(-len(x) // 2)], z[len(z) // 2 :]
+            out.append((np.vstack([a, b]), np.concatenate([np.full(len(a), y), np.full(len(b), v)])))
+    return out
+
+
+def padded(chains: list, most: int = GROUP_LINES):
+    """Groups (features with neighbours, which cells are lines, labels) of chains of like length, of `most` cells at most if one fits."""
+    chains, at = sorted(chains, key=lambda c: len(c[0])), 0
+    while at < len(chains):
+        to = at + 1
+        while to < len(chains) and (to + 1 - at) * len(chains[to][0]) <= most:
+            to += 1
+        part, n = chains[at:to], len(chains[to - 1][0])
+        x, on, y = np.zeros((len(part), n, 3 * len(FEATURES))), np.zeros((len(part), n), bool), np.zeros((len(part), n), np.int64)
+        for i, (f, label) in enumerate(part):
+            x[i, : len(f)], on[i, : len(f)], y[i, : len(f)] = with_neighbours(f), True, label
+        yield x, on, y
+        at = to
+
+
 def fit(documents: list[tuple[np.ndarray, np.ndarray, int]], steps: int = 150, rate: float = 0.15, ridge: float = 0.02) -> Field:
     """Fit the field to (features, weights, label) of documents by Adam on the mean log likelihood of a line.
 
-    Documents are padded to a common length in groups, so forward-backward runs over all at once.
+    Documents of like length are padded in groups of a bounded number of lines, so forward-backward runs over
+    a group at once and memory is bounded by the documents' lines.
     """
     if not documents or len({y for *_, y in documents}) < 2:  # nothing to tell apart: every document gets the prior
         prior = (sum(y for *_, y in documents) + 1) / (len(documents) + 2)
         return Field(np.zeros(3 * len(FEATURES)), np.zeros((2, 2)), 0.0, math.log(prior / (1 - prior)))
-    documents = sorted(documents, key=lambda d: len(d[0]))
     wide = 3 * len(FEATURES)
     w, tr = np.zeros(wide), np.zeros((2, 2))
-    groups = []
-    for at in range(0, len(documents), 250):
-        part = documents[at : at + 250]
-        n = max(len(x) for x, *_ in part)
-        x, on = np.zeros((len(part), n, wide)), np.zeros((len(part), n), bool)
-        for i, (f, _, _) in enumerate(part):
-            x[i, : len(f)], on[i, : len(f)] = with_neighbours(f), True
-        groups.append((x, on, np.array([y for *_, y in part])))
+    groups = list(padded(joined(documents)))
+    chains = sum(len(x) for x, *_ in groups)
     m = [np.zeros(wide), np.zeros((2, 2))]
     v = [np.zeros(wide), np.zeros((2, 2))]
     for step in range(1, steps + 1):
         gw, gt = -ridge * w, -ridge * tr
         for x, on, y in groups:
             a, b = _gradient(x, on, y, w, tr)
-            gw, gt = gw + a / len(documents), gt + b / len(documents)
+            gw, gt = gw + a / chains, gt + b / chains
         for p, g, i in ((w, gw, 0), (tr, gt, 1)):
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.99 * v[i] + 0.01 * g * g
@@ -142,7 +166,7 @@ def fit(documents: list[tuple[np.ndarray, np.ndarray, int]], steps: int = 150, r
 
 
 def _gradient(x, on, y, w, tr):
-    """Gradient of the sum over documents of the log likelihood divided by the document's lines."""
+    """Gradient of the sum over chains of the log likelihood of their labels divided by the chain's lines."""
     e = x @ w
     emit = np.stack([np.zeros_like(e), e], -1)
     n = e.shape[1]
@@ -158,13 +182,13 @@ def _gradient(x, on, y, w, tr):
     z = np.logaddexp(fore[:, -1, 0], fore[:, -1, 1])
     p = np.exp(fore[..., 1] + back[..., 1] - z[:, None])
     size = on.sum(1)
-    gw = np.einsum("dtf,dt->f", x, np.where(on, y[:, None] - p, 0) / size[:, None])
+    gw = np.einsum("dtf,dt->f", x, np.where(on, y - p, 0) / size[:, None])
     gt = np.zeros((2, 2))
     pair = on[:, 1:]
     for i in (0, 1):
         for j in (0, 1):
             expect = np.exp(fore[:, :-1, i] + tr[i, j] + emit[:, 1:, j] + back[:, 1:, j] - z[:, None])
-            seen = ((y == i) & (i == j))[:, None] * 1.0
+            seen = (y[:, :-1] == i) & (y[:, 1:] == j)
             gt[i, j] = (np.where(pair, seen - expect, 0) / size[:, None]).sum()
     return gw, gt
 
@@ -173,22 +197,30 @@ def held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """Fit on at most train_docs labelled documents outside the held-out fold.
+def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> Field:
+    """Fit on at most train_docs labelled documents outside the held-out fold, with at most train_lines lines of each.
 
-    Labels without an id or a quality are left out; ids with several labels or rows count with each.
+    Only labelled rows are bounded: features of a line are counted over its whole text.  Labels without an id
+    or a quality are left out; an id labelled more than once is good if most of its labels are; of rows that
+    repeat an id the least text counts.  The driver holds train_docs x train_lines lines of features at most.
     """
     rows = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL")
-    rows = rows.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(train_docs)
+    rows = rows.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.avg((F.col("y") > 0).cast("int")) >= 0.5).cast("int").alias("y"))
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
     texts = common.text_rows(docs, id_col, text_col).join(F.broadcast(rows), "doc_id")  # at most train_docs small rows
+    texts = texts.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def run(batches):
         for batch in batches:
-            found = [line_features(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x.tobytes() for x, _ in found], pa.binary()), pa.array([k.tobytes() for _, k in found], pa.binary())], names=["y", "x", "k"])
+            for doc, y, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x, k = line_features(text)
+                at = zlib.crc32(str(doc).encode()) % max(1, len(x) - train_lines + 1)
+                x, k = x[at : at + train_lines], k[at : at + train_lines]
+                yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([y], pa.int32()), pa.array([x.tobytes()], pa.binary()), pa.array([k.tobytes()], pa.binary())], names=["doc_id", "y", "x", "k"])
 
-    got = texts.select("text", "y", F.xxhash64("text").alias("h")).orderBy("h", "y").select("text", "y").mapInArrow(run, "y int, x binary, k binary").collect()
-    return fit([(np.frombuffer(r["x"]).reshape(-1, len(FEATURES)), np.frombuffer(r["k"]), int(r["y"] > 0)) for r in got])
+    got = texts.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, x binary, k binary").collect()
+    got.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
+    return fit([(np.frombuffer(r["x"]).reshape(-1, len(FEATURES)), np.frombuffer(r["k"]), r["y"]) for r in got])
 
 
 def _score_column(docs: DataFrame, field: Field, text_col: str) -> DataFrame:
@@ -201,7 +233,7 @@ def _score_column(docs: DataFrame, field: Field, text_col: str) -> DataFrame:
             score = [field.score(t.encode() if isinstance(t, str) else t or b"") for t in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, "_tz_score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(*common.own_columns(docs)).mapInArrow(run, schema)
 
 
 def score_documents(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,7 +247,7 @@ def score_documents(docs: DataFrame, field: Field, id_col: str = "doc_id", text_
 
 def keep_good(docs: DataFrame, field: Field, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """docs that score the threshold or more, with their own columns."""
-    return _score_column(docs, field, text_col).where(F.col("_tz_score") >= threshold).select(*docs.columns)
+    return _score_column(docs, field, text_col).where(F.col("_tz_score") >= threshold).select(*common.own_columns(docs))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

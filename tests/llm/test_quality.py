@@ -29,7 +29,7 @@ def test_gradient():
     x, on = np.zeros((3, 4, wide)), np.zeros((3, 4), bool)
     for i, n in enumerate(lens):
         x[i, :n], on[i, :n] = rng.normal(size=(n, wide)), True
-    y = np.array([1, 0, 1])
+    y = np.array([[1, 0, 0, 0], [0, 1, 1, 0], [1, 1, 0, 1]])
     w, tr = rng.normal(size=wide), rng.normal(size=(2, 2))
 
     def loss(w, tr):
@@ -38,7 +38,7 @@ def test_gradient():
             e = x[i, :n] @ w
             score = lambda path: sum(e[t] for t in range(n) if path[t]) + sum(tr[a, b] for a, b in itertools.pairwise(path))
             z = math.log(sum(math.exp(score(p)) for p in itertools.product((0, 1), repeat=n)))
-            total += (score([y[i]] * n) - z) / n
+            total += (score(y[i, :n].tolist()) - z) / n
         return total
 
     gw, gt = ql._gradient(x, on, y, w, tr)
@@ -52,6 +52,36 @@ def test_gradient():
         assert math.isclose(gt[i, j], (loss(w, tr + d) - loss(w, tr - d)) / 2e-6, rel_tol=1e-4, abs_tol=1e-6)
 
 
+def test_groups_are_bounded():
+    rng = np.random.default_rng(3)
+    chains = [(rng.normal(size=(n, len(ql.FEATURES))), np.ones(n, int)) for n in [1] * 300 + [5] * 40 + [200] * 3 + [2000]]
+    groups = list(ql.padded(chains, 1000))
+    assert sum(len(x) for x, *_ in groups) == len(chains) and sum(int(on.sum()) for _, on, _ in groups) == sum(len(c[0]) for c in chains)
+    assert all(x.shape[0] * x.shape[1] <= 1000 or len(x) == 1 for x, *_ in groups)
+
+
+def test_blank_lines_end_no_sentence():
+    x, _ = ql.line_features(b"One.\n\nTwo!\nthree")
+    assert x[:, ql.FEATURES.index("sentence_end")].tolist() == [1, 0, 1, 0]
+
+
+def test_transitions_are_learnt():
+    docs = [(np.tile(np.eye(len(ql.FEATURES))[1 + i % 2], (6, 1)), np.ones(6), i % 2) for i in range(40)]
+    assert len(ql.joined(docs)) == 79
+    (bb, bg), (gb, gg) = ql.fit(docs).transitions
+    assert bb + gg > bg + gb
+
+
+def test_long_labelled_text(spark):
+    """A labelled text of a million lines gives as many lines to the driver as any other."""
+    rows = [(i, f"Sentence {i} is here.\nAnother one follows.") for i in range(40)] + [(100 + i, "###|$$ 123 |||\n@@ ##") for i in range(40)]
+    rows += [(200, "A plain line of words.\n" * 1_000_000), (200, "A plain line of words.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(not 100 <= i < 200)) for i, _ in rows] + [(1, 1), (1, 0), (2, None)], "doc_id long, quality int")
+    field = ql.train(docs, labels)
+    assert field.score(b"More words are here.\nThat is all.") > 0.7 > 0.3 > field.score(b"##$$ 12 ||\n@@ ## %%")
+
+
 def test_held_out(spark):
     sf = "/root/testdata/sf0.01"
     rows = ql.op7_quality(spark, sf).collect()
