@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tessera.llm import token_files as tf
-from tessera.llm.packing import cut_points, pack_documents
+from tessera.llm.packing import cut_points, pack_documents, read_buckets, write_buckets
 from tessera.llm.tokens import Encoder, default_vocabulary
 
 LIB = Tokenizer.from_file(default_vocabulary())
@@ -55,6 +55,21 @@ def test_pack(spark):
         pack_documents(frame(spark), max_len=100)
 
 
+def test_buckets(spark, tmp_path):
+    pieces = pack_documents(frame(spark), max_len=1 << 40)
+    write_buckets(pieces, f"file://{tmp_path}/packed")
+    back = read_buckets(spark, f"file://{tmp_path}/packed")
+    key = lambda r: tuple(str(r[c]) for c in pieces.columns)
+    assert sorted(map(key, back.collect())) == sorted(map(key, pieces.collect()))
+    assert {r.length for r in back.collect()} >= {1, 1 << 13}
+    one = read_buckets(spark, f"file://{tmp_path}/packed", 1 << 13)
+    assert {r.length for r in one.collect()} == {1 << 13} and "PartitionFilters: [isnotnull(bucket" in one._jdf.queryExecution().toString()
+    write_buckets(pieces.limit(0), f"file://{tmp_path}/none")
+    assert read_buckets(spark, f"file://{tmp_path}/none").count() == 0
+    with pytest.raises(ValueError):
+        pack_documents(frame(spark), max_len=1 << 62)
+
+
 def test_cut_points():
     assert cut_points(10000, 4096) == [4096, 4096, 1024, 512, 256, 16]
     assert cut_points(1, 4096) == [1] and cut_points(4096, 4096) == [4096]
