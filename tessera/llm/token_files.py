@@ -1,10 +1,15 @@
 """Token-id files: canonical length-limited Huffman codes in independent blocks.
 
 Pass 1 turns texts into ids and stages them as 16-bit integers; pass 2 counts ids over the whole
-corpus; pass 3 range-partitions the staged ids by document id, and each partition becomes one file.  Reading is table driven: blocks of a fixed number of
-ids start at recorded bit offsets, so all blocks of a segment are decoded side by side.
+corpus; pass 3 range-partitions the staged ids by document id and writes segments of bounded size.  Reading
+is table driven: blocks of a fixed number of ids start at recorded bit offsets, so all blocks wanted of a
+segment are decoded side by side, and documents are reached without decoding those before them.
 
-File: segments, each followed by one newline.  Segment (little-endian):
+Files are Parquet with one row a segment: its place (range partition, ids before it there), first and last document
+id, numbers of documents and ids, and the segment's bytes, which stay as they are.  The index columns are read
+without the bytes; a file may hold any number of segments and is read by row group.
+
+Segment (little-endian):
   magic "TSHUF01\\n" | header: payload bytes, documents, ids, blocks, ids a block, vocabulary, code limit,
   bytes of packed lengths (8 x u64) | code lengths (u8 each, zlib) | doc ids i64 | doc id is null u8 |
   ids of each document u64 | first bit of each block u64 | payload (codes, high bit first, 8 bytes pad)
@@ -18,7 +23,8 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import common
@@ -29,6 +35,10 @@ HEADER = struct.Struct("<8Q")
 LIMIT = 18
 BLOCK = 128
 SEGMENT_IDS = 500_000
+#: Rows of a segment are written to files in row groups of about this many bytes.
+ROW_GROUP = 16 << 20
+MOST_PARTS = 1_000_000  # one row a range partition is broadcast up to here: 16 MB
+SEGMENT = "part int, before long, first_doc long, last_doc long, n_docs long, n_ids long, segment binary"
 
 
 # -- codes ---------------------------------------------------------------------------------------
@@ -138,32 +148,38 @@ def write_segment(doc_ids: list, sizes: list[int], firsts: np.ndarray, payload:
     return body + struct.pack("<I", zlib.crc32(body))
 
 
-def read_segments(content: bytes, decode: bool = True):
-    """Yield (doc ids, ids of each, all ids) of each segment, checking its crc; without decode, ids stay None."""
-    at, tables = 0, {}
-    while at < len(content):
-        start = at
-        if content[at : at + 8] != MAGIC:
-            raise ValueError("not a token file")
-        n_bytes, n_docs, n_ids, n_blocks, block, vocab, limit, n_packed = HEADER.unpack_from(content, at + 8)
-        at += 8 + HEADER.size
-        packed = content[at : at + n_packed]
-        at += n_packed
-        docs = np.frombuffer(content, "<i8", n_docs, at)
-        null = np.frombuffer(content, "u1", n_docs, at + 8 * n_docs)
-        sizes = np.frombuffer(content, "<u8", n_docs, at + 9 * n_docs).astype(np.int64)
-        at += 17 * n_docs
-        firsts = np.frombuffer(content, "<u8", n_blocks, at)
-        at += 8 * n_blocks
-        payload = np.frombuffer(content, "u1", n_bytes, at)
-        at += n_bytes
-        if zlib.crc32(memoryview(content)[start:at]) != struct.unpack_from("<I", content, at)[0]:
-            raise ValueError("token file is damaged")
-        at += 5
-        if decode and packed not in tables:
-            tables = {packed: canonical(np.frombuffer(zlib.decompress(packed), np.uint8), limit)[1]}
-        ids = decode_blocks(payload, firsts, block_counts(sizes, block), tables[packed], limit) if decode else None
-        yield [None if z else int(d) for d, z in zip(docs, null, strict=True)], sizes, ids
+def read_segment(content: bytes, tables: dict, wanted=None):
+    """(doc ids, number of ids of each, first id of each in the segment, ids in a row) of a segment, after checking its crc.
+
+    tables keeps the last decoding table.  wanted: a function from the array of doc ids to a mask; only the
+    blocks of the documents it picks are decoded.
+    """
+    if content[:8] != MAGIC:
+        raise ValueError("not a token segment")
+    n_bytes, n_docs, n_ids, n_blocks, block, vocab, limit, n_packed = HEADER.unpack_from(content, 8)
+    at = 8 + HEADER.size
+    packed = content[at : at + n_packed]
+    at += n_packed
+    docs = np.frombuffer(content, "<i8", n_docs, at)
+    null = np.frombuffer(content, "u1", n_docs, at + 8 * n_docs)
+    sizes = np.frombuffer(content, "<u8", n_docs, at + 9 * n_docs).astype(np.int64)
+    at += 17 * n_docs
+    firsts = np.frombuffer(content, "<u8", n_blocks, at)
+    at += 8 * n_blocks
+    payload = np.frombuffer(content, "u1", n_bytes, at)
+    at += n_bytes
+    if len(content) != at + 4 or zlib.crc32(memoryview(content)[:at]) != struct.unpack_from("<I", content, at)[0]:
+        raise ValueError("token segment is damaged")
+    if packed not in tables:
+        tables.clear()
+        tables[packed] = canonical(np.frombuffer(zlib.decompress(packed), np.uint8), limit)[1]
+    starts, counts = np.cumsum(sizes) - sizes, block_counts(sizes, block)
+    if wanted is not None:
+        mask = wanted(docs) & (null == 0)
+        keep = np.repeat(mask, -(-sizes // block))
+        docs, null, sizes, starts, firsts, counts = docs[mask], null[mask], sizes[mask], starts[mask], firsts[keep], counts[keep]
+    ids = decode_blocks(payload, firsts, counts, tables[packed], limit)
+    return [None if z else int(d) for d, z in zip(docs, null, strict=True)], sizes, starts, ids
 
 
 # -- Spark ---------------------------------------------------------------------------------------
@@ -213,8 +229,9 @@ def encode_segment(doc_ids: list, ids: np.ndarray, sizes: np.ndarray, lengths: n
 def write_token_files(docs: DataFrame, out_dir: str, vocabulary: str | None = None, end_id: int = 1, block: int = BLOCK, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of all documents, each followed by end_id, in ascending id order (nulls first) under out_dir.
 
-    Null text: the end id alone.  Repeated ids lie side by side.  An empty table writes no segment.
-    Other columns are ignored.  The vocabulary must have fewer than 65,536 ids.
+    Null text: the end id alone.  Repeated ids lie side by side, in order of a hash of their ids, by which an id of
+    very many rows is spread over partitions.  An empty table writes no segment.  Other columns are
+    ignored.  The vocabulary must have fewer than 65,536 ids.
     """
     spark, path = docs.sparkSession, vocabulary or default_vocabulary()
     ids, staged = common.stage(tokenize(common.text_rows(docs, id_col, text_col, "string"), path, end_id), "token-ids")
@@ -222,60 +239,72 @@ def write_token_files(docs: DataFrame, out_dir: str, vocabulary: str | None = No
         lengths_cast = spark.sparkContext.broadcast(code_lengths(count_ids(ids), limit))  # bounded by the vocabulary
 
         def run(batches):
-            lengths = lengths_cast.value
+            lengths, part = lengths_cast.value, TaskContext.get().partitionId()
             codes, _ = canonical(lengths, limit)
-            docs, parts, sizes, total = [], [], [], 0
+            docs, parts, sizes, total, done = [], [], [], 0, 0
 
-            def segment():
-                return pa.RecordBatch.from_arrays([pa.array([encode_segment(docs, np.concatenate(parts), np.concatenate(sizes), lengths, codes, block, limit)], pa.binary())], names=["segment"])
+            def row():
+                content = encode_segment(docs, np.concatenate(parts), np.concatenate(sizes), lengths, codes, block, limit)
+                return pa.RecordBatch.from_arrays([*(pa.array([v], pa.int64()) for v in (done, docs[0], docs[-1], len(docs), total)), pa.array([content], pa.binary())], names=names).add_column(0, "part", pa.array([part], pa.int32()))
 
+            names = ["before", "first_doc", "last_doc", "n_docs", "n_ids", "segment"]
             for batch in batches:
                 flat, n = flat_ids(batch.column(1))
-                docs += batch.column(0).to_pylist()
-                parts.append(flat.copy())
-                sizes.append(n)
-                total += len(flat)
-                if total >= SEGMENT_IDS:
-                    yield segment()
-                    docs, parts, sizes, total = [], [], [], 0
+                ends, at = np.cumsum(n), 0
+                names_of = batch.column(0).to_pylist()
+                while at < len(n):  # a segment ends with the document that fills it, wherever a batch ends
+                    before = int(ends[at - 1]) if at else 0
+                    to = min(len(n), int(np.searchsorted(ends, before + SEGMENT_IDS - total)) + 1)
+                    docs += names_of[at:to]
+                    parts.append(flat[before : int(ends[to - 1])].copy())
+                    sizes.append(n[at:to])
+                    total += int(ends[to - 1]) - before
+                    at = to
+                    if total >= SEGMENT_IDS:
+                        yield row()
+                        docs, parts, sizes, total, done = [], [], [], 0, done + total
             if docs:
-                yield segment()
+                yield row()
 
-        (ids.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-         .mapInArrow(run, "segment binary").select(F.col("segment").cast("string").alias("value")).write.text(out_dir))
+        order = (F.col("doc_id").asc_nulls_first(), F.col("h"))
+        ranged = ids.withColumn("h", F.xxhash64("ids")).repartitionByRange(*order).sortWithinPartitions(*order)
+        out = ranged.select("doc_id", "ids").mapInArrow(run, SEGMENT).write.option("compression", "uncompressed").option("parquet.enable.dictionary", "false")
+        out.option("parquet.block.size", ROW_GROUP).option("parquet.page.size.row.check.min", 4).parquet(out_dir)
     finally:
         common.drop(spark, staged)
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): ids as little-endian u32, start counted over all files in document order."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+def ids_ahead(index: DataFrame) -> DataFrame:
+    """(part, ahead): ids in all earlier range partitions, from (part, before, n_ids) of segments; one row a partition."""
+    totals = index.groupBy("part").agg(F.max(F.col("before") + F.col("n_ids")).alias("n"))
+    ahead = common.cut(totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead")))
+    return F.broadcast(ahead) if ahead.count() <= MOST_PARTS else ahead
 
-    def totals(batches):
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen = [(d[0], int(s.sum())) for d, s, _ in read_segments(content, decode=False)]
-                if seen:
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([seen[0][0]], pa.int64()), pa.array([sum(s for _, s in seen)], pa.int64())], names=["path", "first", "n"])
-
-    # One small row a file: the running total needs the files' order, not their contents.
-    rows = sorted(files.select("path", "content").mapInArrow(totals, "path string, first long, n long").collect(), key=lambda r: (r["first"] is not None, r["first"] or 0))
-    base, at = {}, 0
-    for r in rows:
-        base[r["path"]] = at
-        at += r["n"]
+
+def read_token_files(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """(doc_id, start, n_tokens, ids): ids as little-endian u32, start counted over all files in document order.
+
+    first and last bound the document ids wanted, both included (rows without an id are then left out): only segments
+    that may hold some are read, and of these only the documents' own blocks are decoded.
+    """
+    rows = spark.read.schema(SEGMENT).parquet(path)
+    ahead = ids_ahead(rows.select("part", "before", "n_ids"))
+    bounded = first is not None or last is not None
+    low, high = -(1 << 63) if first is None else first, (1 << 63) - 1 if last is None else last
+    if bounded:
+        rows = rows.where((F.col("last_doc") >= low) & (F.coalesce("first_doc", F.lit(-(1 << 63))) <= high))
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
+        tables = {}
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at = base.get(name, 0)
-                for docs, sizes, ids in read_segments(content):
-                    ends = np.cumsum(sizes)
-                    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(at + ends - sizes), pa.array(sizes), binary_column(ids.astype("<u4"), sizes)], schema=schema)
-                    at += int(ends[-1])
-
-    return files.select("path", "content").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+            for i in range(batch.num_rows):
+                docs, sizes, starts, ids = read_segment(batch.column(1)[i].as_py(), tables, (lambda d: (d >= low) & (d <= high)) if bounded else None)
+                if docs:
+                    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts + batch.column(0)[i].as_py()), pa.array(sizes), binary_column(ids.astype("<u4"), sizes)], schema=schema)
+
+    placed = rows.select("part", "before", "segment").join(ahead, "part")
+    return placed.select((F.col("before") + F.col("ahead")).alias("base"), "segment").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

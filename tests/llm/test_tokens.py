@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import token_files as tf
@@ -84,11 +85,14 @@ def test_segment_round_trip(docs, limit):
     used = lengths[lengths > 0].astype(float)
     assert not len(used) or (used.max() <= limit and (2**-used).sum() <= 1)
     codes, _ = tf.canonical(lengths, limit)
-    s = tf.encode_segment(list(range(len(docs))), flat, np.array([len(d) for d in docs]), lengths, codes, 4, limit) + b"\n"
-    [(names, sizes, out), (_, _, again)] = tf.read_segments(s + s)
-    assert names == list(range(len(docs))) and sizes.tolist() == [len(d) for d in docs] and out.tolist() == flat.tolist() == again.tolist()
-    with pytest.raises(ValueError):
-        list(tf.read_segments(s[:-3] + b"\0\0\0"))
+    s = tf.encode_segment(list(range(len(docs))), flat, np.array([len(d) for d in docs]), lengths, codes, 4, limit)
+    names, sizes, starts, out = tf.read_segment(s, {})
+    assert names == list(range(len(docs))) and sizes.tolist() == [len(d) for d in docs] and out.tolist() == flat.tolist() and starts.tolist() == (np.cumsum(sizes) - sizes).tolist()
+    names, sizes, starts, out = tf.read_segment(s, {}, lambda d: d % 2 == 1)
+    assert names == list(range(1, len(docs), 2)) and out.tolist() == [x for d in docs[1::2] for x in d]
+    for bad in (s[:-3] + b"\0\0\0", s[:-1], b"x" + s[1:]):
+        with pytest.raises(ValueError):
+            tf.read_segment(bad, {})
 
 
 def test_lengths_are_optimal():
@@ -97,6 +101,24 @@ def test_lengths_are_optimal():
     assert max(tf.code_lengths(counts, 4)) == 4
 
 
+def test_segments_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tf, "SEGMENT_IDS", 50)
+    docs = spark.range(2000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tf.write_token_files(docs, f"file://{tmp_path}/out")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    index = spark.read.parquet(f"file://{tmp_path}/out").select("part", "before", "n_ids", "n_docs").collect()
+    assert max(r.n_ids for r in index) < 50 + 40 and len(index) > 100 and sum(r.n_docs for r in index) == 2000
+    assert len({r.part for r in index}) > 2
+    at = 0
+    for r in tf.read_token_files(spark, f"file://{tmp_path}/out").orderBy("start").collect():
+        assert r.start == at
+        at += r.n_tokens
+    assert at == sum(r.n_ids for r in index)
+
+
 def test_files(spark, tmp_path):
     tf.write_token_files(frame(spark), f"file://{tmp_path}/out")
     rows = tf.read_token_files(spark, f"file://{tmp_path}/out").orderBy("start").collect()
@@ -106,5 +128,8 @@ def test_files(spark, tmp_path):
         want = np.array(ids("null id" if r.doc_id is None else TEXTS[r.doc_id]) + [1], "<u4").tobytes()
         assert (r.start, r.n_tokens, zlib.crc32(r.ids)) == (at, len(want) // 4, zlib.crc32(want))
         at += r.n_tokens
+    some = tf.read_token_files(spark, f"file://{tmp_path}/out", 3, 5).orderBy("start").collect()
+    assert some == [r for r in rows if r.doc_id in (3, 4, 5)]
+    assert tf.read_token_files(spark, f"file://{tmp_path}/out", first=7).count() == len(TEXTS) - 7
     tf.write_token_files(frame(spark).limit(0), f"file://{tmp_path}/none")
     assert tf.read_token_files(spark, f"file://{tmp_path}/none").count() == 0
