@@ -1,7 +1,9 @@
 """Media columns: byte payloads stored as lossless WebP images, read back as pixel arrays.
 
 A payload fills rows of 64 8-bit samples; one image holds up to 16,384 rows, longer payloads are
-several images in a row.
+several images in a row.  Each image takes the form its encoder expects to be smallest: plain samples, a
+palette, prediction, references to earlier bytes, or four bytes a pixel with a colour cache (its rows are then
+16 pixels wide, which is how a reader knows).
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common, webp
 
-WIDTH = 64
+WIDTH = webp.ROW
 BATCH_BYTES = 16 << 20
 
 
@@ -25,13 +27,13 @@ def payload_of(text: bytes) -> bytes:
 
 
 def encode_payload(payload: bytes) -> bytes:
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
-    return b"".join(webp.encode_gray(rows[at : at + webp.LARGEST]) for at in range(0, len(rows), webp.LARGEST))
+    flat, most = np.frombuffer(payload, np.uint8), WIDTH * webp.LARGEST
+    return b"".join(webp.encode_samples(flat[at : at + most]) for at in range(0, len(flat), most))
 
 
 def decode_payload(media: bytes) -> np.ndarray:
     """8-bit samples (rows, 64)."""
-    return np.concatenate([(webp.decode_vp8l(x) >> 8 & 255).astype(np.uint8) for x in webp.images(media)])
+    return np.concatenate([webp.samples_of(webp.decode_vp8l(x)) for x in webp.images(media)]).reshape(-1, WIDTH)
 
 
 def feature(samples: np.ndarray) -> str:

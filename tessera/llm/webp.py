@@ -1,18 +1,19 @@
 """Lossless WebP (VP8L) in numpy: a complete decoder, and an encoder able to use every feature.
 
 Pixels are ARGB in uint32 arrays of shape (height, width).  Where all pixels share one group of prefix
-codes the decoder works speculatively: the length of the step that would begin at every bit is looked
-up at once, the true starts are followed through that table in strides, and symbols are read at the
-starts only.  Images with several groups are decoded pixel by pixel.
+codes and there is no colour cache, the decoder works speculatively: the length of the step that
+would begin at every bit is looked up at once, the true starts are followed through that table in strides, and
+symbols are read at the starts only.  Other images are decoded step by step through the same tables.
 """
 
 from __future__ import annotations
 
 import struct
+from functools import lru_cache
 
 import numpy as np
 
-from tessera.llm.token_files import code_lengths
+from tessera.llm import token_files
 
 # Fixed values of the format.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -35,8 +36,14 @@ class Bits:
     """Bits of a byte string, lowest first."""
 
     def __init__(self, data: bytes):
-        self.data, self.at = data, 0
-        self._ahead = None
+        self.data, self.at, self._words = data, 0, None
+
+    def words(self) -> np.ndarray:
+        """The 64 bits that begin with each byte (zeros follow the last): room for any code behind up to seven bits."""
+        if self._words is None:
+            raw = np.frombuffer(self.data + b"\0" * 24, np.uint8)
+            self._words = np.lib.stride_tricks.as_strided(raw, (len(self.data) + 16, 8), (1, 1)).copy().view("<u8").reshape(-1)
+        return self._words
 
     def read(self, n: int) -> int:
         at = self.at
@@ -65,6 +72,12 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     return _reverse((np.cumsum(span) - span) >> (15 - size), size)
 
 
+@lru_cache
+def _reversed(bits: int) -> np.ndarray:
+    """0, 1, ... with their lowest bits turned round."""
+    return _reverse(np.arange(1 << bits), np.full(1 << bits, bits))
+
+
 class Code:
     """A prefix code: table[bits of the stream] = symbol << 4 | length."""
 
@@ -83,8 +96,7 @@ class Code:
             span = np.int64(1) << (self.bits - size)
             self.table = np.empty(1 << self.bits, np.uint32)
             # entries in order of the code's value, then moved to the reversed index
-            plain = np.repeat((order << 4 | size).astype(np.uint32), span)
-            self.table[_reverse(np.arange(1 << self.bits), np.full(1 << self.bits, self.bits))] = plain
+            self.table[_reversed(self.bits)] = np.repeat((order << 4 | size).astype(np.uint32), span)
 
     def read(self, bits: Bits) -> int:
         entry = int(self.table[bits.peek(self.bits)]) if self.bits else int(self.table[0])
@@ -92,15 +104,19 @@ class Code:
         return entry >> 4
 
 
+@lru_cache
+def _simple(first: int, second: int | None) -> Code:
+    lengths = np.zeros(256, np.int64)
+    lengths[[first] if second is None else [first, second]] = 1
+    return Code(lengths)
+
+
 def read_code(bits: Bits, size: int) -> Code:
-    lengths = np.zeros(size, np.int64)
     if bits.read(1):
         two = bits.read(1)
         first = bits.read(8 if bits.read(1) else 1)
-        lengths[first] = 1
-        if two:
-            lengths[bits.read(8)] = 1
-        return Code(lengths)
+        return _simple(first, bits.read(8) if two else None)
+    lengths = np.zeros(size, np.int64)
     meta = np.zeros(19, np.int64)
     for i in LENGTH_ORDER[: 4 + bits.read(4)]:
         meta[i] = bits.read(3)
@@ -108,39 +124,34 @@ def read_code(bits: Bits, size: int) -> Code:
     table, width = code.table.tolist(), code.bits
     most = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     out, previous, mask = [], 8, (1 << width) - 1
-    chunk, start = int.from_bytes(bits.data[bits.at >> 3 : (bits.at >> 3) + size * 3], "little"), bits.at & ~7
-    at = bits.at - start
+    words, at = memoryview(bits.words()), bits.at
     while len(out) < size and most:
         most -= 1
-        entry = table[chunk >> at & mask]
-        at += entry & 15
-        s = entry >> 4
+        if at >> 3 >= len(words):
+            raise ValueError("the image ends early")
+        x = words[at >> 3] >> (at & 7)
+        entry = table[x & mask]
+        n, s = entry & 15, entry >> 4
         if s < 16:
             out.append(s)
             previous = s or previous
         elif s == 16:
-            out += [previous] * (3 + (chunk >> at & 3))
-            at += 2
+            out += [previous] * (3 + (x >> n & 3))
+            n += 2
         elif s == 17:
-            out += [0] * (3 + (chunk >> at & 7))
-            at += 3
+            out += [0] * (3 + (x >> n & 7))
+            n += 3
         else:
-            out += [0] * (11 + (chunk >> at & 127))
-            at += 7
-    bits.at = start + at
+            out += [0] * (11 + (x >> n & 127))
+            n += 7
+        at += n
+    bits.at = at
     if len(out) > size:
         raise ValueError("code lengths run over")
     lengths[: len(out)] = out
     return Code(lengths)
 
 
-def _value(symbol: int, bits: Bits) -> int:
-    if symbol < 4:
-        return symbol + 1
-    extra = (symbol - 2) >> 1
-    return ((2 + (symbol & 1)) << extra) + bits.read(extra) + 1
-
-
 def _distance(code: int, width: int) -> int:
     if code > 120:
         return code - 120
@@ -148,61 +159,78 @@ def _distance(code: int, width: int) -> int:
     return max(1, x + y * width)
 
 
-class _Sink:
-    """Output pixels with the colour cache; the cache is brought up to date only when it is read."""
-
-    def __init__(self, n: int, cache_bits: int):
-        self.out, self.at, self.seen = [0] * n, 0, 0
-        self.cache, self.shift = [0] * (1 << cache_bits) if cache_bits else None, 32 - cache_bits
+def _decode_in_order(bits: Bits, width: int, height: int, cache_bits: int, groups: list, meta, meta_bits: int, seen: set) -> np.ndarray:
+    """Pixels one after the other: references, colour cache and several groups of codes."""
+    n, data = width * height, bits.data
+    words = memoryview(bits.words())
+    books = [[x for code in group for x in (memoryview(code.table), (1 << code.bits) - 1)] for group in groups]
+    green, green_mask, red, red_mask, blue, blue_mask, alpha, alpha_mask, far, far_mask = books[0]
+    of_pixel = meta.tolist() if meta is not None and len(books) > 1 else None
+    cache, shift = [0] * (1 << cache_bits) if cache_bits else None, 32 - cache_bits
+    out, at, p = [0] * n, 0, bits.at
+    try:
+        while at < n:
+            if of_pixel:
+                green, green_mask, red, red_mask, blue, blue_mask, alpha, alpha_mask, far, far_mask = books[of_pixel[at // width >> meta_bits][at % width >> meta_bits]]
+            x = words[p >> 3] >> (p & 7)
+            e = green[x & green_mask]
+            k, s = e & 15, e >> 4
+            if s < 256:
+                x >>= k
+                e = red[x & red_mask]
+                j = e & 15
+                x >>= j
+                v = s << 8 | e >> 4 << 16
+                e = blue[x & blue_mask]
+                p += k + j + (e & 15)
+                v |= e >> 4
+                e = alpha[words[p >> 3] >> (p & 7) & alpha_mask]
+                p += e & 15
+                v |= e >> 4 << 24
+                out[at] = v
+                at += 1
+                if cache:
+                    cache[(v * CACHE_MULTIPLIER & 0xFFFFFFFF) >> shift] = v
+            elif s >= 280:
+                p += k
+                out[at] = cache[s - 280]
+                at += 1
+            else:
+                p += k
+                length, p = _value_at(s - 256, words, p)
+                e = far[words[p >> 3] >> (p & 7) & far_mask]
+                d, p = _value_at(e >> 4, words, p + (e & 15))
+                d = _distance(d, width)
+                if d > at or at + length > n:
+                    raise ValueError("a reference leaves the image")
+                part = out[at - d : at - d + length] if d >= length else (out[at - d : at] * (length // d + 1))[:length]
+                out[at : at + length] = part
+                at += length
+                seen.add("references")
+                if cache:
+                    for v in part:
+                        cache[(v * CACHE_MULTIPLIER & 0xFFFFFFFF) >> shift] = v
+    except IndexError:
+        raise ValueError("the image ends early") from None
+    if p > 8 * len(data):
+        raise ValueError("the image ends early")
+    bits.at = p
+    return np.array(out, np.uint32).reshape(height, width)
 
-    def put(self, pixel: int) -> None:
-        self.out[self.at] = pixel
-        self.at += 1
 
-    def copy(self, length: int, distance: int) -> None:
-        if distance > self.at or self.at + length > len(self.out):
-            raise ValueError("a reference leaves the image")
-        out, at = self.out, self.at
-        if distance >= length:
-            out[at : at + length] = out[at - distance : at - distance + length]
-        else:
-            part = out[at - distance : at]
-            out[at : at + length] = (part * (length // distance + 1))[:length]
-        self.at += length
-
-    def cached(self, index: int) -> int:
-        for p in self.out[self.seen : self.at]:
-            self.cache[(CACHE_MULTIPLIER * p & 0xFFFFFFFF) >> self.shift] = p
-        self.seen = self.at
-        return self.cache[index]
-
-
-def _decode_slowly(bits: Bits, width: int, height: int, cache_bits: int, groups: list, meta, meta_bits: int) -> np.ndarray:
-    sink = _Sink(width * height, cache_bits)
-    while sink.at < width * height:
-        group = groups[int(meta[sink.at // width >> meta_bits, sink.at % width >> meta_bits]) if meta is not None else 0]
-        s = group[0].read(bits)
-        if s < 256:
-            red, blue, alpha = group[1].read(bits), group[2].read(bits), group[3].read(bits)
-            sink.put(alpha << 24 | red << 16 | s << 8 | blue)
-        elif s < 280:
-            length = _value(s - 256, bits)
-            sink.copy(length, _distance(_value(group[4].read(bits), bits), width))
-        else:
-            sink.put(sink.cached(s - 280))
-        if bits.at > 8 * len(bits.data):
-            raise ValueError("the image ends early")
-    return np.array(sink.out, np.uint32).reshape(height, width)
+def _value_at(symbol: int, words, p: int) -> tuple[int, int]:
+    """(length or distance code, position behind its extra bits)."""
+    if symbol < 4:
+        return symbol + 1, p
+    extra = (symbol - 2) >> 1
+    return ((2 + (symbol & 1)) << extra) + (words[p >> 3] >> (p & 7) & ((1 << extra) - 1)) + 1, p + extra
 
 
-def _decode_at_once(bits: Bits, width: int, height: int, cache_bits: int, group: list) -> np.ndarray:
+def _decode_at_once(bits: Bits, width: int, height: int, group: list, seen: set) -> np.ndarray:
+    """An image of plain pixels and references, with one group of codes."""
     n = width * height
     start, n_bits = bits.at, 8 * len(bits.data) - bits.at
-    raw = np.frombuffer(bits.data, np.uint8)[start >> 3 :].astype(np.uint64)
-    raw = np.concatenate([raw, np.zeros(10, np.uint64)])
-    word = raw[:-7].copy()
-    for k in range(1, 5):
-        word |= raw[k : k - 7] << np.uint64(8 * k)
+    word = bits.words()[start >> 3 :]
     # window[i]: 32 bits from the i-th bit on
     count = n_bits + 1
     lead = start & 7
@@ -214,57 +242,66 @@ def _decode_at_once(bits: Bits, width: int, height: int, cache_bits: int, group:
     last = count - 1
     green = entries(group[0])
     step = np.minimum(np.arange(count, dtype=np.int32) + (green & 15).astype(np.int32), np.int32(last))
-    kind = green >> 4
     follow = step
     for code in group[1:4]:
         if code.bits:
             follow = np.minimum(follow + (entries(code)[follow] & 15).astype(np.int32), np.int32(last))
-    if (group[0].table >> 4 >= 256).any():
-        cached = kind >= 280
-        follow = np.where(cached, step, follow)
-        refs = np.flatnonzero((kind >= 256) & ~cached)
-        p = step[refs]
-        for source in (kind[refs] - 256, None):
-            if source is None:
-                e = entries(group[4], p)
-                p = np.minimum(p + (e & 15), last)
-                source = e >> 4
-            p = np.minimum(p + np.where(source < 4, 0, (source.astype(np.int64) - 2) >> 1), last)
-        follow = follow.copy()
-        follow[refs] = p
+    refers = (group[0].table >> 4 >= 256).any()
+    if refers:
+        refs = np.flatnonzero(green >> 4 >= 256)
+        follow = follow.copy() if follow is step else follow
+        follow[refs] = _reference(window, step[refs], (green[refs] >> 4) - 256, entries, group[4], last)[2]
     starts = _orbit(follow, n)
-    g = green[starts] >> 4
-    plain = g < 256
-    if plain.all():
-        starts = starts[:n]
+    symbol = green[starts] >> 4
+    out = np.zeros(n, np.uint32)
+    if refers:
+        is_ref = symbol >= 256
+        length, far, _ = _reference(window, step[starts[is_ref]], symbol[is_ref] - 256, entries, group[4], last)
+        sizes = np.ones(len(starts), np.int64)
+        sizes[is_ref] = length
+        ends = np.cumsum(sizes)
+        tokens = int(np.searchsorted(ends, n)) + 1
+        if tokens > len(ends) or ends[tokens - 1] != n:
+            raise ValueError("the image ends early or runs over")
+        place, is_ref = ends - sizes, is_ref[:tokens]
+        copies = list(zip(place[:tokens][is_ref].tolist(), length.tolist(), far.tolist()))
+        end = int(follow[starts[tokens - 1]])
+        starts, symbol, place = starts[:tokens][~is_ref], symbol[:tokens][~is_ref], place[:tokens][~is_ref]
+    else:
         if len(starts) < n:
             raise ValueError("the image ends early")
-        pixels = g[:n] << 8
-        p = step[starts]
-        for code, shift in zip(group[1:4], (16, 0, 24), strict=True):
-            e = entries(code, p) if code.bits else code.table[0]
-            pixels = pixels | (e >> 4) << np.uint32(shift)
-            p = np.minimum(p + (e & 15), last)
-        bits.at = start + int(p[-1]) if n else bits.at
-        return pixels.astype(np.uint32).reshape(height, width)
-    sink, rest = _Sink(n, cache_bits), Bits(bits.data)
-    for at, s in zip(starts.tolist(), g.tolist(), strict=True):
-        if sink.at >= n:
-            break
-        rest.at = start + at
-        group[0].read(rest)
-        if s < 256:
-            red, blue, alpha = group[1].read(rest), group[2].read(rest), group[3].read(rest)
-            sink.put(alpha << 24 | red << 16 | s << 8 | blue)
-        elif s < 280:
-            length = _value(s - 256, rest)
-            sink.copy(length, _distance(_value(group[4].read(rest), rest), width))
-        else:
-            sink.put(sink.cached(s - 280))
-    if sink.at < n:
-        raise ValueError("the image ends early")
-    bits.at = rest.at
-    return np.array(sink.out, np.uint32).reshape(height, width)
+        copies, place, end = [], slice(None), int(follow[starts[-1]])
+    pixels = symbol << 8
+    p = step[starts]
+    for code, shift in zip(group[1:4], (16, 0, 24), strict=True):
+        e = entries(code, p) if code.bits else code.table[0]
+        pixels = pixels | (e >> 4) << np.uint32(shift)
+        p = np.minimum(p + (e & 15), last)
+    out[place] = pixels
+    for at, size, code in copies:
+        d = _distance(code, width)
+        if d > at:
+            raise ValueError("a reference leaves the image")
+        out[at : at + size] = out[at - d : at - d + size] if d >= size else np.resize(out[at - d : at], size)
+    if copies:
+        seen.add("references")
+    bits.at = start + end
+    return out.reshape(height, width)
+
+
+def _reference(window, p, symbol, entries, far: Code, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lengths, distance codes, first bits behind) of references whose length symbols end at the bits p."""
+
+    def value(symbol, p):
+        symbol = symbol.astype(np.int64)
+        extra = np.maximum(symbol - 2, 0) >> 1
+        more = window[p].astype(np.int64) & ((1 << extra) - 1)
+        return np.where(symbol < 4, symbol, ((2 + (symbol & 1)) << extra) + more) + 1, np.minimum(p + np.where(symbol < 4, 0, extra), last)
+
+    length, p = value(symbol, p.astype(np.int64))
+    e = entries(far, p)
+    code, p = value(e >> 4, np.minimum(p + (e & 15), last))
+    return length, code, p
 
 
 def _orbit(follow: np.ndarray, n: int) -> np.ndarray:
@@ -290,20 +327,23 @@ def _orbit(follow: np.ndarray, n: int) -> np.ndarray:
     return out.T.reshape(-1)[:n]
 
 
-def decode_stream(bits: Bits, width: int, height: int, main: bool, fast: bool = True) -> np.ndarray:
+def decode_stream(bits: Bits, width: int, height: int, main: bool, fast: bool, seen: set) -> np.ndarray:
     """An entropy-coded image; only the main one may have several groups of codes."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise ValueError("the colour cache is too large")
     meta, meta_bits, n = None, 0, 1
+    if cache_bits:
+        seen.add("cache")
     if main and bits.read(1):
+        seen.add("groups")
         meta_bits = bits.read(3) + 2
-        meta = decode_stream(bits, blocks(width, meta_bits), blocks(height, meta_bits), False, fast) >> 8 & 0xFFFF
+        meta = decode_stream(bits, blocks(width, meta_bits), blocks(height, meta_bits), False, fast, seen) >> 8 & 0xFFFF
         n = int(meta.max()) + 1
     groups = [[read_code(bits, s + (1 << cache_bits if cache_bits and not i else 0)) for i, s in enumerate(ALPHABETS)] for _ in range(n)]
-    if fast and n == 1:
-        return _decode_at_once(bits, width, height, cache_bits, groups[0])
-    return _decode_slowly(bits, width, height, cache_bits, groups, meta, meta_bits)
+    if fast and n == 1 and not cache_bits:
+        return _decode_at_once(bits, width, height, groups[0], seen)
+    return _decode_in_order(bits, width, height, cache_bits, groups, meta, meta_bits, seen)
 
 
 def _channels(p: int) -> tuple[int, int, int, int]:
@@ -361,6 +401,15 @@ def _neighbours(rows: list, x: int, y: int, modes, bits: int) -> int:
 
 
 def unpredict(image: np.ndarray, modes: np.ndarray, bits: int) -> np.ndarray:
+    one = set(np.unique(modes >> 8 & 15).tolist())
+    if one in ({1}, {2}) or 1 in image.shape:  # left or above throughout: running sums of each channel
+        parts = image.view(np.uint8).reshape(*image.shape, 4).copy() if image.flags.c_contiguous else np.ascontiguousarray(image).view(np.uint8).reshape(*image.shape, 4).copy()
+        parts[:1, 0, 3] += np.uint8(255)
+        along = int(one == {1} and 1 not in image.shape)
+        lead = parts[:, 0] if along else parts[0]
+        lead[:] = np.cumsum(lead, 0, dtype=np.uint8)
+        parts = np.cumsum(parts, along, dtype=np.uint8)
+        return np.ascontiguousarray(parts).view(np.uint32).reshape(image.shape)
     rows, modes = image.tolist(), (modes >> 8 & 15).tolist()
     for y, row in enumerate(rows):
         for x in range(len(row)):
@@ -403,7 +452,8 @@ def _pack_bits(colours: int) -> int:
     return 3 if colours <= 2 else 2 if colours <= 4 else 1 if colours <= 16 else 0
 
 
-def decode_vp8l(data: bytes, fast: bool = True) -> np.ndarray:
+def decode_vp8l(data: bytes, fast: bool = True, seen: set | None = None) -> np.ndarray:
+    """The pixels of a VP8L payload; seen collects the names of the features it uses."""
     bits = Bits(data)
     if bits.read(8) != 0x2F:
         raise ValueError("not a lossless image")
@@ -411,27 +461,41 @@ def decode_vp8l(data: bytes, fast: bool = True) -> np.ndarray:
     bits.read(1)
     if bits.read(3):
         raise ValueError("unknown version")
+    return decode_body(bits, width, height, fast, set() if seen is None else seen)
+
+
+def decode_body(bits: Bits, width: int, height: int, fast: bool, seen: set) -> np.ndarray:
+    """Transforms and pixels, as they follow a payload's header (or stand alone in an alpha chunk)."""
     inverse, wide = [], width
     while bits.read(1):
         kind = bits.read(2)
+        seen.add(("predictor", "cross", "green", "palette")[kind])
         if kind in (PREDICTOR, CROSS):
             size = bits.read(3) + 2
-            sub = decode_stream(bits, blocks(wide, size), blocks(height, size), False, fast)
+            sub = decode_stream(bits, blocks(wide, size), blocks(height, size), False, fast, seen)
             inverse.append((lambda f, sub, size: lambda x: f(x, sub, size))(unpredict if kind == PREDICTOR else uncross, sub, size))
         elif kind == GREEN:
             inverse.append(ungreen)
         else:
-            table = decode_stream(bits, bits.read(8) + 1, 1, False, fast)[0]
+            table = decode_stream(bits, bits.read(8) + 1, 1, False, fast, seen)[0]
             parts = np.stack([np.cumsum(table >> s & 255, dtype=np.uint32) & 255 for s in (24, 16, 8, 0)])
             table = parts[0] << 24 | parts[1] << 16 | parts[2] << 8 | parts[3]
             inverse.append((lambda t, w: lambda x: unpalette(x, t, w))(table, wide))
             wide = blocks(wide, _pack_bits(len(table)))
-    image = decode_stream(bits, wide, height, True, fast)
+    image = decode_stream(bits, wide, height, True, fast, seen)
     for f in reversed(inverse):
         image = f(image)
     return image
 
 
+def used(media: bytes) -> set[str]:
+    """Names of the features that the images use."""
+    seen: set[str] = set()
+    for payload in images(media):
+        decode_vp8l(payload, seen=seen)
+    return seen
+
+
 def images(media: bytes):
     """The VP8L payloads of one or more WebP files in a row."""
     at = 0
@@ -446,6 +510,37 @@ def images(media: bytes):
 # -- encoder -------------------------------------------------------------------------------------
 
 
+def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
+    """Huffman's code lengths; package-merge only where they pass the limit."""
+    used = np.flatnonzero(counts)
+    n = len(used)
+    if n < 3 or n > 600:
+        return token_files.code_lengths(counts, limit)
+    order = used[np.argsort(counts[used], kind="stable")]
+    weight, up = counts[order].tolist() + [1 << 62], [0] * (2 * n - 1)
+    made, leaf, node = [], 0, 0
+    for k in range(n, 2 * n - 1):  # two queues: leaves by weight, and sums in the order they are made
+        total = 0
+        for _ in (0, 1):
+            if node < len(made) and made[node] < weight[leaf]:
+                up[n + node] = k
+                total += made[node]
+                node += 1
+            else:
+                up[leaf] = k
+                total += weight[leaf]
+                leaf += 1
+        made.append(total)
+    depth = [0] * (2 * n - 1)
+    for k in range(2 * n - 3, -1, -1):
+        depth[k] = depth[up[k]] + 1
+    if max(depth[:n]) > limit:
+        return token_files.code_lengths(counts, limit)
+    out = np.zeros(len(counts), np.uint8)
+    out[order] = depth[:n]
+    return out
+
+
 class Writer:
     def __init__(self):
         self.value, self.size = 0, 0
@@ -471,21 +566,16 @@ def write_code(w: Writer, lengths: np.ndarray) -> None:
         lengths = lengths.copy()
         lengths[0] = 1
     w.put(0, 1)
-    tokens, i, values = [], 0, lengths[: int(used[-1]) + 1].tolist()
-    while i < len(values):
-        if values[i]:
-            tokens.append((values[i], 0, 0))
-            i += 1
-            continue
-        j = i
-        while j < len(values) and not values[j]:
-            j += 1
-        while j - i >= 3:
-            n = min(j - i, 138)
+    used = np.flatnonzero(lengths)
+    tokens = []
+    for gap, size in zip((np.diff(used, prepend=-1) - 1).tolist(), lengths[used].tolist(), strict=True):
+        while gap >= 3:
+            n = min(gap, 138)
             tokens.append((17, n - 3, 3) if n < 11 else (18, n - 11, 7))
-            i += n
-        tokens += [(0, 0, 0)] * (j - i)
-        i = j
+            gap -= n
+        if gap:
+            tokens += [(0, 0, 0)] * gap
+        tokens.append((size, 0, 0))
     counts = np.bincount([t for t, *_ in tokens], minlength=19)
     meta = code_lengths(counts, 7)
     if np.count_nonzero(meta) == 1:  # two symbols make the code complete
@@ -514,6 +604,13 @@ def write_code(w: Writer, lengths: np.ndarray) -> None:
             w.put(value, extra)
 
 
+def write_only(w: Writer, *symbols: int) -> None:
+    """For each symbol below 256 a prefix code of nothing else."""
+    for symbol in symbols:
+        w.put(1 | int(symbol > 1) << 2, 3)
+        w.put(symbol, 8 if symbol > 1 else 1)
+
+
 def pack_bits(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, int]:
     """(64-bit words, bits): values of up to 15 bits in a row, lowest bit first."""
     ends = np.cumsum(sizes)
@@ -672,26 +769,230 @@ def encode_image(image: np.ndarray, transforms: tuple = (), bits: int = 3, modes
     return _container(w.value.to_bytes((w.size + 7) // 8, "little"))
 
 
-def encode_gray(samples: np.ndarray) -> bytes:
-    """A WebP file of 8-bit samples (height, width): each is a pixel's green, coded by its frequency."""
-    height, width = samples.shape
-    flat = samples.reshape(-1)
-    w = Writer()
-    _header(w, width, height, False)
-    w.put(0b000, 3)  # no transform, no colour cache, one group of codes
-    lengths = np.zeros(280, np.uint8)
-    lengths[:256] = code_lengths(np.bincount(flat, minlength=256), 15)
+# Layouts of a payload: its bytes as the green of 64 pixels a row, or four bytes a pixel and 16 pixels a row.
+ROW = 64
+MATCH = 16  # bytes of the shortest reference
+CACHE_BITS = 11
+GAIN = 0.95  # a form that takes more steps must be smaller by this factor
+
+
+def _bits_of(counts: np.ndarray) -> float:
+    """Bits that symbols cost at their entropy, and about five for each one's code length."""
+    c = counts[counts > 0].astype(np.float64)
+    total = c.sum()
+    return float(total * np.log2(total) - c @ np.log2(c)) + 5 * len(c) if len(c) else 0.0
+
+
+def _book(w: Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code, size) of every symbol, after writing their lengths; the only symbol takes no bits."""
+    lengths = code_lengths(counts, 15)
     write_code(w, lengths)
-    for symbol in (0, 0, 255, 0):  # red, blue, alpha, distance
-        write_code(w, (np.arange(256) == symbol).astype(np.uint8))
     used = np.flatnonzero(lengths)
-    if len(used) > 1:
-        codes = np.zeros(280, np.uint64)
-        codes[used[np.argsort(lengths[used], kind="stable")]] = canonical(lengths)
-        head = np.frombuffer(w.value.to_bytes((w.size + 7) // 8, "little"), np.uint8)
-        lead = w.size & 7  # the header's last byte goes on with the samples
-        first = int(head[-1]) if lead else 0
-        words, n = pack_bits(np.concatenate([[np.uint64(first)], codes[flat]]), np.concatenate([[lead], lengths[flat].astype(np.int64)]))
-        body = words.view(np.uint8)[: (n + 7) // 8].tobytes()
-        return _container((head[:-1] if lead else head).tobytes() + body)
-    return _container(w.value.to_bytes((w.size + 7) // 8, "little"))
+    if len(used) == 1 and used[0] >= 256:  # write_code() gave symbol 0 the other half
+        lengths[0] = 1
+        used = np.flatnonzero(lengths)
+    codes = np.zeros(len(counts), np.uint64)
+    if len(used) < 2:
+        return codes, np.zeros(len(counts), np.int64)
+    codes[used[np.argsort(lengths[used], kind="stable")]] = canonical(lengths)
+    return codes, lengths.astype(np.int64)
+
+
+def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol, extra value, extra bits) of length or distance codes, as _prefix()."""
+    v = values - 1
+    top = np.frexp(np.maximum(v, 1).astype(np.float64))[1].astype(np.int64) - 1
+    second = v >> np.maximum(top - 1, 0) & 1
+    extra = np.where(values <= 4, 0, top - 1)
+    symbol = np.where(values <= 4, v, 2 * top + second)
+    return symbol, np.where(values <= 4, 0, v - ((2 + second) << extra)), extra
+
+
+def _finish(w: Writer, values: np.ndarray, sizes: np.ndarray) -> bytes:
+    """The file of a header and the codes behind it."""
+    head = np.frombuffer(w.value.to_bytes((w.size + 7) // 8, "little"), np.uint8)
+    lead = w.size & 7  # the header's last byte goes on with the codes
+    some = np.flatnonzero(sizes)
+    values, sizes = values[some], sizes[some]
+    words, n = pack_bits(np.concatenate([[np.uint64(head[-1] if lead else 0)], values]), np.concatenate([[lead], sizes]))
+    return _container((head[:-1] if lead else head).tobytes() + words.view(np.uint8)[: (n + 7) // 8].tobytes())
+
+
+def _plain(w: Writer, flat: np.ndarray, alpha: int = 255) -> bytes:
+    """Pixels with the samples as their green."""
+    w.put(0b00, 2)  # no colour cache, one group of codes
+    codes, sizes = _book(w, np.bincount(flat, minlength=280))
+    write_only(w, 0, 0, alpha, 0)  # red, blue, alpha, distance
+    return _finish(w, codes[flat], sizes[flat])
+
+
+def find_references(flat: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of repeats of MATCH bytes or more, left to right, none overlapping.
+
+    Repeats are looked for from the bytes behind blanks, or from every byte where blanks are few.
+    """
+    n = len(flat)
+    if n < 2 * MATCH:
+        return []
+    eight = np.lib.stride_tricks.as_strided(flat, (n - 7, 8), (1, 1))
+    places = np.flatnonzero(flat[: n - MATCH] <= 32) + 1
+    if len(places) * 16 < n:
+        places = np.arange(n - MATCH + 1)
+    a, b = (np.ascontiguousarray(eight[places + k]).view(np.uint64).reshape(-1) for k in (0, 8))
+    mixed = (a * np.uint64(0x9E3779B97F4A7C15) ^ b * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xD6E8FEB86659FD93)
+    key = np.sort(mixed >> np.uint64(32) << np.uint64(32) | np.arange(len(places), dtype=np.uint64))
+    same = np.flatnonzero((key[1:] ^ key[:-1]) >> np.uint64(32) == 0)
+    now, old = ((key[same + k] & np.uint64(0xFFFFFFFF)).astype(np.int64) for k in (1, 0))
+    equal = (a[now] == a[old]) & (b[now] == b[old])
+    now, old = now[equal], old[equal]
+    order = np.argsort(now)
+    place, distance = places[now[order]], places[now[order]] - places[old[order]]
+    out, free = [], 0
+    for at, d in zip(place.tolist(), distance.tolist(), strict=True):
+        if at < free:
+            continue
+        length, step = MATCH, 64
+        while True:
+            x, y = flat[at + length : at + length + step], flat[at + length - d : at + length - d + step]
+            differ = np.flatnonzero(x != y[: len(x)])
+            length += int(differ[0]) if len(differ) else len(x)
+            if len(differ) or at + length >= n:
+                break
+            step = min(step * 4, 1 << 16)
+        out.append((at, length, d))
+        free = at + length
+    return out
+
+
+def _with_references(w: Writer, flat: np.ndarray, found: list) -> bytes:
+    pieces = [(at + k, min(4096, length - k), d) for at, length, d in found for k in range(0, length, 4096)]
+    at, length, distance = np.array(pieces, np.int64).T
+    near = {max(1, x + y * ROW): i + 1 for i, (x, y) in reversed(list(enumerate(NEAR)))}
+    coded = np.array([near.get(d, d + 120) for d in distance.tolist()], np.int64)
+    plain = np.ones(len(flat), bool)
+    step = np.zeros(len(flat) + 1, np.int64)
+    np.add.at(step, at, 1)
+    np.add.at(step, at + length, -1)
+    plain = np.cumsum(step[:-1]) == 0
+    literal = np.flatnonzero(plain)
+    place = np.concatenate([literal, at])
+    order = np.argsort(place, kind="stable")
+    n, m = len(literal), len(at)
+    ls, lv, lb = _prefixes(length)
+    ds, dv, db = _prefixes(coded)
+    w.put(0b00, 2)
+    codes, sizes = _book(w, np.bincount(np.concatenate([flat[literal], ls + 256]), minlength=280))
+    write_only(w, 0, 0, 255)
+    far, far_sizes = _book(w, np.bincount(ds, minlength=40))
+    values, widths = np.zeros((n + m, 4), np.uint64), np.zeros((n + m, 4), np.int64)
+    values[:n, 0], widths[:n, 0] = codes[flat[literal]], sizes[flat[literal]]
+    for k, (v, z) in enumerate(((codes[ls + 256], sizes[ls + 256]), (lv, lb), (far[ds], far_sizes[ds]), (dv, db))):
+        values[n:, k], widths[n:, k] = v, z
+    return _finish(w, values[order].reshape(-1), widths[order].reshape(-1))
+
+
+def cached_pixels(pixels: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slot of each pixel, whether the last pixel of its slot before it is the same)."""
+    slot = ((pixels * np.uint32(CACHE_MULTIPLIER)) >> np.uint32(32 - bits)).astype(np.uint16)
+    order = np.argsort(slot, kind="stable")
+    hit = np.zeros(len(pixels), bool)
+    hit[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (pixels[order[1:]] == pixels[order[:-1]])
+    return slot, hit
+
+
+def _with_cache(w: Writer, pixels: np.ndarray, slot: np.ndarray, hit: np.ndarray, bits: int) -> bytes:
+    w.put(1, 1)
+    w.put(bits, 4)
+    w.put(0, 1)  # one group of codes
+    green = np.where(hit, slot.astype(np.int64) + 280, pixels >> 8 & 255)
+    codes, sizes = _book(w, np.bincount(green, minlength=280 + (1 << bits)))
+    values, widths = np.zeros((len(pixels), 4), np.uint64), np.zeros((len(pixels), 4), np.int64)
+    values[:, 0], widths[:, 0] = codes[green], sizes[green]
+    for k, shift in enumerate((16, 0, 24), 1):
+        part = pixels >> np.uint32(shift) & 255
+        codes, sizes = _book(w, np.bincount(part[~hit], minlength=256))
+        values[:, k], widths[:, k] = codes[part], np.where(hit, 0, sizes[part])
+    write_only(w, 0)
+    return _finish(w, values.reshape(-1), widths.reshape(-1))
+
+
+def _palette(flat: np.ndarray, colours: np.ndarray) -> bytes:
+    """Up to 16 byte values as a palette, several indices in one pixel."""
+    w = Writer()
+    _header(w, ROW, len(flat) // ROW, False)
+    w.put(1, 1)
+    w.put(PALETTE, 2)
+    w.put(len(colours) - 1, 8)
+    table = colours.astype(np.int64) << 8 | 0xFF000000
+    parts = [np.diff(table >> s & 255, prepend=0) & 255 for s in (24, 16, 8, 0)]
+    write_stream(w, (parts[0] << 24 | parts[1] << 16 | parts[2] << 8 | parts[3]).astype(np.uint32)[None], False)
+    w.put(0, 1)
+    pack = _pack_bits(len(colours))
+    index = np.searchsorted(colours, flat).astype(np.uint8).reshape(-1, 1 << pack)
+    return _plain(w, (index << (np.arange(1 << pack, dtype=np.uint8) * (8 >> pack))).sum(1, dtype=np.uint8))
+
+
+def _predicted(flat: np.ndarray, mode: int) -> np.ndarray:
+    """Samples less the one left of them (mode 1) or above (mode 2)."""
+    rows = flat.reshape(-1, ROW)
+    out = rows.copy()
+    out[0, 1:] -= rows[0, :-1]
+    out[1:, 0] -= rows[:-1, 0]
+    if mode == 1:
+        out[1:, 1:] -= rows[1:, :-1]
+    else:
+        out[1:, 1:] -= rows[:-1, 1:]
+    return out.reshape(-1)
+
+
+def encode_samples(flat: np.ndarray) -> bytes:
+    """A WebP file of bytes, a multiple of ROW of them, in the form that is expected to be smallest by some margin.
+
+    Forms: plain samples; a palette of up to 16 values; prediction from the left or from above; references
+    to earlier bytes; four bytes a pixel with a colour cache.  samples_of() undoes any of them.
+    """
+    counts = np.bincount(flat, minlength=256)
+    colours = np.flatnonzero(counts)
+    if len(colours) <= 16:
+        return _palette(flat, colours.astype(np.uint8))
+    plain = _bits_of(counts)
+    best, form = plain * GAIN, "plain"
+    for mode, apart in ((1, 1), (2, ROW)):
+        if (cost := _bits_of(np.bincount(flat[apart:] - flat[:-apart], minlength=256)) + 60) < best and len(flat) > ROW:
+            best, form = cost, mode
+    if found := find_references(flat):
+        left = len(flat) - sum(length for _, length, _ in found)
+        each = sum(20 + d.bit_length() for _, _, d in found)
+        if (cost := plain * left / len(flat) + each) < best:
+            best, form = cost, "references"
+    pixels = flat.view("<u4")
+    bits = min(CACHE_BITS, max(1, len(pixels).bit_length() + 1))
+    slot, hit = cached_pixels(pixels, bits)
+    green = np.where(hit, slot.astype(np.int64) + 280, pixels >> 8 & 255)
+    cost = _bits_of(np.bincount(green))
+    for shift in (0, 16, 24):
+        if cost >= best:
+            break
+        cost += _bits_of(np.bincount((pixels >> np.uint32(shift) & 255)[~hit]))
+    w = Writer()
+    if cost < best:
+        _header(w, ROW // 4, len(flat) // ROW, True)
+        w.put(0, 1)
+        return _with_cache(w, pixels, slot, hit, bits)
+    _header(w, ROW, len(flat) // ROW, False)
+    if form in (1, 2):
+        w.put(1, 1)
+        w.put(PREDICTOR, 2)
+        w.put(7, 3)  # blocks of 512 pixels a side
+        write_stream(w, np.full((blocks(len(flat) // ROW, 9), 1), form << 8, np.uint32), False)
+        w.put(0, 1)
+        return _plain(w, _predicted(flat, form), 0)
+    w.put(0, 1)
+    return _with_references(w, flat, found) if form == "references" else _plain(w, flat)
+
+
+def samples_of(image: np.ndarray) -> np.ndarray:
+    """The bytes of a decoded image: the green of rows of 64 pixels, or all four bytes of rows of 16."""
+    if image.shape[1] == ROW:
+        return (image >> 8).astype(np.uint8).reshape(-1)
+    return np.ascontiguousarray(image).astype("<u4").view(np.uint8).reshape(-1)

@@ -1,15 +1,17 @@
 """Lossless WebP: both decoders on images that use every feature, and exact payload round trips."""
 
+import base64
 import hashlib
 import itertools
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm import media, webp
+from tessera.llm import media, token_files, webp
 
 
 def both(data):
@@ -68,7 +70,59 @@ def test_payloads(text):
     assert len(payload) % 64 == 0 and len(payload) > 0
     blob = media.encode_payload(payload)
     assert media.decode_payload(blob).tobytes() == payload
-    assert (both(blob) >> 8 & 255).astype(np.uint8).tobytes() == payload
+    assert webp.samples_of(both(blob)).tobytes() == payload
+
+
+#: A lossless alpha chunk (16 x 16) from a public test file, written by another encoder, and the alpha of its PNG twin.
+ALPHA = "J6KokSTleucYX+ffKpmImP90cY3gJjDi4Yt3MsjBEVyDKzDosHgVjnhRNcEIDAJPkqBqsFUZHNa2bUYvTsZ2PLbtd/uvKa4hov9J0f2PkPe6REkkGzolkTTzFG0Ox9PlFiD0CxS+kOGDtxoynjaCfx0pfk52CPuInrOR75lzRugygtv4zEiy90UwfSD9NheMITJWLaXWayO8XeOlWRXVnIGk2W6WdYoYMQ+KqixQNPowgt+6a1BSKbUtz+lUFAoBAAA="
+ALPHA_PIXELS = (
+    "00000000afedfffffff7920b0300000000000000ffffffffffffff280b00000000000000ffffffffffffff4115000000007ea0a1a3a7aaaaffffff4818000000"
+    "bdffffffffffffffffffff48fff7820affffffffffffffffffffb643ffffed24fffffffffffffffff7b64f88ffffff3dffffffffb65c4c4847416bf7ffffff46"
+    "f7ffffaa4ea6f7fffffffffffffff747d7ffff5bb3ffffffffffffffffffc2416ff7ff4bffffffffffffffffffff7a3408213c35ffffffaaa9a9a9a9a9794120"
+    "02091312ffffffffffffff41352c1e0b00000000f7fffffffffff7401c090501000000004cccf7ffffd87b3b1200000000000000081d35424745381f08000000"
+)
+#: One-pixel files that browsers are probed with: black without alpha, opaque white.
+PROBES = {"UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==": 0, "UklGRh4AAABXRUJQVlA4TBEAAAAvAAAAAAfQ//73v/+BiOh/AAA=": 0xFFFFFFFF}
+
+
+def test_files_of_other_encoders():
+    data = base64.b64decode(ALPHA)
+    for fast in (True, False):
+        seen = set()
+        image = webp.decode_body(webp.Bits(data), 16, 16, fast, seen)
+        assert (image >> 8 & 255).astype(np.uint8).tobytes().hex() == ALPHA_PIXELS and seen == {"palette", "references"}
+    for text, pixel in PROBES.items():
+        assert both(base64.b64decode(text)).tolist() == [[pixel]]
+
+
+def test_forms():
+    """Every form is chosen where it is the smallest, and read back."""
+    rng = np.random.default_rng(8)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8)) for _ in range(300)]
+    prose = b" ".join(words[i] for i in rng.integers(0, 300, 1500))
+    ramp = bytes((np.arange(64)[None] * 3 + np.arange(200)[:, None] * 5 + rng.integers(0, 2, (200, 64)) & 255).astype(np.uint8).tobytes())
+    cases = {"references": prose[:1500] * 4, "cache": rng.integers(0, 1 << 32, 60, dtype=np.uint32)[rng.integers(0, 60, 4000)].tobytes(), "palette": b"01234567" * 9 + b"x1", "predictor": ramp, None: rng.integers(0, 256, 3000).astype(np.uint8).tobytes()}
+    for name, text in cases.items():
+        payload = media.payload_of(text)
+        blob = media.encode_payload(payload)
+        assert webp.used(blob) == ({name} if name else set()), name
+        assert media.decode_payload(blob).tobytes() == payload
+        assert webp.samples_of(both(blob)).tobytes() == payload
+
+
+def test_forms_of_the_documents(spark):
+    """The decoder meets references, the colour cache and palettes in the stored images of the query."""
+    rows = media.store_media(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()
+    counts = Counter(f for r in rows for f in webp.used(bytes(r.media)))
+    assert min(counts[f] for f in ("references", "cache", "palette")) > 0 and set(counts) <= {"references", "cache", "palette", "predictor"}
+
+
+def test_lengths_as_package_merge():
+    rng = np.random.default_rng(2)
+    for n in (2, 3, 10, 60, 256):
+        counts = rng.zipf(1.3, n).clip(0, 10**9) * rng.integers(0, 2, n)
+        a, b = webp.code_lengths(counts, 15).astype(int), token_files.code_lengths(counts, 15).astype(int)
+        assert (a * counts).sum() == (b * counts).sum() and a.max(initial=0) <= 15
 
 
 def test_several_images():
