@@ -104,6 +104,16 @@ class Code:
         return entry >> 4
 
 
+@lru_cache
+def _length_table(n: int, packed: int) -> tuple[list, int]:
+    """(table, bits) of the code that n packed lengths of three bits give."""
+    meta = np.zeros(19, np.int64)
+    for k, i in enumerate(LENGTH_ORDER[:n]):
+        meta[i] = packed >> 3 * k & 7
+    code = Code(meta)
+    return code.table.tolist(), code.bits
+
+
 @lru_cache
 def _simple(first: int, second: int | None) -> Code:
     lengths = np.zeros(256, np.int64)
@@ -117,11 +127,8 @@ def read_code(bits: Bits, size: int) -> Code:
         first = bits.read(8 if bits.read(1) else 1)
         return _simple(first, bits.read(8) if two else None)
     lengths = np.zeros(size, np.int64)
-    meta = np.zeros(19, np.int64)
-    for i in LENGTH_ORDER[: 4 + bits.read(4)]:
-        meta[i] = bits.read(3)
-    code = Code(meta)
-    table, width = code.table.tolist(), code.bits
+    n = 4 + bits.read(4)
+    table, width = _length_table(n, bits.read(3 * n))
     most = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     out, previous, mask = [], 8, (1 << width) - 1
     words, at = memoryview(bits.words()), bits.at
@@ -241,11 +248,11 @@ def _decode_at_once(bits: Bits, width: int, height: int, group: list, seen: set)
 
     last = count - 1
     green = entries(group[0])
-    step = np.minimum(np.arange(count, dtype=np.int32) + (green & 15).astype(np.int32), np.int32(last))
+    step = np.minimum(np.arange(count) + (green & 15), last)
     follow = step
     for code in group[1:4]:
         if code.bits:
-            follow = np.minimum(follow + (entries(code)[follow] & 15).astype(np.int32), np.int32(last))
+            follow = np.minimum(follow + (entries(code, follow) & 15), last)
     refers = (group[0].table >> 4 >= 256).any()
     if refers:
         refs = np.flatnonzero(green >> 4 >= 256)
@@ -310,7 +317,7 @@ def _orbit(follow: np.ndarray, n: int) -> np.ndarray:
         return np.zeros(n, np.int64)
     stride = 1
     far = follow
-    while stride < 32 and stride * 32 < n:
+    while stride < 16 and stride * 32 < n:
         far = far[far]
         stride *= 2
     table, p, end, heads = memoryview(far), 0, len(follow) - 1, []
@@ -568,7 +575,7 @@ def write_code(w: Writer, lengths: np.ndarray) -> None:
     w.put(0, 1)
     used = np.flatnonzero(lengths)
     tokens = []
-    for gap, size in zip((np.diff(used, prepend=-1) - 1).tolist(), lengths[used].tolist(), strict=True):
+    for gap, size in zip((used - np.concatenate([[-1], used[:-1]]) - 1).tolist(), lengths[used].tolist(), strict=True):
         while gap >= 3:
             n = min(gap, 138)
             tokens.append((17, n - 3, 3) if n < 11 else (18, n - 11, 7))
@@ -576,32 +583,37 @@ def write_code(w: Writer, lengths: np.ndarray) -> None:
         if gap:
             tokens += [(0, 0, 0)] * gap
         tokens.append((size, 0, 0))
-    counts = np.bincount([t for t, *_ in tokens], minlength=19)
-    meta = code_lengths(counts, 7)
-    if np.count_nonzero(meta) == 1:  # two symbols make the code complete
-        meta[0 if not meta[0] else 1] = 1
-    order = [int(meta[i]) for i in LENGTH_ORDER]
-    while len(order) > 4 and not order[-1]:
-        order.pop()
-    w.put(len(order) - 4, 4)
-    for n in order:
-        w.put(n, 3)
-    w.put(1, 1)  # number of tokens
-    most = len(tokens)
-    if most < 2:
+    w.put(LENGTH_HEAD, LENGTH_HEAD_BITS)
+    if len(tokens) < 2:
         tokens.append((0, 0, 0))
-        most = 2
-    n = max(0, ((most - 2).bit_length() - 1) // 2)
-    w.put(n, 3)
-    w.put(most - 2, 2 + 2 * n)
-    used = np.flatnonzero(meta)
+    most = len(tokens) - 2
+    n = max(0, (most.bit_length() - 1) // 2)
+    w.put(1 | n << 1 | most << 4, 6 + 2 * n)
+    value, size = 0, 0
+    for t, extra, bits in tokens:
+        k = LENGTH_SIZES[t]
+        value |= (LENGTH_CODES[t] | extra << k) << size
+        size += k + bits
+    w.put(value, size)
+
+
+def _length_code() -> tuple[list, list, int, int]:
+    """(sizes, codes, header, its bits) of one complete code for code lengths, used for all of them.
+
+    Long runs of unused symbols get three bits, usual lengths four, the others five; "as before" is not used.
+    """
+    sizes = np.array([3 if s > 16 else 0 if s == 16 else 4 if s in (0, 5, 6, 7, 8, 9, 10, 11) else 5 for s in range(19)])
+    used = np.flatnonzero(sizes)
     codes = np.zeros(19, np.int64)
-    codes[used[np.argsort(meta[used], kind="stable")]] = canonical(meta)
-    codes, sizes = codes.tolist(), meta.tolist()
-    for t, value, extra in tokens:
-        w.put(codes[t], sizes[t])
-        if extra:
-            w.put(value, extra)
+    codes[used[np.argsort(sizes[used], kind="stable")]] = canonical(sizes)
+    head, bits = 15, 4  # lengths of all 19 follow
+    for i in LENGTH_ORDER:
+        head |= int(sizes[i]) << bits
+        bits += 3
+    return sizes.tolist(), codes.tolist(), head, bits
+
+
+LENGTH_SIZES, LENGTH_CODES, LENGTH_HEAD, LENGTH_HEAD_BITS = _length_code()
 
 
 def write_only(w: Writer, *symbols: int) -> None:
@@ -773,7 +785,7 @@ def encode_image(image: np.ndarray, transforms: tuple = (), bits: int = 3, modes
 ROW = 64
 MATCH = 16  # bytes of the shortest reference
 CACHE_BITS = 11
-GAIN = 0.95  # a form that takes more steps must be smaller by this factor
+GAIN = 0.92  # a form that takes more steps must be smaller by this factor
 
 
 def _bits_of(counts: np.ndarray) -> float:
