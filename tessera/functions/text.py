@@ -2,17 +2,45 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ACCENTED = "àâäáãçéèêëíîïìñóôöòõúûüùÿ"
-PLAIN = "aaaaaceeeeiiiinooooouuuuy"
+#: Letters that Unicode does not take apart, and what they are written as without marks.
+LETTERS = {"æ": "ae", "œ": "oe", "ß": "ss", "þ": "th", "ĳ": "ij", "ø": "o", "ł": "l", "đ": "d", "ð": "d", "ħ": "h", "ŧ": "t", "ı": "i", "ŋ": "n", "ĸ": "k", "ŀ": "l", "ŉ": "n"}
+
+
+def _bases() -> dict[str, str]:
+    """Lower-case Latin letters with marks (to the end of Latin Extended Additional), and their bare letters."""
+    out = {}
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        c = chr(code)
+        base = unicodedata.normalize("NFD", c)[0]
+        if c.lower() == c and base != c and base.isascii():
+            out[c] = base
+    return out | {c: x for c, x in LETTERS.items() if len(x) == 1}
+
+
+BASES = _bases()
 
 
 def fold(c: Column) -> Column:
-    """Lower case without the accents of the Latin letters in use."""
-    return F.translate(F.lower(c), ACCENTED, PLAIN)
+    """Lower case without accents: marks go, whether part of a letter or behind it, and ligatures are spelt out."""
+    low = F.lower(c)
+    out = F.translate(low, "".join(BASES), "".join(BASES.values()))
+    for letter, spelt in LETTERS.items():
+        if len(spelt) > 1:
+            out = F.replace(out, F.lit(letter), F.lit(spelt))
+    return F.when(low.rlike(r"[^\x00-\x7F]"), F.regexp_replace(out, r"[\u0300-\u036F]", "")).otherwise(low)
+
+
+def folded(text: str) -> str:
+    """As fold(), of a Python string."""
+    text = text.lower().translate(str.maketrans(BASES | LETTERS))
+    return "".join(c for c in text if not "\u0300" <= c <= "\u036f")
 
 
 def squeeze(c: Column) -> Column:
@@ -40,7 +68,8 @@ def attribution(c: Column) -> Column:
 
 
 def content_hash(c: Column) -> Column:
-    return F.sha2(F.lower(squeeze(c)).cast("binary"), 256)
+    """SHA-256 of the text in compatibility normal form, lower case and with single spaces."""
+    return F.sha2(F.lower(squeeze(nfkc(c))).cast("binary"), 256)
 
 
 def word_count(c: Column) -> Column:
@@ -57,14 +86,23 @@ def snippet(c: Column, n: int = 280) -> Column:
     return F.when(F.length(c) > n, F.concat(F.regexp_extract(F.left(c, F.lit(n - 3)), r"(?s)^(.*)\s", 1), F.lit("..."))).otherwise(c)
 
 
+def unescape(c: Column) -> Column:
+    """Text with all named and numeric character references resolved; only rows with an ampersand go to Arrow batches."""
+    @F.pandas_udf("string")
+    def resolved(x: pd.Series) -> pd.Series:
+        import html
+
+        return x.map(lambda t: None if t is None else html.unescape(t))
+
+    return F.coalesce(resolved(F.when(F.contains(c, F.lit("&")), c)), c)
+
+
 def html_to_text(c: Column) -> Column:
-    """Text of HTML: scripts and styles go, breaks and paragraph ends are new lines, the common entities are resolved, blank lines drop."""
-    t = F.regexp_replace(F.regexp_replace(c, r"(?is)<script\b.*?</script>", ""), r"(?is)<style\b.*?</style>", "")
+    """Text of HTML: scripts and styles go, breaks and paragraph ends are new lines, other tags are spaces, character references are resolved, blank lines drop."""
+    t = F.regexp_replace(F.regexp_replace(c, r"(?is)<script\b.*?</script>", " "), r"(?is)<style\b.*?</style>", " ")
     t = F.regexp_replace(t, r"(?i)<br\s*/?>|</p>|</h[1-6]>|</li>|</div>", "\n")
-    t = F.regexp_replace(t, r"(?s)<[^>]*>", "")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(name), F.lit(char))
-    t = F.regexp_replace(t, r"[ \t\r\f]+", " ")
+    t = unescape(F.regexp_replace(t, r"(?s)<[^>]*>", " "))
+    t = F.regexp_replace(t, "[ \\t\\r\\f\u00a0]+", " ")
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r" ?\n ?", "\n"), r"\n+", "\n"), r"^\s+|\s+$", "")
 
 
@@ -119,13 +157,27 @@ def canonical_social(url: Column) -> Column:
     return out
 
 
-def truecase(c: Column) -> Column:
-    """Sentence case for lines that are mostly capitals; others stay."""
+def truecase(c: Column, proper: Sequence[str] = ()) -> Column:
+    """Sentence case for lines that are mostly capitals; others stay.
+
+    proper: names as they are written; a word that is one but for its case is written so, wherever it stands.
+    """
     letters = F.regexp_replace(c, r"[^\p{L}]", "")
     capitals = F.length(F.regexp_replace(letters, r"[^\p{Lu}]", ""))
     shouted = (F.length(letters) > 0) & (capitals >= 0.7 * F.length(letters))
     sentences = F.split(F.lower(c), r"(?<=[.!?])\s+")
-    return F.when(shouted, F.array_join(F.transform(sentences, lambda s: F.concat(F.upper(F.left(s, F.lit(1))), F.substring(s, 2, 1 << 20))), " ")).otherwise(c)
+    cased = F.array_join(F.transform(sentences, lambda s: F.concat(F.upper(F.left(s, F.lit(1))), F.substring(s, 2, 1 << 20))), " ")
+    if proper:
+        names = F.create_map(*(F.lit(x) for p in dict.fromkeys(proper) for x in (p.lower(), p)))
+
+        def named(w):
+            lead = F.regexp_extract(w, r"^[^\p{L}]*", 0)
+            core = F.regexp_extract(w, r"^[^\p{L}]*(\p{L}(?:[\p{L}'’-]*\p{L})?)", 1)
+            known = F.try_element_at(names, F.lower(core))
+            return F.when(known.isNotNull(), F.concat(lead, known, F.substring(w, F.length(lead) + F.length(core) + 1, F.lit(1 << 20)))).otherwise(w)
+
+        cased = F.array_join(F.transform(F.split(cased, " "), named), " ")
+    return F.when(shouted, cased).otherwise(c)
 
 
 def language_by_markers(c: Column, markers: dict[str, tuple[str, ...]], default: str) -> Column:
@@ -160,14 +212,12 @@ def sequence_ratio(a: Column, b: Column) -> Column:
 
 
 def nfkc(c: Column) -> Column:
-    """Compatibility normal form, in Arrow batches."""
+    """Compatibility normal form; only rows with other than ASCII characters go to Arrow batches."""
     @F.pandas_udf("string")
     def normal(x: pd.Series) -> pd.Series:
-        import unicodedata
-
         return x.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
-    return normal(c)
+    return F.coalesce(normal(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
 
 
 def votes_in(text: Column) -> Column:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,47 +24,39 @@ def estimate(text: str) -> int:
     return max(1, round(len(text) / CHARS_A_TOKEN))
 
 
-def pieces_of(text: str) -> list[str]:
-    """Paragraphs; of a single paragraph its sentences."""
-    parts = [p for p in re.split(r"\n+", text) if p.strip()]
-    return parts if len(parts) > 1 else re.split(r"(?<=[.!?])\s+(?=[A-ZÀ-Ý])", text)
-
-
-def packed(pieces: list[str], target: int, overlap: int):
-    """Yield (chunk, is last): pieces joined up to the target; each further chunk begins with the tail of the one before."""
-    held: list[str] = []
-    size, tail = 0, int(overlap * CHARS_A_TOKEN)
-    for piece in pieces:
-        n = estimate(piece)
-        if held and size + n > target:
-            chunk = "\n".join(held).strip()
-            yield chunk, False
-            held = [chunk[-tail:]] if tail and chunk else []
-            size = sum(map(estimate, held))
-        held.append(piece)
-        size += n
-    yield "\n".join(held).strip(), True
+def boundaries(text: str) -> list[tuple[int, int]]:
+    """Where the units of a text lie: its lines that are not blank or, if it is one line, its sentences."""
+    lines = [m.span() for m in re.finditer(r"[^\n]+", text) if not m[0].isspace()]
+    if len(lines) != 1:
+        return lines
+    gaps = [m.span() for m in re.finditer(r"(?<=[.!?])\s+(?=[A-ZÀ-Ý])", text)]
+    return list(zip([0, *(b for _, b in gaps)], [*(a for a, _ in gaps), len(text)], strict=True))
 
 
 def passages(text: str, target: int = TARGET, overlap: int = OVERLAP, least: int = LEAST) -> list[tuple[str, int, int, int]]:
-    """(text, char_start, char_end, tokens) of a document's passages; offsets count from the stripped text.
+    """(text, char_start, char_end, tokens) of a document's passages.
 
-    A chunk that does not occur verbatim behind its predecessor (overlap, joined sentences) starts
-    where that one ends.
+    Running totals of the units' sizes give each passage its last unit by binary search: the last one that keeps it
+    within the target, but at least one.  A further passage begins with the tail of the one before, whose size
+    counts.  Places count from the stripped text, passage behind passage with their overlaps: each starts where the
+    one before ends.  A last passage of fewer than `least` tokens is left out.
     """
     text = text.strip()
     if not text or estimate(text) < least:
         return []
     if estimate(text) <= target:
         return [(text, 0, len(text), estimate(text))]
-    out, cursor = [], 0
-    for chunk, last in packed(pieces_of(text), target, overlap):
-        if not chunk or last and estimate(chunk) < least:
-            continue
-        at = text.find(chunk, cursor)
-        at = cursor if at < 0 else at
-        cursor = at + len(chunk)
-        out.append((chunk, at, cursor, estimate(chunk)))
+    units = boundaries(text)
+    totals = [0, *accumulate(estimate(text[a:b]) for a, b in units)]
+    out, first, lead, place = [], 0, "", 0
+    while first < len(units):
+        room = target - (estimate(lead) if lead else 0)
+        behind = max(first + 1, bisect_right(totals, totals[first] + room) - 1)
+        body = "\n".join([*([lead] if lead else []), *(text[a:b] for a, b in units[first:behind])]).strip()
+        if behind < len(units) or estimate(body) >= least:
+            out.append((body, place, place + len(body), estimate(body)))
+            place += len(body)
+        first, lead = behind, body[max(0, len(body) - int(overlap * CHARS_A_TOKEN)) :]
     return out
 
 
@@ -144,18 +138,41 @@ def parse_websearch(query: str) -> WebQuery:
 
 
 def _fold(text: str) -> str:
-    from tessera.functions.text import ACCENTED, PLAIN
+    from tessera.functions.text import folded
+
+    return folded(text)
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once a row: the optimiser leaves a lambda's variable alone."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
 
-    return text.lower().translate(str.maketrans(ACCENTED, PLAIN))
+_both = lambda xs: reduce(lambda a, b: a & b, xs, F.lit(True))
+_either = lambda xs: reduce(lambda a, b: a | b, xs, F.lit(False))
 
 
 def matches(tokens: Column, query: WebQuery) -> Column:
-    """Whether a token array answers a parsed query; a query of nothing matches nothing."""
-    joined = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
-    has = lambda t: F.array_contains(tokens, t[0]) if len(t) == 1 else F.contains(joined, F.lit(f" {' '.join(t)} "))
-    both = lambda xs: reduce(lambda a, b: a & b, xs, F.lit(True))
-    found = reduce(lambda a, b: a | b, (both(map(has, group)) for group in query.any_of), F.lit(False))
-    return found & both(~has(t) for t in query.none_of)
+    """Whether a token array answers a parsed query; a query of nothing matches nothing.  Tokens are evaluated once."""
+
+    def judged(x):
+        has = lambda t: F.array_contains(x["tokens"], t[0]) if len(t) == 1 else F.contains(x["joined"], F.lit(f" {' '.join(t)} "))
+        return _either(_both(map(has, group)) for group in query.any_of) & _both(~has(t) for t in query.none_of)
+
+    phrases = any(len(t) > 1 for group in [*query.any_of, query.none_of] for t in group)
+    joined = lambda t: F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" ")) if phrases else F.lit("")
+    return _let(tokens, lambda t: _let(F.struct(t.alias("tokens"), joined(t).alias("joined")), judged))
+
+
+def search(text: Column, config: str, query: WebQuery) -> Column:
+    """Whether a text answers a parsed query.
+
+    A token is a folded word or the beginning of one, so a text that lacks a needed token as a plain substring is
+    ruled out before it is analysed.
+    """
+    folded_text = fold(text)
+    may = _let(folded_text, lambda x: _either(_both(F.contains(x, F.lit(w)) for t in group for w in t) for group in query.any_of))
+    return may & matches(analyze(text, config), query)
 
 
 def rank(tokens: Column, query: WebQuery) -> Column:

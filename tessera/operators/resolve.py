@@ -42,14 +42,25 @@ def raised(old: Column, new: Column) -> Column:
     return F.greatest(old, new)
 
 
-def fuzzy_unique(names: DataFrame, roster: DataFrame, name: str, reference: str, candidate: str, most: int = 2, block: Column | None = None, roster_block: Column | None = None) -> DataFrame:
+def shortened(text: Column, most: int) -> Column:
+    """The distinct strings that up to `most` deletions make of a text, itself included."""
+    out = F.array(text)
+    for _ in range(most):
+        once = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.concat(F.left(t, i - 1), F.substring(t, i + 1, F.lit(1 << 20))))
+        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, once))))
+    return out
+
+
+def fuzzy_unique(names: DataFrame, roster: DataFrame, name: str, reference: str, candidate: str, most: int = 2) -> DataFrame:
     """(name, candidate, distance): the one nearest reference within `most` edits, if it is alone at that distance.
 
-    Names meet references of a block (the first letter unless told otherwise), so no cross join.
+    Strings within k edits have a string in common that up to k deletions make of each, so names and references
+    meet by equi-join on these; no pair is missed, whatever letters differ, and none is made twice.
     """
-    a = names.select(name, (block if block is not None else F.left(F.col(name), F.lit(1))).alias("_b")).distinct()
-    b = roster.select(F.col(reference).alias("_ref"), candidate, (roster_block if roster_block is not None else F.left(F.col(reference), F.lit(1))).alias("_b"))
-    near = a.join(b, "_b").withColumn("distance", F.levenshtein(name, "_ref", most)).where("distance >= 0")
+    a = names.select(name).where(F.col(name).isNotNull()).distinct().withColumn("_v", F.explode(shortened(F.col(name), most)))
+    b = roster.select(F.col(reference).alias("_ref"), candidate, F.explode(shortened(F.col(reference), most)).alias("_v"))
+    met = a.join(b, "_v").select(name, "_ref", candidate).distinct()
+    near = met.withColumn("distance", F.levenshtein(name, "_ref", most)).where("distance >= 0")
     best = near.groupBy(name, "distance").agg(F.count_distinct(candidate).alias("_n"), F.min(candidate).alias(candidate))
     first = best.groupBy(name).agg(F.min_by(F.struct("distance", "_n", candidate), "distance").alias("x"))
     return first.where("x._n = 1").select(name, f"x.{candidate}", "x.distance")

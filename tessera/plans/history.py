@@ -150,13 +150,14 @@ def resolve_propagated(spark, d):
 
 
 @query("fuzzy_unique_match", """
-WITH n AS (SELECT DISTINCT left(p_name, 1) || substr(p_name, 3) AS name FROM part), r AS (SELECT p_name AS ref, min(p_partkey) AS id FROM part GROUP BY 1),
-m AS (SELECT name, id, levenshtein(name, ref) AS distance FROM n JOIN r ON left(name, 1) = left(ref, 1) WHERE levenshtein(name, ref) <= 2),
+WITH n AS (SELECT DISTINCT left(p_name, 1) || substr(p_name, 3) AS name FROM part UNION SELECT DISTINCT 'z' || substr(p_name, 2) FROM part), r AS (SELECT p_name AS ref, min(p_partkey) AS id FROM part GROUP BY 1),
+m AS (SELECT name, id, levenshtein(name, ref) AS distance FROM n, r WHERE levenshtein(name, ref) <= 2),
 b AS (SELECT name, distance, count(DISTINCT id) AS c, min(id) AS id FROM m GROUP BY ALL)
 SELECT name, id, distance::INTEGER AS distance FROM b WHERE c = 1 AND distance = (SELECT min(distance) FROM b x WHERE x.name = b.name)""")
 def fuzzy_unique_match(spark, d):
+    """Names with a letter missing, and names with another first letter."""
     p = Tables(spark, d).part
-    names = p.select(F.concat(F.left("p_name", F.lit(1)), F.substring("p_name", 3, 1000)).alias("name")).distinct()
+    names = p.select(F.explode(F.array(F.concat(F.left("p_name", F.lit(1)), F.substring("p_name", 3, 1000)), F.concat(F.lit("z"), F.substring("p_name", 2, 1000)))).alias("name"))
     roster = p.groupBy(F.col("p_name").alias("ref")).agg(F.min("p_partkey").alias("id"))
     return rs.fuzzy_unique(names, roster, "name", "ref", "id")
 

@@ -51,9 +51,10 @@ def social_profiles(spark, d):
     return r.select("id", tx.canonical_social(F.col("url")).alias("s")).select("id", "s.platform", "s.handle")
 
 
-@query("truecased", "SELECT * FROM (VALUES (1, 'Thank you. We agree.'), (2, 'Mixed Case STAYS here'), (3, '123')) t(id, line)")
+@query("truecased", "SELECT * FROM (VALUES (1, 'Thank you. We agree.'), (2, 'Mixed Case STAYS here'), (3, '123'), (4, 'The member for Saint-Henri, (Mr. McLeod''s friend), asked Ottawa.')) t(id, line)")
 def truecased(spark, d):
-    return rows(spark, "id int, raw string", (1, "THANK YOU. WE AGREE."), (2, "Mixed Case STAYS here"), (3, "123")).select("id", tx.truecase(F.col("raw")).alias("line"))
+    lines = rows(spark, "id int, raw string", (1, "THANK YOU. WE AGREE."), (2, "Mixed Case STAYS here"), (3, "123"), (4, "THE MEMBER FOR SAINT-HENRI, (MR. MCLEOD'S FRIEND), ASKED OTTAWA."))
+    return lines.select("id", tx.truecase(F.col("raw"), ["Ottawa", "Saint-Henri", "McLeod's", "Mr"]).alias("line"))
 
 
 @query("body_titles", "SELECT * FROM (VALUES (1, 'finance', '2024-02-03'), (2, 'roadsandparks', NULL)) t(id, body, day)")

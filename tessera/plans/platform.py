@@ -24,7 +24,7 @@ def _literal(spark, **cells):
 METRICS = '# HELP up x\nup{job="api",host="a"} 1\nlat_bucket{le="0.1"} 5\nlat_bucket{le="0.5"} 18\nlat_bucket{le="+Inf"} 20\nbad line\n\ntemp 36.6\n'
 
 
-@query("metric_lines", "SELECT * FROM (VALUES ('up', 'api', 1.0::DOUBLE), ('lat_bucket', NULL, 5.0), ('lat_bucket', NULL, 18.0), ('lat_bucket', NULL, 20.0), ('temp', NULL, 36.6), ('bad', NULL, NULL)) t(name, job, value)")
+@query("metric_lines", "SELECT * FROM (VALUES ('up', 'api', 1.0::DOUBLE), ('lat_bucket', NULL, 5.0), ('lat_bucket', NULL, 18.0), ('lat_bucket', NULL, 20.0), ('temp', NULL, 36.6)) t(name, job, value)")
 def metric_lines(spark, d):
     return landing.metric_lines(_literal(spark, content=METRICS), "content", []).select("name", F.col("labels")["job"].alias("job"), "value")
 
@@ -77,11 +77,10 @@ def social_post_fields(spark, d):
     return landing.social_posts(e, "props", {"a": {"likes": "$.k"}, "b": {"likes": "$.none"}}).select("event_id", "likes")
 
 
-@query("sample_to_target")
+@query("sample_to_target", "SELECT doc_id, lang FROM documents ORDER BY md5('5:' || doc_id), doc_id LIMIT 100")
 def sample_to_target(spark, d):
-    """A sampling operator: about a hundred documents."""
-    t = Tables(spark, d).documents.select("doc_id", "lang")
-    return landing.sample_to(t, 100, t.count(), 5)
+    """A sampling operator: a hundred documents."""
+    return landing.sample_to(Tables(spark, d).documents.select("doc_id", "lang"), 100, "doc_id", 5)
 
 
 # -- classification ----------------------------------------------------------------------------

@@ -31,11 +31,24 @@ def word_count_filter(spark, d):
     return Tables(spark, d).documents.select("doc_id", n.alias("words")).where("words >= 15")
 
 
-@query("fold_accents", "SELECT doc_id, md5(strip_accents(lower(text))) AS folded FROM documents")
+def _folded(x):
+    return f"translate(replace(replace(replace(replace(replace(strip_accents(lower({x})), 'æ', 'ae'), 'œ', 'oe'), 'ß', 'ss'), 'þ', 'th'), 'ĳ', 'ij'), 'øłđðħŧıŋĸŀŉ', 'olddhtinkln')"
+
+
+@query("fold_accents", f"SELECT doc_id, md5({_folded('text')}) AS folded FROM documents")
 def fold_accents(spark, d):
     return Tables(spark, d).documents.select("doc_id", F.md5(tx.fold(F.col("text"))).alias("folded"))
 
 
+_NAMES = "CŒUR Łódź Ås Dvořák Ǆ Straße Þór Æsir Nguyễn Şırnak Żółć e\u0301 "
+
+
+@query("fold_letters", f"SELECT p_partkey, {_folded(f"'{_NAMES}' || p_name")} AS folded FROM part")
+def fold_letters(spark, d):
+    """Letters beyond Latin-1, ligatures, marks that stand alone."""
+    return Tables(spark, d).part.select("p_partkey", tx.fold(F.concat(F.lit(_NAMES), "p_name")).alias("folded"))
+
+
 @query("ellipsis_and_left", "SELECT doc_id, CASE WHEN length(text) > 40 THEN left(text, 40) || '…' ELSE text END AS short, left(text, 10) AS head FROM documents")
 def ellipsis_and_left(spark, d):
     return Tables(spark, d).documents.select("doc_id", tx.ellipsis(F.col("text"), 40).alias("short"), F.left("text", F.lit(10)).alias("head"))
@@ -52,11 +65,11 @@ def hostnames(spark, d):
 
 
 _HTML = "html"
-for _p, _r in (("(?is)<script\\b.*?</script>", ""), ("(?is)<style\\b.*?</style>", ""), ("(?i)<br\\s*/?>|</p>|</h[1-6]>|</li>|</div>", "\n"), ("(?s)<[^>]*>", "")):
+for _p, _r in (("(?is)<script\\b.*?</script>", " "), ("(?is)<style\\b.*?</style>", " "), ("(?i)<br\\s*/?>|</p>|</h[1-6]>|</li>|</div>", "\n"), ("(?s)<[^>]*>", " ")):
     _HTML = f"regexp_replace({_HTML}, '{_p}', '{_r}', 'g')"
-for _p, _r in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+for _p, _r in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):  # all that occur in the pages
     _HTML = f"replace({_HTML}, '{_p}', '{_r}')"
-_HTML = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({_HTML}, '[ \\t\\r\\f]+', ' ', 'g'), ' ?\n ?', '\n', 'g'), '\n+', '\n', 'g'), '^\\s+|\\s+$', '', 'g')"
+_HTML = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({_HTML}, '[ \\t\\r\\f\\x{{A0}}]+', ' ', 'g'), ' ?\n ?', '\n', 'g'), '\n+', '\n', 'g'), '^\\s+|\\s+$', '', 'g')"
 
 
 @query("html_text", f"SELECT page_id, length(x)::INTEGER AS n, md5(x) AS digest FROM (SELECT page_id, {_HTML} AS x FROM pages)")
@@ -65,6 +78,13 @@ def html_text(spark, d):
     return x.select("page_id", F.length("x").alias("n"), F.md5("x").alias("digest"))
 
 
+@query("html_entities", "SELECT page_id, 'Député’s ''vote'' &amp; ' || page_id || chr(10) || 'a b — ☃' AS x FROM pages")
+def html_entities(spark, d):
+    """Named, decimal and hexadecimal references; tags part words; what is escaped twice is resolved once."""
+    raw = F.concat(F.lit("<p>D&eacute;put&eacute;&#8217;s &#x27;vote&apos; &amp;amp; "), F.col("page_id").cast("string"), F.lit("</p><b>a</b><i>b</i> &mdash;&nbsp;&#x2603;"))
+    return Tables(spark, d).pages.select("page_id", tx.html_to_text(raw).alias("x"))
+
+
 @query("language_markers", """
 SELECT doc_id, CASE WHEN greatest(en, fr, de) = 0 THEN 'und' WHEN en = greatest(en, fr, de) THEN 'en' WHEN fr = greatest(en, fr, de) THEN 'fr' ELSE 'de' END AS guess FROM (
 SELECT doc_id, len(list_filter(string_split_regex(lower(text), '[^\\p{L}]+'), lambda w: w IN ('the', 'and', 'of'))) AS en, len(list_filter(string_split_regex(lower(text), '[^\\p{L}]+'), lambda w: w IN ('le', 'la', 'des'))) AS fr, len(list_filter(string_split_regex(lower(text), '[^\\p{L}]+'), lambda w: w IN ('der', 'die', 'und'))) AS de FROM documents)""")
@@ -106,7 +126,7 @@ def short_documents(spark, d):
     return Tables(spark, d).documents.select("doc_id", n.alias("tokens")).where("tokens BETWEEN 8 AND 480")
 
 
-_TOKENS = "list_filter(regexp_extract_all(strip_accents(lower(text)), '[a-z0-9]+'), lambda w: NOT list_contains(['a','an','and','are','as','at','be','by','for','from','in','is','it','of','on','or','that','the','this','to','was','with'], w))"
+_TOKENS = "list_filter(regexp_extract_all(replace(strip_accents(lower(text)), 'ß', 'ss'), '[a-z0-9]+'), lambda w: NOT list_contains(['a','an','and','are','as','at','be','by','for','from','in','is','it','of','on','or','that','the','this','to','was','with'], w))"
 _STEMS = f"list_transform({_TOKENS}, lambda w: CASE WHEN length(w) >= 5 THEN regexp_replace(w, '(?:ations?|ings?|edly|ed|es|ly|s)$', '') ELSE w END)"
 
 
@@ -118,8 +138,8 @@ def analyze_english(spark, d):
 
 @query("websearch_match", f"SELECT doc_id FROM (SELECT doc_id, {_STEMS} AS t, ' ' || array_to_string({_STEMS}, ' ') || ' ' AS j FROM documents WHERE lang = 'en') WHERE ((list_contains(t, 'thed') AND list_contains(t, 'wh')) OR contains(j, ' ti and ') OR contains(j, ' ti hea ')) AND NOT list_contains(t, 'ly')")
 def websearch_match(spark, d):
-    t = Tables(spark, d).documents.where("lang = 'en'").select("doc_id", ps.analyze(F.col("text"), "english").alias("t"))
-    return t.where(ps.matches(F.col("t"), ps.parse_websearch('thed wh OR "ti and" OR "ti hea" -ly'))).select("doc_id")
+    t = Tables(spark, d).documents.where("lang = 'en'")
+    return t.where(ps.search(F.col("text"), "english", ps.parse_websearch('thed wh OR "ti and" OR "ti hea" -ly'))).select("doc_id")
 
 
 @query("keyword_rank", f"SELECT doc_id, len(list_filter(t, lambda w: w IN ('thed', 'wh')))::INTEGER AS hits FROM (SELECT doc_id, {_STEMS} AS t FROM documents WHERE lang = 'en') ORDER BY hits DESC, doc_id LIMIT 20")

@@ -25,13 +25,13 @@ def rss_items(df: DataFrame, content: str) -> DataFrame:
 
 
 def metric_lines(df: DataFrame, content: str, keep: list[str]) -> DataFrame:
-    """(keep, name, labels map, value) of metrics in the Prometheus text format; comments and blank lines drop."""
+    """(keep, name, labels map, value) of metrics in the Prometheus text format; comments, blank lines and lines without a number drop."""
     line = F.explode(F.split(content, "\n")).alias("line")
     rows = df.select(*keep, line).where(~F.col("line").rlike(r"^\s*(#|$)"))
     pattern = r"^([A-Za-z_:][A-Za-z0-9_:]*)(?:\{(.*)\})?\s+(\S+)"
     pairs = F.regexp_extract_all(F.regexp_extract("line", pattern, 2), F.lit(r'([A-Za-z_][A-Za-z0-9_]*)="([^"]*)"'), F.lit(0))
     labels = F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.regexp_extract(p, r"^([^=]+)=", 1).alias("key"), F.regexp_extract(p, r'="([^"]*)"', 1).alias("value"))))
-    return rows.select(*keep, F.regexp_extract("line", pattern, 1).alias("name"), labels.alias("labels"), F.expr(f"try_cast(regexp_extract(line, '{pattern.replace(chr(92), chr(92) * 2)}', 3) AS double)").alias("value"))
+    return rows.select(*keep, F.regexp_extract("line", pattern, 1).alias("name"), labels.alias("labels"), F.expr(f"try_cast(regexp_extract(line, '{pattern.replace(chr(92), chr(92) * 2)}', 3) AS double)").alias("value")).where("value IS NOT NULL AND name <> ''")
 
 
 #: Page grammars: a fingerprint, the pattern that opens a turn (speaker in its first group).
@@ -117,6 +117,6 @@ def geo_ip(df: DataFrame, ip: str, ranges: DataFrame) -> DataFrame:
     return wide.join(laid, hit, "left").select(*(wide[c] for c in df.columns), "country")
 
 
-def sample_to(df: DataFrame, target: int, total: int, seed: int) -> DataFrame:
-    """About target rows by Bernoulli sampling a little above, then a cut."""
-    return df if total <= target else df.sample(False, min(1.0, 1.2 * target / total), seed).limit(target)
+def sample_to(df: DataFrame, target: int, key: str, seed: int) -> DataFrame:
+    """At most target rows, those of the smallest hash of their key: every row is as likely, whatever partition it lies in."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), key).limit(target)

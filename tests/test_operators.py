@@ -1,5 +1,8 @@
 """Operators on small literal inputs with worked-out results."""
 
+import random
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +14,7 @@ from tessera.operators import cluster as cl
 from tessera.operators import geo
 from tessera.operators import passages as ps
 from tessera.operators import relational as rel
+from tessera.operators import resolve as rs
 from tessera.operators import turns as tn
 from tessera.operators import vector as vec
 from tessera.plans import filters
@@ -45,6 +49,53 @@ def test_passages_long_paragraph_and_sentences():
     assert len(ps.passages(sentences)) > 1
 
 
+def brute_passages(text, target, overlap, least):
+    """The rule, unit by unit: add one more as long as the sum of sizes stays within the target."""
+    size = lambda t: max(1, round(len(t) / 3.5))
+    text = text.strip()
+    if not text or size(text) < least:
+        return []
+    if size(text) <= target:
+        return [(text, 0, len(text), size(text))]
+    units = [u for u in re.split(r"\n+", text) if u.strip()]
+    units = re.split(r"(?<=[.!?])\s+(?=[A-ZÀ-Ý])", text) if len(units) == 1 else units
+    out, tail = [], ""
+    while units:
+        n = 1
+        while n < len(units) and sum(map(size, ([tail] if tail else []) + units[: n + 1])) <= target:
+            n += 1
+        chunk = "\n".join(([tail] if tail else []) + units[:n]).strip()
+        units = units[n:]
+        if units or size(chunk) >= least:
+            start = out[-1][2] if out else 0
+            out.append((chunk, start, start + len(chunk), size(chunk)))
+        tail = chunk[-int(overlap * 3.5) :] if int(overlap * 3.5) else ""
+    return out
+
+
+def test_passages_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(300):
+        unit = lambda: "".join(rng.choices("ab É.", k=rng.randint(0, 60))) + rng.choice([".", "!", "", " "])
+        text = "".join(unit() + rng.choice(["\n", "\n\n", " ", ". A"]) for _ in range(rng.randint(0, 25)))
+        args = rng.choice([(30, 5, 3), (20, 0, 8), (60, 10, 8), (10, 8, 2)])
+        assert ps.passages(text, *args) == brute_passages(text, *args), text
+
+
+def test_fold_matches_python(spark):
+    words = ["Cœur Łódź Ås", "İstanbul ıI", "e\u0301", "Ĳssel ŉ", "日本 ñ", "plain", ""]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    assert [r[0] for r in df.select(tx.fold(F.col("w"))).collect()] == [tx.folded(w) for w in words]
+    assert tx.folded("Cœur Łódź Ås") == "coeur lodz as"
+
+
+def test_fuzzy_without_block(spark):
+    names = spark.createDataFrame([("backet",), ("xy",), ("",)], "n string")
+    roster = spark.createDataFrame([("packet", 1), ("rocket", 2), ("ab", 3)], "r string, id int")
+    got = {r.n: (r.id, r.distance) for r in rs.fuzzy_unique(names, roster, "n", "r", "id").collect()}
+    assert got == {"backet": (1, 1), "xy": (3, 2), "": (3, 2)}
+
+
 def test_chunk_frame(spark):
     df = spark.createDataFrame([(1, "word " * 20), (2, "tiny"), (3, None)], "doc_id int, text string")
     keep = spark.createDataFrame([(1, "en")], "doc_id int, lang string")
