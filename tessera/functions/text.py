@@ -86,15 +86,33 @@ def snippet(c: Column, n: int = 280) -> Column:
     return F.when(F.length(c) > n, F.concat(F.regexp_extract(F.left(c, F.lit(n - 3)), r"(?s)^(.*)\s", 1), F.lit("..."))).otherwise(c)
 
 
-def unescape(c: Column) -> Column:
-    """Text with all named and numeric character references resolved; only rows with an ampersand go to Arrow batches."""
-    @F.pandas_udf("string")
-    def resolved(x: pd.Series) -> pd.Series:
-        import html
+def _code_point(n: Column) -> Column:
+    """The character of a number; numbers that name none give the replacement character."""
+    good = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+    return F.when(good, F.decode(F.unhex(F.lpad(F.hex(F.when(good, n)), 8, "0")), "UTF-32")).otherwise("\ufffd")
 
-        return x.map(lambda t: None if t is None else html.unescape(t))
 
-    return F.coalesce(resolved(F.when(F.contains(c, F.lit("&")), c)), c)
+def unescape(c: Column) -> Column:
+    """Text with named, decimal and hexadecimal character references (closed by a semicolon) resolved, each once."""
+    from html.entities import html5
+
+    common = ("amp", "lt", "gt", "quot", "nbsp", "apos")
+    table = F.create_map(*(F.lit(x) for k, v in html5.items() if k.endswith(";") for x in (k[:-1], v)))
+
+    def resolved(part):
+        name = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{0,31});", 1)
+        char = F.when(name == "", None)
+        for k in common:
+            char = char.when(name == k, html5[k + ";"])
+        char = char.when(F.lower(F.left(name, F.lit(2))) == "#x", _code_point(F.conv(F.substring(name, 3, 6), 16, 10).cast("long")))
+        char = char.when(F.left(name, F.lit(1)) == "#", _code_point(F.substring(name, 2, 7).try_cast("long"))).otherwise(F.try_element_at(table, name))
+        return F.when(char.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(char, F.substring(part, F.length(name) + 2, F.lit(1 << 30))))
+
+    def joined(parts):
+        return F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), resolved), ""))
+
+    whole = F.element_at(F.transform(F.array(F.split(c, "&", -1)), joined), 1)
+    return F.when(F.contains(c, F.lit("&")), whole).otherwise(c)
 
 
 def html_to_text(c: Column) -> Column:

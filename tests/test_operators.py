@@ -89,6 +89,12 @@ def test_fold_matches_python(spark):
     assert tx.folded("Cœur Łódź Ås") == "coeur lodz as"
 
 
+def test_character_references(spark):
+    cases = {"&eacute;&Eacute;&notin;": "éÉ∉", "a & b &amp;amp; &": "a & b &amp; &", "&#233;&#xE9;&#X1F600;": "éé😀", "&#0;&#xD800;&#9999999;": "\ufffd" * 3, "&nosuch; &;": "&nosuch; &;", "": "", "&lt": "&lt", "&NotEqualTilde;": "\u2242\u0338"}
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert [r[0] for r in df.select(tx.unescape(F.col("t"))).collect()] == list(cases.values())
+
+
 def test_fuzzy_without_block(spark):
     names = spark.createDataFrame([("backet",), ("xy",), ("",)], "n string")
     roster = spark.createDataFrame([("packet", 1), ("rocket", 2), ("ab", 3)], "r string, id int")
