@@ -43,6 +43,11 @@ def folded(text: str) -> str:
     return "".join(c for c in text if not "\u0300" <= c <= "\u036f")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once a row: the optimiser leaves a lambda's variable alone."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
@@ -100,19 +105,22 @@ def unescape(c: Column) -> Column:
     table = F.create_map(*(F.lit(x) for k, v in html5.items() if k.endswith(";") for x in (k[:-1], v)))
 
     def resolved(part):
-        name = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{0,31});", 1)
+        return _let(F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{0,31});", 1), lambda name: _let(char_of(name), lambda char: replaced(part, name, char)))
+
+    def replaced(part, name, char):
+        return F.when(char.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(char, F.substring(part, F.length(name) + 2, F.lit(1 << 30))))
+
+    def char_of(name):
         char = F.when(name == "", None)
         for k in common:
             char = char.when(name == k, html5[k + ";"])
         char = char.when(F.lower(F.left(name, F.lit(2))) == "#x", _code_point(F.conv(F.substring(name, 3, 6), 16, 10).cast("long")))
-        char = char.when(F.left(name, F.lit(1)) == "#", _code_point(F.substring(name, 2, 7).try_cast("long"))).otherwise(F.try_element_at(table, name))
-        return F.when(char.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(char, F.substring(part, F.length(name) + 2, F.lit(1 << 30))))
+        return char.when(F.left(name, F.lit(1)) == "#", _code_point(F.substring(name, 2, 7).try_cast("long"))).otherwise(F.try_element_at(table, name))
 
     def joined(parts):
         return F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), resolved), ""))
 
-    whole = F.element_at(F.transform(F.array(F.split(c, "&", -1)), joined), 1)
-    return F.when(F.contains(c, F.lit("&")), whole).otherwise(c)
+    return _let(c, lambda x: F.when(F.contains(x, F.lit("&")), _let(F.split(x, "&", -1), joined)).otherwise(x))
 
 
 def html_to_text(c: Column) -> Column:

@@ -44,4 +44,4 @@ def test_facets_scan_once_each(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - {"sequence_ratios", "nfkc_hash", "content_hash_groups", "dedup_by_hash", "repeat_suppression", "chunk_documents", "caption_lines", "cluster_levels", "projection", "stream_tumbling", "stream_sliding", "stream_sessions", "stream_idempotent", "materialized_view"}))
 def test_everything_else_stays_in_the_jvm(spark, name):
-    assert not re.search("Python|Pandas|Arrow", plan(spark, name))
+    assert not re.search("EvalPython|InPandas|InArrow", plan(spark, name))
