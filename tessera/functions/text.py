@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Sequence
 
@@ -102,7 +103,7 @@ def unescape(c: Column) -> Column:
     from html.entities import html5
 
     common = ("amp", "lt", "gt", "quot", "nbsp", "apos")
-    table = F.create_map(*(F.lit(x) for k, v in html5.items() if k.endswith(";") for x in (k[:-1], v)))
+    table = F.from_json(F.lit(json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})), "map<string,string>")  # one literal to plan
 
     def resolved(part):
         return _let(F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{0,31});", 1), lambda name: _let(char_of(name), lambda char: replaced(part, name, char)))
