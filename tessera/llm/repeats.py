@@ -1,24 +1,29 @@
 """Substring dedup over the de Bruijn graph of word windows.
 
-Every window of `width` words is an edge between its two shorter grams.  Edges are dealt by minimiser:
-the smallest hash among the grams of `gram` words inside a window.  Equal windows have equal minimisers,
-and consecutive windows of a text mostly share one, so a stretch of edges travels as one row: about one
-row for fifteen words.  Compaction then goes through Spark joins:
-
-* a minimiser met once holds no repeated edge across rows; repeats inside one text are found in place;
-* a minimiser whose stretches all read alike is a nonbranching path: one row decides all its edges;
-* where stretches differ the path branches: one row of each distinct stretch is expanded into edges,
-  and edges are counted and joined one by one.
-
-Stretches and edges are identified by digests of the words read at their source coordinates, so a
-rolling-hash collision cannot remove anything by itself.  No pairs of occurrences are ever made.
+Every window of `width` words is an edge between the grams of width - 1 words it begins and ends with.
+Edges are dealt by minimiser: the smallest hash among the grams of `gram` words inside a window.  Equal windows
+have equal minimisers, and consecutive windows of a text mostly share one, so a stretch of edges travels as
+one row: about one row for fifteen words.  Then, all through Spark joins:
+
+* Candidates.  A minimiser met once holds no repeated edge.  Stretches of one minimiser that all read alike, by
+  digest, repeat whole; where they differ, those met twice repeat whole and one row of each other distinct
+  stretch is expanded into edges, which are counted one by one.
+* Compaction.  Repeated pieces that follow each other in a text meet at a node.  Its degrees are the numbers of
+  distinct pieces that come in and go out anywhere, the ends of repeats included; at a nonbranching node (one in,
+  one out) the pieces are joined, so that a long repeated span becomes one path, once in each text.
+* Verification.  The words of every path are read at its source coordinates and compared, word for word, with
+  those at all other places of the path: they agree if their least and greatest are equal.  Paths that lie in one
+  text only, which has copies, need no comparison.  Where words differ behind equal digests, all edges of the
+  minimisers concerned are compared by their words instead.
+
+So neither a digest nor a rolling hash decides anything by itself, and no pairs of occurrences are ever made.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import common
@@ -83,6 +88,18 @@ def stretches(words: list[bytes], width: int, gram: int):
     return least[lo], lo, np.diff(np.append(lo, n)), own
 
 
+def digest64(words: bytes) -> int:
+    from xxhash import xxh3_64_intdigest
+
+    return xxh3_64_intdigest(words)
+
+
+def digest128(words: bytes) -> bytes:
+    from xxhash import xxh3_128_digest
+
+    return xxh3_128_digest(words)
+
+
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(starts, lengths) of the runs of True."""
     edge = np.flatnonzero(np.diff(mask, prepend=False, append=False))
@@ -93,8 +110,7 @@ STRETCH = "tid binary, anchor long, digest long, lo int, n int, m int"
 
 
 def _emit_stretches(width: int, gram: int):
-    from xxhash import xxh3_64_intdigest
-
+    digest_of = digest64
     schema = pa.schema([("tid", pa.binary()), ("anchor", pa.int64()), ("digest", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("m", pa.int32())])
 
     def run(batches):
@@ -108,7 +124,7 @@ def _emit_stretches(width: int, gram: int):
                 if len(words) < width:
                     continue
                 anchors, lo, n, own = stretches(words, width, gram)
-                digests = [xxh3_64_intdigest(b" ".join(words[s : s + k + width - 1])) for s, k in zip(lo.tolist(), n.tolist(), strict=True)]
+                digests = [digest_of(b" ".join(words[s : s + k + width - 1])) for s, k in zip(lo.tolist(), n.tolist(), strict=True)]
                 a, k = runs(own)  # rows without a minimiser: windows already known to be repeated
                 tids += [tid] * (len(lo) + len(a))
                 held += len(lo) + len(a)
@@ -128,38 +144,70 @@ def _emit_stretches(width: int, gram: int):
     return run
 
 
-def _emit_edges(width: int):
-    from xxhash import xxh3_128_digest
+EDGE = "a long, b long, tid binary, lo int, w int, anchor long"
 
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("tid", pa.binary()), ("lo", pa.int32()), ("w", pa.int32())])
+
+def _emit_edges(width: int):
+    digest_of = digest128
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("tid", pa.binary()), ("lo", pa.int32()), ("w", pa.int32()), ("anchor", pa.int64())])
 
     def run(batches):
-        seen = set()  # copies of a text give its edges once; bounded by the texts of a task
+        last = None  # copies of a text mostly lie side by side; further ones do no harm, they are repeats
         for batch in batches:
-            tids, lows, weights, digests = [], [], [], []
+            columns, digests = ([], [], [], []), []
             for tid, text, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if tid in seen:
+                if tid == last:
                     continue
-                seen.add(tid)
-                words = text.split()
+                last, words = tid, text.split()
                 for r in rows:
                     found: dict[bytes, list[int]] = {}
                     for s in range(r["lo"], r["lo"] + r["n"]):
-                        found.setdefault(xxh3_128_digest(b" ".join(words[s : s + width])), []).append(s)
-                    for digest, at in found.items():  # repeats inside the text are known: one row says so, however many there are
-                        digests.append(digest)
-                        lows.append(at[0])
-                        tids.append(tid)
-                        weights.append(min(2, r["w"] + len(at) - 1))
-                if len(lows) > 1 << 17:
-                    yield finish(tids, lows, weights, digests)
-                    tids, lows, weights, digests = [], [], [], []
-            if lows:
-                yield finish(tids, lows, weights, digests)
-
-    def finish(tids, lows, weights, digests):
+                        found.setdefault(b" ".join(words[s : s + width]), []).append(s)
+                    for window, at in found.items():  # repeats inside the text are known: one row says so, however many there are
+                        digests.append(digest_of(window))
+                        for column, value in zip(columns, (tid, at[0], min(2, r["w"] + len(at) - 1), r["anchor"]), strict=True):
+                            column.append(value)
+                if len(digests) > 1 << 17:
+                    yield finish(columns, digests)
+                    columns, digests = ([], [], [], []), []
+            if digests:
+                yield finish(columns, digests)
+
+    def finish(columns, digests):
         both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(tids, pa.binary()), pa.array(lows, pa.int32()), pa.array(weights, pa.int32())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), *(pa.array(c, t) for c, t in zip(columns, schema.types[2:], strict=True))], schema=schema)
+
+    return run
+
+
+def _emit_words(width: int, single: bool):
+    """(head_a, head_b, n, words) of every span of a text; single: (words, tid, lo, w) of every window of the spans."""
+
+    def run(batches):
+        last = None
+        for batch in batches:
+            out, held = [], 0
+            for tid, text, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if tid == last:
+                    continue
+                last, words = tid, text.split()
+                for r in rows:
+                    if single:
+                        out += [(b" ".join(words[s : s + width]), tid, s, r["w"]) for s in range(r["lo"], r["lo"] + r["n"])]
+                    else:
+                        out.append((r["head_a"], r["head_b"], r["n"], b" ".join(words[r["lo"] : r["lo"] + r["n"] + width - 1])))
+                    held += r["n"] * (width if single else 1) * 8
+                    if held > 16 << 20:
+                        yield finish(out)
+                        out, held = [], 0
+            if out:
+                yield finish(out)
+
+    types = [pa.binary(), pa.binary(), pa.int32(), pa.int32()] if single else [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    names = ["words", "tid", "lo", "w"] if single else ["head_a", "head_b", "n", "words"]
+
+    def finish(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types, strict=True)], names=names)
 
     return run
 
@@ -174,30 +222,118 @@ def covered(n_words: int, windows: list, width: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
+KEY = ["key_a", "key_b"]
+HEAD = ["head_a", "head_b", "n"]
+
+
+def on_anchor(rows: DataFrame, paths: DataFrame) -> DataFrame:
+    """Stretches of minimisers met more than once; `paths` is stored, so that Spark may split a minimiser of boilerplate."""
+    return rows.join(paths, "anchor")
+
+
+def nonbranching(pieces: DataFrame) -> DataFrame:
+    """Keys of pieces that only go on what one other piece begins: (key_a, key_b).
+
+    pieces: (tid, lo, n, key_a, key_b), places in a text not overlapping.  Between a piece and the one right behind
+    it lies a node.  It is nonbranching if the first has one successor everywhere and the second one predecessor
+    everywhere; the end of a repeat counts as a successor of its own.
+    """
+    w = Window.partitionBy("tid").orderBy("lo")
+    key = F.struct(*KEY)
+    after = F.when(F.lead("lo").over(w) == F.col("lo") + F.col("n"), F.lead(key).over(w))
+    before = F.when(F.lag(F.col("lo") + F.col("n")).over(w) == F.col("lo"), F.lag(key).over(w))
+    around = pieces.select(*KEY, after.alias("after"), before.alias("before"))
+    one = lambda c: F.when(F.every(F.col(c).isNotNull()) & (F.min(c) == F.max(c)), F.min(c)).alias(c)
+    nodes = around.groupBy(*KEY).agg(one("after"), one("before"))
+    firsts = nodes.where("after IS NOT NULL").select(F.col("key_a").alias("from_a"), F.col("key_b").alias("from_b"), F.col("after.key_a").alias("key_a"), F.col("after.key_b").alias("key_b"))
+    seconds = nodes.where("before IS NOT NULL").select(*KEY, F.col("before.key_a").alias("from_a"), F.col("before.key_b").alias("from_b"))
+    return seconds.join(firsts, [*KEY, "from_a", "from_b"]).select(*KEY)
+
+
+def compacted(pieces: DataFrame, inner: DataFrame) -> DataFrame:
+    """(tid, lo, n, head_a, head_b, w, anchors): each text's paths; `inner` (stored) names the pieces that go on a path."""
+    marked = pieces.join(inner.withColumn("goes_on", F.lit(True)), KEY, "left")
+    w = Window.partitionBy("tid").orderBy("lo").rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumn("path", F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(w))
+    head = F.min_by(F.struct(*KEY), "lo")
+    paths = marked.groupBy("tid", "path").agg(F.min("lo").alias("lo"), F.sum("n").cast("int").alias("n"), head.alias("h"), F.max("w").alias("w"), F.collect_list("anchor").alias("anchors"))
+    return paths.select("tid", "lo", "n", F.col("h.key_a").alias("head_a"), F.col("h.key_b").alias("head_b"), "w", "anchors")
+
+
 def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, text_col: str = "text") -> DataFrame:
     """(tid, windows): for each distinct text that has any, the windows whose words also start elsewhere, as array<struct<lo, n>>.
 
-    tid is the text's MD5 as binary; lo counts words from 0, n is a number of consecutive windows.
+    tid is half the text's SHA-256; lo counts words from 0, n is a number of consecutive windows.  Tables between
+    the steps are staged and dropped as soon as the next one is written.
     """
-    texts = docs.select(F.unhex(F.md5(F.coalesce(text_col, F.lit("")).cast("binary"))).alias("tid"), F.coalesce(text_col, F.lit("")).cast("binary").alias("text"))
-    spark = docs.sparkSession
-    rows, staged = common.stage(texts.mapInArrow(_emit_stretches(width, min(gram, width)), STRETCH), "stretches")
+    spark, staged = docs.sparkSession, {}
+    texts = docs.select(text_id(F.coalesce(common.quoted(text_col), F.lit(""))).alias("tid"), F.coalesce(common.quoted(text_col), F.lit("")).cast("binary").alias("text"))
+
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        df, staged[name] = common.stage(df, f"repeats-{name}")
+        return df
+
+    def forget(*names: str) -> None:
+        for name in names:
+            common.drop(spark, staged.pop(name))
+
+    def with_text(spans: DataFrame, *columns: str) -> DataFrame:
+        """(tid, text, rows): each text that has spans, with them; a text's spans are no more than its words."""
+        rows = keep("wanted", spans.groupBy("tid").agg(F.collect_list(F.struct(*columns)).alias("rows")))
+        return texts.join(rows, "tid").select("tid", "text", "rows")
+
+    # candidates
+    rows = keep("stretches", texts.mapInArrow(_emit_stretches(width, min(gram, width)), STRETCH))
     paths = rows.where("anchor IS NOT NULL").groupBy("anchor").agg(F.sum("m").alias("met"), F.min("digest").alias("low"), F.max("digest").alias("high"))
-    paths = paths.where("met > 1").select("anchor", (F.col("low") == F.col("high")).alias("alike"))
-    own = common.cut(rows.where("anchor IS NULL").select("tid", "lo", "n"))
-    met = common.cut(rows.join(paths, "anchor"))
-    common.drop(spark, staged)
-    alike, branching = met.where("alike"), met.where("NOT alike")
-    distinct = common.cut(branching.groupBy("anchor", "digest").agg(F.sum("m").alias("met"), F.min(F.struct("tid", "lo", "n")).alias("at")))
+    paths = keep("anchors", paths.where("met > 1").select("anchor", (F.col("low") == F.col("high")).alias("alike")))
+    own = keep("own", rows.where("anchor IS NULL").select("tid", "lo", "n"))
+    met = keep("met", on_anchor(rows, paths).groupBy("tid", "lo", "n", "anchor", "digest", "alike").agg(F.least(F.sum("m"), F.lit(2)).cast("int").alias("w")))
+    forget("stretches", "anchors")
+    branching = met.where("NOT alike")
+    distinct = keep("distinct", branching.groupBy("anchor", "digest").agg(F.sum("w").alias("met"), F.min(F.struct("tid", "lo", "n")).alias("at")))
+    spans = distinct.select("at.tid", "at.lo", "at.n", F.least("met", F.lit(2)).cast("int").alias("w"), "anchor")
+    edges = keep("edges", with_text(spans, "lo", "n", "w", "anchor").mapInArrow(_emit_edges(width), EDGE))
+    forget("wanted")
+    twice = keep("twice", edges.groupBy("a", "b").agg(F.sum("w").alias("met")).where("met > 1").select("a", "b"))
     again = branching.join(distinct.where("met > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi")
-    # Cut, so that both sides of the next join come straight from a shuffle: then Spark may split a text of many copies.
-    expand = common.cut(distinct.groupBy("at.tid").agg(F.collect_list(F.struct("at.lo", "at.n", F.least("met", F.lit(2)).cast("int").alias("w"))).alias("rows")))
-    edges, staged = common.stage(texts.join(expand, "tid").select("tid", "text", "rows").mapInArrow(_emit_edges(width), "a long, b long, tid binary, lo int, w int"), "edges")
-    twice = edges.groupBy("a", "b").agg(F.sum("w").alias("met")).where("met > 1").select("a", "b")
-    single = common.cut(edges.where("w = 1").join(twice, ["a", "b"], "left_semi").select("tid", "lo", F.lit(1).alias("n")))
-    common.drop(spark, staged)
-    found = own.unionByName(alike.select("tid", "lo", "n")).unionByName(again.select("tid", "lo", "n")).unionByName(single)
-    return found.distinct().groupBy("tid").agg(F.collect_list(F.struct("lo", "n")).alias("windows"))
+    whole = met.where("alike").unionByName(again).select("tid", "lo", "n", F.col("anchor").alias("key_a"), F.col("digest").alias("key_b"), "w", "anchor")
+    single = edges.where("w = 1").join(twice, ["a", "b"], "left_semi").select("tid", "lo", F.lit(1).alias("n"), F.col("a").alias("key_a"), F.col("b").alias("key_b"), "w", "anchor")
+    pieces = keep("pieces", whole.unionByName(single))
+    forget("edges", "twice", "distinct")
+    # compaction
+    inner = keep("inner", nonbranching(pieces))
+    spans = keep("spans", compacted(pieces, inner))
+    forget("pieces", "inner")
+    # verification
+    held = spans.groupBy(*HEAD).agg(F.count(F.lit(1)).alias("places"), F.sum("w").alias("copies"))
+    held = keep("held", held)
+    shared = spans.join(held.where("places > 1").select(*HEAD), HEAD, "left_semi")
+    read = with_text(shared, "lo", *HEAD).mapInArrow(_emit_words(width, False), "head_a long, head_b long, n int, words binary")
+    unlike = read.groupBy(*HEAD).agg((F.min("words") == F.max("words")).alias("equal")).where("NOT equal").select(*HEAD)
+    wrong = keep("wrong", unlike.unionByName(held.where("places = 1 AND copies = 1").select(*HEAD)))
+    forget("wanted", "held")
+    found = own.unionByName(spans.select("tid", "lo", "n"))
+    if not wrong.isEmpty():  # words differ behind equal digests
+        found = own.unionByName(spans.join(wrong, HEAD, "left_anti").select("tid", "lo", "n")).unionByName(_by_words(met, spans, wrong, with_text, width, keep))
+    out = found.distinct().groupBy("tid").agg(F.collect_list(F.struct("lo", "n")).alias("windows"))
+    out, _ = common.stage(out, "repeats")
+    for name in list(staged):
+        forget(name)
+    return out
+
+
+def _by_words(met: DataFrame, spans: DataFrame, wrong: DataFrame, with_text, width: int, keep) -> DataFrame:
+    """(tid, lo, n) of repeated windows of the minimisers that occur in wrong paths, grouped by their words."""
+    anchors = spans.join(wrong, HEAD, "left_semi").select(F.explode("anchors").alias("anchor")).distinct()
+    windows = with_text(met.join(anchors, "anchor", "left_semi"), "lo", "n", "w").mapInArrow(_emit_words(width, True), "words binary, tid binary, lo int, w int")
+    windows = keep("windows", windows.distinct())
+    twice = keep("words", windows.groupBy("words").agg(F.sum("w").alias("met")).where("met > 1").select("words"))
+    return windows.join(twice, "words", "left_semi").select("tid", "lo", F.lit(1).alias("n"))
+
+
+def text_id(text: F.Column) -> F.Column:
+    """Half the SHA-256 of a text: texts that share it are taken for copies."""
+    return F.unhex(F.left(F.sha2(text.cast("binary"), 256), F.lit(32)))
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,8 +343,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col
     Null, empty and shorter texts lose nothing; repeated rows are copies of each other; a null id stays
     null; an empty table gives no rows; other columns are ignored.
     """
-    windows = common.cut(repeated_windows(docs, width, gram, text_col))
-    texts = common.text_rows(docs, id_col, text_col).withColumn("tid", F.unhex(F.md5("text")))
+    windows = repeated_windows(docs, width, gram, text_col)
+    texts = common.text_rows(docs, id_col, text_col).withColumn("tid", text_id(F.col("text")))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept", pa.binary())])
 
     def run(batches):
