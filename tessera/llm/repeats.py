@@ -5,22 +5,25 @@ Edges are dealt by minimiser: the smallest hash among the grams of `gram` words
 have equal minimisers, and consecutive windows of a text mostly share one, so a stretch of edges travels as
 one row: about one row for fifteen words.  Then, all through Spark joins:
 
-* Candidates.  A minimiser met once holds no repeated edge.  Stretches of one minimiser that all read alike, by
-  digest, repeat whole; where they differ, those met twice repeat whole and one row of each other distinct
-  stretch is expanded into edges, which are counted one by one.
-* Compaction.  Repeated pieces that follow each other in a text meet at a node.  Its degrees are the numbers of
-  distinct pieces that come in and go out anywhere, the ends of repeats included; at a nonbranching node (one in,
-  one out) the pieces are joined, so that a long repeated span becomes one path, once in each text.
+* Candidates.  A minimiser met once holds no repeated edge.  Stretches of one minimiser that all read alike, by a
+  short digest, repeat whole; where they differ, those met twice repeat whole and one row of each distinct
+  stretch is expanded into edges, which are counted one by one by half the SHA-256 of their words.
+* Compaction.  Stretches that repeat whole and follow each other in a text meet at a node.  Its degrees are the numbers of
+  distinct stretches that come in and go out anywhere, the ends of repeats included; at a nonbranching node (one in,
+  one out) they are joined, so that a long repeated span becomes one path, once in each text.
 * Verification.  The words of every path are read at its source coordinates and compared, word for word, with
   those at all other places of the path: they agree if their least and greatest are equal.  Paths that lie in one
   text only, which has copies, need no comparison.  Where words differ behind equal digests, all edges of the
   minimisers concerned are compared by their words instead.
 
-So neither a digest nor a rolling hash decides anything by itself, and no pairs of occurrences are ever made.
+So no short digest or rolling hash decides anything by itself, and no pairs of occurrences are ever made.  Whole
+texts and lone edges are told apart by 128 bits of a cryptographic digest.
 """
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -94,12 +97,6 @@ def digest64(words: bytes) -> int:
     return xxh3_64_intdigest(words)
 
 
-def digest128(words: bytes) -> bytes:
-    from xxhash import xxh3_128_digest
-
-    return xxh3_128_digest(words)
-
-
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(starts, lengths) of the runs of True."""
     edge = np.flatnonzero(np.diff(mask, prepend=False, append=False))
@@ -144,17 +141,16 @@ def _emit_stretches(width: int, gram: int):
     return run
 
 
-EDGE = "a long, b long, tid binary, lo int, w int, anchor long"
+EDGE = "a long, b long, tid binary, lo int, w int"
 
 
 def _emit_edges(width: int):
-    digest_of = digest128
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("tid", pa.binary()), ("lo", pa.int32()), ("w", pa.int32()), ("anchor", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("tid", pa.binary()), ("lo", pa.int32()), ("w", pa.int32())])
 
     def run(batches):
         last = None  # copies of a text mostly lie side by side; further ones do no harm, they are repeats
         for batch in batches:
-            columns, digests = ([], [], [], []), []
+            columns, digests = ([], [], []), []
             for tid, text, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if tid == last:
                     continue
@@ -164,12 +160,12 @@ def _emit_edges(width: int):
                     for s in range(r["lo"], r["lo"] + r["n"]):
                         found.setdefault(b" ".join(words[s : s + width]), []).append(s)
                     for window, at in found.items():  # repeats inside the text are known: one row says so, however many there are
-                        digests.append(digest_of(window))
-                        for column, value in zip(columns, (tid, at[0], min(2, r["w"] + len(at) - 1), r["anchor"]), strict=True):
+                        digests.append(sha256(window).digest()[:16])
+                        for column, value in zip(columns, (tid, at[0], min(2, r["w"] + len(at) - 1)), strict=True):
                             column.append(value)
                 if len(digests) > 1 << 17:
                     yield finish(columns, digests)
-                    columns, digests = ([], [], [], []), []
+                    columns, digests = ([], [], []), []
             if digests:
                 yield finish(columns, digests)
 
@@ -256,7 +252,7 @@ def compacted(pieces: DataFrame, inner: DataFrame) -> DataFrame:
     w = Window.partitionBy("tid").orderBy("lo").rowsBetween(Window.unboundedPreceding, 0)
     marked = marked.withColumn("path", F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(w))
     head = F.min_by(F.struct(*KEY), "lo")
-    paths = marked.groupBy("tid", "path").agg(F.min("lo").alias("lo"), F.sum("n").cast("int").alias("n"), head.alias("h"), F.max("w").alias("w"), F.collect_list("anchor").alias("anchors"))
+    paths = marked.groupBy("tid", "path").agg(F.min("lo").alias("lo"), F.sum("n").cast("int").alias("n"), head.alias("h"), F.max("w").alias("w"), F.collect_list("key_a").alias("anchors"))
     return paths.select("tid", "lo", "n", F.col("h.key_a").alias("head_a"), F.col("h.key_b").alias("head_b"), "w", "anchors")
 
 
@@ -291,14 +287,14 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, text
     forget("stretches", "anchors")
     branching = met.where("NOT alike")
     distinct = keep("distinct", branching.groupBy("anchor", "digest").agg(F.sum("w").alias("met"), F.min(F.struct("tid", "lo", "n")).alias("at")))
-    spans = distinct.select("at.tid", "at.lo", "at.n", F.least("met", F.lit(2)).cast("int").alias("w"), "anchor")
-    edges = keep("edges", with_text(spans, "lo", "n", "w", "anchor").mapInArrow(_emit_edges(width), EDGE))
+    spans = distinct.select("at.tid", "at.lo", "at.n", F.least("met", F.lit(2)).cast("int").alias("w"))
+    edges = keep("edges", with_text(spans, "lo", "n", "w").mapInArrow(_emit_edges(width), EDGE))
     forget("wanted")
     twice = keep("twice", edges.groupBy("a", "b").agg(F.sum("w").alias("met")).where("met > 1").select("a", "b"))
     again = branching.join(distinct.where("met > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi")
-    whole = met.where("alike").unionByName(again).select("tid", "lo", "n", F.col("anchor").alias("key_a"), F.col("digest").alias("key_b"), "w", "anchor")
-    single = edges.where("w = 1").join(twice, ["a", "b"], "left_semi").select("tid", "lo", F.lit(1).alias("n"), F.col("a").alias("key_a"), F.col("b").alias("key_b"), "w", "anchor")
-    pieces = keep("pieces", whole.unionByName(single))
+    whole = met.where("alike").unionByName(again)
+    pieces = keep("pieces", whole.select("tid", "lo", "n", F.col("anchor").alias("key_a"), F.col("digest").alias("key_b"), "w"))
+    single = keep("single", edges.where("w = 1").join(twice, ["a", "b"], "left_semi").select("tid", "lo", F.lit(1).alias("n")))
     forget("edges", "twice", "distinct")
     # compaction
     inner = keep("inner", nonbranching(pieces))
@@ -312,9 +308,10 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, text
     unlike = read.groupBy(*HEAD).agg((F.min("words") == F.max("words")).alias("equal")).where("NOT equal").select(*HEAD)
     wrong = keep("wrong", unlike.unionByName(held.where("places = 1 AND copies = 1").select(*HEAD)))
     forget("wanted", "held")
-    found = own.unionByName(spans.select("tid", "lo", "n"))
+    known = own.unionByName(single)
+    found = known.unionByName(spans.select("tid", "lo", "n"))
     if not wrong.isEmpty():  # words differ behind equal digests
-        found = own.unionByName(spans.join(wrong, HEAD, "left_anti").select("tid", "lo", "n")).unionByName(_by_words(met, spans, wrong, with_text, width, keep))
+        found = known.unionByName(spans.join(wrong, HEAD, "left_anti").select("tid", "lo", "n")).unionByName(_by_words(met, spans, wrong, with_text, width, keep))
     out = found.distinct().groupBy("tid").agg(F.collect_list(F.struct("lo", "n")).alias("windows"))
     out, _ = common.stage(out, "repeats")
     for name in list(staged):
