@@ -1,9 +1,11 @@
 """The pipeline against a plain run of its rules over the smallest tables."""
 
+import glob
 import zlib
 
 import corpus_pipeline
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import common, pii, quality
@@ -52,11 +54,30 @@ def test_stages(spark):
 
 
 def test_hard_rows(spark):
+    """What each stage keeps of rows without ids, null, empty and long texts, repeated rows and unlike texts under one id."""
     text = "plain words that say nothing of note at all. " * 3
-    rows = [(None, text, "en", "s", 1), (1, None, None, None, None), (2, "", "en", "s", 0), (3, text, "en", "s", 1), (3, text, "en", "s", 1), (4, "w " * 30000, "en", "s", 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for start in (docs, docs.limit(0)):
-        out = start
-        for name, stage in corpus_pipeline.STAGES:
-            out, _ = common.stage(stage(spark, out, SF), name)
-        assert out.count() >= 0
+    other = "The committee met on Tuesday and heard from several witnesses. They spoke about rivers, roads and schools."
+    rows = [(None, text, "en"), (1, None, None), (2, "", "en"), (3, text, "en"), (3, text, "en"), (4, "w " * 30000, "en"), (5, other + " Mail a.b@example.org now.", "en"), (5, text + " " + other, "en")]
+    docs = spark.createDataFrame([(*r, "s", 1, {"k": 1}) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, tags map<string,int>")
+    stages = dict(corpus_pipeline.STAGES)
+    seen = lambda df: sorted((r.doc_id or 0, (r.text or "")[:12]) for r in df.collect())
+    kept = stages["quality_classifier"](spark, docs, SF)
+    field = quality.train(docs, common.read(spark, SF, "labels"))
+    assert seen(kept) == sorted((i or 0, (t or "")[:12]) for i, t, _ in rows if field.score((t or "").encode()) >= 0.3)
+    one = stages["near_duplicates"](spark, docs, SF)
+    assert one.schema == docs.schema and seen(one) == sorted([(0, text[:12]), (1, ""), (3, text[:12]), (4, "w " * 6), (5, other[:12]), (5, text[:12])])
+    assert seen(stages["benchmark_decontamination"](spark, docs, SF)) == seen(docs)
+    clean = stages["pii"](spark, docs, SF)
+    assert [r.text for r in clean.where("text LIKE '%EMAIL%'").collect()] == [other + " Mail [EMAIL] now."] and clean.where("text IS NULL").count() == 1
+    packed = stages["packing"](spark, docs, SF).groupBy("doc_id").agg(F.count_distinct("doc_tokens").alias("n"), F.sum("length").alias("ids")).collect()
+    ids = {r.doc_id: r.ids for r in packed}
+    assert ids[1] == ids[2] == 1 and set(ids) == {None, 1, 2, 3, 4, 5} and ids[4] > 30000
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_stages_are_dropped(spark):
+    folder = common.shared_dir(spark).removeprefix("file://")
+    before = set(glob.glob(f"{folder}/pipeline-*"))
+    corpus_pipeline.run(spark, SF).count()
+    assert [p.split("/pipeline-")[1].rsplit("-", 1)[0] for p in set(glob.glob(f"{folder}/pipeline-*")) - before] == ["pii"]
