@@ -153,7 +153,28 @@ def contaminated(spans: str = "spans", n_words: str = "n_words") -> F.Column:
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = 13, max_ngrams: int = MAX_NGRAMS, text_col: str = "text") -> DataFrame:
     """docs without the contaminated ones, with their own columns; each row is judged by its own text."""
     found = _scan(docs, text_col, benchmark, n, max_ngrams, "item_id")
-    return found.where(~contaminated("_tz_spans", "_tz_n_words")).select(*docs.columns)
+    return found.where(~contaminated("_tz_spans", "_tz_n_words")).select(*common.own_columns(docs))
+
+
+def remove_passages(docs: DataFrame, benchmark: DataFrame, n: int = 13, max_ngrams: int = MAX_NGRAMS, text_col: str = "text") -> DataFrame:
+    """docs with the benchmark windows cut out of their texts; all rows and other columns stay.
+
+    Null texts stay null; texts without a hit stay as they are; an empty benchmark removes nothing.
+    """
+    found = _scan(docs, text_col, benchmark, n, max_ngrams, "item_id").select(*common.own_columns(docs), "_tz_spans")
+    place = docs.columns.index(text_col)
+    schema = T.StructType([T.StructField(f.name, T.StringType() if i == place else f.dataType, True) for i, f in enumerate(docs.schema)])
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for text, spans in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                out.append(remove_spans(text.encode(), [(s["start"], s["end"]) for s in spans]).decode() if spans else text)
+            columns = batch.columns[:-1]
+            columns[place] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return found.withColumn(text_col, common.quoted(text_col).cast("string")).mapInArrow(run, schema)
 
 
 def remove_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:

@@ -74,3 +74,13 @@ def test_oracle(spark):
     got = QUERIES["op10_decontamination"](spark, sf).select(*names).collect()
     assert sorted(map(tuple, got)) == sorted(want)
     assert any(r.contaminated for r in got)
+
+
+def test_remove_passages(spark):
+    passage = " ".join(f"word{i}" for i in range(15))
+    docs = spark.createDataFrame([(1, f"Before it. {passage}, after é.", {"k": 1}), (2, None, None), (3, "", {}), (4, "Nothing here.", {})], "doc_id long, text string, tags map<string,int>")
+    bench = spark.createDataFrame([("a", passage)], "item_id string, text string").selectExpr("1L AS item_id", "text")
+    out = dc.remove_passages(docs, bench)
+    assert out.columns == docs.columns
+    assert [r.text for r in out.orderBy("doc_id").collect()] == ["Before it. after é.", None, "", "Nothing here."]
+    assert dc.remove_passages(docs, bench.limit(0)).orderBy("doc_id").first().text.startswith("Before it. word0")
