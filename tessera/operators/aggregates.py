@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.relational import latest_per_key
+from tessera.operators.relational import latest_per_key, small
 
 
 def percent(condition: Column, digits: int = 6) -> Column:
@@ -75,7 +75,7 @@ def balance(ledger: DataFrame, user: str, amount: str, state: str, counted: Sequ
 def rate_buckets(df: DataFrame, ts: str, key: str, tier: str, limits: DataFrame) -> DataFrame:
     """(key, hour, n, over): use by hour against each tier's limit (limits: tier, most)."""
     used = df.groupBy(key, tier, F.window(ts, "1 hour").start.alias("hour")).agg(F.count(F.lit(1)).alias("n"))
-    return used.join(F.broadcast(limits), tier, "left").select(key, "hour", "n", F.coalesce(F.col("n") > F.col("most"), F.lit(False)).alias("over"))
+    return used.join(small(limits), tier, "left").select(key, "hour", "n", F.coalesce(F.col("n") > F.col("most"), F.lit(False)).alias("over"))
 
 
 def freshness(driving: DataFrame, following: DataFrame, key: str, driving_day: str, following_day: str, default_days: int, overrides: DataFrame | None = None) -> DataFrame:
@@ -85,7 +85,7 @@ def freshness(driving: DataFrame, following: DataFrame, key: str, driving_day: s
     out = a.join(b, key, "left").withColumn("lag_days", F.datediff("last_driving", "last_following"))
     allowed = F.lit(default_days)
     if overrides is not None:
-        out = out.join(F.broadcast(overrides), key, "left")
+        out = out.join(small(overrides), key, "left")
         allowed = F.coalesce(F.col("days"), allowed)
     return out.withColumn("breach", F.col("lag_days").isNull() | (F.col("lag_days") > allowed)).select(key, "last_driving", "last_following", "lag_days", "breach")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.operators.aggregates import plurality
-from tessera.operators.relational import top_m_per_group
+from tessera.operators.relational import small, top_m_per_group
 from tessera.operators.vector import euclidean
 
 
@@ -21,7 +21,7 @@ def centroids(df: DataFrame, cluster: str, dims: int, vector: str = "embedding")
 
 def representatives(df: DataFrame, centers: DataFrame, cluster: str, id_col: str, m: int = 15, vector: str = "embedding") -> DataFrame:
     """The m members nearest to each centroid, ties by id."""
-    near = df.join(F.broadcast(centers.select(cluster, "centroid")), cluster).withColumn("distance", euclidean(vector, "centroid"))
+    near = df.join(small(centers.select(cluster, "centroid")), cluster).withColumn("distance", euclidean(vector, "centroid"))
     return top_m_per_group(near, [cluster], [F.asc(F.round("distance", 9)), F.asc(id_col)], m)
 
 
@@ -29,7 +29,7 @@ def assign(df: DataFrame, centers: DataFrame, cluster: str, id_col: str, vector:
     """(id, cluster): nearest of a short list of centroids, ties to the smaller cluster."""
     c = centers.select(F.collect_list(F.struct(F.col(cluster).alias("c"), "centroid")).alias("_centers"))
     best = F.array_min(F.transform("_centers", lambda x: F.struct(F.round(euclidean(F.col(vector), x["centroid"]), 9).alias("d"), x["c"].alias("c"))))
-    return df.crossJoin(F.broadcast(c)).select(id_col, best["c"].alias(cluster))
+    return df.crossJoin(small(c)).select(id_col, best["c"].alias(cluster))
 
 
 def parents(df: DataFrame, child: str, parent: str, noise: int = -1) -> DataFrame:
@@ -72,7 +72,7 @@ def tfidf_terms(tokens: DataFrame, group: str, doc: str, term: str, top: int = 2
     w = tf.join(idf, term).withColumn("w", F.col("tf") * F.col("idf"))
     length = w.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
     size = tf.groupBy(group).agg(F.count_distinct(doc).alias("docs"))
-    mean = w.join(length, doc).groupBy(group, term).agg(F.sum(F.col("w") / F.col("len")).alias("s")).join(F.broadcast(size), group).select(group, term, (F.col("s") / F.col("docs")).alias("weight"))
+    mean = w.join(length, doc).groupBy(group, term).agg(F.sum(F.col("w") / F.col("len")).alias("s")).join(small(size), group).select(group, term, (F.col("s") / F.col("docs")).alias("weight"))
     order = Window.partitionBy(group).orderBy(F.desc(F.round("weight", 9)), F.asc(term))
     return mean.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
 
@@ -91,7 +91,7 @@ def stratified_sample(df: DataFrame, strata: Sequence[str], id_col: str, target:
     spare = quota.agg((F.lit(target) - F.sum("_q")).alias("_spare"), F.max(F.struct("_n", *(F.col(s) for s in strata))).alias("_largest"))
     fixed = quota.crossJoin(F.broadcast(spare)).withColumn("_q", F.col("_q") + F.when(F.struct("_n", *(F.col(s) for s in strata)) == F.col("_largest"), F.col("_spare")).otherwise(0))
     keys = [df[s].eqNullSafe(fixed[s]) for s in strata]
-    joined = df.join(F.broadcast(fixed.select(*strata, "_q")), keys)
+    joined = df.join(small(fixed.select(*strata, "_q")), keys)
     for s in strata:
         joined = joined.drop(fixed[s])
     first = F.lit(0)

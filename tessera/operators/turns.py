@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,8 +35,8 @@ def runs_to_intervals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 def alternate(df: DataFrame, keys: Sequence[str], order: str, speaker: str, most: int = 60) -> DataFrame:
     """Fill unknown speakers between two known ones of a block by alternation.
 
-    A gap of unknown turns between anchors A and B is filled A, B, A, B ... seen from the turn after A,
-    when the two differ and the gap's parity fits: the turn before B must not be B's own.
+    A gap of unknown turns between anchors A and B is filled B, A, B, A ... from the turn after A on,
+    when the two differ and the gap's parity fits: the turn before B is A's.
     Blocks are bounded by `most` turns; longer gaps stay unknown.  No state beyond a window of anchors.
     """
     w = Window.partitionBy(*keys).orderBy(order)
@@ -49,22 +51,27 @@ def alternate(df: DataFrame, keys: Sequence[str], order: str, speaker: str, most
 
 
 def suppress_repeats(df: DataFrame, keys: Sequence[str], order: str, text: str, memory: int = 4) -> DataFrame:
-    """Rows whose text is not among the last `memory` rows kept before them: a state machine, group by group."""
-    schema = df.schema
-    names = df.columns
-
-    def run(pdf):
-        pdf = pdf.sort_values(order, kind="stable")
-        recent: list = []
-        keep = []
-        for t in pdf[text]:
-            new = t not in recent
-            keep.append(new)
-            if new:
-                recent = [*recent, t][-memory:]
-        return pdf[keep][names]
-
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    """Rows whose text is not among the last `memory` rows kept before them.
+
+    Which rows are kept depends on those kept before, so each group is read once in order, as a stream: sorted with
+    spilling, with no more than `memory` texts and one Arrow batch in memory, whatever the group's size.
+    """
+    places, value = [df.columns.index(k) for k in keys], df.columns.index(text)
+
+    def run(batches):
+        group, recent = None, deque(maxlen=memory)
+        for batch in batches:
+            keep = []
+            for *key, t in zip(*(batch.column(i).to_pylist() for i in (*places, value)), strict=True):
+                if key != group:
+                    group = key
+                    recent.clear()
+                keep.append(t not in recent)
+                if keep[-1]:
+                    recent.append(t)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, df.schema)
 
 
 def attribute(text: Column, patterns: Sequence[tuple[str, str]]) -> Column:

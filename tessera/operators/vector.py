@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.operators.relational import top_m_per_group
+from tessera.operators.relational import small, top_m_per_group
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -84,16 +84,17 @@ def best_per_parent(df: DataFrame, query, id_col: str, parent: str, k: int, over
 
 
 def margin_match(df: DataFrame, references: DataFrame, id_col: str, ref_id: str, threshold: float, margin: float, vector: str = "embedding") -> DataFrame:
-    """(id, reference, score): the best reference if it reaches the threshold and leads the runner-up by the margin.
+    """(id, reference, score): the best reference if it reaches the threshold and leads the runner-up by the margin; ties go to the least reference.
 
-    references is a short list of vectors, checked by the caller or by small().
+    Only the two best of a row leave its task; references beyond the size of a broadcast are left to Spark.
     """
     r = references.select(F.col(ref_id).alias("reference"), F.col(vector).alias("_q"))
-    scored = df.select(id_col, vector).crossJoin(F.broadcast(r)).select(id_col, "reference", cosine(vector, "_q").alias("score"))
-    best = scored.groupBy(id_col).agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("score", (-F.col("reference")).alias("r"))))), 1, 2).alias("top"))
-    first, second = F.col("top")[0], F.col("top")[1]
-    good = (first["score"] >= threshold) & (F.size("top").__eq__(1) | (first["score"] - F.try_element_at("top", F.lit(2))["score"] >= margin))
-    return best.where(good).select(id_col, (-first["r"]).alias("reference"), first["score"].alias("score"))
+    scored = df.select(id_col, vector).crossJoin(small(r)).select(id_col, "reference", cosine(vector, "_q").alias("score"))
+    two = top_m_per_group(scored, [id_col], [F.desc("score"), F.asc("reference")], 2)
+    x = F.struct("score", (-F.col("reference")).alias("r"))
+    best = two.groupBy(id_col).agg(F.max(x).alias("first"), F.min("score").alias("other"), F.count(F.lit(1)).alias("n"))
+    good = (F.col("first.score") >= threshold) & ((F.col("n") == 1) | (F.col("first.score") - F.col("other") >= margin))
+    return best.where(good).select(id_col, (-F.col("first.r")).alias("reference"), F.col("first.score").alias("score"))
 
 
 def ndcg(ranked: DataFrame, relevant: DataFrame, query: str, item: str, rank: str, k: int = 10) -> DataFrame:
@@ -106,7 +107,7 @@ def ndcg(ranked: DataFrame, relevant: DataFrame, query: str, item: str, rank: st
     return out.select(query, F.round(F.coalesce(F.col("dcg") / ideal, F.lit(0.0)), 6).alias("ndcg"), F.round(F.coalesce(F.col("hits") / F.col("n_relevant"), F.lit(0.0)), 6).alias("recall"))
 
 
-def hyperplane_tables(df: DataFrame, id_col: str, dims: int, tables: int = 8, bits: int = 8, seed: int = 7, vector: str = "embedding") -> DataFrame:
+def hyperplane_tables(df: DataFrame, id_col: str, dims: int, tables: int = 24, bits: int = 8, seed: int = 7, vector: str = "embedding") -> DataFrame:
     """(id, t, key): random-hyperplane keys for an approximate index; planes follow from the seed."""
     import random
 
@@ -121,9 +122,13 @@ def hyperplane_tables(df: DataFrame, id_col: str, dims: int, tables: int = 8, bi
     return df.select(id_col, F.explode(F.array(*keys)).alias("x")).select(id_col, "x.t", "x.key")
 
 
-def approximate_knn(index: DataFrame, vectors: DataFrame, queries: DataFrame, id_col: str, k: int, vector: str = "embedding") -> DataFrame:
-    """(query, id, similarity, place): candidates share a key in some table, then are ranked exactly."""
+def approximate_knn(index: DataFrame, vectors: DataFrame, queries: DataFrame, id_col: str, k: int, bits: int = 8, vector: str = "embedding") -> DataFrame:
+    """(query, id, similarity, place): candidates share a key, or all but one bit of it, in some table; they are ranked exactly.
+
+    bits: of the index's keys, each of which is flipped once.
+    """
     q = index.join(queries.select(F.col(id_col)), id_col, "left_semi").withColumnRenamed(id_col, "query")
+    q = q.select("query", "t", F.explode(F.array("key", *(F.col("key").bitwiseXOR(F.lit(1 << b)) for b in range(bits)))).alias("key"))
     pairs = q.join(index, ["t", "key"]).where(F.col("query") != F.col(id_col)).select("query", id_col).distinct()
     qv = vectors.select(F.col(id_col).alias("query"), F.col(vector).alias("_q"))
     scored = pairs.join(qv, "query").join(vectors.select(id_col, vector), id_col).select("query", id_col, cosine(vector, "_q").alias("similarity"))

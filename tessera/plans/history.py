@@ -205,7 +205,11 @@ def runs_to_intervals(spark, d):
     return out.select("user_id", "event_type", *(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("start", "end")), "n")
 
 
-@query("alternation_fill")
+@query("alternation_fill", """
+WITH k AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 's' || (turn % 2) END AS speaker, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+g AS (SELECT *, max(CASE WHEN speaker IS NOT NULL THEN n END) OVER (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS an, min(CASE WHEN speaker IS NOT NULL THEN n END) OVER (PARTITION BY conv_id ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS bn FROM k),
+j AS (SELECT g.*, a.speaker AS sa, b.speaker AS sb, coalesce(a.speaker <> b.speaker AND (bn - an - 1) % 2 = 0 AND bn - an - 1 <= 60, false) AS fits FROM g LEFT JOIN k a ON g.conv_id = a.conv_id AND g.an = a.n LEFT JOIN k b ON g.conv_id = b.conv_id AND g.bn = b.n)
+SELECT conv_id, turn, CASE WHEN speaker IS NOT NULL THEN speaker WHEN fits THEN CASE WHEN (n - an) % 2 = 1 THEN sb ELSE sa END END AS filled, CASE WHEN speaker IS NOT NULL THEN 'anchor' WHEN fits THEN 'alternation' ELSE 'none' END AS attribution FROM j""")
 def alternation_fill(spark, d):
     """Every third turn's speaker is known; the gaps between are filled where they alternate."""
     c = Tables(spark, d).conversations

@@ -203,7 +203,7 @@ def approximate_recall(spark, d):
     """Recall at 10 of the hyperplane index against exact search, for ids divisible by 100."""
     e = Tables(spark, d).embeddings.select("vec_id", "embedding")
     q = e.where("vec_id % 100 = 0")
-    index = vec.hyperplane_tables(e, "vec_id", 64, tables=24, bits=6)
+    index = vec.hyperplane_tables(e, "vec_id", 64)
     near = vec.approximate_knn(index, e, q.select("vec_id"), "vec_id", 10)
     from pyspark.sql.window import Window
 

@@ -9,10 +9,16 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.relational import small
+
 
 def shared(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder the cluster shares; a temporary one only where the session names none."""
-    there = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
+    """A fresh path in the folder the cluster shares; a temporary one only where a local session names none."""
+    there = spark.conf.get("spark.checkpoint.dir", None)
+    if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        there = "file://" + tempfile.mkdtemp(prefix="tessera-")
     return f"{there.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -63,7 +69,7 @@ def due(searches: DataFrame, as_of: Column, daily: str = "daily", weekly: str =
 def new_matches(items: DataFrame, searches: DataFrame, match: Callable[[], Column], ts: str, as_of: Column, first_days: int = 30) -> DataFrame:
     """Items of each search since its mark (the last month the first time); the mark is event time."""
     since = F.coalesce(F.col("last_checked_at"), as_of - F.make_dt_interval(days=F.lit(first_days)))
-    return items.join(F.broadcast(searches), match()).where((F.col(ts) > since) & (F.col(ts) <= as_of))
+    return items.join(small(searches), match()).where((F.col(ts) > since) & (F.col(ts) <= as_of))
 
 
 def alert_stream(stream: DataFrame, searches: DataFrame, match: Callable[[], Column], ts: str, as_of: Column, sink: Callable[[DataFrame, int], None], log: str):
