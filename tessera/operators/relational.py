@@ -191,6 +191,18 @@ def claim_next(jobs: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
     return latest_per_key(jobs, keys, order)
 
 
+def release_stale(jobs: DataFrame, status: str, claimed: str, now: Column, minutes: int, running: str = "running", queued: str = "queued") -> DataFrame:
+    """jobs with those back in the queue, unclaimed, that have been running for longer than the time-out; others stay as they are."""
+    stale = F.coalesce((F.col(status) == running) & (F.col(claimed) < now - F.make_dt_interval(mins=F.lit(minutes))), F.lit(False))
+    return jobs.withColumns({status: F.when(stale, F.lit(queued)).otherwise(F.col(status)), claimed: F.when(~stale, F.col(claimed))})
+
+
+def one_per_handle(handles: DataFrame, keys: Sequence[str], handle: str, order: Sequence[Column]) -> DataFrame:
+    """One row of each handle, whatever its letters' case: the first in order."""
+    rows = handles.withColumn("_handle", F.lower(F.trim(handle)))
+    return latest_per_key(rows, [*keys, "_handle"], order).drop("_handle")
+
+
 def promote(runs: DataFrame, run_id: str, chosen: object, flag: str = "is_current") -> DataFrame:
     """runs with the pointer on one run and all others superseded."""
     return runs.withColumn(flag, F.col(run_id) == F.lit(chosen))

@@ -336,6 +336,24 @@ def claim_next_job(spark, d):
     return rel.claim_next(Tables(spark, d).events.where("value < 50"), ["event_type"], [F.desc("value"), F.asc("ts"), F.asc("event_id")]).select("event_type", "event_id")
 
 
+@query("stale_jobs_released", """
+SELECT event_id, CASE WHEN s THEN 'queued' ELSE event_type END AS event_type, CASE WHEN NOT s THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS claimed
+FROM (SELECT *, event_type = 'click' AND ts < (SELECT max(ts) FROM events) - INTERVAL 600 MINUTE AS s FROM events)""")
+def stale_jobs_released(spark, d):
+    e = Tables(spark, d).events
+    now = F.lit(e.agg(F.max("ts")).first()[0])  # one value
+    out = rel.release_stale(e.select("event_id", "event_type", F.col("ts").alias("claimed")), "event_type", "claimed", now, 600, "click")
+    return out.select("event_id", "event_type", F.date_format("claimed", "yyyy-MM-dd HH:mm:ss").alias("claimed"))
+
+
+@query("one_per_handle", "SELECT c_nationkey, c_custkey FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey, lower(trim(CASE WHEN c_custkey % 2 = 0 THEN upper(c_mktsegment) || ' ' ELSE lower(c_mktsegment) END)) ORDER BY c_acctbal DESC, c_custkey) = 1")
+def one_per_handle(spark, d):
+    """Handles that differ in case or in blanks around them are one."""
+    c = Tables(spark, d).customer
+    handle = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.upper("c_mktsegment"), F.lit(" "))).otherwise(F.lower("c_mktsegment"))
+    return rel.one_per_handle(c.withColumn("handle", handle), ["c_nationkey"], "handle", [F.desc("c_acctbal"), F.asc("c_custkey")]).select("c_nationkey", "c_custkey")
+
+
 @query("merge_duplicates", "SELECT c_custkey AS id, max_by(c_custkey, (c_acctbal, c_custkey)) OVER (PARTITION BY c_nationkey, c_mktsegment, floor(c_acctbal / 2500)) AS canonical_id FROM customer QUALIFY count(*) OVER (PARTITION BY c_nationkey, c_mktsegment, floor(c_acctbal / 2500)) > 1")
 def merge_duplicates(spark, d):
     c = Tables(spark, d).customer.withColumn("key", F.concat_ws("/", "c_nationkey", "c_mktsegment", F.floor(F.col("c_acctbal") / 2500)))
