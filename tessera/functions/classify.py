@@ -47,3 +47,53 @@ def hosting_tier(country: Column, provider: Column, domestic_provider: Column, c
         .when(named.isNotNull(), 5)
         .otherwise(6)
     )
+
+
+# Text of hosts, networks and headers, in order, and what it stands for.
+CDNS = {
+    "cloudflare": "Cloudflare", "cloudfront": "AWS CloudFront", "akamai": "Akamai", "fastly": "Fastly", "vercel": "Vercel", "netlify": "Netlify",
+    "azureedge": "Azure CDN", "azurefd": "Azure Front Door", "github.io": "GitHub Pages", "bunnycdn": "BunnyCDN", "bunny.net": "BunnyCDN",
+    "stackpath": "StackPath", "incapsula": "Imperva", "imperva": "Imperva", "sucuri": "Sucuri", "keycdn": "KeyCDN", "cachefly": "CacheFly",
+}
+PROVIDERS = {
+    "amazon": "Amazon Web Services", "aws": "Amazon Web Services", "googlecloud": "Google Cloud", "google": "Google", "microsoft": "Microsoft Azure", "azure": "Microsoft Azure",
+    "digitalocean": "DigitalOcean", "linode": "Linode", "vultr": "Vultr", "hetzner": "Hetzner", "ovh": "OVHcloud", "godaddy": "GoDaddy", "squarespace": "Squarespace",
+    "wordpress": "WordPress.com (Automattic)", "wpengine": "WP Engine", "wix": "Wix", "shopify": "Shopify", "nationbuilder": "NationBuilder", "heroku": "Heroku",
+    "render": "Render", "fly.io": "Fly.io", "hostpapa": "HostPapa", "iweb": "iWeb", "cogeco": "Cogeco Peer 1",
+}
+SYSTEMS = {
+    "wordpress": "WordPress", "drupal": "Drupal", "joomla": "Joomla", "ghost": "Ghost", "shopify": "Shopify", "wix": "Wix", "squarespace": "Squarespace",
+    "nationbuilder": "NationBuilder", "craft": "Craft CMS",
+}
+DOMESTIC_NAMES = (
+    "ovh hosting", "shared services canada", "canadian web hosting", "hostpapa", "iweb", "netfirms", "website.ca", "cira", "bell canada", "rogers",
+    "telus", "videotron", "cogeco", "ehost canada", "shopify", "peer1", "evolutionhost",
+)
+DOMESTIC_NETWORKS = (13768, 32613, 7992, 812, 577, 852, 19531, 26782, 395152, 46562, 6724, 16509)
+
+
+def first_label_in(candidates: Column, patterns: Mapping[str, str]) -> Column:
+    """As first_label(), over an array of candidates; null ones are passed over."""
+    label = lambda c: F.coalesce(*(F.when(F.contains(F.lower(c), F.lit(p)), v) for p, v in patterns.items()))
+    return F.try_element_at(F.filter(F.transform(candidates, label), lambda x: x.isNotNull()), F.lit(1))
+
+
+def domestic(org: Column, network: Column) -> Column:
+    """Whether a network is a provider of the home country, by its owner's name or its number (AS123)."""
+    number = F.regexp_extract(network, r"(?i)^AS?(\d+)", 1).try_cast("long")
+    named = F.coalesce(F.lower(org).rlike("|".join(n.replace(".", r"\.") for n in DOMESTIC_NAMES)), F.lit(False))
+    return named | F.coalesce(number.isin(*DOMESTIC_NETWORKS), F.lit(False))
+
+
+def hosting(country: Column, org: Column, network: Column, cnames: Column, server: Column, powered_by: Column, nameservers: Column, failed: Column) -> Column:
+    """struct<tier, provider, country, cdn, cms> of a site from what a scan saw; a CDN stands in for an unknown provider.
+
+    cnames, nameservers: arrays, null being none.  A scan that failed and shows nothing has tier 6 and no provider.
+    """
+    none = F.array().cast("array<string>")
+    chain, servers = F.coalesce(cnames, none), F.coalesce(nameservers, none)
+    cdn = first_label_in(F.concat(chain, F.array(org), servers), CDNS)
+    provider = F.coalesce(first_label_in(F.concat(F.array(org), chain, F.array(server)), PROVIDERS), cdn)
+    cms = first_label_in(F.concat(F.array(server, powered_by), chain), SYSTEMS)
+    tier = hosting_tier(country, provider, domestic(org, network), cdn, failed)
+    return F.struct(tier.alias("tier"), provider.alias("provider"), country.alias("country"), cdn.alias("cdn"), cms.alias("cms"))

@@ -144,6 +144,24 @@ def squash_body(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(fold(c), r"^(standing |special |select )?(committee|council) (on |of )?(the )?", ""), r"[^a-z0-9]", "")
 
 
+# Words of scheduling that titles add to a body's name.
+QUALIFIERS = r"(?i)\([^)]*\)|\b(?:continuation|continued|part\s*\d+|day\s*\d+|non\s*-?\s*regular|orientation|virtual|from\s+\w+\s+room)\b"
+
+
+def meeting_body(c: Column, plain: bool = False) -> Column:
+    """A meeting's name for matching: letters and digits, without a leading "special", and if plain without words of scheduling."""
+    named = F.regexp_replace(c, QUALIFIERS, "") if plain else c
+    return F.regexp_replace(F.regexp_replace(fold(named), r"^\s*special\s+", ""), "[^a-z0-9]", "")
+
+
+def stream_title(c: Column) -> Column:
+    """struct<day, body> of titles such as July 7, 2026 - City Council; null for others."""
+    form = r"^\s*([A-Z][a-z]+)\.?\s*(\d{1,2}),?\s+(\d{4})\s*[-–]\s*(.+?)\s*$"
+    stamp = F.concat_ws(" ", *(F.regexp_extract(c, form, i) for i in (1, 2, 3)))
+    day = F.coalesce(*(F.try_to_timestamp(stamp, F.lit(p)) for p in ("MMMM d yyyy", "MMM d yyyy"))).cast("date")
+    return F.when(day.isNotNull(), F.struct(day.alias("day"), F.regexp_extract(c, form, 4).alias("body")))
+
+
 def title_date(c: Column) -> Column:
     """The first ISO date in a title."""
     return F.try_to_timestamp(F.nullif(F.regexp_extract(c, r"(\d{4}-\d{2}-\d{2})", 1), F.lit("")), F.lit("yyyy-MM-dd")).cast("date")

@@ -197,6 +197,29 @@ def release_stale(jobs: DataFrame, status: str, claimed: str, now: Column, minut
     return jobs.withColumns({status: F.when(stale, F.lit(queued)).otherwise(F.col(status)), claimed: F.when(~stale, F.col(claimed))})
 
 
+def match_by_rules(left: DataFrame, right: DataFrame, day: str, left_id: str, right_id: str, rules: Sequence[tuple[Column, Column]], within: tuple[str, str] | None = None) -> DataFrame:
+    """(right_id, left_id, rule): each right row's one partner of its day by the first rule, in order, that finds any.
+
+    A rule is a pair of keys, of left and right, that must be equal and not empty: an equi-join each.  Last, with
+    `within`, the names of two key columns, one holding the other; distinct names of a day are compared there, not rows,
+    and only those of rows that no rule has matched.  Of several partners the least id counts.
+    """
+    out, rest = None, right
+    for i, (a, b) in enumerate(rules, 1):
+        keyed = left.select(F.col(day).alias("_day"), a.alias("_key"), left_id).where("_key <> ''").groupBy("_day", "_key").agg(F.min(left_id).alias(left_id))
+        met = rest.select(F.col(day).alias("_day"), b.alias("_key"), right_id).join(keyed, ["_day", "_key"]).select(right_id, left_id, F.lit(i).alias("rule"))
+        out = met if out is None else out.unionByName(met)
+        rest = rest.join(met.select(right_id), right_id, "left_anti")
+    if within is None:
+        return out
+    a, b = within
+    names = left.where(F.col(a) != "").groupBy(F.col(day).alias("_day"), F.col(a).alias("_a")).agg(F.min(left_id).alias(left_id))
+    asked = rest.where(F.col(b) != "").select(F.col(day).alias("_day"), F.col(b).alias("_b"))
+    holds = names.join(asked.distinct(), "_day").where(F.contains("_a", "_b") | F.contains("_b", "_a")).groupBy("_day", "_b").agg(F.min(left_id).alias(left_id))
+    met = rest.join(holds, (rest[day] == holds["_day"]) & (rest[b] == holds["_b"])).select(right_id, left_id, F.lit(len(rules) + 1).alias("rule"))
+    return out.unionByName(met)
+
+
 def one_per_handle(handles: DataFrame, keys: Sequence[str], handle: str, order: Sequence[Column]) -> DataFrame:
     """One row of each handle, whatever its letters' case: the first in order."""
     rows = handles.withColumn("_handle", F.lower(F.trim(handle)))

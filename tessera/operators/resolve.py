@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import fold
 from tessera.operators.relational import interval_join, unique_candidate
 
 LADDER = {"office": 0.9, "full": 0.85, "surname": 0.80, "dated": 0.75}
@@ -122,3 +123,93 @@ def pair_filter(pairs: DataFrame, a: str, b: str, allowed: DataFrame, id_col: st
     ids = allowed.select(F.col(id_col).alias("_id"))
     out = pairs.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
     return out.join(ids, F.col("a") == F.col("_id"), "left_semi").join(ids, F.col("b") == F.col("_id"), "left_semi")
+
+
+# -- labels and captions --------------------------------------------------------------------------
+
+# Forms of a speaker's label in capitals, words that mark an office, confidence by kind of attribution.
+LABEL = r"(?i)^(?:HON|MRS?|MS)\.\s+(?:(?:HON|MRS?|MS)\.\s+)?((?:[A-Z]\.\s*){1,3})?\s*(\p{L}[\p{L}'’\-]*)(?:\s+\(([^)]+)\))?\s*$"
+OFFICE = r"(?i)\b(premier|minister|attorney|leader\s+of\s+the|speaker|chair|government\s+house\s+leader|opposition|provincial\s+secretary|whip|deputy)\b"
+HONORIFIC = r"(?i)^(Mr\.|Mrs\.|Ms\.|Mme|Hon\.|Hon|Dr\.|Sir|An|The)\s+"
+BY_KIND = {"macro": 0.9, "recognition": 0.7, "panel": 0.75, "alternation": 0.65}
+BY_NAME, BY_SPELLING = 0.7, 0.6
+
+
+def surname_of(name: Column) -> Column:
+    """The last word of a name, in capitals, without punctuation around it; null if shorter than two letters."""
+    last = F.upper(F.regexp_replace(F.regexp_extract(F.rtrim(name), r"(\S+)$", 1), r"^[.,;:\-–]+|[.,;:\-–]+$", ""))
+    return F.when(F.length(last) >= 2, last)
+
+
+def riding_key(name: Column) -> Column:
+    """A riding's name for comparison: folded, every dash a hyphen without space around it, letters and digits only."""
+    dashed = F.regexp_replace(fold(name), r"\s*[‐-―−-]\s*", "-")
+    return F.trim(F.regexp_replace(F.regexp_replace(dashed, r"[^a-z0-9\-\s]", ""), r"\s+", " "))
+
+
+def caption_members(turns: DataFrame, roster: DataFrame, row_id: str, council: str, at: str) -> DataFrame:
+    """(row_id, member, confidence) of caption turns that have a name, from those in office on the day.
+
+    turns: row_id, council, at, role, name, attribution.  roster: council, member, surname, mayor (boolean), start,
+    end (half-open, null end open).  In order: the mayor where the turn says so, the one member of the surname, the
+    one nearest within two edits.  Offices that rotate, unnamed turns and people who introduce themselves are left out.
+    """
+    role, low = F.lower(F.coalesce("role", F.lit(""))), F.lower("name")
+    asks = turns.where(F.col("name").isNotNull() & ~F.coalesce(F.col("attribution") == "self_intro", F.lit(False)) & ~role.isin("chair", "clerk", "interpreter"))
+    mayoral = role.rlike("mayor|worship") | low.rlike("^(mayor|her worship|his worship)")
+    asks = asks.select(row_id, council, at, "attribution", mayoral.alias("_mayoral"), surname_of(F.col("name")).alias("_surname"))
+    held = roster.select(council, "member", F.upper("surname").alias("_surname"), "mayor", "start", "end")
+    mayor = unique_candidate(interval_join(asks.where("_mayoral").select(row_id, council, at), held.where("mayor").drop("_surname"), [council], at, "start", "end", "left", "inner"), [row_id], "member")
+    exact = unique_candidate(interval_join(asks.select(row_id, council, "_surname", at), held, [council, "_surname"], at, "start", "end", "left", "inner"), [row_id], "member")
+    found = asks.join(mayor.withColumnRenamed("member", "_office"), row_id, "left").join(exact.withColumnRenamed("member", "_exact"), row_id, "left")
+    spelt = found.where("_office IS NULL AND _exact IS NULL AND _surname IS NOT NULL").select(council, at, "_surname").distinct()
+    forms = spelt.withColumn("_v", F.explode(shortened(F.col("_surname"), 2)))
+    known = held.select(council, "member", F.col("_surname").alias("_known"), "start", "end", F.explode(shortened(F.col("_surname"), 2)).alias("_v"))
+    in_office = (F.col("start") <= F.col(at)) & (F.col("end").isNull() | (F.col(at) < F.col("end")))
+    near = forms.join(known, [council, "_v"]).where(in_office).withColumn("_d", F.levenshtein("_surname", "_known", 2)).where("_d >= 0")
+    best = near.groupBy(council, at, "_surname", "_d").agg(F.count_distinct("member").alias("_n"), F.min("member").alias("_fuzzy"))
+    one = best.groupBy(council, at, "_surname").agg(F.min_by(F.struct("_n", "_fuzzy"), "_d").alias("x")).where("x._n = 1").select(council, at, "_surname", F.col("x._fuzzy").alias("_fuzzy"))
+    out = found.join(one, [council, at, "_surname"], "left")
+    kind = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in BY_KIND.items() for x in kv)), F.col("attribution")), F.lit(BY_NAME))
+    member = F.coalesce("_office", "_exact", F.when(F.col("_office").isNull() & F.col("_exact").isNull(), F.col("_fuzzy")))
+    score = F.when(F.coalesce("_office", "_exact").isNotNull(), kind).when(F.col("_fuzzy").isNotNull(), F.lit(BY_SPELLING))
+    return out.select(row_id, member.alias("member"), score.alias("confidence")).where("member IS NOT NULL")
+
+
+def by_middle_initial(facts: DataFrame, members: DataFrame, row_id: str, full: str, surname: str, at: str, confidence: float = 0.85) -> DataFrame:
+    """(row_id, member, confidence): the one member in office of a surname and middle initial, both stated.
+
+    members: member, name, first, last, start, end (both ends closed, null is open).  First names are not compared, so
+    short forms do no harm; a surname also counts by its last word.
+    """
+    plain = F.regexp_replace(F.trim(full), HONORIFIC, "")
+    middle = F.upper(F.left(F.regexp_extract(plain, r"^\S+\s+(\S+)", 1), F.lit(1)))
+    f = facts.select(row_id, at, fold(F.col(surname)).alias("_s"), middle.alias("_m")).where(F.col("_m").rlike("^[A-Z]$"))
+    inner = F.when(F.startswith("name", "first"), F.substring("name", F.length("first") + 1, F.lit(1 << 20))).otherwise(F.col("name"))
+    inner = F.when(F.endswith(inner, F.col("last")), F.left(inner, F.length(inner) - F.length("last"))).otherwise(inner)
+    low = fold(F.col("last"))
+    keys = F.explode(F.array_distinct(F.array(low, F.element_at(F.split(low, " "), -1))))
+    m = members.select("member", "start", "end", F.upper(F.left(F.trim(inner), F.lit(1))).alias("_m"), keys.alias("_s")).where("_m <> ''")
+    return unique_candidate(interval_join(f, m, ["_s", "_m"], at, "start", "end", "both", "inner", open_start=True), [row_id], "member").withColumn("confidence", F.lit(confidence))
+
+
+def by_label(facts: DataFrame, terms: DataFrame, row_id: str, label: str, at: str, confidence: float = 0.85) -> DataFrame:
+    """(row_id, member, confidence) of labels such as MR. G.S. WALLACE (Oak Bay).
+
+    terms: member, first, last, riding, start, end (half-open, null end open).  The one member of the surname in
+    office; of several, the one of the riding in brackets, if these name no office; else the one of the first initial.
+    """
+    part = lambda i: F.regexp_extract(F.trim(label), LABEL, i)
+    hint = F.when((part(3) != "") & ~part(3).rlike(OFFICE), riding_key(part(3)))
+    f = facts.select(row_id, at, fold(part(2)).alias("_s"), F.nullif(fold(F.left(part(1), F.lit(1))), F.lit("")).alias("_i"), hint.alias("_r")).where("_s <> ''")
+    t = terms.select("member", fold(F.col("last")).alias("_s"), F.left(fold(F.coalesce("first", F.lit(""))), F.lit(1)).alias("_ti"), riding_key(F.coalesce("riding", F.lit(""))).alias("_tr"), "start", "end")
+    held = interval_join(f, t, ["_s"], at, "start", "end", "left", "inner")
+    one = lambda test: F.when(F.count_distinct(F.when(test, F.col("member"))) == 1, F.min(F.when(test, F.col("member"))))
+    picked = F.coalesce(one(F.lit(True)), one(F.col("_tr") == F.col("_r")), one(F.col("_ti") == F.col("_i")))
+    return held.groupBy(row_id).agg(picked.alias("member")).where("member IS NOT NULL").withColumn("confidence", F.lit(confidence))
+
+
+def by_surname(facts: DataFrame, roster: DataFrame, row_id: str, name: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(row_id, member) of movers' names against a current roster (keys, member, surname) by surname, if it has one."""
+    pool = unique_candidate(roster.select(*keys, "member", F.upper("surname").alias("_surname")), [*keys, "_surname"], "member")
+    return facts.select(row_id, *keys, surname_of(F.col(name)).alias("_surname")).join(pool, [*keys, "_surname"]).select(row_id, "member")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators import captions as cp
 from tessera.operators import changes as ch
 from tessera.operators import relational as rel
 from tessera.operators import resolve as rs
 from tessera.operators import turns as tn
-from tessera.registry import query
+from tessera.registry import ORACLES, query
 from tessera.sources.tables import Tables
 
 CUT = "1998-06-01"
@@ -241,3 +242,77 @@ def fixed_groups(spark, d):
 def previous_value_lag(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return Tables(spark, d).events.select("event_id", F.lag("value").over(w).alias("previous"))
+
+
+# -- captions ------------------------------------------------------------------------------------
+
+#: Caption lines, and what each means: kind, line.
+CAPTIONS = (
+    ">> Mayor Ada Byron: Order, please. Councillor Tang?",
+    ">> The Clerk: The next item is the budget.",
+    ">> We have two crews on that road.",
+    ">> Thank you, Councillor Tang. We will report back.",
+    ">> Thank you, Mayor. What does it cost?",
+    ">> Do you have a motion, please go ahead.",
+    "and that was the plan",
+    ">> Thank you, Councillor Parm.",
+    ">> My name is Lisa O'Neil-Roy and I live here.",
+    ">> Good morning from Councillor Wright.",
+    ">> I am out of time. Seconded by Councillor Parm.",
+    ">> Councillor Parm, do you have questions?",
+)
+_CAPTION_ROWS = ", ".join("({}, '{}')".format(i, x.replace("'", "''")) for i, x in enumerate(CAPTIONS))
+
+
+def _captions(t):
+    """Each user's events as a meeting's caption lines."""
+    kind = (F.col("event_id") * 31 + F.floor("value")) % len(CAPTIONS)
+    line = F.element_at(F.array(*map(F.lit, CAPTIONS)), (kind + 1).cast("int"))
+    return t.events.select(F.col("user_id").alias("meeting"), F.col("event_id").alias("pos"), F.col("event_id").alias("start"), F.col("event_id").alias("end"), line.alias("text"))
+
+
+@query("caption_turns", f"""
+WITH c(k, line) AS (VALUES {_CAPTION_ROWS}),
+l AS (SELECT user_id AS meeting, event_id AS pos, (event_id * 31 + floor(value)::BIGINT) % {len(CAPTIONS)} AS k FROM events),
+i AS (SELECT *, sum((k <> 6)::INTEGER) OVER (PARTITION BY meeting ORDER BY pos) AS raw FROM l),
+r AS (SELECT meeting, raw, coalesce(max(CASE WHEN k <> 6 THEN k END), -1) AS k, count(*) FILTER (WHERE k = 6) AS more, min(pos) AS "start", max(pos) AS "end", string_agg(trim(regexp_replace(line, '^>>( Mayor Ada Byron:| The Clerk:)?', '')), ' ' ORDER BY pos) AS text FROM i JOIN c USING (k) GROUP BY ALL),
+h AS (SELECT *, CASE WHEN k = 0 AND more = 0 THEN 'TANG' WHEN k = 9 AND more = 0 THEN 'WRIGHT' WHEN k = 11 AND more <= 2 THEN 'PARM' END AS hands FROM r),
+b AS (SELECT *, CASE WHEN raw > 0 AND k NOT IN (0, 1) THEN lag(hands) OVER (PARTITION BY meeting ORDER BY raw) END AS got, row_number() OVER (PARTITION BY meeting ORDER BY raw) AS seq FROM h),
+a AS (SELECT *, CASE WHEN k IN (0, 1) THEN 'macro' WHEN got IS NOT NULL AND NOT (k = 9 AND more <= 1 AND got <> 'WRIGHT') THEN 'recognition' WHEN k = 8 THEN 'self_intro' END AS said FROM b),
+g AS (SELECT *, count(said) OVER (PARTITION BY meeting ORDER BY seq) AS run FROM a),
+o AS (SELECT *, max(CASE WHEN said = 'recognition' THEN got END) OVER (PARTITION BY meeting, run) AS owner, min(seq) OVER (PARTITION BY meeting, run) AS opened FROM g),
+p AS (SELECT *, CASE k WHEN 3 THEN 'TANG' WHEN 7 THEN 'PARM' END AS addressed, owner IS NOT NULL AND said IS NULL AND seq - opened BETWEEN 1 AND 60 AS bare FROM o),
+q AS (SELECT *, min(CASE WHEN bare AND addressed <> owner THEN seq END) OVER (PARTITION BY meeting, run) AS stops FROM p),
+s AS (SELECT *, bare AND coalesce(seq < stops, true) AS kept FROM q),
+x AS (SELECT *, CASE WHEN owner IS NOT NULL AND seq = opened THEN 'owner' WHEN kept THEN CASE WHEN addressed IS NOT NULL THEN 'staff' WHEN k IN (4, 10) THEN 'owner' WHEN k IN (5, 11) AND more <= 5 THEN 'chair' END END AS known FROM s),
+y AS (SELECT *, max(CASE WHEN known IS NOT NULL THEN seq END) OVER (PARTITION BY meeting, run ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS la, min(CASE WHEN known IS NOT NULL THEN seq END) OVER (PARTITION BY meeting, run ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nb FROM x),
+z AS (SELECT y.*, l.known AS lk, n.known AS nk FROM y LEFT JOIN x l ON l.meeting = y.meeting AND l.seq = y.la LEFT JOIN x n ON n.meeting = y.meeting AND n.seq = y.nb),
+f AS (SELECT *, said IS NULL AND coalesce(CASE WHEN known IS NOT NULL THEN known = 'owner' ELSE kept AND (nb IS NULL OR nk = 'chair' OR ((nb - la) % 2 = 0) = ((lk = 'owner') = (nk = 'owner'))) AND ((seq - la) % 2 = 0) = (lk = 'owner') END, false) AS fills FROM z)
+SELECT meeting, seq::INTEGER AS seq, "start", "end", text,
+CASE WHEN fills THEN 'alternation' ELSE said END AS attribution,
+CASE WHEN fills THEN owner WHEN said = 'macro' THEN CASE k WHEN 0 THEN 'Ada Byron' ELSE 'The Clerk' END WHEN said = 'recognition' THEN got WHEN said = 'self_intro' THEN 'Lisa O''Neil-Roy' END AS name,
+CASE WHEN fills OR said = 'recognition' THEN 'Councillor' WHEN said = 'macro' THEN CASE k WHEN 0 THEN 'Mayor' ELSE 'Clerk' END END AS role FROM f""")
+def caption_turns(spark, d):
+    """Turns of every meeting's captions, with their speakers."""
+    spoken = cp.turns(_captions(Tables(spark, d)), "meeting", "pos", "start", "end", "text")
+    return cp.alternation(spoken, "meeting")
+
+
+_ROSTER = ((0, 1, "Tang", False, 0, 500), (0, 5, "Tang", False, 500, None), (0, 3, "Wright", False, 0, None), (0, 6, "Wright", False, 300, 600), (0, 2, "Parmm", False, 0, None), (0, 4, "Byron", True, 0, None), (1, 7, "Tong", False, 0, None), (1, 8, "Ting", False, 0, 700), (1, 9, "Parm", False, 0, None), (1, 10, "Other", True, 100, None))
+_ROSTER_ROWS = ", ".join(str(r).replace("None", "NULL") for r in _ROSTER)
+
+
+@query("caption_members", f"""
+WITH t AS ({ORACLES["caption_turns"]}), r(council, member, surname, mayor, s, e) AS (VALUES {_ROSTER_ROWS}),
+q AS (SELECT meeting || ':' || seq AS turn, meeting % 2 AS council, "start" AS moment, attribution, role = 'Mayor' AS mayoral, upper(string_split(name, ' ')[-1]) AS sn FROM t WHERE name IS NOT NULL AND attribution <> 'self_intro' AND role <> 'Clerk'),
+m AS (SELECT q.*, member, mayor, levenshtein(sn, upper(surname)) AS d FROM q JOIN r ON q.council = r.council AND s <= moment AND (e IS NULL OR moment < e)),
+a AS (SELECT turn, attribution, list(DISTINCT member) FILTER (WHERE mayor AND mayoral) AS ms, list(DISTINCT member) FILTER (WHERE d = 0) AS xs, list(DISTINCT member) FILTER (WHERE d = 1) AS d1, list(DISTINCT member) FILTER (WHERE d = 2) AS d2 FROM m GROUP BY ALL),
+f AS (SELECT turn, CASE WHEN len(ms) = 1 THEN ms[1] WHEN len(xs) = 1 THEN xs[1] END AS sure, CASE WHEN len(xs) > 1 THEN NULL WHEN len(d1) > 0 THEN CASE WHEN len(d1) = 1 THEN d1[1] END WHEN len(d2) = 1 THEN d2[1] END AS spelt, CASE attribution WHEN 'macro' THEN 0.9 WHEN 'recognition' THEN 0.7 WHEN 'alternation' THEN 0.65 END::DOUBLE AS trust FROM a)
+SELECT turn, coalesce(sure, spelt)::INTEGER AS member, CASE WHEN sure IS NOT NULL THEN trust ELSE 0.6 END::DOUBLE AS confidence FROM f WHERE coalesce(sure, spelt) IS NOT NULL""")
+def caption_members(spark, d):
+    """The members behind the turns of captions, by rosters that change."""
+    spoken = cp.alternation(cp.turns(_captions(Tables(spark, d)), "meeting", "pos", "start", "end", "text"), "meeting")
+    asked = spoken.select(F.concat_ws(":", "meeting", "seq").alias("turn"), (F.col("meeting") % 2).cast("int").alias("council"), F.col("start").alias("at"), "role", "name", "attribution")
+    cells = [F.struct(*(F.lit(v).cast(k).alias(n) for n, k, v in zip(("council", "member", "surname", "mayor", "start", "end"), ("int", "int", "string", "boolean", "long", "long"), r, strict=True))) for r in _ROSTER]
+    roster = spark.range(1).select(F.explode(F.array(*cells)).alias("r")).select("r.*")
+    return rs.caption_members(asked, roster, "turn", "council", "at")

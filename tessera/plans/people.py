@@ -172,3 +172,32 @@ def guarded_average(spark, d):
 @query("percent_helper", "SELECT round(coalesce(100.0 * count(*) FILTER (value > 50) / nullif(count(*), 0), 0), 6) AS pct FROM events")
 def percent_helper(spark, d):
     return Tables(spark, d).events.agg(ag.percent(F.col("value") > 50).alias("pct"))
+
+
+@query("label_members", "SELECT * FROM (VALUES (1, 10), (2, 11), (3, 12), (5, 11), (8, 10)) t(id, member), (VALUES (0.85::DOUBLE)) c(confidence)")
+def label_members(spark, d):
+    """Labels in capitals: one in office, by riding, by initial; two of a riding, an office, no term and no label give none."""
+    facts = rows(spark, "id int, label string, at date", (1, "HON. MR. DUPRÉ", "1990-01-01"), (2, "MR. WALLACE (Oak Bay – Gordon Head)", "1990-01-01"), (3, "MR. G.S. WALLACE", "1990-01-01"), (4, "MR. WALLACE (Premier)", "1990-01-01"), (5, "Mrs. A. Wallace (Minister of Mines)", "1990-01-01"), (6, "MR. WALLACE", "1990-01-01"), (7, "MR. DUPRÉ", "1995-01-01"), (8, "MR. DUPRE", "1994-12-31"), (9, "The Speaker", "1990-01-01"))
+    terms = rows(spark, "member int, first string, last string, riding string, start date, end date", (10, "Luc", "Dupré", "Yale", "1980-01-01", "1995-01-01"), (11, "Ann", "Wallace", "Oak Bay-Gordon Head", "1980-01-01", None), (12, "George", "Wallace", "Yale", "1980-01-01", None), (13, "Bo", "Wallace", "Oak Bay-Gordon Head", "1970-01-01", "1980-01-01"))
+    return rs.by_label(facts, terms, "id", "label", "at")
+
+
+@query("middle_initials", "SELECT * FROM (VALUES (1, 20), (2, 21), (5, 20), (6, 22)) t(id, member), (VALUES (0.85::DOUBLE)) c(confidence)")
+def middle_initials(spark, d):
+    """Two members of one name told apart by their middle initials."""
+    facts = rows(spark, "id int, full string, surname string, at date", (1, "Mr. David S. Cole", "Cole", "1988-01-01"), (2, "David R. Cole", "Cole", "1988-01-01"), (3, "Hon. David Cole", "Cole", "1988-01-01"), (4, "D. R. Cole", "Cole", "1995-01-01"), (5, "D. S. Cole", "COLE", "1975-01-01"), (6, "Ann M. Roy", "Roy", "1988-01-01"))
+    members = rows(spark, "member int, name string, first string, last string, start date, end date", (20, "Dave S. Cole", "Dave", "Cole", None, "1997-01-01"), (21, "David R. Cole", "David", "Cole", "1985-01-01", "1990-01-01"), (22, "Ann Marie St. Roy", "Ann", "St. Roy", "1980-01-01", None), (23, "Dave Cole", "Dave", "Cole", "1980-01-01", None))
+    return rs.by_middle_initial(facts, members, "id", "full", "surname", "at")
+
+
+@query("motion_movers", "SELECT * FROM (VALUES (1, 30), (2, 31)) t(id, member)")
+def motion_movers(spark, d):
+    facts = rows(spark, "id int, city string, name string", (1, "a", "Councillor SMITH"), (2, "b", "Mayor Gond,"), (3, "a", "Doe"), (4, "b", "Smith"), (5, "a", None))
+    roster = rows(spark, "city string, member int, surname string", ("a", 30, "Smith"), ("b", 31, "Gond"), ("a", 32, "Doe"), ("a", 33, "Doe"))
+    return rs.by_surname(facts, roster, "id", "name", ["city"])
+
+
+@query("stream_titles", "SELECT * FROM (VALUES (1, '2026-07-07', 'City Council - Public Hearing'), (2, '2026-07-07', 'Audit'), (3, NULL, NULL), (4, NULL, NULL)) t(id, day, body)")
+def stream_titles(spark, d):
+    r = rows(spark, "id int, title string", (1, "July 7, 2026 - City Council - Public Hearing"), (2, "Jul. 7 2026 – Audit "), (3, "Julember 7, 2026 - Audit"), (4, "City Council"))
+    return r.select("id", tx.stream_title(F.col("title")).alias("s")).select("id", F.date_format("s.day", "yyyy-MM-dd").alias("day"), "s.body")

@@ -96,6 +96,25 @@ def hosting_tiers(spark, d):
     return Tables(spark, d).customer.select("c_custkey", tier.alias("tier"))
 
 
+@query("hosting_profiles", """
+WITH x AS (SELECT c_custkey, ['CA', 'US', NULL][c_nationkey % 3 + 1] AS country, c_custkey % 2 = 0 AS failed, c_custkey % 6 = 2 OR c_custkey % 11 = 0 AS dom,
+[NULL, 'Amazon Web Services', NULL, NULL, 'OVHcloud', NULL][c_custkey % 6 + 1] AS op, [NULL, NULL, NULL, 'Cloudflare', NULL, NULL][c_custkey % 6 + 1] AS oc,
+[NULL, 'Netlify', NULL, 'AWS CloudFront'][c_nationkey % 4 + 1] AS cc, [NULL, 'Wix', NULL, NULL][c_nationkey % 4 + 1] AS cw,
+[NULL, NULL, 'Google', 'WordPress.com (Automattic)', NULL][c_custkey % 5 + 1] AS sp, [NULL, NULL, NULL, 'WordPress', 'Drupal'][c_custkey % 5 + 1] AS sm, CASE WHEN c_custkey % 7 = 0 THEN 'Akamai' END AS nc FROM customer),
+y AS (SELECT *, coalesce(cc, oc, nc) AS cdn, coalesce(op, cw, sp, cc, oc, nc) AS provider, coalesce(sm, cw) AS cms FROM x)
+SELECT c_custkey, provider, country, cdn, cms, CASE WHEN failed AND country IS NULL AND provider IS NULL THEN 6 WHEN country = 'CA' AND dom THEN 1 WHEN country = 'CA' THEN 2 WHEN cdn IS NOT NULL THEN 3 WHEN country = 'US' THEN 4 WHEN provider IS NOT NULL THEN 5 ELSE 6 END::INTEGER AS tier FROM y""")
+def hosting_profiles(spark, d):
+    """Tier, provider, CDN and content system of sites from network owners, names and headers."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    pick = lambda i, *xs: F.element_at(F.array(*(F.lit(x).cast("string") for x in xs)), (i % len(xs) + 1).cast("int"))
+    names = F.when(n % 4 == 0, F.array().cast("array<string>")).when(n % 4 == 1, F.array(F.lit("www.x.Netlify.app"), F.lit("x.wixdns.net"))).when(n % 4 == 3, F.array(F.lit("d1.cloudfront.net")))
+    seen = cf.hosting(
+        pick(n, "CA", "US", None), pick(k, None, "AMAZON-02", "Bell Canada", "Cloudflare, Inc.", "OVH SAS", "Example Net"), F.when(k % 11 == 0, "AS577").otherwise("AS15169"),
+        names, pick(k, None, "nginx", "Google Frontend", "WordPress VIP", "Drupal 9"), F.lit(None).cast("string"), F.when(k % 7 == 0, F.array(F.lit(None).cast("string"), F.lit("a.akamai.com"))), k % 2 == 0,
+    )
+    return Tables(spark, d).customer.select("c_custkey", seen.alias("h")).select("c_custkey", "h.*")
+
+
 @query("first_label_in_order", "SELECT p_partkey, CASE WHEN p_name ILIKE '%ring%' THEN 'R' WHEN p_name ILIKE '%widget%' THEN 'W' WHEN p_type ILIKE '%ring%' THEN 'R' WHEN p_type ILIKE '%econ%' THEN 'E' END AS label FROM part")
 def first_label_in_order(spark, d):
     label = cf.first_label([F.col("p_name"), F.col("p_type")], {"RING": "R", "widget": "W", "Econ": "E"})

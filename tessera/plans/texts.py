@@ -208,3 +208,21 @@ def meeting_match(spark, d):
     rule = F.when(F.col("body") == F.col("vbody"), 1).when(F.startswith("body", F.split_part("vname", F.lit(" "), F.lit(1))), 2)
     x = p.where("id % 2 = 0").join(v, "day").withColumn("rank", rule).where("rank IS NOT NULL")
     return rel.latest_per_key(x, ["id"], [F.asc("rank"), F.asc("vid")]).select("id", "vid", "rank")
+
+
+@query("meeting_recordings", r"""
+WITH p AS (SELECT p_partkey AS id, p_size AS day, p_name AS name, p_partkey // 2 % 3 AS k FROM part),
+m AS (SELECT id, day, CASE k WHEN 1 THEN 'Special ' || name WHEN 2 THEN name || ' (Virtual)' ELSE name END AS body FROM p WHERE id % 2 = 0),
+v AS (SELECT id AS vid, day, CASE k WHEN 1 THEN name || ' Part 2' WHEN 2 THEN split_part(name, ' ', 1) ELSE name END AS body FROM p WHERE id % 2 = 1),
+k AS (SELECT id, day, regexp_replace(regexp_replace(lower(body), '^special ', ''), '[^a-z0-9]', '', 'g') AS s, regexp_replace(regexp_replace(regexp_replace(lower(body), '\([^)]*\)', ''), '^special ', ''), '[^a-z0-9]', '', 'g') AS b FROM m),
+w AS (SELECT vid, day, regexp_replace(lower(body), '[^a-z0-9]', '', 'g') AS vs, regexp_replace(regexp_replace(lower(body), 'part 2', ''), '[^a-z0-9]', '', 'g') AS vb FROM v)
+SELECT vid, id, CASE WHEN s = vs THEN 1 WHEN s = vb THEN 2 WHEN b = vb THEN 3 WHEN contains(s, vs) OR contains(vs, s) THEN 4 END::INTEGER AS rule FROM k JOIN w USING (day) WHERE rule IS NOT NULL QUALIFY row_number() OVER (PARTITION BY vid ORDER BY rule, id) = 1""")
+def meeting_recordings(spark, d):
+    """Recordings and the meetings of their day: the same name, without words of scheduling on one side, on both, one within the other."""
+    p, k = Tables(spark, d).part, F.floor(F.col("p_partkey") / 2) % 3
+    m = p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("day"), F.when(k == 1, F.concat(F.lit("Special "), "p_name")).when(k == 2, F.concat("p_name", F.lit(" (Virtual)"))).otherwise(F.col("p_name")).alias("body"))
+    v = p.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("vid"), F.col("p_size").alias("day"), F.when(k == 1, F.concat("p_name", F.lit(" Part 2"))).when(k == 2, F.split_part("p_name", F.lit(" "), F.lit(1))).otherwise(F.col("p_name")).alias("vbody"))
+    m = m.select("id", "day", tx.meeting_body(F.col("body")).alias("s"), tx.meeting_body(F.col("body"), plain=True).alias("b"))
+    v = v.select("vid", "day", tx.meeting_body(F.col("vbody")).alias("vs"), tx.meeting_body(F.col("vbody"), plain=True).alias("vb"))
+    s, b, vs, vb = map(F.col, ("s", "b", "vs", "vb"))
+    return rel.match_by_rules(m, v, "day", "id", "vid", [(s, vs), (s, vb), (b, vb)], within=("s", "vs"))

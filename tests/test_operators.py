@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import classify as cf
 from tessera.functions import text as tx
+from tessera.operators import captions as cp
 from tessera.operators import changes as ch
 from tessera.operators import cluster as cl
 from tessera.operators import geo
@@ -346,3 +347,55 @@ def test_alert_stream(spark, tmp_path):
     sink = lambda df, _: df.select("sid", "id").write.mode("append").parquet(f"file://{tmp_path}/out")
     st.alert_stream(stream, searches, lambda: F.col("kind") == F.col("want"), "ts", as_of, sink, f"file://{tmp_path}/log").awaitTermination()
     assert [tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()] == [(7, 1)]
+
+
+def spoken(spark, *lines, panel=None):
+    df = spark.createDataFrame([(1, i, float(i), i + 1.0, x) for i, x in enumerate(lines)], "m int, pos int, start double, end double, text string")
+    turns = cp.turns(df, "m", "pos", "start", "end", "text")
+    spans = None if panel is None else spark.createDataFrame([(1, *p) for p in panel], "m int, start double, end double, owner string")
+    return [(r.name, r.attribution) for r in cp.alternation(turns, "m", "start", spans).orderBy("seq").collect()]
+
+
+@pytest.mark.parametrize("tail, name", [
+    ("the motion is seconded by Councillor Parm.", None), ("thank you, Councillor Parm.", None), ("sorry, Mayor Gond", None), ("Councillor Wright, Counsellor Parm.", "PARM"),
+    ("thank you, Councillor Parm, you have the floor", "PARM"), ("Councillor Parm left early that day", None), ("no one is named", None), (None, None), ("", None),
+])
+def test_hand_over(spark, tail, name):
+    got = spark.range(1).select(cp.handed_to(F.lit(tail).cast("string")).alias("h")).first().h
+    assert (got and got.name) == name
+
+
+def test_turns_of_hard_captions(spark):
+    assert spoken(spark) == []
+    assert spoken(spark, "", None, ">>", ">> a") == []
+    assert spoken(spark, "no mark at all") == [(None, None)]
+    assert spoken(spark, ">> The Chair: Councillor Parm?", ">> Good morning from Councillor Wright.") == [("The Chair", "macro"), (None, None)]
+    assert spoken(spark, ">> Deputy Ann Lee: Hello there.", ">> My name is ann o'neil-roy and I live here.") == [("Ann Lee", "macro"), ("Ann O'Neil-Roy", "self_intro")]
+
+
+def test_alternation_ends_at_other_members_and_after_sixty_turns(spark):
+    opening = [">> The Chair: Councillor Parm?", ">> What does it cost?"]
+    assert spoken(spark, *opening, ">> A lot.", ">> How much?", ">> Thanks, Councillor Tang. Well.", ">> Why?")[2:] == [(None, None), ("PARM", "alternation"), (None, None), (None, None)]
+    assert spoken(spark, *opening, ">> A lot.", ">> Thank you, Councillor Parm. More.", ">> I see.")[2:] == [(None, None), (None, None), ("PARM", "alternation")]
+    filled = spoken(spark, *opening, *[">> And so on."] * 70)
+    assert [i for i, (n, _) in enumerate(filled[1:]) if n] == list(range(0, 61, 2))
+
+
+def test_panel_opens_blocks_that_words_confirm(spark):
+    lines = [">> The Clerk: The budget.", ">> What does it cost?", ">> A lot.", ">> And the bridge?", ">> Thank you, Councillor Parm. That too.", ">> I see."]
+    assert spoken(spark, *lines, panel=[(0.0, 9.0, "PARM")])[1:] == [("PARM", "panel"), (None, None), ("PARM", "panel"), (None, None), (None, None)]
+    assert spoken(spark, *lines[:4], panel=[(0.0, 9.0, "PARM")])[1:] == [(None, None)] * 3
+    assert spoken(spark, *lines, panel=[])[1:] == [(None, None)] * 5
+
+
+def test_hosting_without_anything(spark):
+    none = F.lit(None).cast("string")
+    seen = lambda failed: spark.range(1).select(cf.hosting(none, none, none, F.lit(None).cast("array<string>"), none, none, F.lit(None).cast("array<string>"), F.lit(failed)).alias("h")).first().h
+    assert tuple(seen(True)) == tuple(seen(False)) == (6, None, None, None, None)
+
+
+def test_rules_leave_no_partner_out_and_take_the_least(spark):
+    left = spark.createDataFrame([(1, "d", "budget"), (2, "d", "budget"), (3, "d", ""), (4, None, "audit"), (5, "d", "roadsandparks")], "id int, day string, s string")
+    right = spark.createDataFrame([(10, "d", "budget"), (11, "d", "parks"), (12, "d", ""), (13, None, "audit"), (14, "e", "budget"), (15, "d", None)], "vid int, day string, v string")
+    got = rel.match_by_rules(left, right, "day", "id", "vid", [(F.col("s"), F.col("v"))], within=("s", "v"))
+    assert sorted(map(tuple, got.collect())) == [(10, 1, 1), (11, 5, 2)]
