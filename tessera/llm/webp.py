@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import struct
 from functools import lru_cache
+from math import log2
 
 import numpy as np
 
@@ -132,26 +133,35 @@ def read_code(bits: Bits, size: int) -> Code:
     most = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     out, previous, mask = [], 8, (1 << width) - 1
     words, at = memoryview(bits.words()), bits.at
-    while len(out) < size and most:
-        most -= 1
-        if at >> 3 >= len(words):
-            raise ValueError("the image ends early")
-        x = words[at >> 3] >> (at & 7)
-        entry = table[x & mask]
-        n, s = entry & 15, entry >> 4
-        if s < 16:
-            out.append(s)
-            previous = s or previous
-        elif s == 16:
-            out += [previous] * (3 + (x >> n & 3))
-            n += 2
-        elif s == 17:
-            out += [0] * (3 + (x >> n & 7))
-            n += 3
-        else:
-            out += [0] * (11 + (x >> n & 127))
-            n += 7
-        at += n
+    left, add = size, out.append
+    try:
+        while left > 0 and most:
+            most -= 1
+            x = words[at >> 3] >> (at & 7)
+            entry = table[x & mask]
+            n, s = entry & 15, entry >> 4
+            at += n
+            if s < 16:
+                add(s)
+                left -= 1
+                if s:
+                    previous = s
+                continue
+            if s == 16:
+                run = 3 + (x >> n & 3)
+                out += [previous] * run
+                at += 2
+            elif s == 17:
+                run = 3 + (x >> n & 7)
+                out += [0] * run
+                at += 3
+            else:
+                run = 11 + (x >> n & 127)
+                out += [0] * run
+                at += 7
+            left -= run
+    except IndexError:
+        raise ValueError("the image ends early") from None
     bits.at = at
     if len(out) > size:
         raise ValueError("code lengths run over")
@@ -244,7 +254,7 @@ def _decode_at_once(bits: Bits, width: int, height: int, group: list, seen: set)
     window = ((word[:, None] >> np.arange(8, dtype=np.uint64)).astype(np.uint32)).reshape(-1)[lead : lead + count]
 
     def entries(code: Code, at=None) -> np.ndarray:
-        return code.table[(window if at is None else window[at]) & np.uint32((1 << code.bits) - 1)]
+        return code.table.take((window if at is None else window.take(at)) & np.uint32((1 << code.bits) - 1))
 
     last = count - 1
     green = entries(group[0])
@@ -259,7 +269,7 @@ def _decode_at_once(bits: Bits, width: int, height: int, group: list, seen: set)
         follow = follow.copy() if follow is step else follow
         follow[refs] = _reference(window, step[refs], (green[refs] >> 4) - 256, entries, group[4], last)[2]
     starts = _orbit(follow, n)
-    symbol = green[starts] >> 4
+    symbol = green.take(starts) >> 4
     out = np.zeros(n, np.uint32)
     if refers:
         is_ref = symbol >= 256
@@ -279,7 +289,7 @@ def _decode_at_once(bits: Bits, width: int, height: int, group: list, seen: set)
             raise ValueError("the image ends early")
         copies, place, end = [], slice(None), int(follow[starts[-1]])
     pixels = symbol << 8
-    p = step[starts]
+    p = step.take(starts)
     for code, shift in zip(group[1:4], (16, 0, 24), strict=True):
         e = entries(code, p) if code.bits else code.table[0]
         pixels = pixels | (e >> 4) << np.uint32(shift)
@@ -318,7 +328,7 @@ def _orbit(follow: np.ndarray, n: int) -> np.ndarray:
     stride = 1
     far = follow
     while stride < 16 and stride * 32 < n:
-        far = far[far]
+        far = far.take(far)
         stride *= 2
     table, p, end, heads = memoryview(far), 0, len(follow) - 1, []
     while len(heads) * stride < n:
@@ -330,7 +340,7 @@ def _orbit(follow: np.ndarray, n: int) -> np.ndarray:
     out = np.empty((stride, len(heads)), np.int64)
     out[0] = heads
     for k in range(1, stride):
-        out[k] = follow[out[k - 1]]
+        follow.take(out[k - 1], out=out[k], mode="clip")
     return out.T.reshape(-1)[:n]
 
 
@@ -790,9 +800,10 @@ GAIN = 0.92  # a form that takes more steps must be smaller by this factor
 
 def _bits_of(counts: np.ndarray) -> float:
     """Bits that symbols cost at their entropy, and about five for each one's code length."""
-    c = counts[counts > 0].astype(np.float64)
-    total = c.sum()
-    return float(total * np.log2(total) - c @ np.log2(c)) + 5 * len(c) if len(c) else 0.0
+    c = np.maximum(counts, 1).astype(np.float64)  # a count of one adds nothing
+    some = int(np.count_nonzero(counts))
+    total = float(c.sum()) - len(c) + some
+    return total * log2(total) - float(c @ np.log2(c)) + 5 * some if some else 0.0
 
 
 def _book(w: Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -825,7 +836,8 @@ def _finish(w: Writer, values: np.ndarray, sizes: np.ndarray) -> bytes:
     head = np.frombuffer(w.value.to_bytes((w.size + 7) // 8, "little"), np.uint8)
     lead = w.size & 7  # the header's last byte goes on with the codes
     some = np.flatnonzero(sizes)
-    values, sizes = values[some], sizes[some]
+    if len(some) < len(sizes):
+        values, sizes = values.take(some), sizes.take(some)
     words, n = pack_bits(np.concatenate([[np.uint64(head[-1] if lead else 0)], values]), np.concatenate([[lead], sizes]))
     return _container((head[:-1] if lead else head).tobytes() + words.view(np.uint8)[: (n + 7) // 8].tobytes())
 
@@ -835,7 +847,7 @@ def _plain(w: Writer, flat: np.ndarray, alpha: int = 255) -> bytes:
     w.put(0b00, 2)  # no colour cache, one group of codes
     codes, sizes = _book(w, np.bincount(flat, minlength=280))
     write_only(w, 0, 0, alpha, 0)  # red, blue, alpha, distance
-    return _finish(w, codes[flat], sizes[flat])
+    return _finish(w, codes.take(flat), sizes.take(flat))
 
 
 def find_references(flat: np.ndarray) -> list[tuple[int, int, int]]:
