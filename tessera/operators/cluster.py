@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.operators.aggregates import plurality
+from tessera.functions.text import fold
 from tessera.operators.relational import small, top_m_per_group
 from tessera.operators.vector import euclidean
 
@@ -77,6 +78,32 @@ def tfidf_terms(tokens: DataFrame, group: str, doc: str, term: str, top: int = 2
     return mean.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
 
 
+def phrases(text: Column, stops: Sequence[str]) -> Column:
+    """Words of three letters or more of the folded text, without the stop words, and each two of them in a row."""
+    words = F.filter(F.regexp_extract_all(fold(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: w.rlike("^[a-z]{3,}$") & ~w.isin(*stops))
+    pairs = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    return F.element_at(F.transform(F.array(words), lambda w: F.concat(w, pairs(w))), 1)
+
+
+def cluster_terms(docs: DataFrame, group: str, doc: str, text: str, stops: Sequence[str], top: int = 20, min_df: int = 2, max_df: float = 0.6, features: int = 5000) -> DataFrame:
+    """(group, term, weight, place): the words and pairs of words that stand out in each cluster, weighed within it.
+
+    A cluster's vocabulary is its `features` most frequent terms (ties by term) that `min_df` of its documents or more
+    and no greater share than `max_df` hold.  The weight is the mean, over all its documents, of unit-length tf x
+    smooth idf.  Clusters without such terms give no rows.  docs: one row a document.
+    """
+    size = docs.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    tf = docs.select(group, doc, F.explode(phrases(F.col(text), stops)).alias("term")).groupBy(group, doc, "term").agg(F.count(F.lit(1)).alias("tf"))
+    known = tf.groupBy(group, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).join(small(size), group).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
+    kept = known.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("total"), F.asc("term")))).where(F.col("_r") <= features)
+    idf = kept.select(group, "term", "n", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    w = tf.join(small(idf), [group, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
+    length = w.groupBy(group, doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
+    mean = w.join(length, [group, doc]).groupBy(group, "term").agg((F.sum(F.col("w") / F.col("len")) / F.first("n")).alias("weight"))
+    order = Window.partitionBy(group).orderBy(F.desc(F.round("weight", 9)), F.asc("term"))
+    return mean.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+
+
 def labels(terms: DataFrame, group: str, term: str, words: int = 3) -> DataFrame:
     """(group, label): the best terms joined."""
     parts = F.transform(F.array_sort(F.collect_list(F.struct("place", term))), lambda x: x[term])

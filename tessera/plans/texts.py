@@ -226,3 +226,24 @@ def meeting_recordings(spark, d):
     v = v.select("vid", "day", tx.meeting_body(F.col("vbody")).alias("vs"), tx.meeting_body(F.col("vbody"), plain=True).alias("vb"))
     s, b, vs, vb = map(F.col, ("s", "b", "vs", "vb"))
     return rel.match_by_rules(m, v, "day", "id", "vid", [(s, vs), (s, vb), (b, vb)], within=("s", "vs"))
+
+
+_STOPS = sorted({*ps.STOPS["english"], *ps.STOPS["french"]})
+
+
+@query("cluster_labels", f"""
+WITH t AS (SELECT lang, doc_id, list_filter(regexp_extract_all({_folded('text')}, '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]{{3,}}') AND NOT list_contains({_STOPS}, x)) AS ws FROM documents),
+p AS (SELECT lang, doc_id, unnest(list_concat(ws, [ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))])) AS term FROM t),
+tf AS (SELECT lang, doc_id, term, count(*) AS tf FROM p GROUP BY ALL), n AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1),
+d AS (SELECT lang, term, count(*) AS df, sum(tf) AS total, any_value(n) AS n FROM tf JOIN n USING (lang) GROUP BY lang, term HAVING count(*) >= 2 AND count(*) <= 0.6 * any_value(n)),
+k AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY lang ORDER BY total DESC, term) <= 5000),
+w AS (SELECT lang, doc_id, term, n, tf * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS w FROM tf JOIN k USING (lang, term)),
+l AS (SELECT lang, doc_id, sqrt(sum(w * w)) AS len FROM w GROUP BY ALL),
+m AS (SELECT lang, term, sum(w / len) / any_value(n) AS weight FROM w JOIN l USING (lang, doc_id) GROUP BY lang, term),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY round(weight, 9) DESC, term) AS place FROM m QUALIFY place <= 20)
+SELECT lang, string_agg(term, ', ' ORDER BY place) FILTER (WHERE place <= 3) AS label, count(*) AS terms, round(sum(weight), 6) AS weight FROM r GROUP BY lang""")
+def cluster_labels(spark, d):
+    """Labels of clusters, here languages, from their three best of twenty terms."""
+    terms = cl.cluster_terms(Tables(spark, d).documents, "lang", "doc_id", "text", _STOPS)
+    sums = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("weight"), 6).alias("weight"))
+    return cl.labels(terms, "lang", "term").join(sums, "lang")
