@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -31,6 +32,22 @@ def own_columns(docs: DataFrame) -> list[Column]:
     return [quoted(c) for c in docs.columns]
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs has not, in whatever letter case."""
+    taken = {c.lower() for c in docs.columns}
+    return name if name.lower() not in taken else next(n for i in itertools.count(1) if (n := f"{name}_{i}").lower() not in taken)
+
+
+def with_columns(docs: DataFrame, **new: Column) -> DataFrame:
+    """docs with columns added, or put in the place of those of that very name; no other column is looked up by name."""
+    low = {c.lower(): c for c in docs.columns}
+    kept = [new[c].alias(c) if c in new else quoted(c) for c in docs.columns]
+    for c in new:
+        if c not in docs.columns and c.lower() in low:
+            raise ValueError(f"{low[c.lower()]} stands in the way of {c}")
+    return docs.select(*kept, *(new[c].alias(c) for c in new if c not in docs.columns))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where a local session names none (tests)."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from tessera.llm.bpe import op11_bpe
 from tessera.llm.chat import ORACLE_OP5, op5_chat_format
 from tessera.llm.decontamination import ORACLE_OP10, op10_decontamination
+from tessera.llm.fim import ORACLE_OP12, op12_fill_in_middle
 from tessera.llm.media import op8_media
 from tessera.llm.packing import op3_packing
 from tessera.llm.pii import op4_pii
@@ -13,5 +15,5 @@ from tessera.llm.secrets import op1_secret_scan
 from tessera.llm.simhash import op2_simhash
 from tessera.llm.token_files import op6_token_files
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_simhash": op2_simhash, "op3_packing": op3_packing, "op4_pii": op4_pii, "op5_chat_format": op5_chat_format, "op6_token_files": op6_token_files, "op7_quality": op7_quality, "op8_media": op8_media, "op9_substring_dedup": op9_substring_dedup, "op10_decontamination": op10_decontamination}
-ORACLES: dict[str, str] = {"op5_chat_format": ORACLE_OP5, "op9_substring_dedup": ORACLE_OP9, "op10_decontamination": ORACLE_OP10}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_simhash": op2_simhash, "op3_packing": op3_packing, "op4_pii": op4_pii, "op5_chat_format": op5_chat_format, "op6_token_files": op6_token_files, "op7_quality": op7_quality, "op8_media": op8_media, "op9_substring_dedup": op9_substring_dedup, "op10_decontamination": op10_decontamination, "op11_bpe": op11_bpe, "op12_fill_in_middle": op12_fill_in_middle}
+ORACLES: dict[str, str] = {"op5_chat_format": ORACLE_OP5, "op9_substring_dedup": ORACLE_OP9, "op10_decontamination": ORACLE_OP10, "op12_fill_in_middle": ORACLE_OP12}
