@@ -1,19 +1,21 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams.
 
-Training texts are scanned once, in place: words become small integers through the benchmark's own
+Training texts are scanned in place: words become small integers through the benchmark's own
 vocabulary (0: a word the benchmark never uses, so no window holds it), rolling hashes of the runs of
 known words are looked up in the hash set, and each hit is verified against the n-gram's words.
 The broadcast is bounded: a benchmark of more than `max_ngrams` windows is split by item into slices
-of bounded size, each scanned in turn.
+of bounded size, each scanned in turn; only places and items of hits are carried from slice to slice.
 """
 
 from __future__ import annotations
 
+import itertools
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.llm import common
 
@@ -40,7 +42,7 @@ class Grams:
             size, a = min(n, len(words)), np.array(words, np.uint32)
             for i in range(len(words) - size + 1):
                 owners = self.windows.setdefault(size, {}).setdefault(a[i : i + size].tobytes(), [])
-                if item not in owners:
+                if not owners or owners[-1] != item:  # items come one by one; an id that comes again is listed again
                     owners.append(item)
         self.hashes = {size: np.unique(self.rolling(np.frombuffer(b"".join(w), np.uint32).reshape(-1, size).T)) for size, w in self.windows.items()}
 
@@ -99,82 +101,102 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, max_n
     An item without an id is searched for but not listed.  Repeated documents and items: each on its own.
     An empty benchmark hits nothing.  Other columns are ignored.
     """
-    found = _scan(common.text_rows(docs, id_col, text_col), "text", benchmark, n, max_ngrams, item_col)
-    return found.select("doc_id", *(F.col(f"_tz_{c}").alias(c) for c in ("n_words", "spans", "items")))
-
-
-def _scan(rows: DataFrame, text_col: str, benchmark: DataFrame, n: int, max_ngrams: int, item_col: str) -> DataFrame:
-    """rows with _tz_n_words, _tz_spans and _tz_items; nothing is joined or shuffled."""
-    spark = rows.sparkSession
-    out = rows.withColumns({"_tz_n_words": F.lit(None).cast("long"), "_tz_spans": F.expr("CAST(array() AS array<struct<start:int,end:int>>)"), "_tz_items": F.expr("CAST(array() AS array<bigint>)")})
-    place, schema = rows.columns.index(text_col), T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema])
-    slices = 0
-    for items in _slices(benchmark, n, max_ngrams, item_col, "text"):
-        if slices:
-            out = common.cut(out)  # more than one slice: one broadcast at a time
-        out = out.mapInArrow(_scanner(spark.sparkContext.broadcast(Grams(items, n)), place), schema)
-        slices += 1
-    return out if slices else out.mapInArrow(_scanner(spark.sparkContext.broadcast(Grams([], n)), place), schema)
-
-
-def _scanner(grams_cast, place: int):
-    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-
-    def run(batches):
-        grams = grams_cast.value
-        for batch in batches:
-            n_words, spans, items = [], [], []
-            for text, old, listed in zip(*(batch.column(i).to_pylist() for i in (place, -2 % batch.num_columns, -1 % batch.num_columns)), strict=True):
-                words = words_of(text.encode() if isinstance(text, str) else text or b"")
-                hit, found = grams.scan(words)
-                if hit is not None:
-                    for s in old:
-                        hit[s["start"] : s["end"]] = True
-                    edge = np.flatnonzero(np.diff(hit, prepend=False, append=False)).tolist()
-                    old = [{"start": s, "end": e} for s, e in zip(edge[::2], edge[1::2], strict=True)]
-                n_words.append(len(words))
-                spans.append(old)
-                items.append(sorted({*listed, *(i for i in found if i is not None)}))
-            new = [pa.array(n_words, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *new], names=batch.schema.names)
-
-    return run
-
-
-def n_hit(spans: str = "spans") -> F.Column:
+    rows, name = common.text_rows(docs, id_col, text_col), "found"
+    found = _scan(rows, name, "text", benchmark, n, max_ngrams, item_col)
+    return found.select("doc_id", *(F.col(name)[c].alias(c) for c in ("n_words", "spans", "items")))
+
+
+FOUND = "struct<n_words:bigint,spans:array<struct<start:int,end:int>>,items:array<bigint>>"
+
+
+def _scan(rows: DataFrame, name: str, text_col: str, benchmark: DataFrame, n: int, max_ngrams: int, item_col: str = "item_id") -> DataFrame:
+    """rows with a column `name` of FOUND.  Only texts go to Python, so other columns may be of any name and type.
+
+    One slice: a column of one narrow pass, nothing is joined or shuffled.  More: rows are numbered and stored once,
+    each slice's hits are written as places, and all hits of a row are joined to it.
+    """
+    spark, text = rows.sparkSession, common.quoted(text_col)
+    slices = _slices(benchmark, n, max_ngrams, item_col, "text")
+    items, more = next(slices, []), next(slices, None)
+    if more is None:
+        return common.with_columns(rows, **{name: _scanner(spark.sparkContext.broadcast(Grams(items, n)))(text)})
+    number, found = common.fresh(rows, "row"), common.fresh(rows, "hits")
+    numbered, places = common.cut(rows.withColumn(number, F.monotonically_increasing_id())), []
+    for part in itertools.chain([items, more], slices):
+        grams = spark.sparkContext.broadcast(Grams(part, n))
+        hits = numbered.select(F.col(number).alias("row"), _scanner(grams)(text).alias("f")).where("size(f.spans) > 0").select("row", "f.spans", "f.items")
+        places.append(common.stage(hits, "benchmark-hits"))
+        grams.destroy()
+    hits = reduce(DataFrame.unionByName, (p for p, _ in places)).groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    hits = hits.select("row", F.struct(_merged(F.array_sort("spans")).alias("spans"), "items").alias(found))
+    words = _scanner(spark.sparkContext.broadcast(Grams([], n)))(text)["n_words"]
+    none = F.from_json(F.lit('{"spans":[],"items":[]}'), "struct<spans:array<struct<start:int,end:int>>,items:array<bigint>>")
+    held = numbered.join(hits.withColumnRenamed("row", number), number, "left")
+    got = F.coalesce(F.col(found), none)
+    return common.with_columns(held, **{name: F.struct(words.alias("n_words"), got["spans"].alias("spans"), got["items"].alias("items"))}).select(*common.own_columns(rows), *([common.quoted(name)] if name not in rows.columns else []))
+
+
+def _merged(spans: F.Column) -> F.Column:
+    """Ascending spans, those that meet or overlap as one."""
+    put = lambda a, s: F.array_append(a, F.struct(s["start"].alias("start"), s["end"].alias("end")))
+
+    def step(a, s):
+        top = F.element_at(a, -1)
+        wide = F.struct(top["start"].alias("start"), F.greatest(top["end"], s["end"]).alias("end"))
+        return F.when(F.size(a) == 0, put(a, s)).when(top["end"] >= s["start"], F.array_append(F.slice(a, F.lit(1), F.size(a) - 1), wide)).otherwise(put(a, s))
+
+    return F.aggregate(spans, F.from_json(F.lit("[]"), "array<struct<start:int,end:int>>"), step)
+
+
+def _scanner(grams_cast):
+    kinds = {"n_words": pa.int64(), "spans": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), "items": pa.list_(pa.int64())}
+
+    @F.arrow_udf(FOUND)
+    def scan(texts: pa.Array) -> pa.Array:
+        grams, out = grams_cast.value, {k: [] for k in kinds}
+        for text in texts.to_pylist():
+            words = words_of(text.encode() if isinstance(text, str) else text or b"")
+            hit, found = grams.scan(words)
+            edge = [] if hit is None else np.flatnonzero(np.diff(hit, prepend=False, append=False)).tolist()
+            out["n_words"].append(len(words))
+            out["spans"].append([{"start": s, "end": e} for s, e in zip(edge[::2], edge[1::2], strict=True)])
+            out["items"].append(sorted(i for i in found if i is not None))
+        return pa.StructArray.from_arrays([pa.array(out[k], t) for k, t in kinds.items()], list(kinds))
+
+    return scan
+
+
+def n_hit(spans: str | F.Column = "spans") -> F.Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
 
 
-def contaminated(spans: str = "spans", n_words: str = "n_words") -> F.Column:
+def contaminated(spans: str | F.Column = "spans", n_words: str | F.Column = "n_words") -> F.Column:
     """The rule of the contract: something is hit, and hits are a twentieth of the words or more."""
-    return (n_hit(spans) > 0) & (20 * n_hit(spans) >= F.col(n_words))
+    n = n_hit(spans)
+    return (n > 0) & (20 * n >= (F.col(n_words) if isinstance(n_words, str) else n_words))
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = 13, max_ngrams: int = MAX_NGRAMS, text_col: str = "text") -> DataFrame:
-    """docs without the contaminated ones, with their own columns; each row is judged by its own text."""
-    found = _scan(docs, text_col, benchmark, n, max_ngrams, "item_id")
-    return found.where(~contaminated("_tz_spans", "_tz_n_words")).select(*common.own_columns(docs))
+    """docs without the contaminated ones, with their own columns, of any name and type; each row is judged by its own text."""
+    name = common.fresh(docs, "found")
+    found = F.col(name)
+    return _scan(docs, name, text_col, benchmark, n, max_ngrams).where(~contaminated(found["spans"], found["n_words"])).select(*common.own_columns(docs))
 
 
 def remove_passages(docs: DataFrame, benchmark: DataFrame, n: int = 13, max_ngrams: int = MAX_NGRAMS, text_col: str = "text") -> DataFrame:
-    """docs with the benchmark windows cut out of their texts; all rows and other columns stay.
+    """docs with the benchmark windows cut out of their texts; all rows and other columns, of any name and type, stay.
 
     Null texts stay null; texts without a hit stay as they are; an empty benchmark removes nothing.
     """
-    found = _scan(docs, text_col, benchmark, n, max_ngrams, "item_id").select(*common.own_columns(docs), "_tz_spans")
-    place = docs.columns.index(text_col)
-    schema = T.StructType([T.StructField(f.name, T.StringType() if i == place else f.dataType, True) for i, f in enumerate(docs.schema)])
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for text, spans in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                out.append(remove_spans(text.encode(), [(s["start"], s["end"]) for s in spans]).decode() if spans else text)
-            columns = batch.columns[:-1]
-            columns[place] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
-
-    return found.withColumn(text_col, common.quoted(text_col).cast("string")).mapInArrow(run, schema)
+
+    @F.arrow_udf("string")
+    def cut_out(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        rows = zip(texts.to_pylist(), spans.to_pylist(), strict=True)
+        return pa.array([remove_spans(t.encode(), [(s["start"], s["end"]) for s in spans]).decode() if spans else t for t, spans in rows], pa.string())
+
+    name, text = common.fresh(docs, "found"), common.quoted(text_col).cast("string")
+    found = _scan(docs, name, text_col, benchmark, n, max_ngrams)
+    return common.with_columns(found, **{text_col: cut_out(text, F.col(name)["spans"])}).select(*common.own_columns(docs))
 
 
 def remove_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:

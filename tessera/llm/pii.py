@@ -270,12 +270,13 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with each stretch of overlapping spans replaced by its first kind in brackets; other columns stay.
+    """docs with each stretch of overlapping spans replaced by its first kind in brackets; other columns, of any name and type, stay.
 
     Null texts stay null.  `n_chars`, where there is one, becomes the new length.
     """
     model, cut = fitted(docs.sparkSession)
-    wide = docs.withColumn("_tz_spans", spans_column(F.coalesce(common.quoted(text_col), F.lit("")), model, cut))
+    name, chars = common.fresh(docs, "spans"), next((c for c in docs.columns if c.lower() == "n_chars"), None)
+    wide = docs.withColumn(name, spans_column(F.coalesce(common.quoted(text_col), F.lit("")), model, cut))
 
     def groups(x):  # x: spans in order, and how far those before each reach
         heads = F.filter(F.sequence(F.lit(0), F.size(x["s"]) - 1), lambda i: F.element_at(x["held"], i + 1) <= F.element_at(x["s"], i + 1)["start"])
@@ -289,8 +290,8 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     kind = "array<struct<start:int,end:int,kind:string>>"
     none = F.from_json(F.lit("[]"), kind)
-    merged = F.when(F.size("_tz_spans") == 0, none).otherwise(let(F.struct(F.col("_tz_spans").alias("s"), reach(F.col("_tz_spans")["end"]).alias("held")), groups).cast(kind))
-    wide = wide.withColumn("_tz_spans", merged)
+    merged = F.when(F.size(name) == 0, none).otherwise(let(F.struct(F.col(name).alias("s"), reach(F.col(name)["end"]).alias("held")), groups).cast(kind))
+    wide = wide.withColumn(name, merged)
     # Four bytes a code point: slices by position cost their own length only.
     raw = F.encode(common.quoted(text_col), "UTF-32")
     part = lambda raw, a, b: F.decode(F.substring(raw, a * 4 + 1, (b - a) * 4), "UTF-32")
@@ -304,10 +305,10 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
         return F.array_join(F.transform(F.sequence(F.lit(0), F.size(x["s"])), piece), "")
 
-    text = F.when(F.size("_tz_spans") == 0, common.quoted(text_col)).otherwise(let(F.struct(raw.alias("raw"), F.col("_tz_spans").alias("s")), rebuilt))
-    wide = wide.withColumn(text_col, text)
-    if "n_chars" in docs.columns:
-        wide = wide.withColumn("n_chars", F.when(F.size("_tz_spans") == 0, F.col("n_chars")).otherwise(F.length(common.quoted(text_col)).cast("long")))
+    text = F.when(F.size(name) == 0, common.quoted(text_col)).otherwise(let(F.struct(raw.alias("raw"), F.col(name).alias("s")), rebuilt))
+    wide = common.with_columns(wide, **{text_col: text})
+    if chars:
+        wide = common.with_columns(wide, **{chars: F.when(F.size(name) == 0, common.quoted(chars)).otherwise(F.length(common.quoted(text_col)).cast("long"))})
     return wide.select(*common.own_columns(docs))
 
 

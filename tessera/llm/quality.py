@@ -19,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.llm import common
 
@@ -223,17 +222,14 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, trai
     return fit([(np.frombuffer(r["x"]).reshape(-1, len(FEATURES)), np.frombuffer(r["k"]), r["y"]) for r in got])
 
 
-def _score_column(docs: DataFrame, field: Field, text_col: str) -> DataFrame:
-    """docs with _tz_score."""
-    place = docs.columns.index(text_col)
-    schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in docs.schema), T.StructField("_tz_score", T.DoubleType())])
+def score_column(text: F.Column, field: Field) -> F.Column:
+    """Score of a text: 0 to 1, higher the likelier good; null and empty texts are one empty line."""
 
-    def run(batches):
-        for batch in batches:
-            score = [field.score(t.encode() if isinstance(t, str) else t or b"") for t in batch.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, "_tz_score"])
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([field.score(t or b"") for t in texts.to_pylist()], pa.float64())
 
-    return docs.select(*common.own_columns(docs)).mapInArrow(run, schema)
+    return run(text.cast("binary"))
 
 
 def score_documents(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,12 +238,12 @@ def score_documents(docs: DataFrame, field: Field, id_col: str = "doc_id", text_
     Null and empty texts are one empty line.  A null id stays null; repeated rows are scored each, alike;
     an empty table gives no rows; other columns are ignored.
     """
-    return _score_column(common.text_rows(docs, id_col, text_col), field, "text").select("doc_id", F.col("_tz_score").alias("score"))
+    return common.text_rows(docs, id_col, text_col).select("doc_id", score_column(F.col("text"), field).alias("score"))
 
 
 def keep_good(docs: DataFrame, field: Field, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """docs that score the threshold or more, with their own columns."""
-    return _score_column(docs, field, text_col).where(F.col("_tz_score") >= threshold).select(*common.own_columns(docs))
+    """docs that score the threshold or more, with their own columns, of any name and type."""
+    return docs.where(score_column(common.quoted(text_col), field) >= threshold)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

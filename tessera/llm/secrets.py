@@ -18,7 +18,6 @@ from bisect import bisect_left
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.llm import common
 
@@ -175,19 +174,16 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with every secret of a text replaced by its kind in brackets; one narrow pass, other columns stay.
+    """docs with every secret of a text replaced by its kind in brackets; one narrow pass, other columns, of any name and type, stay.
 
     Null texts stay null; repeated rows are treated alike; an empty table gives no rows.
     """
-    place = docs.columns.index(text_col)
-    schema = T.StructType([T.StructField(f.name, T.StringType() if i == place else f.dataType, True) for i, f in enumerate(docs.schema)])
 
-    def run(batches):
-        for batch in batches:
-            texts = [None if t is None else redacted(t, find_secrets(t)) for t in batch.column(place).to_pylist()]
-            yield batch.set_column(place, batch.schema.field(place).with_type(pa.string()), pa.array(texts, pa.string()))
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else redacted(t, find_secrets(t)) for t in texts.to_pylist()], pa.string())
 
-    return docs.withColumn(text_col, common.quoted(text_col).cast("string")).mapInArrow(run, schema)
+    return common.with_columns(docs, **{text_col: run(common.quoted(text_col).cast("string"))})
 
 
 def spans_text(spans: F.Column | str) -> F.Column:

@@ -141,25 +141,26 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text
     """
     key, text = common.quoted(id_col), common.quoted(text_col)
     digest = F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
-    wide = docs.withColumns({"_tz_id": key.cast("long"), "_tz_digest": digest})
+    same = [common.fresh(docs, "doc_id_of_text"), common.fresh(docs, "digest_of_text")]
+    wide = docs.withColumns({same[0]: key.cast("long"), same[1]: digest})
 
     def run(batches):
         for batch in batches:
             fp = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "digest"])
 
-    rows = wide.select("_tz_id", F.coalesce(text, F.lit("")).cast("binary"), "_tz_digest").where("_tz_id IS NOT NULL")
+    rows = wide.select(F.col(same[0]).alias("doc_id"), F.coalesce(text, F.lit("")).cast("binary").alias("text"), F.col(same[1]).alias("digest")).where("doc_id IS NOT NULL")
     rows = common.cut(rows.mapInArrow(run, "doc_id long, fp long, digest string"))
     each = to_documents(rows, groups(rows, radius)).groupBy("root", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
     first = each.groupBy("root").agg(F.min(F.struct("doc_id", "digest", "n")).alias("f"))
-    first, _ = common.stage(first.select(F.col("f.doc_id").alias("_tz_id"), F.col("f.digest").alias("_tz_digest"), "f.n"), "first-of-group")
+    first, _ = common.stage(first.select("f.doc_id", "f.digest", "f.n"), "first-of-group")
     own = common.own_columns(docs)
-    only = lambda rule: wide.join(first.where(rule).select("_tz_id", "_tz_digest"), ["_tz_id", "_tz_digest"], "left_semi")
+    only = lambda rule: wide.join(first.where(rule).select(F.col("doc_id").alias(same[0]), F.col("digest").alias(same[1])), same, "left_semi").select(*common.own_columns(wide))
     out = only("n = 1").select(*own).unionByName(docs.where(key.isNull()))
     if first.where("n > 1").isEmpty():
         return out
-    again, _ = common.stage(only("n > 1"), "repeated-rows")  # stored, so that copies are dropped before the shuffle
-    return out.unionByName(again.dropDuplicates(["_tz_id", "_tz_digest"]).select(*own))
+    again = common.cut(only("n > 1"))  # stored, so that copies are dropped before the shuffle
+    return out.unionByName(again.dropDuplicates(same).select(*own))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
