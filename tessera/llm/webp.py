@@ -243,8 +243,22 @@ def _value_at(symbol: int, words, p: int) -> tuple[int, int]:
     return ((2 + (symbol & 1)) << extra) + (words[p >> 3] >> (p & 7) & ((1 << extra) - 1)) + 1, p + extra
 
 
-def _decode_at_once(bits: Bits, width: int, height: int, group: list, seen: set) -> np.ndarray:
-    """An image of plain pixels and references, with one group of codes."""
+def _from_cache(pixels: np.ndarray, slots: np.ndarray, cache_bits: int) -> np.ndarray:
+    """Pixels, those that name a slot (-1: none) filled in with the last pixel before them that went there, 0 if none did."""
+    hit = slots >= 0
+    slot = np.where(hit, slots, (pixels * np.uint32(CACHE_MULTIPLIER)) >> np.uint32(32 - cache_bits)).astype(np.uint16)
+    order = np.argsort(slot, kind="stable")
+    places, given = np.arange(len(order)), ~hit.take(order)
+    source = np.maximum.accumulate(np.where(given, places, -1))
+    runs = np.concatenate([[True], np.diff(slot.take(order)) != 0])
+    found = source >= np.maximum.accumulate(np.where(runs, places, 0))
+    out = np.empty_like(pixels)
+    out[order] = np.where(found, pixels.take(order.take(source)), np.uint32(0))
+    return out
+
+
+def _decode_at_once(bits: Bits, width: int, height: int, group: list, seen: set, cache_bits: int = 0) -> np.ndarray:
+    """An image with one group of codes, of plain pixels and either references or a colour cache."""
     n = width * height
     start, n_bits = bits.at, 8 * len(bits.data) - bits.at
     word = bits.words()[start >> 3 :]
@@ -263,7 +277,11 @@ def _decode_at_once(bits: Bits, width: int, height: int, group: list, seen: set)
     for code in group[1:4]:
         if code.bits:
             follow = np.minimum(follow + (entries(code, follow) & 15), last)
-    refers = (group[0].table >> 4 >= 256).any()
+    if cache_bits:
+        hits = np.flatnonzero(green >> 4 >= 280)
+        follow = follow.copy() if follow is step else follow
+        follow[hits] = step[hits]
+    refers = not cache_bits and (group[0].table >> 4 >= 256).any()
     if refers:
         refs = np.flatnonzero(green >> 4 >= 256)
         follow = follow.copy() if follow is step else follow
@@ -294,6 +312,8 @@ def _decode_at_once(bits: Bits, width: int, height: int, group: list, seen: set)
         e = entries(code, p) if code.bits else code.table[0]
         pixels = pixels | (e >> 4) << np.uint32(shift)
         p = np.minimum(p + (e & 15), last)
+    if cache_bits:
+        pixels = _from_cache(pixels, np.where(symbol >= 280, symbol.astype(np.int64) - 280, -1), cache_bits)
     out[place] = pixels
     for at, size, code in copies:
         d = _distance(code, width)
@@ -358,8 +378,9 @@ def decode_stream(bits: Bits, width: int, height: int, main: bool, fast: bool, s
         meta = decode_stream(bits, blocks(width, meta_bits), blocks(height, meta_bits), False, fast, seen) >> 8 & 0xFFFF
         n = int(meta.max()) + 1
     groups = [[read_code(bits, s + (1 << cache_bits if cache_bits and not i else 0)) for i, s in enumerate(ALPHABETS)] for _ in range(n)]
-    if fast and n == 1 and not cache_bits:
-        return _decode_at_once(bits, width, height, groups[0], seen)
+    symbols = groups[0][0].table >> 4
+    if fast and n == 1 and not (cache_bits and ((symbols >= 256) & (symbols < 280)).any()):
+        return _decode_at_once(bits, width, height, groups[0], seen, cache_bits)
     return _decode_in_order(bits, width, height, cache_bits, groups, meta, meta_bits, seen)
 
 
@@ -795,7 +816,7 @@ def encode_image(image: np.ndarray, transforms: tuple = (), bits: int = 3, modes
 ROW = 64
 MATCH = 16  # bytes of the shortest reference
 CACHE_BITS = 11
-GAIN = 0.92  # a form that takes more steps must be smaller by this factor
+GAIN = 0.95  # a form that takes more steps must be smaller by this factor
 
 
 def _bits_of(counts: np.ndarray) -> float:
