@@ -54,7 +54,8 @@ def term_counts(texts: pa.Array) -> np.ndarray:
     starts[1:] &= ~inside[:-1]
     first = at[:-1][np.diff(at) > 0]
     starts[first] = inside[first]  # whatever the text before ends with
-    total = np.concatenate([[0], np.cumsum(starts)])
+    total = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(starts, out=total[1:])
     return total[at[1:]] - total[at[:-1]]
 
 
@@ -69,6 +70,15 @@ def terms_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(real), np.diff(upto[ends])
 
 
+def text_slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(from, to) of stretches of texts of bounded size; a longer text is one of its own."""
+    ends, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        yield at, to
+        at = to
+
+
 def impact(tf: np.ndarray, n: np.ndarray, docs: int, words: int) -> np.ndarray:
     """(10^9 tf) div (1000 tf + 20 m), where m = 50 + (50 n docs) div words."""
     m = np.array([50 + 50 * x * docs // words for x in n.tolist()], np.int64)
@@ -148,7 +158,7 @@ def levels(docs: np.ndarray, tall: int) -> bytes:
 class Shard:
     """A row of the index, ready to be searched: ones before each place of a level, and impacts in each level's order."""
 
-    def __init__(self, doc_ids: pa.Array, terms: pa.Array, df: np.ndarray, impacts: bytes, bits: bytes):
+    def __init__(self, doc_ids: pa.Array, terms: pa.Array, df: np.ndarray, impacts, bits):
         self.doc_ids, self.terms = doc_ids, terms
         self.starts = np.concatenate([[0], np.cumsum(df, dtype=np.int64)])
         self.size, self.tall = int(self.starts[-1]), height(len(doc_ids))
@@ -225,8 +235,9 @@ def corpus_size(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
 
     def run(batches):
         for batch in batches:
-            n = term_counts(batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array([int((n > 0).sum())]), pa.array([int(n.sum())])], names=["docs", "words"])
+            for at, to in text_slices(batch.column(0)):
+                n = term_counts(batch.column(0).slice(at, to - at))
+                yield pa.RecordBatch.from_arrays([pa.array([int((n > 0).sum())]), pa.array([int(n.sum())])], names=["docs", "words"])
 
     got = docs.select(F.coalesce(common.quoted(text_col), F.lit("")).cast("string").alias("text")).mapInArrow(run, "docs long, words long")
     row = got.agg(F.sum("docs").alias("docs"), F.sum("words").alias("words")).first()
@@ -246,11 +257,8 @@ def write_index(docs: DataFrame, path: str, shard_postings: int = SHARD_POSTINGS
         shard = Builder(n_docs, n_words)
         for batch in batches:
             ids, texts = batch.columns
-            ends, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64), 0
-            while at < len(texts):
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+            for at, to in text_slices(texts):
                 shard.add(ids.slice(at, to - at), texts.slice(at, to - at))
-                at = to
                 if shard.size >= shard_postings:
                     yield shard.row()
         if shard.size:
@@ -310,8 +318,9 @@ def _searcher(queries_cast, k: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 _, ids, names, df, impacts, bits = (c[i] for c in batch.columns)
-                shard = Shard(ids.values, names.values, df.values.to_numpy(), impacts.as_py(), bits.as_py())
+                shard = Shard(ids.values, names.values, df.values.to_numpy(), impacts.as_buffer(), bits.as_buffer())
                 null, ids = ids.values.is_null().to_numpy(zero_copy_only=False), ids.values.fill_null(0).to_numpy()
+                del names, df, impacts, bits
                 places = shard.places(terms)
                 for item, at, weights in queries.items:
                     here = places[at] >= 0
@@ -324,6 +333,7 @@ def _searcher(queries_cast, k: int):
                         both = new if old is None else tuple(np.concatenate(x) for x in zip(old, new, strict=True))
                         top = np.lexsort((both[0], both[1], -both[2]))[:k]
                         best[item] = tuple(x[top] for x in both)
+                del shard  # before the next one is read
         for item, (ids, null, scores) in best.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), item)), pa.array(ids, mask=null), pa.array(scores)], names=["item_id", "doc_id", "score"])
 
