@@ -79,10 +79,14 @@ ENGLISH: Layers = [
 _F = "aeiouyâàëéêèïîôûù"
 
 
-#: u and i between vowels and y beside one stand for consonants, and so does u behind q: they become capitals.  Said
-#: once with looks around, once with groups for engines without them (twice over, for letters that share a neighbour).
-_CONSONANTS = reduce(lambda e, s: f"regexp_replace({e}, '{s[0]}', '{s[1]}')", [(f"(?<=[{_F}])u(?=[{_F}])", "U"), (f"(?<=[{_F}])i(?=[{_F}])", "I"), (f"(?<=[{_F.replace('y', '')}])y", "Y"), (f"y(?=[{_F}])", "Y")], "replace(word, 'qu', 'qU')")
-_CONSONANTS_BY_GROUPS = reduce(lambda e, s: f"regexp_replace({e}, '{s[0]}', '{s[1]}', 'g')", [x for x in ((f"([{_F}])u([{_F}])", r"\1U\2"), (f"([{_F}])i([{_F}])", r"\1I\2"), (f"([{_F.replace('y', '')}])y", r"\1Y"), (f"y([{_F}])", r"Y\1")) for _ in range(2)], "replace(word, 'qu', 'qU')")
+def _consonants(group: str, flags: str) -> str:
+    """u and i between vowels and y beside one stand for consonants, and so does u behind q: they become capitals.
+
+    Left to right; each twice, for letters that share a neighbour.  group: how an engine names the n-th group.
+    """
+    one, two = group.format(1), group.format(2)
+    steps = [(f"([{_F}])u([{_F}])", f"{one}U{two}"), (f"([{_F}])i([{_F}])", f"{one}I{two}"), (f"([{_F.replace('y', '')}])y", f"{one}Y"), (f"y([{_F}])", f"Y{one}")]
+    return reduce(lambda e, s: f"regexp_replace({e}, '{s[0]}', '{s[1]}'{flags})", [s for s in steps for _ in range(2)], "replace(word, 'qu', 'qU')")
 
 
 _ver = lambda endings: _suffix("substring(w, rv + 1)", endings)
@@ -129,7 +133,7 @@ _VERB = f"ions {_E_VERB} {_A_VERB}"
 _quoted = lambda words: ", ".join(f"'{x}'" for x in words.split())
 
 FRENCH: Layers = [
-    {"w": (_CONSONANTS, _CONSONANTS_BY_GROUPS)},
+    {"w": (_consonants("${}", ""), _consonants(r"\{}", ", 'g'"))},
     {"r1": _region("w", _F), "rv": f"CASE WHEN {_has('w', f'^[{_F}][{_F}]')} OR {_has('w', '^(par|col|tap)')} THEN least(3, length(w)) WHEN {_has('w', f'^.[^{_F}]*[{_F}]')} THEN length(regexp_extract(w, '^(.[^{_F}]*[{_F}])', 1)) ELSE length(w) END"},
     {"r2": f"r1 + {_region('substring(w, r1 + 1)', _F)}", "suf": _suffix("w", " ".join(_STANDARD))},
     {"old": "w", "w": _cases("suf", _STANDARD, "w")},

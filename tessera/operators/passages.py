@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_right
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import accumulate
@@ -118,8 +119,12 @@ class WebQuery:
     none_of: list[tuple[str, ...]] = field(default_factory=list)
 
 
-def parse_websearch(query: str) -> WebQuery:
-    """Words are joined by AND, OR starts an alternative, a minus excludes, quotes make a phrase; anything else is text."""
+def parse_websearch(query: str, words: Callable[[str], list[str]] | None = None) -> WebQuery:
+    """Words are joined by AND, OR starts an alternative, a minus excludes, quotes make a phrase; anything else is text.
+
+    words: how a text becomes words; folded ones unless given.
+    """
+    words = words or (lambda text: re.findall(r"[a-z0-9]+", _fold(text)))
     out, current = WebQuery(), []
     for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"?|([^\s"]+))', query):
         if word == "OR" and not minus:
@@ -127,7 +132,7 @@ def parse_websearch(query: str) -> WebQuery:
                 out.any_of.append(current)
                 current = []
             continue
-        tokens = tuple(re.findall(r"[a-z0-9]+", _fold(phrase or word)))
+        tokens = tuple(words(phrase or word))
         if tokens and minus:
             out.none_of.append(tokens)
         elif tokens:

@@ -130,30 +130,6 @@ _TOKENS = "list_filter(regexp_extract_all(replace(strip_accents(lower(text)), '
 _STEMS = f"list_transform({_TOKENS}, lambda w: CASE WHEN length(w) >= 5 THEN regexp_replace(w, '(?:ations?|ings?|edly|ed|es|ly|s)$', '') ELSE w END)"
 
 
-@query("analyze_english", f"SELECT doc_id, len(t)::INTEGER AS n, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_STEMS} AS t FROM documents WHERE lang = 'en')")
-def analyze_english(spark, d):
-    t = Tables(spark, d).documents.where("lang = 'en'").select("doc_id", ps.analyze(F.col("text"), "english").alias("t"))
-    return t.select("doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", " ")).alias("digest"))
-
-
-@query("websearch_match", f"SELECT doc_id FROM (SELECT doc_id, {_STEMS} AS t, ' ' || array_to_string({_STEMS}, ' ') || ' ' AS j FROM documents WHERE lang = 'en') WHERE ((list_contains(t, 'thed') AND list_contains(t, 'wh')) OR contains(j, ' ti and ') OR contains(j, ' ti hea ')) AND NOT list_contains(t, 'ly')")
-def websearch_match(spark, d):
-    t = Tables(spark, d).documents.where("lang = 'en'")
-    return t.where(ps.search(F.col("text"), "english", ps.parse_websearch('thed wh OR "ti and" OR "ti hea" -ly'))).select("doc_id")
-
-
-@query("keyword_rank", f"SELECT doc_id, len(list_filter(t, lambda w: w IN ('thed', 'wh')))::INTEGER AS hits FROM (SELECT doc_id, {_STEMS} AS t FROM documents WHERE lang = 'en') ORDER BY hits DESC, doc_id LIMIT 20")
-def keyword_rank(spark, d):
-    t = Tables(spark, d).documents.where("lang = 'en'").select("doc_id", ps.analyze(F.col("text"), "english").alias("t"))
-    return t.select("doc_id", ps.rank(F.col("t"), ps.parse_websearch("thed OR wh")).alias("hits")).orderBy(F.desc("hits"), "doc_id").limit(20)
-
-
-@query("headlines")
-def headlines(spark, d):
-    t = Tables(spark, d).documents.where("lang = 'en'")
-    return t.where(F.contains(tx.fold(F.col("text")), F.lit("thed"))).select("doc_id", ps.headline(F.col("text"), ["thed", "wh"]).alias("headline"))
-
-
 @query("tfidf_top_terms", """
 WITH t AS (SELECT lang, doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM documents),
 tf AS (SELECT lang, doc_id, term, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT count(DISTINCT doc_id) AS n FROM t), df AS (SELECT term, count(DISTINCT doc_id) AS df FROM tf GROUP BY 1),
