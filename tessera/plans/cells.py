@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import density
 from tessera.operators import vector as vec
 from tessera.operators.cells import Cells
 from tessera.operators.relational import small, top_m_per_group
@@ -71,3 +72,26 @@ def cells_recall(spark, d):
         row = each.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("queries"), (F.avg("recall") >= 0.9).alias("good"))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+_LINKED = "SELECT c_custkey, min(c_custkey) OVER (PARTITION BY run) AS cluster FROM (SELECT c_custkey, sum(gap) OVER (ORDER BY c_acctbal, c_custkey) AS run FROM (SELECT c_custkey, c_acctbal, CASE WHEN c_acctbal - lag(c_acctbal) OVER (ORDER BY c_acctbal, c_custkey) > {} THEN 1 ELSE 0 END AS gap FROM customer))"
+
+
+@query("density_linkage", _LINKED.format(12.5))
+def density_linkage(spark, d):
+    """Single linkage of balances cut at a gap: the spanning tree's answer, which SQL can state in one dimension."""
+    rows = Tables(spark, d).customer.select("c_custkey", F.array("c_acctbal").alias("embedding"))
+    return density.linkage(rows, "c_custkey", 12.5)
+
+
+@query("density_cores", """
+SELECT vec_id, round(d, 4) AS core FROM (SELECT a.vec_id, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2))) AS d,
+row_number() OVER (PARTITION BY a.vec_id ORDER BY d, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id) WHERE r = 5""")
+def density_cores(spark, d):
+    return density.core_distances(Tables(spark, d).embeddings, "vec_id", 5).select("vec_id", F.round("core", 4).alias("core"))
+
+
+@query("density_levels")
+def density_levels(spark, d):
+    """Density clusters at five granularities of one tree; -1 is noise."""
+    return density.density_levels(Tables(spark, d).embeddings, "vec_id", {"finest": 3, "fine": 5, "middle": 10, "coarse": 20, "coarsest": 40})
