@@ -104,22 +104,21 @@ class FullText:
     path: str
     buckets: int = 64
 
-    def table(self, name: str, schema: str) -> DataFrame | None:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        there = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if there else None
+    def table(self, name: str, schema: str, last: int | None = None) -> DataFrame | None:
+        """A table's rows of the generations up to `last`, by default all that were written whole; None before the first."""
+        last = self.generations() if last is None else last
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}").where(F.col("gen") <= last) if last else None
 
     def documents(self) -> DataFrame | None:
         return self.table("documents", DOCUMENTS)
 
-    def complete(self, name: str, schema: str) -> DataFrame | None:
-        """A table's rows of generations that were written whole."""
-        last = self.generations()
-        return self.table(name, schema).where(F.col("gen") <= last) if last else None
-
     def generations(self) -> int:
-        known = self.documents()
-        return 0 if known is None else known.agg(F.max("gen")).first()[0] or 0
+        """How many generations are whole: they are numbered from 1, and their documents are written last."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        store, n = path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration()), 0
+        while store.exists(path(f"{self.path}/documents/gen={n + 1}/_SUCCESS")):
+            n += 1
+        return n
 
     def bucket(self, config: Column, word: Column) -> Column:
         return F.pmod(F.xxhash64(config, word), F.lit(self.buckets)).cast("int")
@@ -144,7 +143,7 @@ class FullText:
         stored = self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings/gen={gen}")
         words = stored.select("config", "word").distinct()
         if last:
-            words = words.join(self.complete("lexicon", LEXICON).select("config", "word"), ["config", "word"], "left_anti")
+            words = words.join(self.table("lexicon", LEXICON, last).select("config", "word"), ["config", "word"], "left_anti")
         found = reduce(DataFrame.unionByName, (stems(words.where(F.col("config") == c), c) for c in STOPS))
         put(found.repartitionByRange("config", "stem").sortWithinPartitions("config", "stem", "word"), "lexicon")
         put(rows.select("doc_id", "config").distinct(), "documents")
@@ -171,7 +170,8 @@ class FullText:
         any_of = [x for g in query.any_of if (x := [p for p in map(placed, g) if p])]
         none_of = [p for p in map(placed, query.none_of) if p]
         terms = list(dict.fromkeys(s for g in [*any_of, none_of] for p in g for s, _ in p))
-        lexicon, postings = (self.complete("lexicon", LEXICON), self.complete("postings", POSTINGS)) if any_of else (None, None)
+        last = self.generations() if any_of else 0
+        lexicon, postings = self.table("lexicon", LEXICON, last), self.table("postings", POSTINGS, last)
         if postings is None:
             return self.spark.createDataFrame([], "doc_id long, hits int, found array<array<int>>")
         # the inflections of the query's own words: a few a term

@@ -77,8 +77,8 @@ def _analyzed(lang: str, name: str):
     def run(spark, d):
         """Every document's stems in order, from postings and lexicon."""
         index = stored(spark, d)
-        words = index.complete("postings", ft.POSTINGS).where(F.col("config") == ft.CONFIGS[lang]).select("config", "word", "doc_id", F.explode("positions").alias("pos"))
-        stems = words.join(index.complete("lexicon", ft.LEXICON).drop("gen"), ["config", "word"]).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "stem"))).alias("s"))
+        words = index.table("postings", ft.POSTINGS).where(F.col("config") == ft.CONFIGS[lang]).select("config", "word", "doc_id", F.explode("positions").alias("pos"))
+        stems = words.join(index.table("lexicon", ft.LEXICON).drop("gen"), ["config", "word"]).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "stem"))).alias("s"))
         return stems.select("doc_id", F.size("s").alias("n"), F.md5(F.array_join(F.col("s")["stem"], " ")).alias("digest"))
 
     return run

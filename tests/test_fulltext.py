@@ -63,7 +63,7 @@ def test_generations(spark, docs, tmp_path):
     assert index.add(docs, language=F.col("lang")) == 2
     assert found(index, "water") == {1: 1, 2: 2, 6: 2, 9: 20000}
     assert index.add(docs, language=F.col("lang")) == 2  # nothing new
-    words = index.complete("lexicon", ft.LEXICON)
+    words = index.table("lexicon", ft.LEXICON)
     assert words.count() == words.select("config", "word").distinct().count()
 
 
