@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import aggregation, cells, fulltext, history, people, platform, relational, search, texts
+from tessera.plans import aggregation, cells, fulltext, history, people, platform, relational, search, sources, texts
 from tessera.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregation", "cells", "fulltext", "history", "people", "platform", "relational", "search", "texts"]
+__all__ = ["ORACLES", "QUERIES", "aggregation", "cells", "fulltext", "history", "people", "platform", "relational", "search", "sources", "texts"]
