@@ -99,17 +99,24 @@ def _code_point(n: Column) -> Column:
 
 
 def unescape(c: Column) -> Column:
-    """Text with named, decimal and hexadecimal character references (closed by a semicolon) resolved, each once."""
+    """Text with named, decimal and hexadecimal character references resolved, each once.
+
+    Of a reference that no semicolon closes, the longest beginning counts that is a number or one of the old names.
+    """
     from html.entities import html5
 
     common = ("amp", "lt", "gt", "quot", "nbsp", "apos")
     table = F.from_json(F.lit(json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})), "map<string,string>")  # one literal to plan
 
+    number = "#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}"
+    old = "|".join(sorted((k for k in html5 if not k.endswith(";")), key=len, reverse=True))
+
     def resolved(part):
-        return _let(F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{0,31});", 1), lambda name: _let(char_of(name), lambda char: replaced(part, name, char)))
+        closed = F.regexp_extract(part, f"^({number}|[A-Za-z][A-Za-z0-9]{{0,31}});", 1)
+        return replaced(part, closed, 2, lambda: replaced(part, F.regexp_extract(part, f"^({number}|{old})", 1), 1, lambda: F.concat(F.lit("&"), part)))
 
-    def replaced(part, name, char):
-        return F.when(char.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(char, F.substring(part, F.length(name) + 2, F.lit(1 << 30))))
+    def replaced(part, name, behind, otherwise):  # behind: what follows starts so many characters behind the name
+        return _let(name, lambda n: _let(char_of(n), lambda char: F.when(char.isNull(), otherwise()).otherwise(F.concat(char, F.substring(part, F.length(n) + behind, F.lit(1 << 30))))))
 
     def char_of(name):
         char = F.when(name == "", None)

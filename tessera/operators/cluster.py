@@ -73,7 +73,7 @@ def tfidf_terms(tokens: DataFrame, group: str, doc: str, term: str, top: int = 2
     w = tf.join(idf, term).withColumn("w", F.col("tf") * F.col("idf"))
     length = w.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
     size = tf.groupBy(group).agg(F.count_distinct(doc).alias("docs"))
-    mean = w.join(length, doc).groupBy(group, term).agg(F.sum(F.col("w") / F.col("len")).alias("s")).join(small(size), group).select(group, term, (F.col("s") / F.col("docs")).alias("weight"))
+    mean = w.join(length, doc).groupBy(group, term).agg(F.sum(F.col("w") / F.col("len")).alias("s")).join(size, group).select(group, term, (F.col("s") / F.col("docs")).alias("weight"))
     order = Window.partitionBy(group).orderBy(F.desc(F.round("weight", 9)), F.asc(term))
     return mean.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
 
@@ -94,10 +94,10 @@ def cluster_terms(docs: DataFrame, group: str, doc: str, text: str, stops: Seque
     """
     size = docs.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     tf = docs.select(group, doc, F.explode(phrases(F.col(text), stops)).alias("term")).groupBy(group, doc, "term").agg(F.count(F.lit(1)).alias("tf"))
-    known = tf.groupBy(group, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).join(small(size), group).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
+    known = tf.groupBy(group, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).join(size, group).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
     kept = known.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("total"), F.asc("term")))).where(F.col("_r") <= features)
     idf = kept.select(group, "term", "n", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    w = tf.join(small(idf), [group, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
+    w = tf.join(idf, [group, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
     length = w.groupBy(group, doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
     mean = w.join(length, [group, doc]).groupBy(group, "term").agg((F.sum(F.col("w") / F.col("len")) / F.first("n")).alias("weight"))
     order = Window.partitionBy(group).orderBy(F.desc(F.round("weight", 9)), F.asc("term"))

@@ -39,8 +39,8 @@ def passages(text: str, target: int = TARGET, overlap: int = OVERLAP, least: int
 
     Running totals of the units' sizes give each passage its last unit by binary search: the last one that keeps it
     within the target, but at least one.  A further passage begins with the tail of the one before, whose size
-    counts.  Places count from the stripped text, passage behind passage with their overlaps: each starts where the
-    one before ends.  A last passage of fewer than `least` tokens is left out.
+    counts.  Places are real ones in the stripped text, overlaps included: between them stands the passage, but for the white
+    space between its units, which is one line break in the passage.  A last passage of fewer than `least` tokens is left out.
     """
     text = text.strip()
     if not text or estimate(text) < least:
@@ -49,18 +49,44 @@ def passages(text: str, target: int = TARGET, overlap: int = OVERLAP, least: int
         return [(text, 0, len(text), estimate(text))]
     units = boundaries(text)
     totals = [0, *accumulate(estimate(text[a:b]) for a, b in units)]
-    out, first, lead, place = [], 0, "", 0
+    out, first, lead, spans = [], 0, "", []  # spans: where the parts of `lead` lie
     while first < len(units):
         room = target - (estimate(lead) if lead else 0)
         behind = max(first + 1, bisect_right(totals, totals[first] + room) - 1)
         body = "\n".join([*([lead] if lead else []), *(text[a:b] for a, b in units[first:behind])]).strip()
+        spans = trimmed(text, [*spans, *units[first:behind]])
         if behind < len(units) or estimate(body) >= least:
-            out.append((body, place, place + len(body), estimate(body)))
-            place += len(body)
-        first, lead = behind, body[max(0, len(body) - int(overlap * CHARS_A_TOKEN)) :]
+            out.append((body, spans[0][0], spans[-1][1], estimate(body)))
+        tail = int(overlap * CHARS_A_TOKEN)
+        first, lead, spans = behind, body[max(0, len(body) - tail) :], last_part(spans, tail)
     return out
 
 
+def trimmed(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of a text without white space at both ends of the whole."""
+    spans = list(spans)
+    while len(spans) > 1 and not text[slice(*spans[0])].strip():
+        spans.pop(0)
+    while len(spans) > 1 and not text[slice(*spans[-1])].strip():
+        spans.pop()
+    a, b = spans[0]
+    spans[0] = (b - len(text[a:b].lstrip()), b)
+    a, b = spans[-1]
+    spans[-1] = (a, a + len(text[a:b].rstrip()))
+    return spans
+
+
+def last_part(spans: list[tuple[int, int]], chars: int) -> list[tuple[int, int]]:
+    """The spans of the last `chars` characters of spans joined by one character each."""
+    out = []
+    for a, b in reversed(spans):
+        if chars <= 0:
+            break
+        out.append((max(a, b - chars), b))
+        chars -= b - a + 1
+    return out[::-1]
+
+
 def chunk_documents(df: DataFrame, id_col: str, text_col: str, target: int = TARGET, overlap: int = OVERLAP, least: int = LEAST, keep: DataFrame | None = None) -> DataFrame:
     """(id, chunk_index, text, token_count, char_start, char_end); documents too short for a passage give none.
 
