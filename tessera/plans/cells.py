@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import density
+from tessera.operators import density, layout
 from tessera.operators import vector as vec
 from tessera.operators.cells import Cells
 from tessera.operators.relational import small, top_m_per_group
@@ -95,3 +95,9 @@ def density_cores(spark, d):
 def density_levels(spark, d):
     """Density clusters at five granularities of one tree; -1 is noise."""
     return density.density_levels(Tables(spark, d).embeddings, "vec_id", {"finest": 3, "fine": 5, "middle": 10, "coarse": 20, "coarsest": 40})
+
+
+@query("neighbour_projection")
+def neighbour_projection(spark, d):
+    """(vec_id, x0, x1) of all vectors."""
+    return layout.project_neighbours(Tables(spark, d).embeddings, "vec_id")
