@@ -38,6 +38,36 @@ def propagate(resolved: DataFrame, unresolved: DataFrame, keys: Sequence[str], c
     return unresolved.join(unique_candidate(resolved, keys, candidate), list(keys)).withColumn("confidence", F.lit(confidence))
 
 
+def surname_keys(members: DataFrame, candidate: str, last_name: str) -> DataFrame:
+    """(candidate, key): a member's folded last name and, of a compound one, its last word."""
+    name = fold(F.trim(F.col(last_name)))
+    return members.select(candidate, F.explode(F.array_distinct(F.array(name, F.element_at(F.split(name, r"\s+"), -1)))).alias("key")).where("key <> ''").distinct()
+
+
+def by_legislature(facts: DataFrame, members: DataFrame, terms: DataFrame, row_id: str, legislature: str, surname: str, candidate: str, last_name: str, confidence: float = 0.9) -> DataFrame:
+    """(row_id, candidate, confidence) of facts whose surname one member of their legislature bears.
+
+    terms: candidate and legislature, as many rows as there are; who sat twice in one legislature is one member.  A compound last name
+    also answers to its last word.  Two bearers resolve to nothing.
+    """
+    seats = terms.select(candidate, legislature).distinct().join(surname_keys(members, candidate, last_name), candidate)
+    held = facts.select(row_id, legislature, fold(F.trim(F.col(surname))).alias("key")).join(seats, [legislature, "key"])
+    return unique_candidate(held, [row_id], candidate).withColumn("confidence", F.lit(confidence))
+
+
+def continued(attributed: DataFrame, unresolved: DataFrame, members: DataFrame, terms: DataFrame, row_id: str, document: str, legislature: str, surname: str, candidate: str, last_name: str, confidence: float = 0.75) -> DataFrame:
+    """(row_id, candidate, confidence) of unresolved rows, carried over from the rows of their document that are attributed.
+
+    A document's member counts for a surname if they are the only one attributed there who bears it and holds a term in the
+    row's legislature; two such members resolve to nothing.
+    """
+    known = attributed.where(F.col(candidate).isNotNull()).select(document, candidate).distinct().join(surname_keys(members, candidate, last_name), candidate)
+    seats = terms.select(candidate, legislature).distinct()
+    rows = unresolved.select(row_id, document, legislature, fold(F.trim(F.col(surname))).alias("key"))
+    held = rows.join(known, [document, "key"]).join(seats, [candidate, legislature], "left_semi")
+    return unique_candidate(held, [row_id], candidate).withColumn("confidence", F.lit(confidence))
+
+
 def raised(old: Column, new: Column) -> Column:
     """Confidence only rises."""
     return F.greatest(old, new)

@@ -201,3 +201,27 @@ def motion_movers(spark, d):
 def stream_titles(spark, d):
     r = rows(spark, "id int, title string", (1, "July 7, 2026 - City Council - Public Hearing"), (2, "Jul. 7 2026 – Audit "), (3, "Julember 7, 2026 - Audit"), (4, "City Council"))
     return r.select("id", tx.stream_title(F.col("title")).alias("s")).select("id", F.date_format("s.day", "yyyy-MM-dd").alias("day"), "s.body")
+
+
+@query("resolve_legislatures", """
+WITH m AS (SELECT s_suppkey AS member, CASE WHEN s_suppkey % 4 = 0 THEN 'van de' ELSE 'de' END || s_suppkey % 37 AS full_name, 'de' || s_suppkey % 37 AS last_word FROM supplier),
+keys AS (SELECT member, full_name AS key FROM m UNION SELECT member, last_word FROM m), terms AS (SELECT DISTINCT s_suppkey AS member, s_suppkey % 5 + k AS legl FROM supplier, range(0, 3) u(k)),
+f AS (SELECT o_orderkey AS id, o_custkey AS doc, year(o_orderdate) - 1992 AS legl, CASE WHEN o_orderkey % 9 = 0 THEN 'van de' ELSE 'de' END || o_orderkey % 41 AS key, CASE WHEN o_orderkey % 3 = 0 THEN (SELECT member FROM m WHERE member = o_orderkey % 100) END AS given FROM orders),
+one AS (SELECT id, min(member) AS member FROM f JOIN keys USING (key) JOIN terms USING (member, legl) WHERE given IS NULL GROUP BY id HAVING count(DISTINCT member) = 1),
+known AS (SELECT DISTINCT doc, coalesce(given, one.member) AS member FROM f LEFT JOIN one USING (id) WHERE coalesce(given, one.member) IS NOT NULL),
+two AS (SELECT id, min(member) AS member FROM (SELECT * FROM f WHERE given IS NULL AND id NOT IN (SELECT id FROM one)) JOIN (SELECT * FROM known JOIN keys USING (member)) USING (doc, key) JOIN terms USING (member, legl) GROUP BY id HAVING count(DISTINCT member) = 1)
+SELECT id AS o_orderkey, member, 0.9::DOUBLE AS confidence FROM one UNION ALL SELECT id, member, 0.75::DOUBLE FROM two""")
+def resolve_legislatures(spark, d):
+    """Surnames within a legislature, whose terms overlap, then along each document: what is attributed there carries over."""
+    t = Tables(spark, d)
+    key, n = F.col("s_suppkey"), F.col("o_orderkey")
+    members = t.supplier.select(key.alias("member"), F.concat(F.when(key % 4 == 0, "Van Dé").otherwise("Dé"), (key % 37).cast("string")).alias("last"))
+    terms = t.supplier.select(key.alias("member"), F.explode(F.array(*(key % 5 + k for k in (0, 1, 1, 2)))).alias("legl"))
+    speech = F.concat(F.when(n % 9 == 0, "VAN DE").otherwise("dé"), (n % 41).cast("string"))
+    facts = t.orders.select("o_orderkey", "o_custkey", (F.year("o_orderdate").cast("long") - 1992).alias("legl"), speech.alias("surname"), F.when(n % 3 == 0, n % 100).alias("given"))
+    given = facts.join(members.select(F.col("member").alias("given")), "given", "left_semi").select("o_orderkey", "o_custkey", F.col("given").alias("member"))
+    open_ = facts.join(given, "o_orderkey", "left_anti")
+    one = rs.by_legislature(open_, members, terms, "o_orderkey", "legl", "surname", "member", "last")
+    attributed = given.unionByName(open_.join(one, "o_orderkey").select("o_orderkey", "o_custkey", "member"))
+    two = rs.continued(attributed, open_.join(one, "o_orderkey", "left_anti"), members, terms, "o_orderkey", "o_custkey", "legl", "surname", "member", "last")
+    return one.unionByName(two)
