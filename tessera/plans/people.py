@@ -21,78 +21,6 @@ def rows(spark, schema: str, *values):
     return spark.range(1).select(F.explode(F.array(*cells)).alias("r")).select("r.*")
 
 
-@query("norm_names", "SELECT * FROM (VALUES (1, 'jose munoz'), (2, 'ann o connor'), (3, 'x')) t(id, name)")
-def norm_names(spark, d):
-    return rows(spark, "id int, raw string", (1, "Hon. José  MUÑOZ"), (2, "the Right Hon. Ann O'Connor"), (3, " X. ")).select("id", tx.norm_name(F.col("raw")).alias("name"))
-
-
-@query("attributions", "SELECT * FROM (VALUES (1, 'Ann Lee', 'York', 'Green'), (2, 'Bo', NULL, NULL), (3, 'Cy Ng', 'East, West', 'NDP')) t(id, name, riding, party)")
-def attributions(spark, d):
-    r = rows(spark, "id int, raw string", (1, "Ann Lee (York, Green)"), (2, "Bo"), (3, "Cy Ng (East, West, NDP)"))
-    return r.select("id", tx.attribution(F.col("raw")).alias("a")).select("id", "a.*")
-
-
-@query("speaker_labels", "SELECT * FROM (VALUES (1, 'Mr', NULL, 'Smith'), (2, NULL, 'Ann', 'Lee'), (3, NULL, NULL, NULL), (4, 'Hon', 'É.', 'Roy')) t(id, honorific, first, last)")
-def speaker_labels(spark, d):
-    r = rows(spark, "id int, raw string", (1, "Mr. Smith:"), (2, "Ann Lee (York):"), (3, "The Speaker:"), (4, "Hon. É. Roy"))
-    return r.select("id", tx.speaker_label(F.col("raw")).alias("s")).select("id", "s.honorific", "s.first", "s.last")
-
-
-@query("postal_codes", "SELECT * FROM (VALUES (1, 'K1A 0B1', 'K1A'), (2, NULL, NULL), (3, 'T5J 2N9', 'T5J')) t(id, postcode, fsa)")
-def postal_codes(spark, d):
-    r = rows(spark, "id int, raw string", (1, "Ottawa ON k1a0b1 Canada"), (2, "no code D1A 1A1"), (3, "T5J-2N9"))
-    return r.select("id", tx.postal(F.col("raw")).alias("p")).select("id", "p.*")
-
-
-@query("social_profiles", "SELECT * FROM (VALUES (1, 'twitter', 'annlee'), (2, 'facebook', 'ann.lee'), (3, 'youtube', 'annlee'), (4, NULL, NULL), (5, 'linkedin', 'ann-lee'), (6, 'bluesky', 'ann.bsky.social')) t(id, platform, handle)")
-def social_profiles(spark, d):
-    r = rows(spark, "id int, url string", (1, "https://X.com/@AnnLee?s=1"), (2, "http://m.facebook.com/ann.lee/"), (3, "https://www.youtube.com/@annlee"), (4, "https://example.com/annlee"), (5, "https://ca.linkedin.com/in/x"), (6, "https://bsky.app/profile/ann.bsky.social"))
-    r = r.withColumn("url", F.when(F.col("id") == 5, "https://linkedin.com/in/ann-lee").otherwise(F.col("url")))
-    return r.select("id", tx.canonical_social(F.col("url")).alias("s")).select("id", "s.platform", "s.handle")
-
-
-@query("truecased", "SELECT * FROM (VALUES (1, 'Thank you. We agree.'), (2, 'Mixed Case STAYS here'), (3, '123'), (4, 'The member for Saint-Henri, (Mr. McLeod''s friend), asked Ottawa.')) t(id, line)")
-def truecased(spark, d):
-    lines = rows(spark, "id int, raw string", (1, "THANK YOU. WE AGREE."), (2, "Mixed Case STAYS here"), (3, "123"), (4, "THE MEMBER FOR SAINT-HENRI, (MR. MCLEOD'S FRIEND), ASKED OTTAWA."))
-    return lines.select("id", tx.truecase(F.col("raw"), ["Ottawa", "Saint-Henri", "McLeod's", "Mr"]).alias("line"))
-
-
-@query("body_titles", "SELECT * FROM (VALUES (1, 'finance', '2024-02-03'), (2, 'roadsandparks', NULL)) t(id, body, day)")
-def body_titles(spark, d):
-    r = rows(spark, "id int, raw string, title string", (1, "Standing Committee on Finance", "Meeting 2024-02-03 part 1"), (2, "Roads and Parks", "no date"))
-    return r.select("id", tx.squash_body(F.col("raw")).alias("body"), F.date_format(tx.title_date(F.col("title")), "yyyy-MM-dd").alias("day"))
-
-
-@query("vote_passages", "SELECT * FROM (VALUES (1, 'passed', 50, 12, 'C-9'), (2, 'failed', NULL, NULL, NULL), (3, NULL, NULL, NULL, '22')) t(id, outcome, ayes, nays, bill)")
-def vote_passages(spark, d):
-    r = rows(spark, "id int, raw string", (1, "The motion was defeated. Correction: the motion on Bill C-9 is carried. Ayes: 50 Nays: 12"), (2, "[Motion lost]"), (3, "Bill 22 was read."))
-    return r.select("id", tx.votes_in(F.col("raw")).alias("v")).select("id", "v.*")
-
-
-@query("section_types", "SELECT * FROM (VALUES (1, 'question_period'), (2, 'debate'), (3, 'statement')) t(id, kind)")
-def section_types(spark, d):
-    r = rows(spark, "id int, raw string", (1, "Oral Questions"), (2, "Second Reading"), (3, "Members' Statements"))
-    return r.select("id", tx.speech_type(F.col("raw"), {"question": "question_period", "statement": "statement"}).alias("kind"))
-
-
-@query("first_name_relations", "SELECT * FROM (VALUES (1, 'high'), (2, 'medium'), (3, 'low'), (4, 'high')) t(id, relation)")
-def first_name_relations(spark, d):
-    r = rows(spark, "id int, a string, b string", (1, "Bob", "Robert"), (2, "J", "John"), (3, "Ann", "Bo"), (4, "Zoé", "zoe"))
-    return r.select("id", tx.first_name_relation(F.col("a"), F.col("b"), {"bob": "robert", "bill": "william"}).alias("relation"))
-
-
-@query("sequence_ratios", "SELECT * FROM (VALUES (1, 1.0::DOUBLE), (2, 0.75), (3, 0.0), (4, NULL)) t(id, ratio)")
-def sequence_ratios(spark, d):
-    r = rows(spark, "id int, a string, b string", (1, "abc", "abc"), (2, "abcd", "bcde"), (3, "a", "z"), (4, None, "z"))
-    return r.select("id", tx.sequence_ratio(F.col("a"), F.col("b")).alias("ratio"))
-
-
-@query("nfkc_hash", "SELECT sha256('file 2') AS digest, 2::BIGINT AS n")
-def nfkc_hash(spark, d):
-    r = rows(spark, "raw string", ("ﬁle  ②",), ("FILE 2",))
-    return r.select(tx.content_hash(tx.nfkc(F.col("raw"))).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("resolve_named_speakers", "SELECT * FROM (VALUES (1, 10, 0.85::DOUBLE), (2, 11, 0.8), (3, NULL, NULL), (4, 12, 0.8), (5, 10, 0.75), (6, NULL, NULL)) t(id, person, confidence)")
 def resolve_named_speakers(spark, d):
     facts = rows(spark, "id int, first string, last string, at timestamp", (1, "Ann", "Lee", "2020-01-01"), (2, "B.", "Lee", "2020-01-01"), (3, "Zed", "Lee", "2020-01-01"), (4, None, "Roy", "2020-01-01"), (5, None, "Lee", "2019-06-01"), (6, None, "Lee", "2021-06-01"))
@@ -190,19 +118,6 @@ def middle_initials(spark, d):
     return rs.by_middle_initial(facts, members, "id", "full", "surname", "at")
 
 
-@query("motion_movers", "SELECT * FROM (VALUES (1, 30), (2, 31)) t(id, member)")
-def motion_movers(spark, d):
-    facts = rows(spark, "id int, city string, name string", (1, "a", "Councillor SMITH"), (2, "b", "Mayor Gond,"), (3, "a", "Doe"), (4, "b", "Smith"), (5, "a", None))
-    roster = rows(spark, "city string, member int, surname string", ("a", 30, "Smith"), ("b", 31, "Gond"), ("a", 32, "Doe"), ("a", 33, "Doe"))
-    return rs.by_surname(facts, roster, "id", "name", ["city"])
-
-
-@query("stream_titles", "SELECT * FROM (VALUES (1, '2026-07-07', 'City Council - Public Hearing'), (2, '2026-07-07', 'Audit'), (3, NULL, NULL), (4, NULL, NULL)) t(id, day, body)")
-def stream_titles(spark, d):
-    r = rows(spark, "id int, title string", (1, "July 7, 2026 - City Council - Public Hearing"), (2, "Jul. 7 2026 – Audit "), (3, "Julember 7, 2026 - Audit"), (4, "City Council"))
-    return r.select("id", tx.stream_title(F.col("title")).alias("s")).select("id", F.date_format("s.day", "yyyy-MM-dd").alias("day"), "s.body")
-
-
 @query("resolve_legislatures", """
 WITH m AS (SELECT s_suppkey AS member, CASE WHEN s_suppkey % 4 = 0 THEN 'van de' ELSE 'de' END || s_suppkey % 37 AS full_name, 'de' || s_suppkey % 37 AS last_word FROM supplier),
 keys AS (SELECT member, full_name AS key FROM m UNION SELECT member, last_word FROM m), terms AS (SELECT DISTINCT s_suppkey AS member, s_suppkey % 5 + k AS legl FROM supplier, range(0, 3) u(k)),

@@ -15,27 +15,11 @@ from tessera.sources.tables import SCHEMAS, Tables
 from tessera.streaming import streams as st
 
 
-def _literal(spark, **cells):
-    return spark.range(1).select(*(F.lit(v).alias(k) for k, v in cells.items()))
-
-
 # -- sources -----------------------------------------------------------------------------------
 
-METRICS = '# HELP up x\nup{job="api",host="a"} 1\nlat_bucket{le="0.1"} 5\nlat_bucket{le="0.5"} 18\nlat_bucket{le="+Inf"} 20\nbad line\n\ntemp 36.6\n'
-
-
-@query("metric_lines", "SELECT * FROM (VALUES ('up', 'api', 1.0::DOUBLE), ('lat_bucket', NULL, 5.0), ('lat_bucket', NULL, 18.0), ('lat_bucket', NULL, 20.0), ('temp', NULL, 36.6)) t(name, job, value)")
-def metric_lines(spark, d):
-    return landing.metric_lines(_literal(spark, content=METRICS), "content", []).select("name", F.col("labels")["job"].alias("job"), "value")
-
 
-VTT = "WEBVTT\n\n00:00:01.000 --> 00:00:02.500\nHELLO &gt;&gt; ALL\n\n00:00:02.500 --> 00:00:04.000\nHELLO &gt;&gt; ALL\n<c>SECOND</c> LINE\n\n1:00:00.000 --> 1:00:01.000\nTHIRD\n"
 
 
-@query("caption_lines", "SELECT * FROM (VALUES (0, 1.0::DOUBLE, 2.5::DOUBLE, 'HELLO >> ALL'), (1, 2.5, 4.0, 'SECOND LINE'), (2, 3600.0, 3601.0, 'THIRD')) t(pos, start, \"end\", text)")
-def caption_lines(spark, d):
-    return ps.parse_captions(_literal(spark, id=1, content=VTT), "id", "content").select("pos", "start", "end", "text")
-
 
 @query("transcript_turns", "SELECT page_id, 'heading' AS grammar, trim(regexp_extract(html, '(?s)<h[12][^>]*>([^<]*)', 1)) AS first_speaker FROM pages WHERE regexp_matches(html, '<h[12]\\b') AND NOT regexp_matches(html, '<p>\\s*<b>[^<]+:\\s*</b>')")
 def transcript_turns(spark, d):
@@ -43,21 +27,8 @@ def transcript_turns(spark, d):
     return turns.where("sequence = 0 AND grammar = 'heading'").select("page_id", "grammar", F.col("speaker").alias("first_speaker"))
 
 
-FIXED = "Bill  Title            Status\n1     Roads Act        passed\n22    Water and Air    first\n\n"
-
-
-@query("fixed_width_table", "SELECT * FROM (VALUES ('1', 'Roads Act', 'passed'), ('22', 'Water and Air', 'first')) t(Bill, Title, Status)")
-def fixed_width_table(spark, d):
-    return landing.fixed_width(_literal(spark, id=1, content=FIXED), "id", "content", ["Bill", "Title", "Status"]).select("Bill", "Title", "Status")
-
-
-REPORT = "intro\nBill 1 - Roads\nread 2024-02-03\nagain 2024-03-04\nBill 2 - Water\nno date\n"
 
 
-@query("report_blocks", "SELECT * FROM (VALUES (1::BIGINT, 'Bill 1 - Roads', '2024-02-03,2024-03-04'), (2, 'Bill 2 - Water', '')) t(block, title, dates)")
-def report_blocks(spark, d):
-    out = landing.report_blocks(_literal(spark, id=1, content=REPORT), "id", "content", r"^Bill \d+")
-    return out.select("block", "title", F.array_join("dates", ",").alias("dates"))
 
 
 @query("geo_ip_join", """
