@@ -213,7 +213,7 @@ def by_middle_initial(facts: DataFrame, members: DataFrame, row_id: str, full: s
     short forms do no harm; a surname also counts by its last word.
     """
     plain = F.regexp_replace(F.trim(full), HONORIFIC, "")
-    middle = F.upper(F.left(F.regexp_extract(plain, r"^\S+\s+(\S+)", 1), F.lit(1)))
+    middle = F.upper(F.left(F.regexp_extract(plain, r"^\S+\s+(\S+)\s+\S", 1), F.lit(1)))  # a name stands behind it
     f = facts.select(row_id, at, fold(F.col(surname)).alias("_s"), middle.alias("_m")).where(F.col("_m").rlike("^[A-Z]$"))
     inner = F.when(F.startswith("name", "first"), F.substring("name", F.length("first") + 1, F.lit(1 << 20))).otherwise(F.col("name"))
     inner = F.when(F.endswith(inner, F.col("last")), F.left(inner, F.length(inner) - F.length("last"))).otherwise(inner)

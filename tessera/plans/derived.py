@@ -164,3 +164,80 @@ def motion_movers(spark, d):
     name = F.when(_o() % 6 == 0, F.lit(None)).when(_o() % 3 == 0, _cat("Councillor ", F.upper(word(_o() % 47)))).when(_o() % 3 == 1, _cat("Mayor ", F.initcap(word(_o() % 47)), ",")).otherwise(word(_o() % 47))
     roster = t.supplier.select((F.col("s_suppkey") % 5).alias("city"), F.col("s_suppkey").alias("member"), F.initcap(word(F.col("s_suppkey") % 47)).alias("surname"))
     return rs.by_surname(t.orders.select(_o().alias("id"), (F.col("o_custkey") % 5).alias("city"), name.alias("name")), roster, "id", "name", ["city"])
+
+
+# -- resolvers: suppliers are members with overlapping terms, orders are what is said on their days --
+
+
+def _w_sql(n: str) -> str:
+    return _W.format(n)
+
+
+_MEMBERS = f"""
+WITH m AS (SELECT s_suppkey AS member, {_w_sql('s_suppkey * 7 % 90')} AS first, {_w_sql('s_suppkey % 41')} AS last, 'Oak ' || s_suppkey % 3 AS riding, translate((s_suppkey % 10)::VARCHAR, '0123456789', 'abcdefghij') AS middle,
+make_timestamp(1992 + s_suppkey % 5, 1, 1, 0, 0, 0.0) AS "start", CASE WHEN s_suppkey % 4 > 0 THEN make_timestamp(1994 + s_suppkey % 5 + s_suppkey % 3, 1, 1, 0, 0, 0.0) END AS "end" FROM supplier),
+f AS (SELECT o_orderkey AS id, o_custkey, o_orderdate AS day, {_w_sql('o_orderkey % 43')} AS last, {_w_sql('o_orderkey % 90')} AS first FROM orders)"""
+
+
+def _members(spark, d):
+    n, year = F.col("s_suppkey"), lambda y: F.make_timestamp(y.cast("int"), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    return Tables(spark, d).supplier.select(
+        n.alias("member"), word(n * 7 % 90).alias("first"), word(n % 41).alias("last"), _cat("Oak ", (n % 3).cast("string")).alias("riding"), F.translate((n % 10).cast("string"), "0123456789", "abcdefghij").alias("middle"),
+        year(1992 + n % 5).alias("start"), F.when(n % 4 > 0, year(1994 + n % 5 + n % 3)).alias("end"),
+    )
+
+
+def _said(spark, d):
+    return Tables(spark, d).orders.select(_o().alias("id"), "o_custkey", F.col("o_orderdate").alias("at"), word(_o() % 43).alias("last"), word(_o() % 90).alias("first"))
+
+
+@query("merge_stubs", f"""{_MEMBERS}, spans AS (SELECT o_custkey AS stub, min(day) AS a, max(day) AS b FROM f WHERE id % 4 = 0 GROUP BY 1)
+SELECT stub, min(member) AS member FROM spans JOIN m ON m.last = {_w_sql('stub % 43')} AND "start" <= a AND ("end" IS NULL OR b < "end") GROUP BY stub HAVING count(DISTINCT member) = 1""")
+def merge_stubs(spark, d):
+    stubs = Tables(spark, d).customer.select(_k().alias("stub"), word(_k() % 43).alias("last"))
+    said = _said(spark, d).where("id % 4 = 0").select(F.col("o_custkey").alias("stub"), "at")
+    return rs.merge_stubs(stubs, said, _members(spark, d), "stub", "last", "at", "start", "end", "member")
+
+
+@query("division_roster", f"""{_MEMBERS}, k AS (SELECT member, "start", "end", unnest([last, 'van ' || last, first || ' van ' || last]) AS key FROM m),
+asked AS (SELECT id, day, CASE id % 3 WHEN 0 THEN last WHEN 1 THEN 'van ' || last ELSE first || ' van ' || last END AS key FROM f)
+SELECT id, min(member) AS member FROM asked JOIN k USING (key) WHERE "start" <= day AND ("end" IS NULL OR day <= "end") GROUP BY id HAVING count(DISTINCT member) = 1""")
+def division_roster(spark, d):
+    full = lambda: F.concat_ws(" van ", "first", "last")
+    key = F.when(F.col("id") % 3 == 0, F.col("last")).when(F.col("id") % 3 == 1, _cat("van ", F.col("last"))).otherwise(full())
+    roster = _members(spark, d).select("member", full().alias("name"), "start", "end")
+    return rs.roster_by_keys(_said(spark, d).select("id", key.alias("key"), "at"), roster, "id", "key", "at", "name", "start", "end", "member")
+
+
+@query("resolve_named_speakers", f"""{_MEMBERS}, asked AS (SELECT id, day, last, CASE id % 3 WHEN 0 THEN first WHEN 1 THEN first[1:1] END AS first FROM f),
+one AS (SELECT first, last, min(member) AS p FROM m GROUP BY ALL HAVING count(DISTINCT member) = 1), two AS (SELECT first[1:1] AS i, last, min(member) AS p FROM m GROUP BY ALL HAVING count(DISTINCT member) = 1),
+three AS (SELECT last, min(member) AS p FROM m GROUP BY ALL HAVING count(DISTINCT member) = 1),
+four AS (SELECT id, min(member) AS p FROM asked JOIN m USING (last) WHERE "start" <= day AND ("end" IS NULL OR day < "end") GROUP BY id HAVING count(DISTINCT member) = 1)
+SELECT id, coalesce(one.p, two.p, CASE WHEN a.first IS NULL THEN coalesce(three.p, four.p) END) AS person,
+CASE WHEN one.p IS NOT NULL THEN 0.85 WHEN two.p IS NOT NULL THEN 0.8 WHEN a.first IS NULL AND three.p IS NOT NULL THEN 0.8 WHEN a.first IS NULL AND four.p IS NOT NULL THEN 0.75 END::DOUBLE AS confidence
+FROM asked a LEFT JOIN one USING (first, last) LEFT JOIN two ON two.i = a.first[1:1] AND two.last = a.last LEFT JOIN three ON three.last = a.last LEFT JOIN four USING (id)""")
+def resolve_named_speakers(spark, d):
+    first = F.when(F.col("id") % 3 == 0, F.initcap("first")).when(F.col("id") % 3 == 1, _cat(F.upper(F.left("first", F.lit(1))), "."))
+    facts = _said(spark, d).select("id", first.alias("first"), F.upper("last").alias("last"), "at")
+    people = _members(spark, d).withColumnRenamed("member", "person")
+    return rs.resolve_named(facts, people.select("person", "first", "last"), people.select("person", "start", "end"), "id", "first", "last", "at")
+
+
+@query("label_members", f"""{_MEMBERS}, held AS (SELECT id, member, id % 4 AS form, m.riding = 'Oak ' || id % 3 AS here, m.first[1:1] = f.first[1:1] AS same FROM f JOIN m USING (last) WHERE "start" <= day AND ("end" IS NULL OR day < "end")),
+c AS (SELECT id, form, count(DISTINCT member) AS n, min(member) AS p, count(DISTINCT member) FILTER (here AND form = 1) AS nr, min(member) FILTER (here AND form = 1) AS pr, count(DISTINCT member) FILTER (same AND form = 2) AS ni, min(member) FILTER (same AND form = 2) AS pi FROM held GROUP BY ALL)
+SELECT id, CASE WHEN n = 1 THEN p WHEN nr = 1 THEN pr WHEN ni = 1 THEN pi END AS member, 0.85::DOUBLE AS confidence FROM c WHERE n = 1 OR nr = 1 OR ni = 1""")
+def label_members(spark, d):
+    name, form = F.upper("last"), F.col("id") % 4
+    label = F.when(form == 0, _cat("MR. ", name)).when(form == 1, _cat("Hon. Mrs. ", name, " (OAK  ", (F.col("id") % 3).cast("string"), ")")).when(form == 2, _cat("MR. ", F.upper(F.left("first", F.lit(1))), ". ", name)).otherwise(_cat("HON. MR. ", name, " (Minister of Mines)"))
+    return rs.by_label(_said(spark, d).select("id", label.alias("label"), "at"), _members(spark, d), "id", "label", "at")
+
+
+@query("middle_initials", f"""{_MEMBERS}
+SELECT id, min(member) AS member, 0.85::DOUBLE AS confidence FROM f JOIN m ON m.last = f.last AND middle = translate((id % 10)::VARCHAR, '0123456789', 'abcdefghij')
+WHERE "start" <= day AND ("end" IS NULL OR day <= "end") AND id % 3 > 0 GROUP BY id HAVING count(DISTINCT member) = 1""")
+def middle_initials(spark, d):
+    members = _members(spark, d).withColumn("name", _cat(F.col("first"), " ", F.upper("middle"), ". ", F.col("last"))).select("member", "name", "first", "last", "start", "end")
+    initial = F.upper(F.translate((F.col("id") % 10).cast("string"), "0123456789", "abcdefghij"))
+    full = F.when(F.col("id") % 3 == 0, _cat("Hon. ", F.col("first"), " ", F.col("last"))).otherwise(_cat("Mr. David ", initial, ". ", F.col("last")))
+    facts = _said(spark, d).withColumn("full", full)
+    return rs.by_middle_initial(facts, members, "id", "full", "last", "at")

@@ -21,29 +21,6 @@ def rows(spark, schema: str, *values):
     return spark.range(1).select(F.explode(F.array(*cells)).alias("r")).select("r.*")
 
 
-@query("resolve_named_speakers", "SELECT * FROM (VALUES (1, 10, 0.85::DOUBLE), (2, 11, 0.8), (3, NULL, NULL), (4, 12, 0.8), (5, 10, 0.75), (6, NULL, NULL)) t(id, person, confidence)")
-def resolve_named_speakers(spark, d):
-    facts = rows(spark, "id int, first string, last string, at timestamp", (1, "Ann", "Lee", "2020-01-01"), (2, "B.", "Lee", "2020-01-01"), (3, "Zed", "Lee", "2020-01-01"), (4, None, "Roy", "2020-01-01"), (5, None, "Lee", "2019-06-01"), (6, None, "Lee", "2021-06-01"))
-    people = rows(spark, "person int, first string, last string", (10, "Ann", "Lee"), (11, "Bo", "Lee"), (12, "Cy", "Roy"))
-    terms = rows(spark, "person int, start timestamp, end timestamp", (10, "2019-01-01", "2020-01-01"), (11, "2020-01-01", None), (10, "2021-01-01", None))
-    return rs.resolve_named(facts, people, terms, "id", "first", "last", "at")
-
-
-@query("merge_stubs", "SELECT * FROM (VALUES (1, 20)) t(stub, member)")
-def merge_stubs(spark, d):
-    stubs = rows(spark, "stub int, surname string", (1, "Lee"), (2, "Roy"))
-    said = rows(spark, "stub int, at timestamp", (1, "2019-02-01"), (1, "2019-05-01"), (2, "2019-01-01"), (2, "2022-01-01"))
-    members = rows(spark, "surname string, member int, start timestamp, end timestamp", ("Lee", 20, "2019-01-01", "2020-01-01"), ("Lee", 21, "2019-03-01", None), ("Roy", 22, "2019-01-01", "2020-01-01"))
-    return rs.merge_stubs(stubs, said, members, "stub", "surname", "at", "start", "end", "member")
-
-
-@query("division_roster", "SELECT * FROM (VALUES (1, 30), (2, 31)) t(id, member)")
-def division_roster(spark, d):
-    names = rows(spark, "id int, key string, at timestamp", (1, "van dyke", "2019-02-01"), (2, "roy", "2020-01-01"), (3, "lee", "2019-02-01"))
-    roster = rows(spark, "member int, name string, start timestamp, end timestamp", (30, "ann van dyke", "2019-01-01", None), (31, "bo roy", "2019-01-01", "2020-01-01"), (32, "cy lee", "2019-01-01", None), (33, "di lee", "2019-01-01", None))
-    return rs.roster_by_keys(names, roster, "id", "key", "at", "name", "start", "end", "member")
-
-
 @query("role_relink_counts", "SELECT CASE WHEN regexp_matches(role, '^(assistant|system)$') THEN 'staff' ELSE 'public' END AS kind, count(*) AS n FROM conversations GROUP BY 1")
 def role_relink_counts(spark, d):
     kind = F.when(F.col("role").rlike("^(assistant|system)$"), "staff").otherwise("public")
@@ -102,22 +79,6 @@ def percent_helper(spark, d):
     return Tables(spark, d).events.agg(ag.percent(F.col("value") > 50).alias("pct"))
 
 
-@query("label_members", "SELECT * FROM (VALUES (1, 10), (2, 11), (3, 12), (5, 11), (8, 10)) t(id, member), (VALUES (0.85::DOUBLE)) c(confidence)")
-def label_members(spark, d):
-    """Labels in capitals: one in office, by riding, by initial; two of a riding, an office, no term and no label give none."""
-    facts = rows(spark, "id int, label string, at date", (1, "HON. MR. DUPRÉ", "1990-01-01"), (2, "MR. WALLACE (Oak Bay – Gordon Head)", "1990-01-01"), (3, "MR. G.S. WALLACE", "1990-01-01"), (4, "MR. WALLACE (Premier)", "1990-01-01"), (5, "Mrs. A. Wallace (Minister of Mines)", "1990-01-01"), (6, "MR. WALLACE", "1990-01-01"), (7, "MR. DUPRÉ", "1995-01-01"), (8, "MR. DUPRE", "1994-12-31"), (9, "The Speaker", "1990-01-01"))
-    terms = rows(spark, "member int, first string, last string, riding string, start date, end date", (10, "Luc", "Dupré", "Yale", "1980-01-01", "1995-01-01"), (11, "Ann", "Wallace", "Oak Bay-Gordon Head", "1980-01-01", None), (12, "George", "Wallace", "Yale", "1980-01-01", None), (13, "Bo", "Wallace", "Oak Bay-Gordon Head", "1970-01-01", "1980-01-01"))
-    return rs.by_label(facts, terms, "id", "label", "at")
-
-
-@query("middle_initials", "SELECT * FROM (VALUES (1, 20), (2, 21), (5, 20), (6, 22)) t(id, member), (VALUES (0.85::DOUBLE)) c(confidence)")
-def middle_initials(spark, d):
-    """Two members of one name told apart by their middle initials."""
-    facts = rows(spark, "id int, full string, surname string, at date", (1, "Mr. David S. Cole", "Cole", "1988-01-01"), (2, "David R. Cole", "Cole", "1988-01-01"), (3, "Hon. David Cole", "Cole", "1988-01-01"), (4, "D. R. Cole", "Cole", "1995-01-01"), (5, "D. S. Cole", "COLE", "1975-01-01"), (6, "Ann M. Roy", "Roy", "1988-01-01"))
-    members = rows(spark, "member int, name string, first string, last string, start date, end date", (20, "Dave S. Cole", "Dave", "Cole", None, "1997-01-01"), (21, "David R. Cole", "David", "Cole", "1985-01-01", "1990-01-01"), (22, "Ann Marie St. Roy", "Ann", "St. Roy", "1980-01-01", None), (23, "Dave Cole", "Dave", "Cole", "1980-01-01", None))
-    return rs.by_middle_initial(facts, members, "id", "full", "surname", "at")
-
-
 @query("resolve_legislatures", """
 WITH m AS (SELECT s_suppkey AS member, CASE WHEN s_suppkey % 4 = 0 THEN 'van de' ELSE 'de' END || s_suppkey % 37 AS full_name, 'de' || s_suppkey % 37 AS last_word FROM supplier),
 keys AS (SELECT member, full_name AS key FROM m UNION SELECT member, last_word FROM m), terms AS (SELECT DISTINCT s_suppkey AS member, s_suppkey % 5 + k AS legl FROM supplier, range(0, 3) u(k)),
