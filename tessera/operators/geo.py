@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +51,86 @@ def centroid(ring: Column) -> Column:
     return F.struct(mean("lng").alias("lng"), mean("lat").alias("lat"))
 
 
+def _sides(ring: Column, value) -> Column:
+    """The sum of value(a, b, cross product) over the sides of a closed ring."""
+
+    def add(total, i):
+        a, b = F.element_at(ring, i), F.element_at(ring, i + 1)
+        return total + value(a, b, a["lng"] * b["lat"] - b["lng"] * a["lat"])
+
+    return F.when(F.size(ring) < 4, F.lit(0.0)).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(ring) - 1, F.lit(1))), F.lit(0.0), add))
+
+
+def signed_area(ring: Column) -> Column:
+    """A closed ring's area in square units of its corners, negative if it runs clockwise; 0 for fewer than three corners."""
+    return _sides(ring, lambda a, b, cross: cross) / 2
+
+
+def _first_less_rest(values: Column) -> Column:
+    """The first of an array less the sum of the others; 0 for none."""
+    return F.aggregate(F.transform(values, lambda v, i: F.when(i == 0, v).otherwise(-v)), F.lit(0.0), lambda a, v: a + v)
+
+
+def area(rings: Column) -> Column:
+    """A polygon's area: its first ring less its holes, however they run; the holes are taken to lie inside and apart."""
+    return _first_less_rest(F.transform(rings, lambda r: F.abs(signed_area(r))))
+
+
+def weighted_centroid(rings: Column) -> Column:
+    """struct<lng, lat>: a polygon's centre of mass, holes left out; the mean of the corners where the area is 0."""
+    moment = lambda f: _first_less_rest(F.transform(rings, lambda r: _sides(r, lambda a, b, cross: (a[f] + b[f]) * cross) * F.signum(signed_area(r)) / 6))
+    whole, plain = area(rings), centroid(F.element_at(rings, 1))
+    at = lambda f: F.when(whole > 0, moment(f) / whole).otherwise(plain[f])
+    return F.when(F.size(rings) > 0, F.struct(at("lng").alias("lng"), at("lat").alias("lat")))
+
+
+def _kept(x: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which corners of a closed ring stay: the first, the one farthest from it, and between two that stay the one
+    farthest from their chord, if it is farther than the tolerance."""
+    keep = np.zeros(len(x), bool)
+    far = int(np.argmax(((x - x[0]) ** 2).sum(1)))
+    keep[[0, far, len(x) - 1]] = True
+    todo = [(0, far), (far, len(x) - 1)]
+    while todo:
+        a, b = todo.pop()
+        if b - a < 2:
+            continue
+        chord, inner = x[b] - x[a], x[a + 1 : b] - x[a]
+        size = float(chord @ chord)
+        along = np.clip(inner @ chord / size, 0, 1) if size else np.zeros(len(inner))
+        d = np.hypot(*(inner - along[:, None] * chord).T)
+        i = int(d.argmax())
+        if d[i] > tolerance:
+            keep[a + 1 + i] = True
+            todo += [(a, a + 1 + i), (a + 1 + i, b)]
+    return keep
+
+
+def simplify(rings: Column, tolerance: float) -> Column:
+    """The polygon with fewer corners: none that is left out lies farther than the tolerance from the outline.
+
+    A hole that fewer than three corners are left of goes; a first ring of which that is so stays as it was.  Null stays null.
+    """
+    ring = "array<struct<lng:double,lat:double>>"
+
+    @F.arrow_udf(f"array<{ring}>")
+    def run(polygons: pa.Array) -> pa.Array:
+        out = []
+        for polygon in polygons.to_pylist():
+            shown = []
+            for i, corners in enumerate(polygon or []):
+                kept = corners
+                if len(corners) >= 4:
+                    keep = _kept(np.array([(c["lng"], c["lat"]) for c in corners]), tolerance)
+                    kept = [c for c, k in zip(corners, keep, strict=True) if k]
+                if len(kept) >= 4 or i == 0:
+                    shown.append(kept if len(kept) >= 4 else corners)
+            out.append(None if polygon is None else shown)
+        return pa.array(out, pa.list_(pa.list_(pa.struct([("lng", pa.float64()), ("lat", pa.float64())]))))
+
+    return run(rings.cast(f"array<{ring}>"))
+
+
 def valid_wgs84(rings: Column) -> Column:
     """Whether all corners are degrees."""
     return F.forall(F.flatten(rings), lambda p: p["lng"].between(-180, 180) & p["lat"].between(-90, 90))

@@ -121,6 +121,41 @@ def point_in_polygon(spark, d):
     return geo.polygon_join(points, "px", "py", shapes, "rings").select("c_custkey", "shape")
 
 
+def _ring(*corners):
+    """A closed ring of (x, y) columns."""
+    return F.array(*(F.struct(F.lit(x).cast("double").alias("lng"), F.lit(y).cast("double").alias("lat")) for x, y in (*corners, corners[0])))
+
+
+@query("polygon_measures", """
+SELECT c_custkey, round((3 + c_custkey % 4) * (1 + c_custkey % 6) / 2.0 - CASE WHEN c_custkey % 2 = 0 THEN 0.01 ELSE 0 END, 6) AS area,
+round((c_custkey % 7 * 3 + 5 + c_custkey % 4) / 3.0, 6) AS lng, round(c_custkey % 5 + (1 + c_custkey % 6) / 3.0, 6) AS lat FROM customer""")
+def polygon_measures(spark, d):
+    """Triangles, clockwise or not, every other one with a hole about its centre of mass."""
+    k = F.col("c_custkey")
+    x, y, wide, high = k % 7, k % 5, 3 + k % 4, 1 + k % 6
+    a, b, c = (x, y), (x + wide, y), (x + 2, y + high)
+    cx, cy = (x * 3 + 2 + wide) / 3, y + high / 3
+    hole = _ring((cx - 0.05, cy - 0.05), (cx + 0.05, cy - 0.05), (cx + 0.05, cy + 0.05), (cx - 0.05, cy + 0.05))
+    outline = F.when(k % 3 == 0, _ring(a, c, b)).otherwise(_ring(a, b, c))
+    rings = F.when(k % 2 == 0, F.array(outline, hole)).otherwise(F.array(outline))
+    shapes = Tables(spark, d).customer.select("c_custkey", rings.alias("rings"))
+    middle = geo.weighted_centroid(F.col("rings"))
+    return shapes.select("c_custkey", F.round(geo.area(F.col("rings")), 6).alias("area"), F.round(middle["lng"], 6).alias("lng"), F.round(middle["lat"], 6).alias("lat"))
+
+
+@query("polygon_simplified", """
+SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 5 ELSE 8 END AS corners, round((10 + c_custkey % 9) * (5 + c_custkey % 4) + CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 0.25 * (10 + c_custkey % 9) END, 6) AS area, 1 AS rings FROM customer""")
+def polygon_simplified(spark, d):
+    """Boxes whose sides waver by less than the tolerance, every other one with a peak that stays; a tiny hole goes."""
+    k = F.col("c_custkey")
+    w, h = 10 + k % 9, 5 + k % 4
+    peak = F.when(k % 2 == 0, h + 0.05).otherwise(h + 1.0)
+    outline = _ring((0, 0), (w * 0.5, 0.01), (w, 0), (w + 0.02, h * 0.5), (w, h), (w * 0.75, h + 0.01), (w * 0.5, peak), (w * 0.25, h - 0.01), (0, h))
+    hole = _ring((1.0, 1.0), (1.01, 1.0), (1.01, 1.01))
+    shapes = Tables(spark, d).customer.select("c_custkey", geo.simplify(F.array(outline, hole), 0.1).alias("rings"))
+    return shapes.select("c_custkey", F.size(F.col("rings")[0]).alias("corners"), F.round(geo.area(F.col("rings")), 6).alias("area"), F.size("rings").alias("rings"))
+
+
 @query("geojson_features", "SELECT n_nationkey, '{\"type\":\"Feature\",\"geometry\":{\"type\":\"Point\",\"coordinates\":[' || n_nationkey || ',' || n_regionkey || ']},\"properties\":{\"name\":\"' || n_name || '\"}}' AS feature FROM nation")
 def geojson_features(spark, d):
     f = geo.feature(geo.point(F.col("n_nationkey"), F.col("n_regionkey")), F.struct(F.col("n_name").alias("name")))
