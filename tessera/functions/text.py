@@ -181,6 +181,40 @@ def postal(c: Column) -> Column:
     return F.when(code != "", F.struct(F.concat_ws(" ", F.left(code, F.lit(3)), F.right(code, F.lit(3))).alias("postcode"), F.left(code, F.lit(3)).alias("fsa")))
 
 
+#: Two-letter codes of provinces and territories.
+PROVINCES = ("AB", "BC", "MB", "NB", "NL", "NS", "NT", "NU", "ON", "PE", "QC", "SK", "YT")
+
+
+def postal_address(c: Column) -> Column:
+    """struct<address, city, province, postcode> of a mailing address; all null for blank text.
+
+    Its parts are its lines or, of a single line, what commas divide.  The last one holds the postcode, before it the province
+    and before that the city; where nothing stands before the postcode, the part above is the city.  Without a postcode a
+    province in the last part closes it, and what stands before the city belongs to the address.  Without either all is address.
+    """
+    blank = lambda x: F.nullif(F.trim(F.regexp_replace(x, r"[\s,]+$", "")), F.lit(""))
+    kept = lambda parts: F.filter(F.transform(parts, lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, r"^\s+", ""), r"[\s,]+$", ""))), lambda p: p != "")
+    province = rf"^(.*?)\b({'|'.join(PROVINCES)})\b"
+
+    def read(x):
+        parts, last = x["parts"], x["last"]
+        above, up = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.try_element_at(parts, F.lit(-2))
+        code = F.regexp_extract(last, r"(?i)\b([A-Z]\d[A-Z])\s*(\d[A-Z]\d)\b", 1), F.regexp_extract(last, r"(?i)\b([A-Z]\d[A-Z])\s*(\d[A-Z]\d)\b", 2)
+        coded = code[0] != ""
+        head = F.when(coded, F.coalesce(blank(F.regexp_extract(last, r"(?i)^(.*?)\b[A-Z]\d[A-Z]\s*\d[A-Z]\d\b", 1)), F.lit(""))).otherwise(last)
+        place = F.regexp_extract(head, province, 2)
+        before = F.when(place != "", F.regexp_extract(head, province, 1)).when(coded, head).otherwise("")
+        pieces = kept(F.split(before, ","))
+        city = F.when(coded & (place == "") & (head == ""), up).when(coded, blank(before)).when(place != "", F.try_element_at(pieces, F.lit(-1)))
+        rest = F.when(coded & (place == "") & (head == ""), F.slice(above, 1, F.greatest(F.size(above) - 1, F.lit(0))))
+        rest = rest.when(~coded & (place != ""), F.concat(above, F.when(F.size(pieces) > 1, F.array(F.array_join(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(1))), ", "))).otherwise(F.array().cast("array<string>"))))
+        rest = rest.when(~coded, parts).otherwise(above)
+        return F.struct(blank(F.array_join(rest, ", ")).alias("address"), city.alias("city"), F.nullif(place, F.lit("")).alias("province"), F.when(coded, F.upper(F.concat_ws(" ", *code))).alias("postcode"))
+
+    parts = kept(F.split(c, F.when(F.contains(F.trim(c), F.lit("\n")), "\n").otherwise(",")))
+    return _let(F.struct(parts.alias("parts"), F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit("")).alias("last")), read)
+
+
 #: Hosts of social platforms and the path pattern that holds the handle.
 PLATFORMS = {
     "twitter": (("twitter.com", "x.com"), r"^/@?([A-Za-z0-9_]{1,15})/?$"),

@@ -65,6 +65,17 @@ def postal_codes(spark, d):
     return r.select("id", tx.postal(F.col("raw")).alias("p")).select("id", "p.*")
 
 
+@query("postal_addresses", f"""
+SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 2 THEN {_CAP} || ' Hall, ' || c_custkey || ' Main St' WHEN 3 THEN c_custkey || ' Main St, ' || {_CAP} ELSE c_custkey || ' Main St' END AS address,
+CASE WHEN c_custkey % 4 < 3 THEN {_CAP} END AS city, CASE c_custkey % 4 WHEN 0 THEN 'AB' WHEN 2 THEN 'QC' END AS province, CASE WHEN c_custkey % 4 < 2 THEN 'K' || c_custkey % 10 || 'A ' || c_custkey % 7 || 'B' || c_custkey % 9 END AS postcode FROM customer""")
+def postal_addresses(spark, d):
+    """City, province and postcode on the last line; postcode on a line of its own; no postcode; neither."""
+    n = lambda m: (_k() % m).cast("string")
+    street, code = _cat(_k().cast("string"), " Main St"), _cat("k", n(10), "a", n(7), "B", n(9))
+    forms = _cat(street, ",\n\n", _cap(), ", AB  ", code), _cat(street, ", ", _cap(), ", ", code), _cat(_cap(), " Hall\n", street, ", ", _cap(), ", QC Canada"), _cat(street, "\n", _cap())
+    return _customers(spark, d, *forms).select("id", tx.postal_address(F.col("raw")).alias("a")).select("id", "a.*")
+
+
 @query("social_profiles", f"SELECT c_custkey AS id, ['twitter', 'facebook', 'youtube', NULL, 'bluesky'][c_custkey % 5 + 1] AS platform, CASE c_custkey % 5 WHEN 3 THEN NULL WHEN 4 THEN {_SQL} || '.bsky.social' ELSE {_SQL} END AS handle FROM customer")
 def social_profiles(spark, d):
     r = _customers(spark, d, _cat("https://X.com/@", _cap(), "?s=1"), _cat("http://m.facebook.com/", _w(), "/"), _cat("https://www.youtube.com/@", _w()), _cat("https://example.com/", _w()), _cat("https://bsky.app/profile/", _w(), ".bsky.social"))

@@ -126,10 +126,6 @@ def short_documents(spark, d):
     return Tables(spark, d).documents.select("doc_id", n.alias("tokens")).where("tokens BETWEEN 8 AND 480")
 
 
-_TOKENS = "list_filter(regexp_extract_all(replace(strip_accents(lower(text)), 'ß', 'ss'), '[a-z0-9]+'), lambda w: NOT list_contains(['a','an','and','are','as','at','be','by','for','from','in','is','it','of','on','or','that','the','this','to','was','with'], w))"
-_STEMS = f"list_transform({_TOKENS}, lambda w: CASE WHEN length(w) >= 5 THEN regexp_replace(w, '(?:ations?|ings?|edly|ed|es|ly|s)$', '') ELSE w END)"
-
-
 @query("tfidf_top_terms", """
 WITH t AS (SELECT lang, doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM documents),
 tf AS (SELECT lang, doc_id, term, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT count(DISTINCT doc_id) AS n FROM t), df AS (SELECT term, count(DISTINCT doc_id) AS df FROM tf GROUP BY 1),

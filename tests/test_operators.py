@@ -402,3 +402,13 @@ def test_rules_leave_no_partner_out_and_take_the_least(spark):
     right = spark.createDataFrame([(10, "d", "budget"), (11, "d", "parks"), (12, "d", ""), (13, None, "audit"), (14, "e", "budget"), (15, "d", None)], "vid int, day string, v string")
     got = rel.match_by_rules(left, right, "day", "id", "vid", [(F.col("s"), F.col("v"))], within=("s", "v"))
     assert sorted(map(tuple, got.collect())) == [(10, 1, 1), (11, 5, 2)]
+
+
+def test_postal_address(spark):
+    cases = {
+        "House of Commons\nOttawa ON  K1A 0A6": ("House of Commons", "Ottawa", "ON", "K1A 0A6"), "100 Main St\nSuite 4,\n\nCalgary, AB t2p1a1": ("100 Main St, Suite 4", "Calgary", "AB", "T2P 1A1"),
+        "5 King St, Toronto, M5V 2T6": ("5 King St", "Toronto", None, "M5V 2T6"), "12 Elm\nHalifax\nB3H 4R2": ("12 Elm", "Halifax", None, "B3H 4R2"), "Box 1\nRoom 2, Regina, SK Canada": ("Box 1, Room 2", "Regina", "SK", None),
+        "unknown place": ("unknown place", None, None, None), " \n ": (None, None, None, None), "": (None, None, None, None), "K1A0A6": (None, None, None, "K1A 0A6"), "AB": (None, None, "AB", None),
+    }
+    rows = spark.createDataFrame([(t,) for t in [*cases, None]], "t string").select(tx.postal_address(F.col("t")).alias("a")).collect()
+    assert [tuple(r.a) for r in rows] == [*cases.values(), (None,) * 4]
