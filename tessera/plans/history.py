@@ -218,7 +218,11 @@ def alternation_fill(spark, d):
     return tn.alternate(c.select("conv_id", "turn", known.alias("speaker")), ["conv_id"], "turn", "speaker").select("conv_id", "turn", "filled", "attribution")
 
 
-@query("repeat_suppression")
+@query("repeat_suppression", """
+WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+s AS (SELECT user_id, event_id, event_type, n, event_type AS last, '' AS before, true AS kept FROM e WHERE n = 1 UNION ALL
+SELECT e.user_id, e.event_id, e.event_type, e.n, CASE WHEN e.event_type IN (s.last, s.before) THEN s.last ELSE e.event_type END, CASE WHEN e.event_type IN (s.last, s.before) THEN s.before ELSE s.last END, e.event_type NOT IN (s.last, s.before) FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
+SELECT user_id, event_id, event_type FROM s WHERE kept""")
 def repeat_suppression(spark, d):
     """Events of a user without those whose type is among the last two kept."""
     e = Tables(spark, d).events.select("user_id", "event_id", "event_type")
