@@ -144,7 +144,7 @@ def polygon_measures(spark, d):
 
 
 @query("polygon_simplified", """
-SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 5 ELSE 8 END AS corners, round((10 + c_custkey % 9) * (5 + c_custkey % 4) + CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 0.25 * (10 + c_custkey % 9) END, 6) AS area, 1 AS rings FROM customer""")
+SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 5 ELSE 8 END AS corners, round(((10 + c_custkey % 9) * (5 + c_custkey % 4) + CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 0.25 * (10 + c_custkey % 9) END)::DOUBLE, 6) AS area, 1 AS rings FROM customer""")
 def polygon_simplified(spark, d):
     """Boxes whose sides waver by less than the tolerance, every other one with a peak that stays; a tiny hole goes."""
     k = F.col("c_custkey")
