@@ -262,10 +262,10 @@ def _decode_at_once(bits: Bits, width: int, height: int, group: list, seen: set,
     n = width * height
     start, n_bits = bits.at, 8 * len(bits.data) - bits.at
     word = bits.words()[start >> 3 :]
-    # window[i]: 32 bits from the i-th bit on
+    # window[i]: 25 bits or more from the i-th bit on; a symbol takes 15 at most, extra bits 18
     count = n_bits + 1
     lead = start & 7
-    window = ((word[:, None] >> np.arange(8, dtype=np.uint64)).astype(np.uint32)).reshape(-1)[lead : lead + count]
+    window = (word.astype(np.uint32)[:, None] >> np.arange(8, dtype=np.uint32)).reshape(-1)[lead : lead + count]
 
     def entries(code: Code, at=None) -> np.ndarray:
         return code.table.take((window if at is None else window.take(at)) & np.uint32((1 << code.bits) - 1))
@@ -819,12 +819,20 @@ CACHE_BITS = 11
 GAIN = 0.95  # a form that takes more steps must be smaller by this factor
 
 
+@lru_cache(1)
+def _times_log() -> np.ndarray:
+    """n log2 n of 0, 1, 2, ...: 1 MB."""
+    n = np.arange(1 << 17, dtype=np.float64)
+    return n * np.log2(np.maximum(n, 1))
+
+
 def _bits_of(counts: np.ndarray) -> float:
     """Bits that symbols cost at their entropy, and about five for each one's code length."""
+    total, table = int(counts.sum()), _times_log()
+    if total < len(table):
+        return float(table[total] - table.take(counts).sum()) + 5 * int(np.count_nonzero(counts))
     c = np.maximum(counts, 1).astype(np.float64)  # a count of one adds nothing
-    some = int(np.count_nonzero(counts))
-    total = float(c.sum()) - len(c) + some
-    return total * log2(total) - float(c @ np.log2(c)) + 5 * some if some else 0.0
+    return total * log2(total) - float(c @ np.log2(c)) + 5 * int(np.count_nonzero(counts))
 
 
 def _book(w: Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
