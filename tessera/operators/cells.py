@@ -111,3 +111,13 @@ class Cells:
                 break
             low, high = high, high * 2
         return best if floor is None else best.where(F.col("similarity") >= floor)
+
+
+def margin_match(df: DataFrame, references: Cells, id_col: str, threshold: float, margin: float, stage: str, vector: str = "embedding") -> DataFrame:
+    """(id, reference, score) as vector.margin_match(), over an index of any number of references: each row reads the cells
+    that can hold its two best, never all references.  A row and a reference of one id are two things.
+    """
+    two = references.search(df.select(F.col(id_col).alias("query"), F.col(vector).alias("vector")), 2, stage, exact=True, exclude_self=False)
+    best = two.groupBy("query").agg(F.min_by(F.struct(F.col("id").alias("reference"), F.col("similarity").alias("score")), "place").alias("first"), F.min("similarity").alias("other"), F.count(F.lit(1)).alias("n"))
+    good = (F.col("first.score") >= threshold) & ((F.col("n") == 1) | (F.col("first.score") - F.col("other") >= margin))
+    return best.where(good).select(F.col("query").alias(id_col), "first.reference", "first.score")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import density, layout
 from tessera.operators import vector as vec
-from tessera.operators.cells import Cells
+from tessera.operators.cells import Cells, margin_match
 from tessera.operators.relational import small, top_m_per_group
 from tessera.registry import query
 from tessera.sources.tables import Tables
@@ -101,3 +101,15 @@ def density_levels(spark, d):
 def neighbour_projection(spark, d):
     """(vec_id, x0, x1) of all vectors."""
     return layout.project_neighbours(Tables(spark, d).embeddings, "vec_id")
+
+
+@query("margin_match_cells", """
+WITH s AS (SELECT e.vec_id, r.vec_id AS reference, list_cosine_similarity(e.embedding::DOUBLE[], r.embedding::DOUBLE[]) AS score FROM embeddings e, embeddings r WHERE e.vec_id % 10 = 0 AND r.vec_id % 10 > 0),
+t AS (SELECT *, row_number() OVER w AS p, lead(score) OVER w AS second FROM s WINDOW w AS (PARTITION BY vec_id ORDER BY score DESC, reference))
+SELECT vec_id, reference, round(score, 6) AS score FROM t WHERE p = 1 AND score >= 0.3 AND score - second >= 0.02""")
+def margin_match_cells(spark, d):
+    """Every tenth vector against all others as references, through an index of these."""
+    e = Tables(spark, d).embeddings
+    index = Cells.build(e.where("vec_id % 10 > 0"), shared(spark, "cells"), "vec_id", CELLS)
+    out = margin_match(e.where("vec_id % 10 = 0"), index, "vec_id", 0.3, 0.02, shared(spark, "search"))
+    return out.select("vec_id", "reference", F.round("score", 6).alias("score"))
