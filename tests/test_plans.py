@@ -42,6 +42,6 @@ def test_facets_scan_once_each(spark, name):
     assert len(tables) <= {"facets_topk": 2, "level_counts_union": 1, "coverage_matrix": 4}[name]
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - {"sequence_ratios", "nfkc_hash", "content_hash_groups", "dedup_by_hash", "repeat_suppression", "chunk_documents", "caption_lines", "cluster_levels", "projection", "stream_tumbling", "stream_sliding", "stream_sessions", "stream_idempotent", "materialized_view"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - {"sequence_ratios", "nfkc_hash", "content_hash_groups", "dedup_by_hash", "repeat_suppression", "chunk_documents", "caption_lines", "cluster_levels", "projection", "stream_tumbling", "stream_sliding", "stream_sessions", "stream_idempotent", "materialized_view", "polygon_simplified"}))
 def test_everything_else_stays_in_the_jvm(spark, name):
     assert not re.search("EvalPython|InPandas|InArrow", plan(spark, name))
