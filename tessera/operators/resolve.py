@@ -27,10 +27,40 @@ def staged(facts: DataFrame, stages: Sequence[tuple[DataFrame, Sequence[str], fl
     return out.select(*facts.columns, F.coalesce(*picks).alias(candidate), F.coalesce(*scores).alias("confidence"))
 
 
+def in_office(facts: DataFrame, terms: DataFrame, on: Sequence[str], at: str, start: str, end: str, candidate: str, closed: str = "left", open_start: bool = False) -> DataFrame:
+    """(on, at, _low, _high): the least and the greatest candidate in office at each time that facts ask for; one is alone where they are equal.
+
+    Distinct times of a key meet its distinct spans, so neither the facts of a time nor the candidates of a span multiply.
+    """
+    spans = terms.groupBy(*on, start, end).agg(F.min(candidate).alias("_low"), F.max(candidate).alias("_high"))
+    met = interval_join(facts.select(*on, at).distinct(), spans, on, at, start, end, closed, "inner", open_start)
+    return met.groupBy(*on, at).agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+
+
+def sole(met: DataFrame, row_id: str, candidate: str) -> DataFrame:
+    """(row_id, candidate) of rows whose bounds `_low` and `_high`, over all rows of one id, are one candidate."""
+    bounds = met.groupBy(row_id).agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+    return bounds.where("_low = _high").select(row_id, F.col("_low").alias(candidate))
+
+
+def join_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """left with the further columns of right, by keys of which nulls are equal."""
+    r = right.withColumnsRenamed({k: f"_r_{i}" for i, k in enumerate(on)})
+    condition = F.lit(True)
+    for i, k in enumerate(on):
+        condition = condition & left[k].eqNullSafe(r[f"_r_{i}"])
+    return left.join(r, condition, how).drop(*(f"_r_{i}" for i in range(len(on))))
+
+
+def sole_in_office(facts: DataFrame, terms: DataFrame, on: Sequence[str], at: str, start: str, end: str, candidate: str, row_id: str, closed: str = "left", open_start: bool = False) -> DataFrame:
+    """(row_id, candidate) of facts with one candidate in office at their time."""
+    asked = facts.select(row_id, *on, at)
+    return sole(join_safe(asked, in_office(asked, terms, on, at, start, end, candidate, closed, open_start), [*on, at]), row_id, candidate)
+
+
 def dated(facts: DataFrame, terms: DataFrame, on: Sequence[str], at: str, start: str, end: str, candidate: str, row_id: str, confidence: float, closed: str = "left", open_start: bool = False) -> DataFrame:
     """(row_id, candidate, confidence) of facts with one candidate in office at their time."""
-    held = interval_join(facts.select(row_id, *on, at), terms.select(*on, start, end, candidate), on, at, start, end, closed, "inner", open_start)
-    return unique_candidate(held, [row_id], candidate).withColumn("confidence", F.lit(confidence))
+    return sole_in_office(facts, terms, on, at, start, end, candidate, row_id, closed, open_start).withColumn("confidence", F.lit(confidence))
 
 
 def propagate(resolved: DataFrame, unresolved: DataFrame, keys: Sequence[str], candidate: str, confidence: float) -> DataFrame:
@@ -145,7 +175,7 @@ def merge_stubs(stubs: DataFrame, statements: DataFrame, members: DataFrame, stu
 def roster_by_keys(names: DataFrame, roster: DataFrame, row_id: str, key: str, at: str, name: str, start: str, end: str, member: str) -> DataFrame:
     """(row_id, member): a division list's name against the last one, two or three words of those in office, both ends closed."""
     keyed = roster.select(member, start, end, F.explode(name_keys(F.col(name))).alias(key))
-    return unique_candidate(interval_join(names.select(row_id, key, at), keyed, [key], at, start, end, "both", "inner"), [row_id], member)
+    return sole_in_office(names, keyed, [key], at, start, end, member, row_id, "both")
 
 
 def pair_filter(pairs: DataFrame, a: str, b: str, allowed: DataFrame, id_col: str) -> DataFrame:
