@@ -81,8 +81,9 @@ def by_legislature(facts: DataFrame, members: DataFrame, terms: DataFrame, row_i
     also answers to its last word.  Two bearers resolve to nothing.
     """
     seats = terms.select(candidate, legislature).distinct().join(surname_keys(members, candidate, last_name), candidate)
-    held = facts.select(row_id, legislature, fold(F.trim(F.col(surname))).alias("key")).join(seats, [legislature, "key"])
-    return unique_candidate(held, [row_id], candidate).withColumn("confidence", F.lit(confidence))
+    bearers = seats.groupBy(legislature, "key").agg(F.min(candidate).alias("_low"), F.max(candidate).alias("_high"))  # one row a name
+    held = facts.select(row_id, legislature, fold(F.trim(F.col(surname))).alias("key")).join(bearers, [legislature, "key"])
+    return sole(held, row_id, candidate).withColumn("confidence", F.lit(confidence))
 
 
 def continued(attributed: DataFrame, unresolved: DataFrame, members: DataFrame, terms: DataFrame, row_id: str, document: str, legislature: str, surname: str, candidate: str, last_name: str, confidence: float = 0.75) -> DataFrame:
@@ -92,10 +93,11 @@ def continued(attributed: DataFrame, unresolved: DataFrame, members: DataFrame,
     row's legislature; two such members resolve to nothing.
     """
     known = attributed.where(F.col(candidate).isNotNull()).select(document, candidate).distinct().join(surname_keys(members, candidate, last_name), candidate)
-    seats = terms.select(candidate, legislature).distinct()
     rows = unresolved.select(row_id, document, legislature, fold(F.trim(F.col(surname))).alias("key"))
-    held = rows.join(known, [document, "key"]).join(seats, [candidate, legislature], "left_semi")
-    return unique_candidate(held, [row_id], candidate).withColumn("confidence", F.lit(confidence))
+    asked = rows.select(document, legislature, "key").distinct()
+    held = asked.join(known, [document, "key"]).join(terms.select(candidate, legislature).distinct(), [candidate, legislature], "left_semi")
+    bearers = held.groupBy(document, legislature, "key").agg(F.min(candidate).alias("_low"), F.max(candidate).alias("_high"))
+    return sole(rows.join(bearers, [document, legislature, "key"]), row_id, candidate).withColumn("confidence", F.lit(confidence))
 
 
 def raised(old: Column, new: Column) -> Column:
@@ -167,9 +169,10 @@ def resolve_named(facts: DataFrame, people: DataFrame, terms: DataFrame, row_id:
 def merge_stubs(stubs: DataFrame, statements: DataFrame, members: DataFrame, stub: str, key: str, at: str, start: str, end: str, member: str) -> DataFrame:
     """(stub, member): the one member of the stub's key whose term covers all the stub's statements."""
     span = statements.groupBy(stub).agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
-    joined = stubs.select(stub, key).join(span, stub).join(members.select(key, member, start, end), key)
+    spans = members.groupBy(key, start, end).agg(F.min(member).alias("_low"), F.max(member).alias("_high"))  # members of one term are one row
+    joined = stubs.select(stub, key).join(span, stub).join(spans, key)
     cover = joined.where((F.col(start) <= F.col("_first")) & (F.col(end).isNull() | (F.col("_last") < F.col(end))))
-    return unique_candidate(cover, [stub], member)
+    return sole(cover, stub, member)
 
 
 def roster_by_keys(names: DataFrame, roster: DataFrame, row_id: str, key: str, at: str, name: str, start: str, end: str, member: str) -> DataFrame:
@@ -219,16 +222,17 @@ def caption_members(turns: DataFrame, roster: DataFrame, row_id: str, council: s
     mayoral = role.rlike("mayor|worship") | low.rlike("^(mayor|her worship|his worship)")
     asks = asks.select(row_id, council, at, "attribution", mayoral.alias("_mayoral"), surname_of(F.col("name")).alias("_surname"))
     held = roster.select(council, "member", F.upper("surname").alias("_surname"), "mayor", "start", "end")
-    mayor = unique_candidate(interval_join(asks.where("_mayoral").select(row_id, council, at), held.where("mayor").drop("_surname"), [council], at, "start", "end", "left", "inner"), [row_id], "member")
-    exact = unique_candidate(interval_join(asks.select(row_id, council, "_surname", at), held, [council, "_surname"], at, "start", "end", "left", "inner"), [row_id], "member")
+    mayor = sole_in_office(asks.where("_mayoral"), held.where("mayor"), [council], at, "start", "end", "member", row_id)
+    exact = sole_in_office(asks, held, [council, "_surname"], at, "start", "end", "member", row_id)
     found = asks.join(mayor.withColumnRenamed("member", "_office"), row_id, "left").join(exact.withColumnRenamed("member", "_exact"), row_id, "left")
     spelt = found.where("_office IS NULL AND _exact IS NULL AND _surname IS NOT NULL").select(council, at, "_surname").distinct()
     forms = spelt.withColumn("_v", F.explode(shortened(F.col("_surname"), 2)))
-    known = held.select(council, "member", F.col("_surname").alias("_known"), "start", "end", F.explode(shortened(F.col("_surname"), 2)).alias("_v"))
+    spans = held.groupBy(council, F.col("_surname").alias("_known"), "start", "end").agg(F.min("member").alias("_low"), F.max("member").alias("_high"))
+    known = spans.withColumn("_v", F.explode(shortened(F.col("_known"), 2)))
     in_office = (F.col("start") <= F.col(at)) & (F.col("end").isNull() | (F.col(at) < F.col("end")))
     near = forms.join(known, [council, "_v"]).where(in_office).withColumn("_d", F.levenshtein("_surname", "_known", 2)).where("_d >= 0")
-    best = near.groupBy(council, at, "_surname", "_d").agg(F.count_distinct("member").alias("_n"), F.min("member").alias("_fuzzy"))
-    one = best.groupBy(council, at, "_surname").agg(F.min_by(F.struct("_n", "_fuzzy"), "_d").alias("x")).where("x._n = 1").select(council, at, "_surname", F.col("x._fuzzy").alias("_fuzzy"))
+    best = near.groupBy(council, at, "_surname", "_d").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+    one = best.groupBy(council, at, "_surname").agg(F.min_by(F.struct("_low", "_high"), "_d").alias("x")).where("x._low = x._high").select(council, at, "_surname", F.col("x._low").alias("_fuzzy"))
     out = found.join(one, [council, at, "_surname"], "left")
     kind = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in BY_KIND.items() for x in kv)), F.col("attribution")), F.lit(BY_NAME))
     member = F.coalesce("_office", "_exact", F.when(F.col("_office").isNull() & F.col("_exact").isNull(), F.col("_fuzzy")))
@@ -250,7 +254,7 @@ def by_middle_initial(facts: DataFrame, members: DataFrame, row_id: str, full: s
     low = fold(F.col("last"))
     keys = F.explode(F.array_distinct(F.array(low, F.element_at(F.split(low, " "), -1))))
     m = members.select("member", "start", "end", F.upper(F.left(F.trim(inner), F.lit(1))).alias("_m"), keys.alias("_s")).where("_m <> ''")
-    return unique_candidate(interval_join(f, m, ["_s", "_m"], at, "start", "end", "both", "inner", open_start=True), [row_id], "member").withColumn("confidence", F.lit(confidence))
+    return dated(f, m, ["_s", "_m"], at, "start", "end", "member", row_id, confidence, "both", open_start=True)
 
 
 def by_label(facts: DataFrame, terms: DataFrame, row_id: str, label: str, at: str, confidence: float = 0.85) -> DataFrame:
@@ -262,11 +266,16 @@ def by_label(facts: DataFrame, terms: DataFrame, row_id: str, label: str, at: st
     part = lambda i: F.regexp_extract(F.trim(label), LABEL, i)
     hint = F.when((part(3) != "") & ~part(3).rlike(OFFICE), riding_key(part(3)))
     f = facts.select(row_id, at, fold(part(2)).alias("_s"), F.nullif(fold(F.left(part(1), F.lit(1))), F.lit("")).alias("_i"), hint.alias("_r")).where("_s <> ''")
-    t = terms.select("member", fold(F.col("last")).alias("_s"), F.left(fold(F.coalesce("first", F.lit(""))), F.lit(1)).alias("_ti"), riding_key(F.coalesce("riding", F.lit(""))).alias("_tr"), "start", "end")
-    held = interval_join(f, t, ["_s"], at, "start", "end", "left", "inner")
-    one = lambda test: F.when(F.count_distinct(F.when(test, F.col("member"))) == 1, F.min(F.when(test, F.col("member"))))
-    picked = F.coalesce(one(F.lit(True)), one(F.col("_tr") == F.col("_r")), one(F.col("_ti") == F.col("_i")))
-    return held.groupBy(row_id).agg(picked.alias("member")).where("member IS NOT NULL").withColumn("confidence", F.lit(confidence))
+    t = terms.select("member", fold(F.col("last")).alias("_s"), F.left(fold(F.coalesce("first", F.lit(""))), F.lit(1)).alias("_i"), riding_key(F.coalesce("riding", F.lit(""))).alias("_r"), "start", "end")
+    out, bounds, picks = f, [], []
+    for i, keys in enumerate((["_s"], ["_s", "_r"], ["_s", "_i"])):  # in office; of the riding; of the initial
+        low, high = f"_low{i}", f"_high{i}"
+        held = in_office(f, t, keys, at, "start", "end", "member").withColumnsRenamed({"_low": low, "_high": high})
+        out = out.join(held, [*keys, at], "left")
+        bounds += F.min(low).alias(low), F.max(high).alias(high)
+        picks.append(F.when(F.col(low) == F.col(high), F.col(low)))
+    picked = out.groupBy(row_id).agg(*bounds).select(row_id, F.coalesce(*picks).alias("member"))
+    return picked.where("member IS NOT NULL").withColumn("confidence", F.lit(confidence))
 
 
 def by_surname(facts: DataFrame, roster: DataFrame, row_id: str, name: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -5,9 +5,6 @@ from pyspark.sql import functions as F
 
 from tessera.operators import resolve as rs
 
-DAY = F.lit("2020-01-01").cast("timestamp")
-
-
 def joined(df):
     """(rows, rows made by the join of them that made the most)."""
     rows, most = df.collect(), 0
@@ -30,16 +27,17 @@ def joined(df):
 @pytest.fixture(scope="module")
 def crowd(spark):
     """2,000 facts of one name and day; 300 members of that name, in office then."""
-    facts = spark.range(2000).select("id", F.lit("lee").alias("key"), DAY.alias("at"))
-    members = spark.range(300).select(F.col("id").alias("member"), F.lit("lee").alias("key"), F.lit("Ann Lee").alias("name"), DAY.alias("start"), F.lit(None).cast("timestamp").alias("end"))
+    day = F.lit("2020-01-01").cast("timestamp")
+    facts = spark.range(2000).select("id", F.lit("lee").alias("key"), day.alias("at"))
+    members = spark.range(300).select(F.col("id").alias("member"), F.lit("lee").alias("key"), F.lit("lee").alias("name"), day.alias("start"), F.lit(None).cast("timestamp").alias("end"))
     return facts, members
 
 
 def test_roster(crowd):
     facts, members = crowd
-    rows, most = joined(rs.roster_by_keys(facts, members.withColumn("name", F.lit("lee")), "id", "key", "at", "name", "start", "end", "member"))
+    rows, most = joined(rs.roster_by_keys(facts, members, "id", "key", "at", "name", "start", "end", "member"))
     assert rows == [] and most <= 2000
-    rows, most = joined(rs.roster_by_keys(facts, members.where("member = 7").withColumn("name", F.lit("lee")), "id", "key", "at", "name", "start", "end", "member"))
+    rows, most = joined(rs.roster_by_keys(facts, members.where("member = 7"), "id", "key", "at", "name", "start", "end", "member"))
     assert len(rows) == 2000 and {r.member for r in rows} == {7}
 
 
@@ -47,3 +45,55 @@ def test_dated(crowd):
     facts, members = crowd
     rows, most = joined(rs.dated(facts, members, ["key"], "at", "start", "end", "member", "id", 0.9))
     assert rows == [] and most <= 2000
+
+
+def test_speakers(crowd):
+    facts, members = crowd
+    said = facts.select("id", F.lit(None).cast("string").alias("first"), F.col("key").alias("last"), "at")
+    people = members.select(F.col("member").alias("person"), F.concat(F.lit("a"), F.col("member").cast("string")).alias("first"), F.col("key").alias("last"))
+    terms = members.select(F.col("member").alias("person"), "start", "end")
+    one = people.where("person = 5").withColumns({"person": F.lit(1000).cast("long"), "last": F.lit("roy")})  # by day, one who is alone
+    two = one.withColumns({"person": F.lit(1001).cast("long"), "first": F.lit("b")})
+    said = said.unionByName(said.where("id = 5").withColumns({"id": F.lit(5000).cast("long"), "last": F.lit("roy")}))
+    terms = terms.unionByName(terms.where("person = 5").withColumn("person", F.lit(1000).cast("long")))
+    rows, most = joined(rs.resolve_named(said, people.unionByName(one).unionByName(two), terms, "id", "first", "last", "at"))
+    assert len(rows) == 2001 and {(r.id, r.person) for r in rows if r.person is not None} == {(5000, 1000)} and most <= 2001
+
+
+def test_legislatures(crowd):
+    facts, members = crowd
+    said = facts.select("id", F.lit(1).alias("legl"), F.col("key").alias("surname"))
+    terms = members.select("member", F.lit(1).alias("legl"))
+    rows, most = joined(rs.by_legislature(said, members, terms, "id", "legl", "surname", "member", "name"))
+    assert rows == [] and most <= 2000
+
+
+def test_continued(crowd):
+    """One document names 300 members of a surname; its other rows do not meet each of them."""
+    facts, members = crowd
+    said = facts.select("id", F.lit(1).alias("doc"), F.lit(1).alias("legl"), F.col("key").alias("surname"))
+    known, terms = members.select("member", F.lit(1).alias("doc")), members.select("member", F.lit(1).alias("legl"))
+    rows, most = joined(rs.continued(known, said, members, terms, "id", "doc", "legl", "surname", "member", "name"))
+    assert rows == [] and most <= 2000
+
+
+def test_labels(crowd):
+    facts, members = crowd
+    said = facts.select("id", F.lit("MR. A. LEE (Yale)").alias("label"), "at")
+    terms = members.select("member", F.lit("ann").alias("first"), F.col("key").alias("last"), F.lit("Yale").alias("riding"), "start", "end")
+    rows, most = joined(rs.by_label(said, terms, "id", "label", "at"))
+    assert rows == [] and most <= 2000
+
+
+def test_middle_initials(crowd):
+    facts, members = crowd
+    said = facts.select("id", F.lit("Mr. Ann B. Lee").alias("full"), F.col("key").alias("last"), "at")
+    terms = members.select("member", F.lit("Ann B. Lee").alias("name"), F.lit("Ann").alias("first"), F.lit("Lee").alias("last"), "start", "end")
+    rows, most = joined(rs.by_middle_initial(said, terms, "id", "full", "last", "at"))
+    assert rows == [] and most <= 2000
+
+
+def test_stubs(crowd):
+    facts, members = crowd
+    rows, most = joined(rs.merge_stubs(facts.select("id", "key"), facts.select("id", "at"), members, "id", "key", "at", "start", "end", "member"))
+    assert rows == [] and most <= 2000
