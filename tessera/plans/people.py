@@ -53,8 +53,7 @@ def cluster_browse(spark, d):
 
 @query("duplicate_people", "SELECT a.c_custkey AS a, b.c_custkey AS b FROM customer a JOIN customer b ON a.c_mktsegment = b.c_mktsegment AND a.c_nationkey = b.c_nationkey AND abs(a.c_acctbal - b.c_acctbal) < 50 AND a.c_custkey < b.c_custkey")
 def duplicate_people(spark, d):
-    c = Tables(spark, d).customer.withColumn("key", F.concat_ws("/", "c_mktsegment", "c_nationkey"))
-    return rel.duplicate_pairs(c, "key", "c_custkey", F.abs(F.col("a.c_acctbal") - F.col("b.c_acctbal")) < 50).select("a", "b")
+    return rel.near_pairs(Tables(spark, d).customer, ["c_mktsegment", "c_nationkey"], "c_custkey", "c_acctbal", 50)
 
 
 @query("status_rollup", "SELECT CASE WHEN n_regionkey = 0 THEN 'live' ELSE 'none' END AS status, count(*) AS n, count(*) FILTER (n_nationkey % 2 = 0) AS even FROM nation GROUP BY 1")

@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import catalog
+from tessera.operators import relational as rel
 from tessera.operators import resolve as rs
 
 def joined(df):
@@ -97,3 +99,33 @@ def test_stubs(crowd):
     facts, members = crowd
     rows, most = joined(rs.merge_stubs(facts.select("id", "key"), facts.select("id", "at"), members, "id", "key", "at", "start", "end", "member"))
     assert rows == [] and most <= 2000
+
+
+def test_meetings(spark, tmp_path):
+    """400 parts of one day and few names: rows that the join makes stay near the rows."""
+    words = F.concat(F.lit("oak "), (F.col("id") % 5).cast("string"))
+    spark.range(400).select(F.col("id").alias("p_partkey"), words.alias("p_name"), F.lit("b").alias("p_brand"), F.lit("t").alias("p_type"), F.lit(1).alias("p_size"), F.lit(1.0).alias("p_retailprice")).write.parquet(f"{tmp_path}/part.parquet")
+    rows, most = joined(catalog.QUERIES["meeting_match"](spark, str(tmp_path)))
+    assert len(rows) == 200 and {(r.vid, r.rank) for r in rows} == {(1, 1), (3, 1), (5, 1), (7, 1), (9, 1)} and most <= 400
+
+
+def test_same_or_begun_odd_rows(spark):
+    """Nothing agrees with no name; an empty beginning agrees with every name."""
+    left = spark.createDataFrame([(0, 1, "oakelm"), (2, 1, None), (4, 2, "fir"), (6, 3, "")], "id long, day int, body string")
+    right = spark.createDataFrame([(1, 1, "oak", "oak"), (3, 1, "oakelm", "x"), (5, 2, "y", ""), (7, 3, None, None), (9, 4, "fir", "fir")], "vid long, day int, same string, begin string")
+    got = rel.match_same_or_begun(left, right, "day", "id", "body", "vid", F.col("same"), F.col("begin"))
+    assert sorted(map(tuple, got.collect())) == [(0, 3, 1), (4, 5, 2)]
+
+
+def test_duplicate_people(spark, tmp_path):
+    """1,000 people of one segment, 30 apart: each has two within reach, one of them behind it."""
+    spark.range(1000).select(F.col("id").alias("c_custkey"), F.lit("n").alias("c_name"), F.lit(1).alias("c_nationkey"), (F.col("id") * 30.0 - 9000).alias("c_acctbal"), F.lit("s").alias("c_mktsegment")).write.parquet(f"{tmp_path}/customer.parquet")
+    rows, _ = joined(catalog.QUERIES["duplicate_people"](spark, str(tmp_path)))
+    assert sorted(map(tuple, rows)) == [(i, i + 1) for i in range(999)]
+    assert "_band" in catalog.QUERIES["duplicate_people"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_pairs_odd_values(spark):
+    x = [0.0, 49.99, -49.99, 50.0, None, float("nan"), float("inf"), float("inf"), 1e300, 1e300]
+    df = spark.createDataFrame([(i, 1, v) for i, v in enumerate(x)], "id long, k int, v double")
+    assert sorted(map(tuple, rel.near_pairs(df, ["k"], "id", "v", 50).collect())) == [(0, 1), (0, 2), (1, 3), (8, 9)]
