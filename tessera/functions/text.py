@@ -98,10 +98,11 @@ def _code_point(n: Column) -> Column:
     return F.when(good, F.decode(F.unhex(F.lpad(F.hex(F.when(good, n)), 8, "0")), "UTF-32")).otherwise("\ufffd")
 
 
-def unescape(c: Column) -> Column:
+def unescape(c: Column, unclosed: bool = True) -> Column:
     """Text with named, decimal and hexadecimal character references resolved, each once.
 
-    Of a reference that no semicolon closes, the longest beginning counts that is a number or one of the old names.
+    Of a reference that no semicolon closes, the longest beginning counts that is a number or one of the old names; unless
+    `unclosed`, it is text.
     """
     from html.entities import html5
 
@@ -113,7 +114,8 @@ def unescape(c: Column) -> Column:
 
     def resolved(part):
         closed = F.regexp_extract(part, f"^({number}|[A-Za-z][A-Za-z0-9]{{0,31}});", 1)
-        return replaced(part, closed, 2, lambda: replaced(part, F.regexp_extract(part, f"^({number}|{old})", 1), 1, lambda: F.concat(F.lit("&"), part)))
+        text = lambda: F.concat(F.lit("&"), part)
+        return replaced(part, closed, 2, (lambda: replaced(part, F.regexp_extract(part, f"^({number}|{old})", 1), 1, text)) if unclosed else text)
 
     def replaced(part, name, behind, otherwise):  # behind: what follows starts so many characters behind the name
         return _let(name, lambda n: _let(char_of(n), lambda char: F.when(char.isNull(), otherwise()).otherwise(F.concat(char, F.substring(part, F.length(n) + behind, F.lit(1 << 30))))))
@@ -131,11 +133,11 @@ def unescape(c: Column) -> Column:
     return _let(c, lambda x: F.when(F.contains(x, F.lit("&")), _let(F.split(x, "&", -1), joined)).otherwise(x))
 
 
-def html_to_text(c: Column) -> Column:
+def html_to_text(c: Column, unclosed: bool = True) -> Column:
     """Text of HTML: scripts and styles go, breaks and paragraph ends are new lines, other tags are spaces, character references are resolved, blank lines drop."""
     t = F.regexp_replace(F.regexp_replace(c, r"(?is)<script\b.*?</script>", " "), r"(?is)<style\b.*?</style>", " ")
     t = F.regexp_replace(t, r"(?i)<br\s*/?>|</p>|</h[1-6]>|</li>|</div>", "\n")
-    t = unescape(F.regexp_replace(t, r"(?s)<[^>]*>", " "))
+    t = unescape(F.regexp_replace(t, r"(?s)<[^>]*>", " "), unclosed)
     t = F.regexp_replace(t, "[ \\t\\r\\f\u00a0]+", " ")
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r" ?\n ?", "\n"), r"\n+", "\n"), r"^\s+|\s+$", "")
 

@@ -183,3 +183,14 @@ def test_literal(spark, name):
     got = f(spark, None)
     assert sorted(got.columns) == sorted(want.columns)
     assert sorted(map(tuple, got.select(*want.columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
+def test_html_text_of_unclosed_references(spark, tmp_path):
+    """The query on pages whose escaped titles were cut within a reference, beside its SQL."""
+    from tessera import catalog
+
+    pages = rows(spark, "page_id long, url string, html string", (1, "u", "<title>a &amp;&amp;&amp</title><p>b &lt c &lt; d</p>"), (2, "u", "x &am &#39 &#39; &copy 2 &amp;lt; &"), (3, "u", ""), (4, "u", None))
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = duckdb.sql(catalog.ORACLES["html_text"]).fetchall()
+    assert sorted(map(tuple, catalog.QUERIES["html_text"](spark, str(tmp_path)).collect())) == sorted(want)
