@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.operators.cluster import assign, centroids
 from tessera.operators.vector import norm
@@ -237,8 +238,11 @@ def _fit(df: DataFrame, id_col: str, min_samples: int, neighbours: int, sample:
 def linkage(df: DataFrame, id_col: str, height: float, sample: int = SAMPLE, vector: str = "embedding") -> DataFrame:
     """(id, cluster): single linkage cut at a height; a cluster is named by its smallest id.
 
-    Rows beyond the sample go to the cluster of the nearest centroid.  Rows whose vector is null, empty or holds a null or NaN are NOISE.
+    Vectors of one dimension are linked exactly, all of them; of more, rows beyond the sample go to the cluster of the nearest
+    centroid.  Rows whose vector is null, empty or holds a null or NaN are NOISE.
     """
+    if df.agg(F.max(F.size(vector))).first()[0] == 1:
+        return _linked_line(df, id_col, height, vector)
     ids, _, tree = _fit(df, id_col, 0, 8, sample, vector)
     label = cut_at(tree, len(ids), height)
     least: dict = {}
@@ -247,6 +251,28 @@ def linkage(df: DataFrame, id_col: str, height: float, sample: int = SAMPLE, vec
     return _spread(df, id_col, {"cluster": [least[c] for c in label.tolist()]}, ids, sample, vector)
 
 
+def _linked_line(df: DataFrame, id_col: str, height: float, vector: str) -> DataFrame:
+    """Single linkage of numbers: cells of half the height hold together, neighbouring ones if the gap between them allows.
+
+    Gaps are summed up within blocks of 1,024 cells, then over one row a block.
+    """
+    x = F.element_at(vector, 1).cast("double")
+    whole = lambda q: F.when(F.abs(q) < 2.0**52, F.floor(q).cast("double")).otherwise(q)
+    good = (F.size(vector) > 0) & x.isNotNull() & ~F.isnan(x)
+    rows = df.select(id_col, F.when(good, x).alias("_x")).withColumn("_cell", whole(F.col("_x") * 2 / F.lit(float(height))) if height > 0 else F.col("_x"))
+    cells = rows.where("_cell IS NOT NULL").groupBy("_cell").agg(F.min("_x").alias("_low"), F.max("_x").alias("_high"), F.min(id_col).alias("_least"))
+    cells = cells.withColumn("_block", whole(F.col("_cell") / 1024))
+    apart = lambda order: F.coalesce(F.col("_low") - F.lag("_high").over(order) > height, F.lit(False)).cast("long")
+    inside = Window.partitionBy("_block").orderBy("_cell")
+    cells = cells.withColumn("_apart", apart(inside)).withColumn("_run", F.sum("_apart").over(inside))
+    blocks = cells.groupBy("_block").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"), F.max("_run").alias("_runs"))
+    line = Window.orderBy("_block")
+    blocks = blocks.withColumn("_apart", apart(line)).select("_block", (F.sum(F.col("_apart") + F.col("_runs")).over(line) - F.col("_runs")).alias("_base"))
+    cells = cells.join(blocks, "_block").select("_cell", "_least", (F.col("_base") + F.col("_run")).alias("_run"))
+    named = cells.join(cells.groupBy("_run").agg(F.min("_least").cast("long").alias("cluster")), "_run").select("_cell", "cluster")
+    return rows.join(named, "_cell", "left").select(id_col, F.coalesce("cluster", F.lit(NOISE)).alias("cluster"))
+
+
 def density_levels(df: DataFrame, id_col: str, sizes: Mapping[str, int], min_samples: int = 5, neighbours: int = 16, sample: int = SAMPLE, vector: str = "embedding") -> DataFrame:
     """(id, a column a level): density clusters of at least so many points, NOISE for points in none.
 

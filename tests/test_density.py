@@ -113,3 +113,17 @@ def test_levels(spark):
     assert same > 0.95 * len(range(0, 320, 3)) * len(range(1, 320, 7))
     assert dn.density_levels(frame.limit(0), "n", {"fine": 8}).count() == 0
     assert [r.fine for r in dn.density_levels(frame.limit(1), "n", {"fine": 8}).collect()] == [dn.NOISE]
+
+
+def test_linkage_of_numbers_needs_no_sample(spark):
+    """Rows beyond the sample, blocks of cells without end, repeats and odd values, against the gaps of the sorted numbers."""
+    values = [float(i * i % 9973) * 7 for i in range(1500)] + [-1e7, 5e6, 5e6 + 12.5, 1e300, 1e300]
+    df = spark.createDataFrame([(i, [v]) for i, v in enumerate(values)] + [(9000, None), (9001, []), (9002, [float("nan")]), (9003, [None])], "id long, embedding array<double>")
+    want, run, last = {9000: -1, 9001: -1, 9002: -1, 9003: -1}, [], None
+    for v, i in [*sorted((v, i) for i, v in enumerate(values)), (float("inf"), None)]:
+        if last is not None and v - last > 12.5:
+            want |= dict.fromkeys(run, min(run))
+            run = []
+        run.append(i)
+        last = v
+    assert {r[0]: r[1] for r in dn.linkage(df, "id", 12.5, sample=100).collect()} == want
