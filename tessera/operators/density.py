@@ -256,7 +256,7 @@ def _linked_line(df: DataFrame, id_col: str, height: float, vector: str) -> Data
 
     Gaps are summed up within blocks of 1,024 cells, then over one row a block.
     """
-    x = F.element_at(vector, 1).cast("double")
+    x = F.try_element_at(vector, F.lit(1)).cast("double")
     whole = lambda q: F.when(F.abs(q) < 2.0**52, F.floor(q).cast("double")).otherwise(q)
     good = (F.size(vector) > 0) & x.isNotNull() & ~F.isnan(x)
     rows = df.select(id_col, F.when(good, x).alias("_x")).withColumn("_cell", whole(F.col("_x") * 2 / F.lit(float(height))) if height > 0 else F.col("_x"))
