@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from tessera.operators import blocks
 from tessera.operators.relational import small, top_m_per_group
 from tessera.operators.vector import dot, norm
 
@@ -26,7 +27,8 @@ SLACK = 1e-6  # of angles, for rounding
 def _unit(vector: Column) -> Column:
     """The vector at length 1, in doubles; null for null and zero vectors."""
     size = norm(vector)
-    return F.when(size > 0, F.transform(vector, lambda x: x.cast("double") / size))
+    # the length stands outside the lambda, which would work it out again for each dimension
+    return F.when(size > 0, F.zip_with(vector, F.array_repeat(size, F.size(vector)), lambda x, n: x.cast("double") / n))
 
 
 @dataclass(frozen=True)
@@ -84,27 +86,33 @@ class Cells:
         near = unit.crossJoin(small(self.centroids())).withColumn("angle", F.acos(F.greatest(F.least(dot("_q", "centroid"), F.lit(1.0)), F.lit(-1.0))))
         reach = F.cos(F.greatest(F.col("angle") - F.col("radius") - SLACK, F.lit(0.0)))  # the best similarity that the cell can hold
         order = Window.partitionBy("query").orderBy("angle", "cell")
-        plan = near.select("query", "_q", "cell", F.row_number().over(order).alias("turn"), F.max(reach).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("beyond"))
+        plan = near.select("query", "cell", F.row_number().over(order).alias("turn"), F.max(reach).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("beyond"))
         plan.write.parquet(f"{stage}/plan")
         plan = self.spark.read.parquet(f"{stage}/plan")
-        total = plan.agg(F.max("turn")).first()[0] or 0
+        total, asked = plan.agg(F.max("turn"), blocks.parts(F.count_if(F.col("turn") == 1), blocks.QUERIES)).first()
+        total = total or 0
         rows = self.rows().where(F.col("cell") != ASTRAY)
         rows = rows.where(where) if where is not None else rows
+        # rows of a cell meet the queries that read it in blocks of bounded size
+        held = small(self.centroids().select("cell", blocks.parts(F.col("members"), blocks.ROWS).alias("_n")))
+        rows = rows.join(held, "cell").withColumn("_a", blocks.part_of("id", F.col("_n"))).drop("_n").withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))))
+        rows = rows.withColumnRenamed("unit", "_v").withColumn("_vn", F.lit(1.0))
+        unit = unit.withColumn("_qn", F.lit(1.0)).withColumn("_b", blocks.part_of("query", F.lit(asked)))
         best, low, high, open_ = None, 0, probes, None
         rank = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
         while True:
             turn = plan.where((F.col("turn") > low) & (F.col("turn") <= high))
             turn = turn if open_ is None else turn.join(small(open_), "query", "left_semi")
-            met = rows.join(turn.select("query", "_q", "cell"), "cell").withColumn("similarity", dot("unit", "_q")).drop("unit", "_q", "cell")
-            met = met.where(F.col("id") != F.col("query")) if exclude_self else met
+            turn = turn.select("query", "cell").join(unit, "query").join(held, "cell").withColumn("_a", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+            met = blocks.best_in_blocks(turn, rows, ["cell", "_a", "_b"], k, exclude_self)
             met = top_m_per_group(met, ["query"], [F.desc("similarity"), F.asc("id")], k)
             met = met if best is None else met.unionByName(best.drop("place"))
             met.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= k).write.parquet(f"{stage}/{high}")
             best = self.spark.read.parquet(f"{stage}/{high}")
             if high >= total:
                 break
-            held = best.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("least"))
-            ahead = plan.where(F.col("turn") == high).select("query", "beyond").join(held, "query", "left")
+            have = best.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("least"))
+            ahead = plan.where(F.col("turn") == high).select("query", "beyond").join(have, "query", "left")
             short = F.coalesce("n", F.lit(0)) < k
             open_ = ahead.where(short | (F.col("least") <= F.col("beyond")) if exact else short).select("query")
             if open_.isEmpty():
