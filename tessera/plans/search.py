@@ -205,8 +205,5 @@ def approximate_recall(spark, d):
     q = e.where("vec_id % 100 = 0")
     index = vec.hyperplane_tables(e, "vec_id", 64)
     near = vec.approximate_knn(index, e, q.select("vec_id"), "vec_id", 10)
-    from pyspark.sql.window import Window
-
-    scored = q.select(F.col("vec_id").alias("query"), F.col("embedding").alias("_q")).crossJoin(e).where("query <> vec_id").select("query", "vec_id", vec.cosine("embedding", "_q").alias("s"))
-    exact = scored.withColumn("p", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("s"), "vec_id"))).where("p <= 10").select("query", "vec_id")
+    exact = vec.nearest(e, q.select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector")), "vec_id", 10).select("query", "vec_id")
     return exact.join(near.select("query", "vec_id", F.lit(1).alias("hit")), ["query", "vec_id"], "left").groupBy("query").agg(F.round(F.count("hit") / F.count(F.lit(1)), 3).alias("recall"))
