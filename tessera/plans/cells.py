@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tessera.operators import density, layout
 from tessera.operators import vector as vec
 from tessera.operators.cells import Cells, margin_match
-from tessera.operators.relational import small, top_m_per_group
 from tessera.registry import query
 from tessera.sources.tables import Tables
 from tessera.streaming.streams import shared
@@ -66,8 +65,7 @@ def cells_recall(spark, d):
     out = None
     for kind, where in (("plain", "true"), ("filtered", _FILTER)):
         near = index.search(q, 10, shared(spark, "search"), probes=PROBES, where=F.expr(where)).select("query", "id", F.lit(1).alias("hit"))
-        pairs = e.where(where).crossJoin(small(q)).where("vec_id <> query").select("query", F.col("vec_id").alias("id"), vec.cosine("embedding", "vector").alias("s"))
-        best = top_m_per_group(pairs, ["query"], [F.desc("s"), F.asc("id")], 10)
+        best = vec.nearest(e.where(where), q, "vec_id", 10).select("query", F.col("vec_id").alias("id"))
         each = best.join(near, ["query", "id"], "left").groupBy("query").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
         row = each.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("queries"), (F.avg("recall") >= 0.9).alias("good"))
         out = row if out is None else out.unionByName(row)
