@@ -65,7 +65,7 @@ def cells_recall(spark, d):
     out = None
     for kind, where in (("plain", "true"), ("filtered", _FILTER)):
         near = index.search(q, 10, shared(spark, "search"), probes=PROBES, where=F.expr(where)).select("query", "id", F.lit(1).alias("hit"))
-        best = vec.nearest(e.where(where), q, "vec_id", 10).select("query", F.col("vec_id").alias("id"))
+        best = vec.nearest(e.where(where), q, "vec_id", 10, stage=shared(spark, "nearest")).select("query", F.col("vec_id").alias("id"))
         each = best.join(near, ["query", "id"], "left").groupBy("query").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
         row = each.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("queries"), (F.avg("recall") >= 0.9).alias("good"))
         out = row if out is None else out.unionByName(row)

@@ -10,6 +10,7 @@ from tessera.operators import vector as vec
 from tessera.plans import filters
 from tessera.registry import query
 from tessera.sources.tables import Tables
+from tessera.streaming.streams import shared
 
 _COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 _ALL = f"(SELECT e.vec_id, e.label, {_COS} AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)"
@@ -204,6 +205,8 @@ def approximate_recall(spark, d):
     e = Tables(spark, d).embeddings.select("vec_id", "embedding")
     q = e.where("vec_id % 100 = 0")
     index = vec.hyperplane_tables(e, "vec_id", 64)
-    near = vec.approximate_knn(index, e, q.select("vec_id"), "vec_id", 10)
-    exact = vec.nearest(e, q.select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector")), "vec_id", 10).select("query", "vec_id")
+    found, stage = vec.approximate_knn(index, e, q.select("vec_id"), "vec_id", 10), shared(spark, "approximate")
+    found.write.parquet(stage)
+    near = spark.read.schema(found.schema).parquet(stage)
+    exact = vec.nearest(e, q.select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector")), "vec_id", 10, stage=shared(spark, "nearest")).select("query", "vec_id")
     return exact.join(near.select("query", "vec_id", F.lit(1).alias("hit")), ["query", "vec_id"], "left").groupBy("query").agg(F.round(F.count("hit") / F.count(F.lit(1)), 3).alias("recall"))
