@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,26 +85,44 @@ def weighted_centroid(rings: Column) -> Column:
     return F.when(F.size(rings) > 0, F.struct(at("lng").alias("lng"), at("lat").alias("lat")))
 
 
-def _kept(x: np.ndarray, tolerance: float) -> np.ndarray:
-    """Which corners of a closed ring stay: the first, the one farthest from it, and between two that stay the one
-    farthest from their chord, if it is farther than the tolerance."""
+def _farthest(d: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Where the greatest value of each run lies, the first of equals; runs are not empty."""
+    d = np.where(np.isnan(d), np.inf, d)
+    run = np.repeat(np.arange(len(starts)), sizes)
+    at = np.flatnonzero(d == np.maximum.reduceat(d, starts)[run])
+    return at[np.unique(run[at], return_index=True)[1]]
+
+
+def _kept_of_all(x: np.ndarray, y: np.ndarray, starts: np.ndarray, sizes: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which corners of closed rings, one behind the other, stay: the first, the one farthest from it, and between two that stay
+    the one farthest from their chord, if it is farther than the tolerance.  All open chords of all rings take a step at once."""
     keep = np.zeros(len(x), bool)
-    far = int(np.argmax(((x - x[0]) ** 2).sum(1)))
-    keep[[0, far, len(x) - 1]] = True
-    todo = [(0, far), (far, len(x) - 1)]
-    while todo:
-        a, b = todo.pop()
-        if b - a < 2:
-            continue
-        chord, inner = x[b] - x[a], x[a + 1 : b] - x[a]
-        size = float(chord @ chord)
-        along = np.clip(inner @ chord / size, 0, 1) if size else np.zeros(len(inner))
-        d = np.hypot(*(inner - along[:, None] * chord).T)
-        i = int(d.argmax())
-        if d[i] > tolerance:
-            keep[a + 1 + i] = True
-            todo += [(a, a + 1 + i), (a + 1 + i, b)]
-    return keep
+    first, last = np.repeat(starts, sizes), starts + sizes - 1
+    far = _farthest((x - x[first]) ** 2 + (y - y[first]) ** 2, starts, sizes)
+    keep[np.concatenate([starts, far, last])] = True
+    a, b = np.concatenate([starts, far]), np.concatenate([far, last])
+    while True:
+        wide = b - a >= 2
+        a, b = a[wide], b[wide]
+        if not len(a):
+            return keep
+        n = b - a - 1
+        begin = np.cumsum(n) - n
+        inner = np.repeat(a + 1 - begin, n) + np.arange(n.sum())
+        from_, cx, cy = np.repeat(a, n), np.repeat(x[b] - x[a], n), np.repeat(y[b] - y[a], n)
+        dx, dy, size = x[inner] - x[from_], y[inner] - y[from_], cx * cx + cy * cy
+        along = np.where(size > 0, np.clip((dx * cx + dy * cy) / np.where(size > 0, size, 1), 0, 1), 0)
+        d = np.hypot(dx - along * cx, dy - along * cy)
+        at = _farthest(d, begin, n)
+        out = d[at] > tolerance
+        mid = inner[at][out]
+        keep[mid] = True
+        a, b = np.concatenate([a[out], mid]), np.concatenate([mid, b[out]])
+
+
+def _kept(x: np.ndarray, tolerance: float) -> np.ndarray:
+    """The same of one ring."""
+    return _kept_of_all(x[:, 0], x[:, 1], np.array([0]), np.array([len(x)]), tolerance)
 
 
 def simplify(rings: Column, tolerance: float) -> Column:
@@ -115,18 +134,25 @@ def simplify(rings: Column, tolerance: float) -> Column:
 
     @F.arrow_udf(f"array<{ring}>")
     def run(polygons: pa.Array) -> pa.Array:
-        out = []
-        for polygon in polygons.to_pylist():
-            shown = []
-            for i, corners in enumerate(polygon or []):
-                kept = corners
-                if len(corners) >= 4:
-                    keep = _kept(np.array([(c["lng"], c["lat"]) for c in corners]), tolerance)
-                    kept = [c for c, k in zip(corners, keep, strict=True) if k]
-                if len(kept) >= 4 or i == 0:
-                    shown.append(kept if len(kept) >= 4 else corners)
-            out.append(None if polygon is None else shown)
-        return pa.array(out, pa.list_(pa.list_(pa.struct([("lng", pa.float64()), ("lat", pa.float64())]))))
+        length = lambda lists: pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        offsets = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+        of_polygon, every = length(polygons), polygons.flatten()
+        sizes, corners = length(every), every.flatten()
+        x, y = (pc.struct_field(corners, f).to_numpy(zero_copy_only=False).astype(float) for f in ("lng", "lat"))
+        owner, large = np.repeat(np.arange(len(sizes)), sizes), sizes >= 4
+        keep = np.ones(len(x), bool)
+        if large.any():
+            among, n = large[owner], sizes[large]
+            keep[among] = _kept_of_all(x[among], y[among], np.cumsum(n) - n, n, tolerance)
+        left = np.bincount(owner, keep, len(sizes)).astype(np.int64)
+        first = np.zeros(len(sizes), bool)
+        first[(np.cumsum(of_polygon) - of_polygon)[of_polygon > 0]] = True
+        enough = left >= 4
+        shown = enough | first
+        stays = np.where(enough[owner], keep, first[owner])
+        parts = pa.ListArray.from_arrays(offsets(np.where(enough, left, sizes)[shown]), corners.filter(pa.array(stays)))
+        n = np.bincount(np.repeat(np.arange(len(of_polygon)), of_polygon), shown, len(of_polygon)).astype(np.int64)
+        return pa.ListArray.from_arrays(offsets(n), parts, mask=polygons.is_null())
 
     return run(rings.cast(f"array<{ring}>"))
 

@@ -33,3 +33,32 @@ def test_hard_polygons(spark):
     assert [[len(ring) for ring in got[i]] for i in (1, 2, 3, 5, 6)] == [[5], [4], [], [3], [5]] and got[4] is None
     measured = {r.id: (round(r.a, 9), r.m and tuple(r.m)) for r in frame.where("size(rings) > 0").select("id", geo.area(F.col("rings")).alias("a"), geo.weighted_centroid(F.col("rings")).alias("m")).collect()}
     assert measured[6] == (16.0, (2.0, 2.0)) and measured[1][0] == 16 - 0.00005 and measured[5][0] == 0.0
+
+
+def test_rings_take_their_steps_together():
+    """Corners that stay, of many rings at once, are those of a recursion over each; it takes a step for each level, not for each chord."""
+    rng = np.random.default_rng(4)
+    rings = [np.concatenate([r, r[:1]]) for r in (rng.integers(0, 9, (int(n), 2)).astype(float) for n in rng.integers(3, 40, 300))]
+
+    def kept(r, a, b, stays):
+        if b - a >= 2:
+            chord, inner = r[b] - r[a], r[a + 1 : b] - r[a]
+            size = (chord * chord).sum()
+            along = np.clip((inner * chord).sum(1) / size, 0, 1) if size else np.zeros(len(inner))
+            d = np.hypot(*(inner - along[:, None] * chord).T)
+            if d.max() > 1.5:
+                m = a + 1 + int(d.argmax())
+                stays.add(m)
+                kept(r, a, m, stays)
+                kept(r, m, b, stays)
+        return stays
+
+    sizes = np.array([len(r) for r in rings])
+    flat = np.concatenate(rings)
+    got = geo._kept_of_all(flat[:, 0], flat[:, 1], np.cumsum(sizes) - sizes, sizes, 1.5)
+    want = []
+    for r in rings:
+        far, last = int(((r - r[0]) ** 2).sum(1).argmax()), len(r) - 1
+        stays = kept(r, 0, far, {0, far, last}) | kept(r, far, last, set())
+        want += [i in stays for i in range(len(r))]
+    assert got.tolist() == want
