@@ -40,16 +40,21 @@ def counts_zero_filled(left: DataFrame, right: DataFrame, left_key: str, right_k
     return left.join(n, left[left_key] == n["_k"], "left").drop("_k").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
 
 
-def or_equi_join(left: DataFrame, right: DataFrame, conditions: Sequence[Column], row_id: Sequence[str]) -> DataFrame:
+def or_equi_join(left: DataFrame, right: DataFrame, conditions: Sequence[Column]) -> DataFrame:
     """left JOIN right ON c1 OR c2 ...: one hash join for each condition instead of a nested loop.
 
-    row_id names columns of the result that tell its rows apart; a pair found twice comes once.
+    A join leaves out the pairs that a condition before it has found, so each comes once and the result is never gathered to tell.
     """
-    out = None
+    out, before = None, F.lit(False)
     for c in conditions:
-        part = left.join(right, c)
-        out = part if out is None else out.unionByName(part)
-    return out.dropDuplicates(list(row_id))
+        part = left.join(right, c & ~before)
+        out, before = part if out is None else out.unionByName(part), before | F.coalesce(c, F.lit(False))
+    return out
+
+
+def keys_in_both(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The distinct keys that rows of both sides have: what a join of the sides is asked for when its pairs are not."""
+    return left.select(*on).distinct().join(right.select(*on).distinct(), list(on))
 
 
 def interval_join(facts: DataFrame, spans: DataFrame, on: Sequence[str], at: str, start: str, end: str, closed: str = "left", how: str = "left", open_start: bool = False) -> DataFrame:

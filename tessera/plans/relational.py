@@ -40,10 +40,12 @@ def left_hydration(spark, d):
 @query("composite_key_join", "SELECT n_name, count(DISTINCT c_custkey) AS customers, count(DISTINCT s_suppkey) AS suppliers FROM customer JOIN supplier ON c_nationkey = s_nationkey AND floor(c_acctbal / 1000) = floor(s_acctbal / 1000) JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name")
 def composite_key_join(spark, d):
     t = Tables(spark, d)
-    c = t.customer.withColumn("band", F.floor(F.col("c_acctbal") / 1000))
-    s = t.supplier.withColumn("band", F.floor(F.col("s_acctbal") / 1000))
-    pairs = c.join(s, (c.c_nationkey == s.s_nationkey) & (c.band == s.band))
-    return pairs.join(rel.small(t.nation), F.col("n_nationkey") == F.col("c_nationkey")).groupBy("n_name").agg(F.count_distinct("c_custkey").alias("customers"), F.count_distinct("s_suppkey").alias("suppliers"))
+    on = ["n_nationkey", "band"]
+    c = t.customer.select("c_custkey", F.col("c_nationkey").alias("n_nationkey"), F.floor(F.col("c_acctbal") / 1000).alias("band"))
+    s = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("n_nationkey"), F.floor(F.col("s_acctbal") / 1000).alias("band"))
+    met = rel.small(rel.keys_in_both(c, s, on).join(rel.small(t.nation), "n_nationkey"))
+    n = lambda side, key, name: side.join(met, on).groupBy("n_name").agg(F.count_distinct(key).alias(name))
+    return n(c, "c_custkey", "customers").join(n(s, "s_suppkey", "suppliers"), "n_name")
 
 
 @query("latest_per_key", "SELECT o_custkey, o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS order_day, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
@@ -139,7 +141,7 @@ def date_in_range_join(spark, d):
 def or_join_as_union(spark, d):
     t = Tables(spark, d)
     c, s = t.customer.withColumn("m", F.floor("c_acctbal") % 97), t.supplier.withColumn("m2", F.floor("s_acctbal") % 97)
-    return rel.or_equi_join(c, s, [c.c_custkey == s.s_suppkey, (c.c_nationkey == s.s_nationkey) & (c.m == s.m2)], ["c_custkey", "s_suppkey"]).select("c_custkey", "s_suppkey")
+    return rel.or_equi_join(c, s, [c.c_custkey == s.s_suppkey, (c.c_nationkey == s.s_nationkey) & (c.m == s.m2)]).select("c_custkey", "s_suppkey")
 
 
 @query("matrix_missing", "SELECT c_custkey, p.o_orderpriority FROM customer CROSS JOIN (SELECT DISTINCT o_orderpriority FROM orders) p WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c_custkey AND o.o_orderpriority = p.o_orderpriority)")

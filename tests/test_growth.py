@@ -129,3 +129,22 @@ def test_near_pairs_odd_values(spark):
     x = [0.0, 49.99, -49.99, 50.0, None, float("nan"), float("inf"), float("inf"), 1e300, 1e300]
     df = spark.createDataFrame([(i, 1, v) for i, v in enumerate(x)], "id long, k int, v double")
     assert sorted(map(tuple, rel.near_pairs(df, ["k"], "id", "v", 50).collect())) == [(0, 1), (0, 2), (1, 3), (8, 9)]
+
+
+def test_composite_keys_are_joined_not_their_rows(spark, tmp_path):
+    n = spark.range(3).select(F.col("id").cast("int").alias("n_nationkey"), F.concat(F.lit("n"), F.col("id")).alias("n_name"), F.lit(0).alias("n_regionkey"))
+    c = spark.range(900).selectExpr("id c_custkey", "'c' c_name", "cast(id % 2 as int) c_nationkey", "if(id = 7, null, 10.5D) c_acctbal", "'m' c_mktsegment")
+    s = spark.range(400).selectExpr("id s_suppkey", "'s' s_name", "cast(1 + id % 2 as int) s_nationkey", "if(id = 9, 5000D, 900D) s_acctbal")
+    for name, df in (("nation", n), ("customer", c), ("supplier", s)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    rows, most = joined(catalog.QUERIES["composite_key_join"](spark, str(tmp_path)))
+    assert [tuple(r) for r in rows] == [("n1", 449, 200)] and most <= 900
+
+
+def test_or_join_gathers_no_pairs(spark):
+    left = spark.createDataFrame([(1, 5, 1), (2, None, 1), (3, 5, None), (3, 5, None)], "a int, x int, y int")
+    right = spark.createDataFrame([(1, 5, 1), (3, None, 1), (9, 5, 2)], "b int, u int, v int")
+    out = rel.or_equi_join(left, right, [left.a == right.b, left.x == right.u, left.y == right.v])
+    want = left.join(right, F.coalesce(left.a == right.b, F.lit(False)) | F.coalesce(left.x == right.u, F.lit(False)) | F.coalesce(left.y == right.v, F.lit(False)))
+    assert sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
