@@ -14,6 +14,9 @@ from tessera.operators.relational import small, top_m_per_group
 from tessera.operators.vector import euclidean
 
 
+VOCABULARY = 200_000  # terms that are broadcast
+
+
 def centroids(df: DataFrame, cluster: str, dims: int, vector: str = "embedding") -> DataFrame:
     """(cluster, centroid, members): means by dimension, pre-aggregated, no vectors gathered."""
     means = F.array(*(F.avg(F.col(vector)[i].cast("double")) for i in range(dims)))
@@ -67,20 +70,21 @@ def tfidf_terms(tokens: DataFrame, group: str, doc: str, term: str, top: int = 2
     tokens: one row for each occurrence; a document belongs to one group.
     """
     tf = tokens.groupBy(group, doc, term).agg(F.count(F.lit(1)).alias("tf"))
-    n = tokens.agg(F.count_distinct(doc).alias("n"))
+    size = tokens.groupBy(group).agg(F.count_distinct(doc).alias("docs"))
+    n = size.agg(F.sum("docs").alias("n"))
     df = tf.groupBy(term).agg(F.count(F.lit(1)).alias("df"))
     idf = df.crossJoin(F.broadcast(n)).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n"))).select(term, (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    w = tf.join(idf, term).withColumn("w", F.col("tf") * F.col("idf"))
-    length = w.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    size = tf.groupBy(group).agg(F.count_distinct(doc).alias("docs"))
-    mean = w.join(length, doc).groupBy(group, term).agg(F.sum(F.col("w") / F.col("len")).alias("s")).join(size, group).select(group, term, (F.col("s") / F.col("docs")).alias("weight"))
+    w = tf.join(idf, term).select(group, doc, term, (F.col("tf") * F.col("idf")).alias("w"))
+    unit = w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc))))
+    mean = unit.groupBy(group, term).agg(F.sum("w").alias("s")).join(size, group).select(group, term, (F.col("s") / F.col("docs")).alias("weight"))
     order = Window.partitionBy(group).orderBy(F.desc(F.round("weight", 9)), F.asc(term))
     return mean.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
 
 
 def phrases(text: Column, stops: Sequence[str]) -> Column:
     """Words of three letters or more of the folded text, without the stop words, and each two of them in a row."""
-    words = F.filter(F.regexp_extract_all(fold(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: w.rlike("^[a-z]{3,}$") & ~w.isin(*stops))
+    # whole words that are of these letters alone, found by one expression a text
+    words = F.filter(F.regexp_extract_all(fold(text), F.lit(r"(?<![\p{L}\p{N}_])[a-z]{3,}+(?![\p{L}\p{N}_])"), F.lit(0)), lambda w: ~w.isin(*stops))
     pairs = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     return F.element_at(F.transform(F.array(words), lambda w: F.concat(w, pairs(w))), 1)
 
@@ -93,13 +97,19 @@ def cluster_terms(docs: DataFrame, group: str, doc: str, text: str, stops: Seque
     smooth idf.  Clusters without such terms give no rows.  docs: one row a document.
     """
     size = docs.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    tf = docs.select(group, doc, F.explode(phrases(F.col(text), stops)).alias("term")).groupBy(group, doc, "term").agg(F.count(F.lit(1)).alias("tf"))
-    known = tf.groupBy(group, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).join(size, group).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
+    few = len(size.take(VOCABULARY // features + 1)) * features <= VOCABULARY  # clusters, whose vocabularies are then broadcast
+    terms = docs.select(group, doc, phrases(F.col(text), stops).alias("_t"))
+    # a document is one row, so the documents of a term are counted without gathering a document's terms
+    each = F.concat(F.transform("_t", lambda t: F.struct(t.alias("term"), F.lit(0).alias("df"), F.lit(1).alias("tf"))), F.transform(F.array_distinct("_t"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("df"), F.lit(0).alias("tf"))))
+    counts = terms.select(group, F.inline(each)).groupBy(group, "term").agg(F.sum("df").alias("df"), F.sum("tf").alias("total"))
+    known = counts.join(F.broadcast(size) if few else size, group).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
     kept = known.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("total"), F.asc("term")))).where(F.col("_r") <= features)
-    idf = kept.select(group, "term", "n", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    w = tf.join(idf, [group, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
-    length = w.groupBy(group, doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    mean = w.join(length, [group, doc]).groupBy(group, "term").agg((F.sum(F.col("w") / F.col("len")) / F.first("n")).alias("weight"))
+    idf = kept.select(group, "term", "_r", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    # only words of the vocabularies leave their task, once: by number, to their document
+    met = terms.select(group, doc, F.explode("_t").alias("term")).join(F.broadcast(idf) if few else idf, [group, "term"]).select(group, doc, "_r", "idf").repartition(group, doc)
+    w = met.groupBy(group, doc, "_r").agg((F.count(F.lit(1)) * F.first("idf")).alias("w"))
+    unit = w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(group, doc))))
+    mean = unit.groupBy(group, "_r").agg(F.sum("w").alias("s")).join(kept.select(group, "_r", "term", "n"), [group, "_r"]).select(group, "term", (F.col("s") / F.col("n")).alias("weight"))
     order = Window.partitionBy(group).orderBy(F.desc(F.round("weight", 9)), F.asc("term"))
     return mean.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
 

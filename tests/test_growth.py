@@ -1,5 +1,7 @@
 """Joins that must not multiply: rows that the joins of a query make, on tables where many rows share a key."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +150,10 @@ def test_or_join_gathers_no_pairs(spark):
     want = left.join(right, F.coalesce(left.a == right.b, F.lit(False)) | F.coalesce(left.x == right.u, F.lit(False)) | F.coalesce(left.y == right.v, F.lit(False)))
     assert sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
     assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["cluster_labels", "tfidf_top_terms"])
+def test_terms_are_counted_in_few_passes(spark, name):
+    """cluster_labels sends no term of a document but those of the vocabularies, by number; tfidf_top_terms does not join its counts to themselves."""
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\(lang#\d+, doc_id#\d+L?, term#" if name == "cluster_labels" else r"Join \[doc_id#", plan)
