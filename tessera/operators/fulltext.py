@@ -236,8 +236,9 @@ def headlines(hits: DataFrame, docs: DataFrame, least: int = 15, most: int = 35,
     spans = F.array_sort(F.transform(F.collect_list(F.struct("start", "end")), lambda s: _widened(s, least)))
     parts = fragments(hits, most, number).groupBy("doc_id").agg(spans.alias("spans"))
     places = hits.select("doc_id", F.flatten("found").alias("places"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.regexp_extract_all(F.col(text_col), F.lit(r"[\p{L}\p{N}]+[^\p{L}\p{N}]*"), F.lit(0)).alias("words"))
-    wide = texts.join(parts, "doc_id").join(places, "doc_id")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
+    found = texts.join(parts, "doc_id").join(places, "doc_id")  # a text is cut into words once it is known to be shown
+    wide = found.select("doc_id", "spans", "places", F.regexp_extract_all("_text", F.lit(r"[\p{L}\p{N}]+[^\p{L}\p{N}]*"), F.lit(0)).alias("words"))
 
     def shown(span, before):  # before: the spans ahead of it
         start = F.greatest(span["start"], F.lit(1), F.coalesce(F.array_max(before["end"]), F.lit(0)) + 1)

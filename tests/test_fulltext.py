@@ -80,3 +80,8 @@ def test_fragments(spark):
     hits = spark.createDataFrame([(1, [[1, 50, 52], [51, 90]]), (2, [[5], []])], "doc_id long, found array<array<int>>")
     got = sorted(map(tuple, ft.fragments(hits, 10).collect()))
     assert got == [(1, 0, 50, 52), (1, 1, 1, 1), (2, 0, 5, 5)]
+
+
+def test_only_shown_texts_are_cut(index, docs):
+    plan = ft.headlines(index.hits("water", "english"), docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("regexp_extract_all") < plan.index("Join")
