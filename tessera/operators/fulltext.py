@@ -3,7 +3,7 @@
 The index is three Parquet tables under one folder, each written in generations so that documents are added
 without rewriting:
 
-  postings   gen, bucket, config, word, doc_id, positions   one row a word and document, in buckets by word
+  postings   gen, bucket, config, word, docs, positions     one row a word and slice of texts, in buckets by word
   lexicon    gen, config, word, stem                        each word once, stemmed when it is first met
   documents  gen, doc_id, config                            written last: a generation counts once it is here
 
@@ -14,7 +14,7 @@ lexicon, and only the buckets and words found are read; texts are not.  Stop wor
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -43,10 +43,11 @@ STOPS = {
     "simple": [],
 }
 CONFIGS = {"en": "english", "fr": "french"}
-POSTINGS = "config string, word string, doc_id long, positions array<int>, gen int, bucket int"
+POSTINGS = "config string, word string, docs array<long>, positions array<int>, gen int, bucket int"
 LEXICON = "config string, word string, stem string, gen int"
 DOCUMENTS = "doc_id long, config string, gen int"
-_SLICE = 4 << 20
+_SLICE = 16 << 20  # bytes of text that a task holds as words
+_KNOWN = 500_000  # words whose stems a task keeps
 
 
 def words_of(text: str) -> list[str]:
@@ -58,42 +59,107 @@ def config_of(language: Column) -> Column:
     return reduce(lambda e, kv: e.when(language == kv[0], kv[1]), list(CONFIGS.items())[1:], F.when(language == next(iter(CONFIGS)), CONFIGS[next(iter(CONFIGS))])).otherwise("simple")
 
 
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words, and of each word of the texts in order its code, its text and its place)."""
+    clean = pc.utf8_lower(pc.replace_substring_regex(texts, r"[^\p{L}\p{N}]+", " "))
+    lists = pc.ascii_split_whitespace(clean)
+    flat, ends = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    real = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    flat, upto = flat.filter(pa.array(real)), np.concatenate([[0], np.cumsum(real)])
+    sizes = np.diff(upto[ends])
+    doc = np.repeat(np.arange(len(texts)), sizes)
+    coded = flat.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(), doc, np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+
+
+def _slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about _SLICE bytes of the column `text`, or of one row."""
+    for batch in batches:
+        ends, at = np.cumsum(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _SLICE, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def postings_of(docs: DataFrame) -> DataFrame:
-    """(config, word, doc_id, positions) of (doc_id, config, text): grouped inside each batch, nothing is shuffled."""
-
-    def grouped(ids: pa.Array, configs: pa.Array, texts: pa.Array) -> pa.RecordBatch:
-        clean = pc.utf8_lower(pc.replace_substring_regex(texts, r"[^\p{L}\p{N}]+", " "))
-        lists = pc.ascii_split_whitespace(clean)
-        flat, ends = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        real = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
-        flat, upto = flat.filter(pa.array(real)), np.concatenate([[0], np.cumsum(real)])
-        sizes = np.diff(upto[ends])
-        doc = np.repeat(np.arange(len(texts)), sizes)
-        place = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
-        coded = flat.dictionary_encode()
-        code, names = coded.indices.to_numpy(), coded.dictionary
-        kept = np.ones(len(doc), bool)
-        config = configs.to_numpy(zero_copy_only=False)
-        for name in set(config.tolist()):
-            if STOPS[name]:
-                stop = pc.is_in(names, pa.array(STOPS[name])).to_numpy(zero_copy_only=False)
-                kept &= ~((config[doc] == name) & stop[code])
-        doc, place, code = doc[kept], place[kept], code[kept]
-        order = np.lexsort((place, code, doc))
-        doc, place, code = doc[order], place[order], code[order]
-        heads = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(code, prepend=-1) != 0))
-        places = pa.ListArray.from_arrays(pa.array(np.append(heads, len(doc)).astype(np.int32)), pa.array(place.astype(np.int32)))
-        return pa.RecordBatch.from_arrays([configs.take(pa.array(doc[heads])), names.take(pa.array(code[heads])), ids.take(pa.array(doc[heads])), places], names=["config", "word", "doc_id", "positions"])
+    """(config, word, docs, positions) of (doc_id, config, text): a word's occurrences in a slice of the texts, by document and
+    place, as two lists of one length; grouped inside each slice, nothing is shuffled.
+    """
 
     def run(batches):
-        for batch in batches:
-            ends, at = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False), dtype=np.int64), 0
-            while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _SLICE, "right")))
-                yield grouped(*(c.slice(at, to - at) for c in batch.columns))
-                at = to
+        for batch in _slices(batches, 2):
+            ids, configs, texts = batch.columns
+            names, code, doc, place = _words(texts)
+            known = configs.dictionary_encode()
+            kept, config = np.ones(len(doc), bool), known.indices.to_numpy()[doc]
+            for i, name in enumerate(known.dictionary.to_pylist()):
+                if STOPS[name]:
+                    kept &= ~((config == i) & pc.is_in(names, pa.array(STOPS[name])).to_numpy(zero_copy_only=False)[code])
+            key = (config * np.int64(len(names)) + code)[kept]
+            order = np.argsort(key, kind="stable")  # documents and places are in order already
+            key, doc, place = key[order], doc[kept][order], place[kept][order]
+            heads = np.flatnonzero(np.diff(key, prepend=-1) != 0)
+            ends = pa.array(np.append(heads, len(key)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, x) for x in (ids.take(pa.array(doc)), pa.array(place.astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays([known.dictionary.take(pa.array(key[heads] // len(names))), names.take(pa.array(key[heads] % len(names))), *lists], names=["config", "word", "docs", "positions"])
+
+    return docs.select("doc_id", "config", "text").mapInArrow(run, "config string, word string, docs array<long>, positions array<int>")
+
+
+def analyzed(docs: DataFrame, config: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, positions, stems): of each row, the stems of its words in order and their positions, without stop words.
+
+    Nothing is shuffled: a task sends the words of a slice of texts that are new to it through the stemmer, and behind them
+    the slice's texts as numbers of the words known so far.  Rows without an id or without words are left out.
+    """
 
-    return docs.select("doc_id", "config", "text").mapInArrow(run, "config string, word string, doc_id long, positions array<int>")
+    def row_batch(words, ids, positions, codes):
+        return pa.RecordBatch.from_arrays([words, ids, positions, codes], names=["word", "doc_id", "positions", "codes"])
+
+    def of_words(words):
+        return row_batch(words, pa.nulls(len(words), pa.int64()), *(pa.nulls(len(words), pa.list_(pa.int32())) for _ in range(2)))
+
+    def coded(batches):
+        known = pa.array([], pa.string())
+        for batch in _slices(batches, 1):
+            ids, texts = batch.columns
+            names, code, doc, place = _words(texts)
+            kept = ~pc.is_in(names, pa.array(STOPS[config], pa.string())).to_numpy(zero_copy_only=False)[code]
+            code, doc, place = code[kept], doc[kept], place[kept].astype(np.int32)
+            if len(known) > _KNOWN:  # a word of nothing: forget what came before
+                known = known.slice(0, 0)
+                yield of_words(pa.nulls(1, pa.string()))
+            new = names.filter(pc.invert(pc.is_in(names, known)))
+            known = pa.concat_arrays([known, new])
+            heads = np.flatnonzero(np.diff(doc, prepend=-1) != 0)
+            ends = pa.array(np.append(heads, len(doc)).astype(np.int32))
+            codes = pc.index_in(names, known).to_numpy()[code]
+            yield of_words(new)
+            yield row_batch(pa.nulls(len(heads), pa.string()), ids.take(pa.array(doc[heads])), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in (place, codes)))
+
+    def put(batches):
+        stem = []  # of the words known so far
+        for batch in batches:
+            is_text = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            bounds = [0, *(np.flatnonzero(np.diff(is_text)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                part = batch.slice(a, b - a)
+                if a == b:
+                    continue
+                if not is_text[a]:
+                    more = part.column("stem")
+                    ends = np.flatnonzero(more.is_null().to_numpy(zero_copy_only=False))
+                    stem = [more.slice(int(ends[-1]) + 1)] if len(ends) else [*stem, more]
+                    continue
+                stem = [pa.concat_arrays(stem)]
+                codes = part.column("codes")
+                ends = pa.array((codes.offsets.to_numpy() - codes.offsets[0].as_py()).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("positions"), pa.ListArray.from_arrays(ends, stem[0].take(codes.flatten()))], names=["doc_id", "positions", "stems"])
+
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("string").alias("text")).where("doc_id IS NOT NULL")
+    words = rows.mapInArrow(coded, "word string, doc_id long, positions array<int>, codes array<int>")
+    return stems(words, config).select("stem", "doc_id", "positions", "codes").mapInArrow(put, "doc_id long, positions array<int>, stems array<string>")
 
 
 @dataclass(frozen=True)
@@ -145,7 +211,7 @@ class FullText:
         if last:
             words = words.join(self.table("lexicon", LEXICON, last).select("config", "word"), ["config", "word"], "left_anti")
         found = reduce(DataFrame.unionByName, (stems(words.where(F.col("config") == c), c) for c in STOPS))
-        put(found.repartitionByRange("config", "stem").sortWithinPartitions("config", "stem", "word"), "lexicon")
+        put(found.sortWithinPartitions("config", "stem", "word"), "lexicon")
         put(rows.select("doc_id", "config").distinct(), "documents")
         return gen
 
@@ -182,8 +248,8 @@ class FullText:
         buckets = sorted({r["b"] for r in keys.collect()})
         rows = postings.where(F.col("bucket").isin(buckets) & (F.col("config") == config) & F.col("word").isin(list(known)))
         term = F.element_at(F.create_map(*(F.lit(x) for kv in known.items() for x in kv)), F.col("word"))
-        at = lambda i: F.array_sort(F.flatten(F.collect_list(F.when(F.col("term") == i, F.col("positions")))))
-        found = rows.select("doc_id", term.alias("term"), "positions").groupBy("doc_id").agg(F.array(*map(at, range(len(terms)))).alias("found"))
+        at = lambda i: F.array_sort(F.collect_list(F.when(F.col("term") == i, F.col("positions"))))
+        found = rows.select(term.alias("term"), F.inline(F.arrays_zip(F.col("docs").alias("doc_id"), "positions"))).groupBy("doc_id").agg(F.array(*map(at, range(len(terms)))).alias("found"))
         at_term = lambda s: F.col("found")[terms.index(s)]
 
         def starts(phrase):  # where a phrase begins

@@ -1,8 +1,11 @@
 """The stored index on small texts: search, generations, headlines."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import catalog
 from tessera.operators import fulltext as ft
 
 TEXTS = [
@@ -85,3 +88,36 @@ def test_fragments(spark):
 def test_only_shown_texts_are_cut(index, docs):
     plan = ft.headlines(index.hits("water", "english"), docs)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.rindex("regexp_extract_all") < plan.index("Join")
+
+
+def test_postings_group_a_slice(spark, docs):
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", ft.config_of(F.col("lang")).alias("config"), F.coalesce("text", F.lit("")).alias("text"))
+    got = ft.postings_of(rows.coalesce(1)).collect()
+    assert len({(r.config, r.word) for r in got}) == len(got)  # one row a word, not one a document
+    water = next(r for r in got if r.word == "water")
+    assert sorted(zip(water.docs, water.positions, strict=True))[:4] == [(1, 9), (2, 2), (2, 6), (6, 2)] and len(water.docs) == 20004
+
+
+def test_analyzed(spark, docs, monkeypatch):
+    def found(config, lang):
+        out = ft.analyzed(docs.where(F.col("lang") == lang).coalesce(2), config)
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+        return {r.doc_id: list(zip(r.positions, r.stems, strict=True)) for r in out.collect()}
+
+    english = found("english", "en")
+    assert sorted(english) == [1, 2, 6, 9]  # neither without words nor without an id
+    assert english[2] == [(1, "clean"), (2, "water"), (3, "clean"), (4, "river"), (6, "water"), (7, "act")]
+    assert len(english[6]) == 64 and english[9] == [(i, "water") for i in range(1, 20001)]
+    assert found("french", "fr")[5] == [(1, "le"), (2, "major"), (3, "parl"), (6, "major"), (8, "québec"), (9, "maîtr"), (10, "maîtr")]
+    monkeypatch.setattr(ft, "_SLICE", 1)  # each text a slice of its own
+    assert found("english", "en") == english
+    monkeypatch.setattr(ft, "_KNOWN", 3)
+    assert found("english", "en") == english
+
+
+def test_analysis_of_a_repeated_id(spark, tmp_path):
+    rows = [(1, "water taxes", "en"), (1, "the committees", "en"), (2, "rivers", "en"), (2, "eau", "fr"), (3, "the", "en"), (None, "water", "en")]
+    spark.createDataFrame([(i, t, lang, "s", 1) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    digest = lambda s: hashlib.md5(s.encode()).hexdigest()
+    out = catalog.QUERIES["analyze_english"](spark, str(tmp_path))
+    assert sorted(map(tuple, out.collect())) == [(1, 3, digest("water committe tax")), (2, 1, digest("river"))]
