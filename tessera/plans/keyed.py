@@ -11,6 +11,7 @@ from tessera.streaming import keyed
 from tessera.streaming import streams as st
 
 LOTS = 4
+FILES = 16  # of a lot
 
 
 def _in_lots(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
@@ -24,10 +25,10 @@ def _in_lots(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
     dealt = events.withColumn("lot", F.array(F.when(F.col("event_id") % 5 == 0, lot + 1).otherwise(lot), F.when(F.col("event_id") % 7 == 0, lot + 1)))
     dealt = dealt.withColumn("lot", F.explode("lot")).where("lot IS NOT NULL")
     for i in range(LOTS + 1):
-        dealt.where(F.col("lot") == i).drop("lot").coalesce(1).write.mode("append").parquet(path)
+        dealt.where(F.col("lot") == i).drop("lot").repartition(FILES).write.mode("append").parquet(path)
     flush = events.select("user_id").distinct().select(F.lit(-1).cast("long").alias("event_id"), (F.lit(last) + F.make_dt_interval(secs=F.lit(width * 20))).alias("ts"), "user_id", F.lit("flush").alias("event_type"), F.lit(0.0).alias("value"), F.lit("{}").alias("props"))
-    flush.coalesce(1).write.mode("append").parquet(path)
-    return st.file_stream(spark, path, SCHEMAS["events"], 1), f"{width * 2} seconds"
+    flush.repartition(FILES).write.mode("append").parquet(path)
+    return st.file_stream(spark, path, SCHEMAS["events"], FILES), f"{width * 2} seconds"
 
 
 @query("failure_counter_stream", """

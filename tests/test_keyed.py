@@ -5,6 +5,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from tessera.plans import keyed as plans
 from tessera.streaming import keyed
 from tessera.streaming import streams as st
 
@@ -57,3 +58,26 @@ def test_alerts(spark, tmp_path):
     got = sorted((r.search, r.id, r.sent_at.day) for r in out.collect())
     assert got == [(1, 2, 2), (1, 4, 2), (1, 5, 9), (1, 6, 25), (2, 3, 4)]
     assert spark.conf.get(keyed.STORE, "") != keyed.ROCKSDB
+
+
+def test_many_keys_share_a_state(spark, tmp_path):
+    """200 keys, one of them null, in three shards and one for it."""
+    lots = [[(i, at(1 + lot, i % 20), None if i % 200 == 7 else i % 200, (i // 200 + i) % 3 > 0, "x") for i in range(lot * 600, lot * 600 + 600)] for lot in range(3)]
+    lots.append([(-1, datetime(2030, 1, 1), k, False, "flush") for k in (*range(200), None)])
+    with keyed.rocksdb(spark):
+        out = st.drain(keyed.failure_counters(stream(spark, f"file://{tmp_path}/in", lots), "key", "ts", "id", F.col("bad"), "5 days", 3), "failures")
+    got = {(r.key, r.id): (r.failures, r.changed_at) for r in out.collect()}
+    want, state = {}, {}
+    for i, ts, key, bad, _ in sorted((r for lot in lots[:-1] for r in lot), key=lambda r: (r[1], r[0])):
+        n, changed = state.get(key, (0, None))
+        after = n + 1 if bad else 0
+        state[key] = after, ts if changed is None or (after > 0) != (n > 0) else changed
+        want[key, i] = state[key]
+    assert got == want and len(want) == 1800 and any(k is None for k, _ in got)
+
+
+def test_lots_are_written_by_several_tasks(spark, tmp_path):
+    spark.range(2000).selectExpr("id AS event_id", "timestamp_seconds(id * 100) AS ts", "id % 9 AS user_id", "'error' AS event_type", "0.0D AS value", "'{}' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    source, _ = plans._in_lots(spark, str(tmp_path))
+    rows = st.drain(source.withColumn("file", F.input_file_name()), "seen").groupBy("file").count().collect()
+    assert len(rows) > 5 * 10 and max(r["count"] for r in rows) < 200
