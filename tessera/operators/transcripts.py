@@ -7,9 +7,8 @@ the nodes of a turn are put together.  Nothing goes row by row.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,13 +64,16 @@ def turns(pages: DataFrame, id_col: str, page_col: str, grammars: Sequence[Gramm
     name, none = fingerprint(F.col(page_col), grammars), lambda c: F.nullif(c, F.lit(""))
     told = pages.select(id_col, F.col(page_col).alias("_page"), name.alias("grammar"))
     ahead = Window.partitionBy(id_col).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    out = []
-    for g in grammars:
-        nodes = told.where(F.col("grammar") == g.name).select(id_col, "grammar", F.posexplode(F.regexp_extract_all("_page", F.lit(g.node), F.lit(0))).alias("_pos", "_node"))
-        head = none(F.regexp_extract("_node", g.heading, 1)) if g.heading else F.lit(None).cast("string")
-        time = none(F.regexp_extract("_node", g.time, 1)) if g.time else F.lit(None).cast("string")
-        out.append(nodes.select(id_col, "grammar", "_pos", F.regexp_extract("_node", g.opens, 1).alias("_who"), F.col("_node").rlike(g.opens).alias("_opens"), head.alias("_head"), time.alias("_time"), F.regexp_replace("_node", g.opens, " ").alias("_body")))
-    rows = reduce(DataFrame.unionByName, out)
+
+    def by(what: Callable[[Grammar], Column]) -> Column:  # what a row's own grammar says; pages are read once for all grammars
+        return F.coalesce(*(F.when(F.col("grammar") == g.name, what(g)) for g in grammars))
+
+    group = lambda pattern: none(F.regexp_extract("_node", pattern, 1)) if pattern else F.lit(None).cast("string")
+    nodes = told.where("grammar IS NOT NULL").select(id_col, "grammar", F.posexplode(by(lambda g: F.regexp_extract_all("_page", F.lit(g.node), F.lit(0)))).alias("_pos", "_node"))
+    rows = nodes.select(
+        id_col, "grammar", "_pos", by(lambda g: F.regexp_extract("_node", g.opens, 1)).alias("_who"), by(lambda g: F.col("_node").rlike(g.opens)).alias("_opens"),
+        by(lambda g: group(g.heading)).alias("_head"), by(lambda g: group(g.time)).alias("_time"), by(lambda g: F.regexp_replace("_node", g.opens, " ")).alias("_body"),
+    )
     rows = rows.select("*", F.sum(F.col("_opens").cast("int")).over(ahead).alias("_turn"), F.last("_head", True).over(ahead).alias("_section"), F.last("_time", True).over(ahead).alias("_at"))
     said = rows.where((F.col("_turn") > 0) & F.col("_head").isNull())
     parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_body"))), lambda x: x["_body"]), "\n")

@@ -31,3 +31,10 @@ def test_turns(spark):
     own = tr.Grammar("own", "##", r"(?s)<p>.*?</p>", r"^<p>#([^#]+)#", "")
     assert [tuple(r) for r in tr.turns(spark.createDataFrame([(1, "<h2>no</h2><p>#A#x</p>##")], "id int, html string"), "id", "html", [own]).select("speaker", "text", "section").collect()] == [("A", "x", None)]
     assert pages.select(tr.fingerprint(F.col("html"))).where("id = 6").count() == 1
+
+
+def test_pages_are_read_once(spark):
+    """Not once for each grammar."""
+    pages = spark.createDataFrame(list(PAGES.items()), "id int, html string").groupBy("id").agg(F.max("html").alias("html"))
+    plan = tr.turns(pages, "id", "html")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode") == 1
