@@ -157,3 +157,26 @@ def test_terms_are_counted_in_few_passes(spark, name):
     """cluster_labels sends no term of a document but those of the vocabularies, by number; tfidf_top_terms does not join its counts to themselves."""
     plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"Exchange hashpartitioning\(lang#\d+, doc_id#\d+L?, term#" if name == "cluster_labels" else r"Join \[doc_id#", plan)
+
+
+def test_pairs(crowd):
+    """400 rows of one key make 79,800 pairs; the join makes a row for each row and block."""
+    rows, most = joined(rel.crowded_pairs(crowd[0].where("id < 400").select("id", "key"), "key", "id"))
+    assert len({(r.a, r.b) for r in rows}) == len(rows) == 79_800 and all(r.a < r.b for r in rows) and most <= 400
+
+
+def test_pairs_of_several_blocks(spark, monkeypatch):
+    """Blocks of three rows: borders, repeated ids, nulls and a condition that tells a from b."""
+    monkeypatch.setattr(rel, "PAIR_BLOCK", 3)
+    given = [(k, i, (i * 7 + k) % 5) for k in (1, 2) for i in [*range(10), 4, 4, 4, 4, 9]] + [(None, 1, 1), (None, 2, 2), (1, None, 3), (3, 1, 1), (4, 1, None), (4, 2, 2)]
+    got = rel.crowded_pairs(spark.createDataFrame(given, "key int, id int, v int"), "key", "id", F.col("a.v") > F.col("b.v")).collect()
+    full = [x for x in given if None not in x]
+    assert sorted(map(tuple, got)) == sorted((x[1], y[1], x[0]) for x in full for y in full if x[0] == y[0] and x[1] < y[1] and x[2] > y[2])
+
+
+def test_pairs_overlap_without_a_nation(spark, tmp_path):
+    """Customers without a nation share none."""
+    spark.createDataFrame([(1, None, "m"), (2, None, "m"), (3, 5, "m"), (4, 5, "m"), (5, 5, None), (6, 5, None)], "c_custkey long, c_nationkey int, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    day = F.expr("timestamp '2020-01-01' + make_dt_interval(cast(id div 6 as int))")
+    spark.range(12).select("id", (F.col("id") % 6 + 1).alias("o_custkey"), day.alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    assert [tuple(r) for r in catalog.QUERIES["duplicate_pairs_overlap"](spark, str(tmp_path)).collect()] == [(3, 4)]
