@@ -180,3 +180,49 @@ def test_pairs_overlap_without_a_nation(spark, tmp_path):
     day = F.expr("timestamp '2020-01-01' + make_dt_interval(cast(id div 6 as int))")
     spark.range(12).select("id", (F.col("id") % 6 + 1).alias("o_custkey"), day.alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
     assert [tuple(r) for r in catalog.QUERIES["duplicate_pairs_overlap"](spark, str(tmp_path)).collect()] == [(3, 4)]
+
+
+def exchanged(df):
+    """(MB that the exchanges of df were given, the plan that ran)."""
+    df.collect()
+    total, todo, plan = 0, [df._jdf.queryExecution().executedPlan()], df._jdf.queryExecution().executedPlan().toString()
+    while todo:
+        p = todo.pop()
+        name = p.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(p.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(p.plan())
+        else:
+            total += p.metrics().apply("dataSize").value() / 1e6 if name == "Exchange" else 0
+            kids = p.children()
+            todo += [kids.apply(i) for i in range(kids.size())]
+    return total, plan
+
+
+def test_pairs_travel_as_rows_grow(spark, monkeypatch):
+    """Four times the rows of a key are four times the data shuffled, though sixteen times the pairs; the pairs of two arrays are not made in one go."""
+    monkeypatch.setattr(rel, "PAIR_BLOCK", 16)
+    rows = spark.range(2000).select("id", (F.col("id") % 1).alias("key"))
+    none = F.col("a.id") + F.col("b.id") < 0
+    (few, _), (many, plan) = exchanged(rel.crowded_pairs(rows.where("id < 500"), "key", "id", none)), exchanged(rel.crowded_pairs(rows, "key", "id", none))
+    assert many < 5 * few
+    assert not re.search(r"\*\(\d+\) Generate explode\(filter", plan)
+
+
+def test_pairs_of_several_arrays(spark, monkeypatch):
+    """Blocks of several arrays, arrays of several runs, and equal ids across their borders."""
+    given = [(k, i, (i * 7 + k) % 5) for k in (1, 2) for i in [*range(23), 4, 4, 4, 4, 9]]
+    for sizes in ((3, 2, 2), (4, 1, 3), (2, 5, 1), (100, 3, 8)):
+        for name, n in zip(("PAIR_BLOCK", "PAIR_RUN", "PAIR_BLOCKS"), sizes):
+            monkeypatch.setattr(rel, name, n)
+        got = rel.crowded_pairs(spark.createDataFrame(given, "key int, id int, v int"), "key", "id", F.col("a.v") > F.col("b.v")).collect()
+        assert sorted(map(tuple, got)) == sorted((x[1], y[1], x[0]) for x in given for y in given if x[0] == y[0] and x[1] < y[1] and x[2] > y[2])
+
+
+def test_pairs_are_small_files(spark, tmp_path):
+    """4,498,500 pairs of 3,000 scattered ids."""
+    ids = spark.range(3000).select(F.xxhash64("id").alias("id"), F.lit(1).alias("key"))
+    rel.crowded_pairs(ids, "key", "id").select("a", "b").write.parquet(f"{tmp_path}/pairs")
+    assert spark.read.parquet(f"{tmp_path}/pairs").count() == 4_498_500
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 4_498_500 * 0.2
